@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from codeloom.llm import bpe, chat, langid, quality, simhash, urlfilter, warc
+from codeloom.llm import bpe, chat, decontam, langid, quality, simhash, suffixdedup, urlfilter, warc
 
 QUERIES = {
+    "op1_decontamination": decontam.op1_decontamination,
     "op2_chat_formatting": chat.op2_chat_formatting,
     "op3_url_filters": urlfilter.op3_url_filters,
     "op4_warc": warc.op4_warc,
     "op5_byte_bpe": bpe.op5_byte_bpe,
+    "op6_suffix_dedup": suffixdedup.op6_suffix_dedup,
     "op8_simhash": simhash.op8_simhash,
     "op9_language_id": langid.op9_language_id,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
-ORACLE_SQL = {"op2_chat_formatting": chat.OP2_SQL, "op3_url_filters": urlfilter.OP3_SQL, "op4_warc": warc.OP4_SQL}
+ORACLE_SQL = {"op1_decontamination": decontam.OP1_SQL, "op2_chat_formatting": chat.OP2_SQL, "op3_url_filters": urlfilter.OP3_SQL, "op4_warc": warc.OP4_SQL}
