@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codeloom.llm import bpe, chat, decontam, langid, quality, simhash, suffixdedup, urlfilter, warc
+from codeloom.llm import bpe, chat, decontam, langid, lmscore, quality, simhash, suffixdedup, urlfilter, warc
 
 QUERIES = {
     "op1_decontamination": decontam.op1_decontamination,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_warc": warc.op4_warc,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op6_suffix_dedup": suffixdedup.op6_suffix_dedup,
+    "op7_lm_scoring": lmscore.op7_lm_scoring,
     "op8_simhash": simhash.op8_simhash,
     "op9_language_id": langid.op9_language_id,
     "op10_quality_rules": quality.op10_quality_rules,
