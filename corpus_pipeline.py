@@ -19,8 +19,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def clean_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass, whole."""
-    return quality.apply_quality(docs.select(COLUMNS)).filter("kept").select(COLUMNS)
+    """Documents that pass, without the lines that fail."""
+    judged = quality.apply_quality(docs.select(COLUMNS), clean=True).filter("kept")
+    cut = F.col("clean_text") != F.col("text")
+    chars = F.when(cut, F.length("clean_text").cast("bigint")).otherwise(F.col("n_chars"))
+    return judged.withColumns({"n_chars": chars, "text": F.col("clean_text")}).select(COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
