@@ -1,0 +1 @@
+"""A PySpark-native engine for code intelligence and text analytics."""
