@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import table, written
-from codeloom.llm.rolling import Sums
+from codeloom.llm.rolling import Sums, mixed
 from codeloom.llm.suffixarray import Merged, Shard
 
 LENGTH = 200
@@ -76,6 +76,17 @@ def _batch(columns: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
+def joined_spans(cols: list[np.ndarray]) -> list[np.ndarray]:
+    """(id, th, a, b) with adjacent and overlapping runs of one text as one."""
+    order = np.lexsort((cols[2], cols[1], cols[0]))
+    i, th, a, b = (c[order] for c in cols)
+    if not len(i):
+        return [i, th, a, b]
+    new = np.concatenate([[True], (i[1:] != i[:-1]) | (th[1:] != th[:-1]) | (a[1:] > b[:-1] + 1)])
+    at = np.flatnonzero(new)
+    return [i[at], th[at], a[at], np.maximum.reduceat(b, at)]
+
+
 def find_blocks(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """Rows of kind BLOCK to meet by anchor; rows of kind SPAN are blocks found twice in one batch."""
 
@@ -104,9 +115,11 @@ def find_blocks(docs: DataFrame, length: int, gram: int) -> DataFrame:
         first = np.concatenate([[True], ~same])
         twice = ~first
         twice[:-1] |= same
-        for kind, pick in ((SPAN, twice), (BLOCK, first)):
-            at = np.flatnonzero(pick)
-            yield _batch([np.full(len(at), kind), *(c[at] for c in cols)])
+        at = np.flatnonzero(first)
+        yield _batch([np.full(len(at), BLOCK), *(c[at] for c in cols)])
+        spans = joined_spans([c[twice] for c in cols[2:]])
+        if len(spans[0]):  # dealt by document, as their anchors may be one and the same
+            yield _batch([np.full(len(spans[0]), SPAN), mixed(spans[0].view(np.uint64)).view(np.int64), np.zeros(len(spans[0]), np.int64), *spans])
 
     return docs.select("id", "th", "text").mapInArrow(run, _BLOCKS)
 
