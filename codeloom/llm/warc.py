@@ -56,13 +56,15 @@ def write_archive(df: DataFrame, path: str, record_id: str, target: str, payload
         {"strong": F.sha2("payload", 256), "weak": sha1_base32(F.col("payload")), "n_bytes": F.octet_length("payload").cast("bigint"), "order": F.coalesce("record_id", F.lit(LAST))}
     )
     same = F.assert_true((F.min("weak") == F.max("weak")) & (F.min("n_bytes") == F.max("n_bytes")), F.lit("two payloads share a SHA-256"))
-    firsts = keyed.groupBy("strong").agg(F.min("order").alias("first_order"), F.min("record_id").alias("first_id"), same.alias("checked"))
-    firsts = firsts.filter("checked is null").drop("checked")
+    # payloads travel once, one of each digest from every task
+    stored = keyed.groupBy("strong").agg(
+        F.min("order").alias("first_order"), F.min("record_id").alias("first_id"), F.min("weak").alias("weak"), F.min("n_bytes").alias("n_bytes"), F.min_by("payload", "order").alias("payload"), same.alias("checked")
+    )
+    stored.filter("checked is null").drop("checked").write.option("compression", "zstd").parquet(f"{path}/payloads")
+    firsts = df.sparkSession.read.parquet(f"{path}/payloads").select("strong", "first_order", "first_id")
     kind = F.when((F.col("n_bytes") >= min_revisit_bytes) & (F.col("order") != F.col("first_order")), F.lit("revisit")).otherwise(F.lit("response"))
     records = keyed.drop("payload").join(firsts, "strong").withColumn("header", _header(kind).cast("binary")).select("strong", "header")
-    records.write.parquet(f"{path}/records")
-    stored = keyed.select("strong", F.col("order").alias("first_order"), "weak", "n_bytes", "payload").join(firsts, ["strong", "first_order"])
-    stored.dropDuplicates(["strong"]).select("strong", "weak", "n_bytes", "payload").write.parquet(f"{path}/payloads")
+    records.write.option("compression", "zstd").parquet(f"{path}/records")
 
 
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:
