@@ -6,6 +6,9 @@ among them are verified. A pair is counted only under the first variant that it
 one entry. Within a bucket of many fingerprints only links that connect are kept, never all pairs: it is cut again by
 variants of the bits that are still free, until at most 2**11 fingerprints remain to be compared at once.
 
+A fingerprint may have further words of 64 bits, of longer shingles. They aren't indexed, but the further words of linked
+texts may differ in few bits too, as many as fit a similarity; so a wide index distance stays safe among very many texts.
+
 Defined cases: text without words (null, empty) has fingerprint zero, linked like any other; with fewer words than a
 shingle the whole sequence is one shingle; repeated rows are copies; a component is named by its least id, null ids being
 ignored unless there is no other; other columns are kept by :func:`deduplicate` and ignored by :func:`link_documents`.
@@ -13,17 +16,21 @@ ignored unless there is no other; other columns are kept by :func:`deduplicate`
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import table, written
 from codeloom.llm.components import components
+from codeloom.llm.rolling import mixed
 
 SHINGLE = 3
+#: Words of a shingle of the further words.
+SHINGLE_MORE = 5
 DISTANCE = 3
 SEED = 42
 BITS = 64
@@ -33,20 +40,32 @@ DIRECT = 1 << 11
 SMALL = 24
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Signed 64-bit SimHash of the XXH64 of the word shingles."""
-    import xxhash
-
+def fingerprint(text: str | None, shingle: int = SHINGLE, words_more: int = 0, shingle_more: int = SHINGLE_MORE) -> list[int]:
+    """Signed 64-bit SimHash words: of the XXH64 of the word shingles, then ``words_more`` of those of longer shingles."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
-    line, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        hashes = np.array([digest(line, SEED)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        hashes = np.array([digest(line[a:b], SEED) for a, b in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
+        return [0] * (1 + words_more)
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    out = [majority(shingle_hashes(line, starts, ends, shingle))]
+    if words_more:
+        longer = shingle_hashes(line, starts, ends, shingle_more)
+        out += [majority(mixed(longer + np.uint64(k))) for k in range(words_more)]
+    return out
+
+
+def shingle_hashes(line: bytes, starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
+    import xxhash
+
+    digest = xxhash.xxh64_intdigest
+    if len(starts) <= size:
+        return np.array([digest(line, SEED)], np.uint64)
+    return np.array([digest(line[a:b], SEED) for a, b in zip(starts[: 1 - size].tolist(), ends[size - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half the hashes."""
     n, ones = len(hashes), np.zeros(BITS, np.int64)
     for at in range(0, n, 255 * 256):  # sums of 255 bits fit in a byte
         part = hashes[at : at + 255 * 256]
@@ -59,16 +78,21 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) for each row."""
+def word_names(words_more: int) -> list[str]:
+    return ["fp", *(f"fp{k}" for k in range(1, 1 + words_more))]
+
+
+def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, words_more: int = 0) -> DataFrame:
+    """(doc_id, fp, fp1, ...) for each row."""
+    names = word_names(words_more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t, shingle) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+            found = [fingerprint(t, shingle, words_more) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[k] for f in found], pa.int64()) for k in range(len(names)))], names=["doc_id", *names])
 
     kind = df.schema[doc_id].dataType.simpleString()
-    return df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, ", ".join([f"doc_id {kind}", *(f"{n} long" for n in names)]))
 
 
 def segments(distance: int) -> list[tuple[int, int]]:
@@ -86,7 +110,7 @@ def variants(fps: DataFrame, distance: int) -> DataFrame:
         for bit in range(width):
             gone = value.bitwiseAND(F.lit(~(1 << bit)))
             keys.append(F.struct(F.lit(s * BITS + bit).cast("smallint").alias("slot"), gone.alias("value")))
-    return fps.select(F.explode(F.array(*keys)).alias("key"), "fp").select("key.slot", "key.value", "fp")
+    return fps.select(F.explode(F.array(*keys)).alias("key"), *fps.columns).select("key.slot", "key.value", *fps.columns)
 
 
 def first_slot(xor: np.ndarray, cut: list[tuple[int, int]]) -> np.ndarray:
@@ -100,46 +124,71 @@ def first_slot(xor: np.ndarray, cut: list[tuple[int, int]]) -> np.ndarray:
     return slot
 
 
-class Linker:
-    """Links within buckets of equal (slot, value)."""
+def forest(size: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links from each node to the least one that ``a`` and ``b`` connect it with."""
+    root = np.arange(size)
+    while True:
+        least = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        new = new[new]
+        if (new == root).all():
+            at = np.flatnonzero(root != np.arange(size))
+            return root[at], at
+        root = new
 
-    def __init__(self, distance: int) -> None:
-        self.distance, self.cut, self.links = distance, segments(distance), []
 
-    def near(self, xor: np.ndarray, slot: np.ndarray | int) -> np.ndarray:
-        return (np.bitwise_count(xor) <= self.distance) & (first_slot(xor, self.cut) == slot)
+class Linker:
+    """Links within buckets of equal (slot, value). Fingerprints are rows of 64-bit words, of which the first is indexed."""
+
+    def __init__(self, distance: int, total: int | None, words: int) -> None:
+        self.distance, self.total, self.cut, self.links, self.words = distance, total, segments(distance), [], words
+
+    def near(self, x: np.ndarray, y: np.ndarray, slot: np.ndarray | int) -> np.ndarray:
+        """For rows x and y: linked, and this slot is the first that they share."""
+        xor = x[:, 0] ^ y[:, 0]
+        out = np.bitwise_count(xor) <= self.distance
+        at = np.flatnonzero(out)
+        fits = first_slot(xor[at], self.cut) == (slot[at] if isinstance(slot, np.ndarray) else slot)
+        if self.total is not None:
+            fits &= np.bitwise_count(x[at, 1:] ^ y[at, 1:]).sum(axis=1, dtype=np.int64) <= self.total
+        out[at] = fits
+        return out
 
     def small(self, slot: np.ndarray, bucket: np.ndarray, fp: np.ndarray) -> None:
         for k in range(1, SMALL):
             same = np.flatnonzero(bucket[:-k] == bucket[k:])
             if not len(same):
                 return
-            hit = same[self.near(fp[same] ^ fp[same + k], slot[same])]
+            hit = same[self.near(fp[same], fp[same + k], slot[same])]
             self.links.append((fp[hit], fp[hit + k]))
 
     def large(self, slot: int, fp: np.ndarray, free: np.ndarray) -> None:
-        """fp: distinct; free: numbers of the bits in which they may differ."""
+        """fp: distinct; free: numbers of the bits of the first word in which they may differ."""
         if len(fp) < 2:
             return
-        if len(fp) <= DIRECT:
-            left = np.arange(len(fp))
-            while len(left):  # one component after the other
-                front, rest = left[:1], left[1:]
-                root = fp[left[0]]
-                while len(front) and len(rest):
-                    hit = np.zeros(len(rest), bool)
-                    for at in range(0, len(front), 256):
-                        hit |= self.near(fp[front[at : at + 256], None] ^ fp[None, rest], slot).any(axis=0)
-                    front, rest = rest[hit], rest[~hit]
-                    self.links.append((np.full(len(front), root), fp[front]))
-                left = rest
+        # texts that share the first word and differ in others have no free bits left to cut by
+        if len(fp) <= DIRECT or len(free) <= 11:
+            pairs = []
+            for i in range(0, len(fp), 256):
+                part = fp[i : i + 256]
+                close = np.bitwise_count(part[:, None, 0] ^ fp[None, :, 0]) <= self.distance
+                a, b = np.nonzero(close)
+                a += i
+                a, b = a[a < b], b[a < b]
+                hit = self.near(fp[a], fp[b], slot)
+                pairs.append(forest(len(fp), a[hit], b[hit]) if hit.sum() > len(fp) else (a[hit], b[hit]))
+            a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            if len(a):
+                a, b = forest(len(fp), a, b)
+                self.links.append((fp[a], fp[b]))
             return
         n = self.distance // 2 + 1
         for part in np.array_split(free, n):
             mask = np.bitwise_or.reduce(np.uint64(1) << part.astype(np.uint64))
             for bit in part:
-                keep = mask & ~(np.uint64(1) << np.uint64(bit))
-                value = fp & keep
+                value = fp[:, 0] & mask & ~(np.uint64(1) << np.uint64(bit))
                 order = np.argsort(value, kind="stable")
                 value, own = value[order], fp[order]
                 left = np.concatenate([free[~np.isin(free, part)], [bit]])
@@ -162,19 +211,36 @@ class Linker:
             self.large(int(slot[at.start]), fp[at], np.array([b for b in range(BITS) if b not in fixed]))
 
     def take(self) -> pa.RecordBatch:
-        a = np.concatenate([x for x, _ in self.links] or [np.zeros(0, np.uint64)]).view(np.int64)
-        b = np.concatenate([y for _, y in self.links] or [np.zeros(0, np.uint64)]).view(np.int64)
+        none = np.zeros((0, self.words), np.uint64)
+        a, b = (node_arrays(np.concatenate([none, *(x[k] for x in self.links)])) for k in (0, 1))
         self.links = []
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
+
+
+def node_arrays(fp: np.ndarray) -> pa.Array:
+    """Fingerprints as nodes: a long for one word, else the bytes of all words."""
+    if fp.shape[1] == 1:
+        return pa.array(fp[:, 0].view(np.int64))
+    data, size = fp.astype(">u8").tobytes(), 8 * fp.shape[1]
+    return pa.array([data[i : i + size] for i in range(0, len(data), size)], pa.binary())
+
+
+def node(words_more: int) -> Column:
+    """The same for the columns of a frame."""
+    if not words_more:
+        return F.col("fp")
+    return F.unhex(F.concat(*(F.lpad(F.hex(c), 16, "0") for c in word_names(words_more))))
 
 
-def fingerprint_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Links (a, b) that connect what pairs within ``distance`` connect; ``fps`` holds distinct fingerprints."""
+def fingerprint_links(fps: DataFrame, distance: int = DISTANCE, total: int | None = None) -> DataFrame:
+    """Links (a, b) between nodes that connect what pairs of near fingerprints connect; ``fps`` holds distinct fingerprints."""
+    words = len(fps.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        linker, held = Linker(distance), []
+        linker, held = Linker(distance, total, words), []
         for batch in batches:
-            now = [batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)]
+            fp = np.stack([batch.column(2 + k).to_numpy().view(np.uint64) for k in range(words)], axis=1)
+            now = [batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_numpy(), fp]
             if not len(now[0]):
                 continue
             if held and (held[-1][0][-1], held[-1][1][-1]) == (now[0][-1], now[1][-1]) == (held[0][0][0], held[0][1][0]):
@@ -190,23 +256,38 @@ def fingerprint_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
             linker.buckets(*(np.concatenate(x) for x in zip(*held, strict=True)))
             yield linker.take()
 
-    dealt = variants(fps, distance).repartition("slot", "value").sortWithinPartitions("slot", "value", "fp")
-    return dealt.mapInArrow(run, "a long, b long")
+    dealt = variants(fps, distance).repartition("slot", "value").sortWithinPartitions("slot", "value", *fps.columns)
+    return dealt.mapInArrow(run, "a long, b long" if words == 1 else "a binary, b binary")
 
 
-def link_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+def link_documents(
+    df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, words_more: int = 0, total: int | None = None
+) -> DataFrame:
     """(doc_id, fp, component_id) for each row of ``df``."""
-    docs = written(fingerprints(df, doc_id, text, shingle), "fingerprints")
-    fps = docs.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    star = components(fingerprint_links(fps.select("fp"), distance))
-    placed = fps.join(star.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    names = word_names(words_more)
+    docs = written(fingerprints(df, doc_id, text, shingle, words_more), "fingerprints")
+    fps = docs.groupBy(*names).agg(F.min("doc_id").alias("least"))
+    star = components(fingerprint_links(fps.select(*names), distance, total))
+    placed = fps.withColumn("node", node(words_more)).join(star, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return docs.join(placed.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return docs.join(placed.join(named, "root").select(*names, "component_id"), names).select("doc_id", "fp", "component_id")
+
+
+def bits_for(similarity: float, words: int) -> int:
+    """Bits in which this many words of texts of equal length differ at most, on average, whose shingles have this Jaccard similarity."""
+    return math.ceil(BITS * words * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+#: For :func:`deduplicate`: bits of the indexed word in which texts may differ, words beside it, and the similarity of
+#: five-word shingles that these stand for.
+WIDE_DISTANCE, WORDS_MORE, SIMILARITY = 7, 2, 0.8
 
 
-def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+def deduplicate(
+    df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = WIDE_DISTANCE, words_more: int = WORDS_MORE, similarity: float = SIMILARITY
+) -> DataFrame:
     """``df`` with one row of each component: that of its least id (of rows repeated under one id, one)."""
-    stay = link_documents(df, doc_id, text, shingle, distance).select("component_id").distinct()
+    stay = link_documents(df, doc_id, text, shingle, distance, words_more, bits_for(similarity, words_more) if words_more else None).select("component_id").distinct()
     return df.join(stay, df[doc_id].eqNullSafe(stay["component_id"]), "left_semi").dropDuplicates([doc_id])
 
 
