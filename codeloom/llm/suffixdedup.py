@@ -8,6 +8,9 @@
 3. The distinct blocks of the other anchors are dealt by anchor to shards of bounded size. Each shard gets its suffix array
    and common prefixes; the shards of an anchor that fills more than one are merged by binary search.
 
+An anchor with more than ``HOT`` distinct blocks (the edge of a passage that very many texts share) would be too much for
+one task. All its strings are dealt one by one instead, by a hash of the whole string, and found equal by hash and digest.
+
 Equal blocks are reduced within each batch before the shuffle, so a passage shared by a third of all rows sends one row a
 batch. Texts travel once by row, and only blocks in doubt travel by anchor.
 
@@ -36,6 +39,10 @@ GRAM = 40
 SEGMENT = 1 << 22
 #: Bytes of text in a shard.
 SHARD = 1 << 20
+#: Distinct blocks of an anchor that one task takes.
+HOT = 50_000
+#: Anchors with more than that, as many as are sent to the executors; where there would be more, ``HOT`` is raised.
+MOST_HOT = 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
 LAST_ID = -(1 << 63)
 
@@ -66,6 +73,22 @@ def blocks(text: bytes, length: int, gram: int) -> Iterator[tuple[np.ndarray, np
         yield hashes, own.view(np.int64), first + at, last + at
 
 
+def strings(text: bytes, length: int, gram: int, hot: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """As :func:`blocks`, for each single string of the anchors ``hot``: (hash of the string, digest, start, start)."""
+    import xxhash
+
+    digest = xxhash.xxh3_64_intdigest
+    for at in range(0, len(text) - length + 1, SEGMENT):
+        part = text[at : at + SEGMENT + length - 1]
+        hashes, first, last = anchors(part, length, gram)
+        pick = np.flatnonzero(np.isin(hashes, hot))
+        if len(pick):
+            starts = np.concatenate([np.arange(a, b + 1) for a, b in zip(first[pick].tolist(), last[pick].tolist(), strict=True)])
+            own = np.fromiter((digest(part[a : a + length]) for a in starts.tolist()), np.uint64, len(starts))
+            whole = Sums(part).ranges(starts, starts + length)
+            yield whole.view(np.int64), own.view(np.int64), starts + at, starts + at
+
+
 SPAN, BLOCK = 0, 1
 _BLOCKS = "kind int, anchor long, digest long, id long, th int, a int, b int"
 
@@ -87,8 +110,12 @@ def joined_spans(cols: list[np.ndarray]) -> list[np.ndarray]:
     return [i[at], th[at], a[at], np.maximum.reduceat(b, at)]
 
 
-def find_blocks(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """Rows of kind BLOCK to meet by anchor; rows of kind SPAN are blocks found twice in one batch."""
+def find_blocks(docs: DataFrame, length: int, gram: int, hot: list[int] | None = None) -> DataFrame:
+    """Rows of kind BLOCK to meet by anchor; rows of kind SPAN are blocks found twice in one batch.
+
+    With ``hot``, the single strings of these anchors instead of the blocks of all.
+    """
+    sent = None if hot is None else docs.sparkSession.sparkContext.broadcast(np.array(hot, np.int64))  # at most MOST_HOT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,7 +123,7 @@ def find_blocks(docs: DataFrame, length: int, gram: int) -> DataFrame:
             size = 0
             for i, th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 data = (text or "").encode()
-                for h, d, a, b in blocks(data, length, gram):
+                for h, d, a, b in blocks(data, length, gram) if sent is None else strings(data, length, gram, sent.value):
                     for to, x in zip(found, (h, d, np.full(len(h), i), np.full(len(h), th), a, b), strict=True):
                         to.append(x)
                 size += len(data)
@@ -174,6 +201,14 @@ def meet(found: DataFrame) -> DataFrame:
     return found.repartition("anchor").sortWithinPartitions("kind", "anchor", "digest").mapInArrow(run, _BLOCKS)
 
 
+def hot_anchors(doubt: DataFrame, hot: int) -> list[int]:
+    """Anchors with more than ``hot`` distinct blocks, or with so many more that there are at most MOST_HOT of them."""
+    counts = doubt.groupBy("anchor").count()
+    while counts.filter(F.col("count") > hot).limit(MOST_HOT + 1).count() > MOST_HOT:
+        hot *= 4
+    return [r.anchor for r in counts.filter(F.col("count") > hot).select("anchor").collect()]
+
+
 def cut_blocks(docs: DataFrame, doubt: DataFrame, length: int) -> DataFrame:
     """The text of the blocks in doubt: (anchor, id, th, a, block)."""
     wanted = doubt.groupBy("id", "th").agg(F.collect_list(F.struct("anchor", "a", "b")).alias("wanted"))
@@ -265,7 +300,7 @@ RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_t
 
 
 def remove_repeats(
-    df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD, with_text: bool = False
+    df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD, hot: int = HOT, with_text: bool = False
 ) -> DataFrame:
     """The columns ``keep`` and those of :data:`RESULT`; ``kept_text`` is filled if ``with_text``."""
     names = [f.split()[0] for f in RESULT.split(", ")]
@@ -276,7 +311,12 @@ def remove_repeats(
 
     found = written(meet(find_blocks(docs, length, gram)), "blocks")
     doubt = found.filter(F.col("kind") == BLOCK)
-    spans = found.filter(F.col("kind") == SPAN).select("id", "th", "a", "b").unionByName(shard_spans(cut_blocks(docs, doubt, length), length, shard))
+    spans = found.filter(F.col("kind") == SPAN).select("id", "th", "a", "b")
+    if many := hot_anchors(doubt, hot):
+        one_by_one = meet(find_blocks(docs, length, gram, many))
+        spans = spans.unionByName(one_by_one.filter(F.col("kind") == SPAN).select("id", "th", "a", "b"))
+        doubt = doubt.join(F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in many], "anchor long")), "anchor", "left_anti")
+    spans = spans.unionByName(shard_spans(cut_blocks(docs, doubt, length), length, shard))
     removed = spans.groupBy("id", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,3 +349,29 @@ def _cut(text: str | None, spans: list[dict] | None, length: int, with_text: boo
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs, keep=["doc_id"]).drop("kept_text")
+
+
+#: Documents are told apart by a row number, as their ids may repeat.
+OP6_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents
+), s AS (
+  SELECT r, unnest(range(1, octet_length(b) - 198)) AS i, unnest(list_transform(range(1, octet_length(b) - 198), lambda i: md5(b[i:i + 199]))) AS h FROM d
+), again AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS n FROM s) WHERE n > 1
+), islands AS (
+  SELECT r, i, sum(CASE WHEN i > before + 200 OR before IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS k
+  FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM again)
+), spans AS (
+  SELECT r, min(i) AS a, max(i) + 199 AS z FROM islands GROUP BY r, k
+), gone AS (
+  SELECT r, sum(z - a + 1) AS n, count(*) AS spans, max(z) AS last FROM spans GROUP BY r
+), pieces AS (
+  SELECT r, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) + 1 AS a, a - 1 AS z FROM spans
+  UNION ALL SELECT d.r, coalesce(last, 0) + 1, octet_length(b) FROM d LEFT JOIN gone ON gone.r = d.r
+), kept AS (
+  SELECT d.r, sha256(unhex(string_agg(CASE WHEN p.z >= p.a THEN hex(b[p.a:p.z]) ELSE '' END, '' ORDER BY p.a))) AS h FROM d JOIN pieces p ON p.r = d.r GROUP BY d.r
+)
+SELECT doc_id, octet_length(b) AS n_bytes, coalesce(gone.n, 0)::BIGINT AS n_removed, coalesce(gone.spans, 0) AS n_spans, kept.h AS kept_sha256
+FROM d LEFT JOIN gone ON gone.r = d.r JOIN kept ON kept.r = d.r
+"""
