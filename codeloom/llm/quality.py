@@ -140,3 +140,41 @@ def apply_quality(df: DataFrame, text: str = "text", keep: list[str] | None = No
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return apply_quality(docs, keep=["doc_id"]).drop("clean_text")
+
+
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d
+), windows AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS n
+  FROM (SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM w)
+), repeats AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM windows, range(5) r(k) WHERE n > 1 GROUP BY doc_id
+), split AS (
+  SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS i FROM d
+), lines AS (
+  SELECT doc_id, line, i, list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM split
+), judged AS (
+  SELECT doc_id, len(array_to_string(w, '')) AS chars, strlen(array_to_string(w, '')) AS size, len(w) AS n,
+    row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS again,
+    len(list_filter(w, lambda x: x IN ('|', '»', '·', '>', '/', '::', '-', '•'))) AS separators,
+    len(line) - len(regexp_replace(line, '[#*$%&|<>]', '', 'g')) AS symbols,
+    strlen(regexp_replace(line, '[^A-Za-z\x{80}-\x{10FFFF}]', '', 'g')) AS letters,
+    list_max(list_transform(w[1:3], lambda x: len(list_filter(w, lambda y: y = x)))) AS most,
+    regexp_matches(line, '(?i)(?:all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|accept (?:all )?cookies|enable javascript|click here|read more|sign up|log in|subscribe|lorem ipsum|powered by|copyright (?:\(c\)|©)|licensed under|share this)') AS boilerplate
+  FROM lines WHERE len(w) > 0
+), by_doc AS (
+  SELECT doc_id, count(*) FILTER (again) AS dup,
+    sum(chars) FILTER (again OR separators >= 0.3 * n OR symbols > 0.3 * size OR letters < 0.4 * size OR (n >= 6 AND most >= 0.8 * n) OR boilerplate) AS lost
+  FROM judged GROUP BY doc_id
+), base AS (
+  SELECT w.doc_id, len(w.w)::BIGINT AS n_words, len(array_to_string(w.w, ''))::BIGINT AS word_chars, (len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(repeats.n, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0) AS lost
+  FROM w LEFT JOIN by_doc ON by_doc.doc_id = w.doc_id LEFT JOIN repeats ON repeats.doc_id = w.doc_id
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND lost <= 0.5 * word_chars AS kept
+FROM base
+"""
