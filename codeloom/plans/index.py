@@ -6,12 +6,12 @@ import time
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom import schemas
 from codeloom.functions import identity, paths, security, text
-from codeloom.operators import enrich, files, graph
+from codeloom.operators import enrich, files, graph, search
 from codeloom.parsers.parse import parse_files
 from codeloom.plans import store as stores
 from codeloom.plans.config import Config
@@ -76,6 +76,22 @@ def symbols_and_edges(contents: DataFrame, all_files: DataFrame, config: Config,
     return rows.select(schemas.names(schemas.SYMBOLS)), edges, parsed.filter("record = 'error'").select("file", "error")
 
 
+def row_key() -> Column:
+    """Symbols may share an id, so the index names a row by id, file and place."""
+    return F.concat_ws("\0", "id", "file", F.coalesce(F.col("byte_start"), F.lit(-1)).cast("string"), F.col("line_start").cast("string"), "kind")
+
+
+def search_index(store: stores.Store, symbols: DataFrame, touched: DataFrame) -> search.TextIndex:
+    """The old index without the rows of the files touched, and the new rows."""
+    fresh = search.build_index(symbols.withColumn("row_", row_key()), "row_", stores.INDEXED)
+    if not store.exists():
+        return fresh
+    old, gone = store.search_index(), touched.select(F.col("file").alias("file_")).distinct()
+    file = F.element_at(F.split("id", "\0"), 2)
+    kept = [df.join(gone, file == F.col("file_"), "left_anti") for df in (old.postings, old.lengths)]
+    return search.TextIndex(kept[0].unionByName(fresh.postings), kept[1].unionByName(fresh.lengths), stores.INDEXED)
+
+
 def index(spark: SparkSession, root: str, config: Config | None = None, force: bool = False, describe=None) -> IndexResult:
     """Brings the repository's store up to date."""
     config, began = config or Config(), time.time()
@@ -116,7 +132,7 @@ def index(spark: SparkSession, root: str, config: Config | None = None, force: b
     n_found, n_changed, n_gone = found.count(), changed.count(), gone.count()
     warnings = [f"{r.file}: {r.error}" for r in errors.orderBy("file").limit(100).collect()]
     store.append_contents(files.mirror(store.contents(), changed))
-    store.write(files=new_files, symbols=new_symbols, edges=new_edges)
+    store.write(search_index(store, symbols, touched), files=new_files, symbols=new_symbols, edges=new_edges)
     store.write_meta(
         hash=store.hash, path=store.repo, name=store.repo.rsplit("/", 1)[-1], mode=mode, last_sync=stamp, initialized_at=(store.meta() or {}).get("initialized_at", stamp), last_indexed_commit=git.head(root) if mode == "git" else None
     )

@@ -17,8 +17,6 @@ from codeloom.plans import store as stores
 from codeloom.plans.config import Config
 from codeloom.sources import filesystem, git
 
-INDEXED = ["name", "qualified_name", "signature", "summary"]
-
 
 class NotIndexedError(LookupError):
     """The repository has no index yet."""
@@ -53,8 +51,8 @@ class Repository:
         return self.store.read("edges")
 
     def search(self, q: str, kind: str = "", language: str = "", file: str = "", limit: int = search.DEFAULT_LIMIT, offset: int = 0) -> DataFrame:
-        keyed = self.symbols.withColumn("row_", F.concat_ws("\0", "id", "file", F.col("byte_start").cast("string")))
-        found = search.search(keyed, search.build_index(keyed, "row_", INDEXED), q, "row_", ("name", "qualified_name"), limit, offset, {"kind": kind, "language": language, "file": file})
+        keyed = self.symbols.withColumn("row_", indexing.row_key())
+        found = search.search(keyed, self.store.search_index(), q, "row_", ("name", "qualified_name"), limit, offset, {"kind": kind, "language": language, "file": file})
         return found.drop("row_")
 
     def get(self, ids: Sequence[str] = (), paths_: Sequence[str] = (), context: int = 0) -> tuple[DataFrame, DataFrame]:

@@ -13,7 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from codeloom import schemas
 from codeloom.functions.identity import repo_hash
+from codeloom.operators import search
 
+#: Columns of the inverted index.
+INDEXED = ["name", "qualified_name", "signature", "summary"]
 RELATIONS = {"files": schemas.FILES, "symbols": schemas.SYMBOLS, "edges": schemas.EDGES}
 
 
@@ -58,8 +61,13 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"file://{self.path}/snapshots/{self.current}/{relation}")
 
-    def write(self, **relations: DataFrame) -> int:
-        """A new snapshot of all relations; symbols are sorted by file, so that lookups skip most of the data."""
+    def search_index(self) -> search.TextIndex:
+        """The inverted index of the current snapshot."""
+        return search.read_index(self.spark, f"file://{self.path}/snapshots/{self.current}/search", INDEXED)
+
+    def write(self, index: search.TextIndex, **relations: DataFrame) -> int:
+        """A new snapshot of all relations and the inverted index; symbols are sorted by file, so that lookups skip most of
+        the data."""
         number = self.current + 1
         target = self.path / "snapshots" / str(number)
         shutil.rmtree(target, ignore_errors=True)
@@ -67,6 +75,7 @@ class Store:
             df = relations[name].select(schemas.names(schema))
             key = {"files": "path", "symbols": "file", "edges": "caller_id"}[name]
             df.repartitionByRange(key).sortWithinPartitions(key).write.parquet(f"file://{target}/{name}")
+        index.write(f"file://{target}/search")
         _replace(self.pointer, str(number))
         for old in (self.path / "snapshots").iterdir():
             if old.name.isdigit() and int(old.name) < number - 1:

@@ -130,6 +130,10 @@ def test_changes_equal_a_full_build(repo, spark, root, tmp_path):
     key = lambda df, cs: sorted(map(str, df.select(cs).collect()))
     assert key(repo.symbols, columns) == key(other.symbols, columns)
     assert key(repo.edges, repo.edges.columns) == key(other.edges, other.edges.columns)
+    for part in ("postings", "lengths"):
+        own, full = (getattr(r.store.search_index(), part) for r in (repo, other))
+        assert key(own, own.columns) == key(full, full.columns)
+    assert repo.search("assist").count() == 1 and repo.search("helper").count() == 0 and repo.search("Box").count() == 0
 
 
 def test_git_mode_and_diff(spark, root, tmp_path):
