@@ -7,12 +7,16 @@ words are scored by their counts). Inputs are frequent words, or buckets of thei
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
-HIDDEN = 16
-EMBED = 16
+HIDDEN = 12
+EMBED = 12
 #: Steps of a window of truncated backpropagation.
-WINDOW = 24
+WINDOW = 16
+#: A short stream has fewer lanes, so that it still makes about so many updates.
+UPDATES = 100
 
 
 def shapes(n_inputs: int, n_classes: int, n_words: int, per_class: int) -> dict[str, tuple[int, ...]]:
@@ -55,49 +59,71 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
+def _exp(x: np.ndarray) -> np.ndarray:
+    """exp of logits in place, less the row's largest where numbers might overflow."""
+    if x.size and (x.max() > 60 or x.min() < -60):
+        x -= x.max(axis=1, keepdims=True)
+    return np.exp(x, out=x)
+
+
+def _totals(x: np.ndarray) -> np.ndarray:
+    return x @ np.ones(x.shape[1], x.dtype)
+
+
 class Model:
+    """Gates are kept apart, so that every array of a step is contiguous."""
+
     def __init__(self, params: dict[str, np.ndarray]) -> None:
         self.p = params
         self.per_class = params["inner"].shape[2]
+        self.u = [np.ascontiguousarray(x) for x in np.split(params["u"], 3, axis=1)]
 
     def states(self, inputs: np.ndarray, opens: np.ndarray, h: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
         """States after each step; inputs and opens: (steps, lanes); a lane's state is cleared where a text opens."""
         p, steps = self.p, len(inputs)
-        gates = p["embed"] @ p["w"] + p["b"]
-        out, saved = np.empty((steps, len(h), HIDDEN), np.float32), []
+        gz, gr, gn = (np.ascontiguousarray(x) for x in np.split(p["embed"] @ p["w"] + p["b"], 3, axis=1))
+        uz, ur, un = self.u
+        clears = [np.flatnonzero(o) for o in opens]
+        out, saved = np.empty((steps, len(h), HIDDEN), h.dtype), []
         for t in range(steps):
-            if opens[t].any():
-                h = h * ~opens[t][:, None]
-            x = gates[inputs[t]]
-            hu = h @ p["u"]
-            zr = _sigmoid(x[:, : 2 * HIDDEN] + hu[:, : 2 * HIDDEN])
-            z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-            n = np.tanh(x[:, 2 * HIDDEN :] + r * hu[:, 2 * HIDDEN :])
-            new = n + z * (h - n)
+            if len(clears[t]):
+                h = h.copy()
+                h[clears[t]] = 0
+            ids = inputs[t]
+            z, r, hn = h @ uz, h @ ur, h @ un
+            z += gz[ids]
+            r += gr[ids]
+            z, r = _sigmoid(z), _sigmoid(r)
+            n = r * hn
+            n += gn[ids]
+            np.tanh(n, out=n)
+            new = np.subtract(h, n, out=out[t])
+            new *= z
+            new += n
             if keep:
-                saved.append((h, z, r, n, hu[:, 2 * HIDDEN :]))
-            h = out[t] = new
+                saved.append((h, z, r, n, hn))
+            h = new
         return out, saved
 
+    def by_class(self, words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """The rows of the frequent words, class by class. Small integers are sorted by radix."""
+        frequent = np.flatnonzero(words >= 0)
+        own = (words[frequent] // max(self.per_class, 1)).astype(np.int16)
+        order = np.argsort(own, kind="stable")
+        sizes = np.bincount(own, minlength=1)
+        stops = np.cumsum(sizes)
+        for k in np.flatnonzero(sizes).tolist():
+            yield k, frequent[order[stops[k] - sizes[k] : stops[k]]]
+
     def log_probabilities(self, h: np.ndarray, classes: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Natural log-probability of each class, and of the word in it where words >= 0."""
         p = self.p
-        logits = h @ p["out"][:-1] + p["out"][-1]
-        got = logits[np.arange(len(h)), classes]
-        top = logits.max(axis=1)
-        logits -= top[:, None]
-        np.exp(logits, out=logits)
-        total = (got - top - np.log(logits.sum(axis=1))).astype(np.float64)
-        frequent = np.flatnonzero(words >= 0)
-        order = frequent[np.argsort(words[frequent] // self.per_class, kind="stable")]
-        groups = words[order] // self.per_class if self.per_class else words[order]
-        for rows in np.split(order, np.flatnonzero(groups[1:] != groups[:-1]) + 1):
-            if len(rows):
-                m = p["inner"][words[rows[0]] // self.per_class]
-                x = h[rows] @ m[:-1] + m[-1]
-                own = x[np.arange(len(rows)), words[rows] % self.per_class]
-                top = x.max(axis=1)
-                total[rows] += own - top - np.log(np.exp(x - top[:, None]).sum(axis=1))
+        x = _exp(h @ p["out"][:-1] + p["out"][-1])
+        total = np.log((x[np.arange(len(h)), classes] / _totals(x)).astype(np.float64))
+        for k, rows in self.by_class(words):
+            m = p["inner"][k]
+            x = _exp(h[rows] @ m[:-1] + m[-1])
+            total[rows] += np.log((x[np.arange(len(rows)), words[rows] % self.per_class] / _totals(x)).astype(np.float64))
         return total
 
     def gradients(self, inputs: np.ndarray, opens: np.ndarray, classes: np.ndarray, words: np.ndarray, h0: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -107,46 +133,48 @@ class Model:
         size = steps * lanes
         h, c, w = hs.reshape(size, HIDDEN), classes.reshape(size), words.reshape(size)
         g = {k: np.zeros_like(v) for k, v in p.items()}
-        x = h @ p["out"][:-1] + p["out"][-1]
-        x -= x.max(axis=1, keepdims=True)
-        np.exp(x, out=x)
-        x /= x.sum(axis=1, keepdims=True)
+        x = _exp(h @ p["out"][:-1] + p["out"][-1])
+        x *= (1 / _totals(x))[:, None]
         x[np.arange(size), c] -= 1
-        g["out"][:-1], g["out"][-1] = h.T @ x, x.sum(axis=0)
+        g["out"][:-1], g["out"][-1] = h.T @ x, np.ones(size, x.dtype) @ x
         dh = x @ p["out"][:-1].T
-        frequent = np.flatnonzero(w >= 0)
-        order = frequent[np.argsort(w[frequent] // self.per_class, kind="stable")]
-        groups = w[order] // self.per_class
-        for rows in np.split(order, np.flatnonzero(groups[1:] != groups[:-1]) + 1):
-            if len(rows):
-                k = w[rows[0]] // self.per_class
-                m, own = p["inner"][k], h[rows]
-                x = own @ m[:-1] + m[-1]
-                x -= x.max(axis=1, keepdims=True)
-                np.exp(x, out=x)
-                x /= x.sum(axis=1, keepdims=True)
-                x[np.arange(len(rows)), w[rows] % self.per_class] -= 1
-                g["inner"][k, :-1], g["inner"][k, -1] = own.T @ x, x.sum(axis=0)
-                dh[rows] += x @ m[:-1].T
+        for k, rows in self.by_class(w):
+            m, own = p["inner"][k], h[rows]
+            x = _exp(own @ m[:-1] + m[-1])
+            x *= (1 / _totals(x))[:, None]
+            x[np.arange(len(rows)), w[rows] % self.per_class] -= 1
+            g["inner"][k, :-1], g["inner"][k, -1] = own.T @ x, np.ones(len(rows), x.dtype) @ x
+            dh[rows] += x @ m[:-1].T
         dh = dh.reshape(steps, lanes, HIDDEN)
+        uz, ur, un = (np.ascontiguousarray(u.T) for u in self.u)
         later = np.zeros_like(h0)
-        dgates = np.empty((steps, lanes, 3 * HIDDEN), np.float32)
+        dz, dr, dn, dm, before = (np.empty((steps, lanes, HIDDEN), h.dtype) for _ in range(5))
         for t in range(steps - 1, -1, -1):
-            before, z, r, n, hn = saved[t]
+            old, z, r, n, hn = saved[t]
             d = dh[t] + later
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (before - n) * z * (1 - z)
-            dr = dn * hn * r * (1 - r)
-            dgates[t, :, :HIDDEN], dgates[t, :, HIDDEN : 2 * HIDDEN], dgates[t, :, 2 * HIDDEN :] = dz, dr, dn
-            dhu = np.concatenate([dz, dr, dn * r], axis=1)
-            g["u"] += before.T @ dhu
-            later = d * z + dhu @ p["u"].T
-            if opens[t].any():
-                later *= ~opens[t][:, None]
-        dgates = dgates.reshape(size, 3 * HIDDEN)
+            dz_, dr_, dn_, dm_ = dz[t], dr[t], dn[t], dm[t]
+            rest = 1 - z
+            np.multiply(d, rest, out=dn_)
+            dn_ *= 1 - n * n
+            np.subtract(old, n, out=dz_)
+            dz_ *= d
+            dz_ *= z
+            dz_ *= rest
+            np.multiply(dn_, r, out=dm_)
+            np.multiply(dm_, hn, out=dr_)
+            dr_ *= 1 - r
+            before[t] = old
+            later = d * z
+            later += dz_ @ uz
+            later += dr_ @ ur
+            later += dm_ @ un
+            later[np.flatnonzero(opens[t])] = 0
+        dz, dr, dn, dm, before = (x.reshape(size, HIDDEN) for x in (dz, dr, dn, dm, before))
+        g["u"][:] = np.concatenate([before.T @ dz, before.T @ dr, before.T @ dm], axis=1)
+        dgates = np.concatenate([dz, dr, dn], axis=1)
         ids = inputs.reshape(size)
-        g["b"] = dgates.sum(axis=0)
-        order = np.argsort(ids, kind="stable")
+        g["b"] = np.ones(size, dgates.dtype) @ dgates
+        order = np.argsort(ids.astype(np.int16), kind="stable")  # a radix sort: inputs are far fewer than 2**15
         first = np.flatnonzero(np.concatenate([[True], ids[order][1:] != ids[order][:-1]]))
         by_input, seen = np.add.reduceat(dgates[order], first, axis=0), ids[order][first]
         g["w"] = p["embed"][seen].T @ by_input
@@ -173,17 +201,17 @@ class Adam:
 def train(params: dict[str, np.ndarray], inputs: np.ndarray, opens: np.ndarray, classes: np.ndarray, words: np.ndarray, rate: float, lanes: int = 256) -> None:
     """One pass over a stream of tokens, cut into lanes of equal length, windows in order with the state carried."""
     n = len(inputs)
-    lanes = max(1, min(lanes, n // (2 * WINDOW)))
+    lanes = max(1, min(lanes, n // (UPDATES * WINDOW)))
     steps = -(-n // lanes)
 
     def laid(x: np.ndarray, fill: int) -> np.ndarray:
         return np.concatenate([x, np.full(lanes * steps - n, fill, x.dtype)]).reshape(lanes, steps).T.copy()
 
     x, o, c, w = laid(inputs, 0), laid(opens, True), laid(classes, 0), laid(words, -1)
-    model, adam = Model(params), Adam(params, rate)
+    adam = Adam(params, rate)
     h = np.zeros((lanes, HIDDEN), np.float32)
     for at in range(0, steps - (steps > WINDOW) * 1, WINDOW):
-        g, h = model.gradients(x[at : at + WINDOW], o[at : at + WINDOW], c[at : at + WINDOW], w[at : at + WINDOW], h)
+        g, h = Model(params).gradients(x[at : at + WINDOW], o[at : at + WINDOW], c[at : at + WINDOW], w[at : at + WINDOW], h)
         adam.step(g)
 
 
@@ -205,14 +233,14 @@ def score(params: dict[str, np.ndarray], lengths: np.ndarray, inputs: np.ndarray
         places[k].append(i)
         heapreplace(loads, (load + int(lengths[i]), k))
     steps = max(load for load, _ in loads)
-    index = np.full((lanes, steps), -1, np.int64)
+    index = np.full((lanes, steps), -1, np.int32)
     opens = np.zeros((lanes, steps), bool)
-    owner = np.repeat(np.arange(len(lengths)), lengths)
+    owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
     for k, own in enumerate(places):
         at = 0
         for i in own:
             if n := int(lengths[i]):
-                index[k, at : at + n] = np.arange(starts[i], starts[i] + n)
+                index[k, at : at + n] = np.arange(starts[i], starts[i] + n, dtype=np.int32)
                 opens[k, at] = True
                 at += n
     model, h = Model(params), np.zeros((lanes, HIDDEN), np.float32)

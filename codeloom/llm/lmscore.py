@@ -33,14 +33,16 @@ from codeloom.llm.common import table, written
 #: A word that no text has, as words hold no white space.
 END = b"\n"
 FREQUENT = 512
-PER_CLASS = 32
+PER_CLASS = 64
 TAILS = 16
 BUCKETS = 256
 #: Characters of text in a block.
-BLOCK_CHARS = 24 << 20
+BLOCK_CHARS = 20 << 20
+#: Up to so many blocks are dealt one to a partition; among more, chance evens them out.
+EVEN_BLOCKS = 4096
 #: One text in so many makes the first model.
 FIRST_SHARE = 64
-LANES = 256
+LANES = 384
 #: Tokens trained on at once in a task.
 STREAM = 1 << 20
 
@@ -59,6 +61,18 @@ def bucket(word: bytes) -> int:
     return int.from_bytes(word[-3:], "big") % 251 % BUCKETS
 
 
+class Remembered(dict):
+    """Values of a function, computed once."""
+
+    def __init__(self, f) -> None:
+        super().__init__()
+        self.f = f
+
+    def __missing__(self, key):
+        self[key] = out = self.f(key)
+        return out
+
+
 class Coder:
     """Numbers of tokens: input, class, and word within the frequent ones (-1: tail)."""
 
@@ -67,32 +81,48 @@ class Coder:
         self.n_words = len(frequent)
         self.n_inner = -(-len(frequent) // PER_CLASS)
         self.sizes = gru.shapes(len(frequent) + BUCKETS, self.n_inner + TAILS, len(frequent), PER_CLASS)
-        self.known: dict[bytes, int] = {}
+        self.known = Remembered(self.code)
 
     def code(self, word: bytes) -> int:
-        """Input, class and word in one number, remembered for words met before."""
-        k = self.known.get(word)
-        if k is None:
-            if len(self.known) > 300_000:
-                self.known = {}
-            f = self.frequent.get(word)
-            if f is not None:
-                k = (f << 40) | ((f // PER_CLASS) << 20) | (f + 1)
-            else:
-                k = ((self.n_words + bucket(word)) << 40) | ((self.n_inner + tail_class(word)) << 20)
-            self.known[word] = k
-        return k
+        """Input, class and word in one number."""
+        f = self.frequent.get(word)
+        if f is not None:
+            return (f << 40) | ((f // PER_CLASS) << 20) | (f + 1)
+        return ((self.n_words + bucket(word)) << 40) | ((self.n_inner + tail_class(word)) << 20)
+
+    def code_all(self, words: list[bytes]) -> np.ndarray:
+        """The codes of many words met for the first time, at once."""
+        if not words:
+            return np.zeros(0, np.int64)
+        data = np.frombuffer(b"\0\0" + b"".join(words), np.uint8).astype(np.int64)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(lengths) + 2
+        last, before, third = data[ends - 1], np.where(lengths > 1, data[ends - 2], 0), np.where(lengths > 2, data[ends - 3], 0)
+        wide = np.add.reduceat(data[2:] > 127, ends - lengths - 2) > 0
+        tails = np.minimum((lengths - 1) // 3, 3) * 4 + 2 * wide + ((last < 128) & ~((97 <= last) & (last <= 122)))
+        buckets = ((third << 16) | (before << 8) | last) % 251 % BUCKETS
+        out = ((self.n_words + buckets) << 40) | ((self.n_inner + tails) << 20)
+        for k, w in enumerate(words):
+            if w in self.frequent:
+                out[k] = self.code(w)
+        return out
+
+    def codes(self, words: list[bytes]) -> np.ndarray:
+        if len(self.known) > 300_000:
+            self.known.clear()
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     @staticmethod
     def split(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return codes >> 40, (codes >> 20) & 0xFFFFF, (codes & 0xFFFFF) - 1
+        """Input, class and word of each code, as small integers."""
+        return (codes >> 40).astype(np.int16), ((codes >> 20) & 0xFFFFF).astype(np.int16), ((codes & 0xFFFFF) - 1).astype(np.int16)
 
-    def shifted(self, codes: np.ndarray, opens: np.ndarray) -> np.ndarray:
-        """Inputs: the token before, the end where a text opens."""
-        before = np.empty_like(codes)
-        before[1:] = codes[:-1]
-        before[opens] = self.code(END)
-        return before >> 40
+    def shifted(self, inputs: np.ndarray, opens: np.ndarray) -> np.ndarray:
+        """The input before each token, that of the end where a text opens."""
+        before = np.empty_like(inputs)
+        before[1:] = inputs[:-1]
+        before[opens] = self.code(END) >> 40
+        return before
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -124,18 +154,18 @@ def train_weights(docs: DataFrame, coder: Coder, weights: np.ndarray, rate: floa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Coder(sent.value[1])
         params = gru.unflat(sent.value[0].copy(), own.sizes)
-        end, held, opens, size, seen = own.code(END), [], [], 0, 0
+        held, opens, size, seen = [], [], 0, 0
 
         def learn() -> None:
             codes, first = np.concatenate(held), np.zeros(size, bool)
             first[opens] = True
-            _, classes, words = own.split(codes)
-            gru.train(params, own.shifted(codes, first), first, classes, words, rate, LANES)
+            inputs, classes, words = own.split(codes)
+            gru.train(params, own.shifted(inputs, first), first, classes, words, rate, LANES)
 
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                codes = [*map(own.code, tokens(t)), end]
-                held.append(np.array(codes, np.int64))
+                codes = own.codes([*tokens(t), END])
+                held.append(codes)
                 opens.append(size)
                 size += len(codes)
                 seen += len(codes)
@@ -155,6 +185,18 @@ def train_weights(docs: DataFrame, coder: Coder, weights: np.ndarray, rate: floa
     return out.astype(np.float32)
 
 
+def first_weights(coder: Coder, frequent: np.ndarray, tails: np.ndarray) -> dict[str, np.ndarray]:
+    """A model that gives every token about its share among all tokens, whatever came before."""
+    params = gru.start(coder.sizes)
+    padded = np.zeros(coder.n_inner * PER_CLASS)
+    padded[: len(frequent)] = frequent
+    padded = padded.reshape(coder.n_inner, PER_CLASS)
+    shares = np.concatenate([padded.sum(axis=1), tails])
+    params["out"][-1] = np.log(shares / shares.sum())
+    params["inner"][:, -1] = np.log(np.maximum(padded / padded.sum(axis=1, keepdims=True), 1e-9))
+    return params
+
+
 def learn(docs: DataFrame, doc_id: str) -> tuple[Coder, np.ndarray, DataFrame, dict]:
     """The coder, the weights, the count table and its totals, from training rows (doc_id, text)."""
     counts = written(count_words(docs), "counts")
@@ -166,13 +208,21 @@ def learn(docs: DataFrame, doc_id: str) -> tuple[Coder, np.ndarray, DataFrame, d
         mass[r.tail] += r.m
     for r in best:
         mass[r.tail] -= r.n + 0.5
-    weights = gru.flat(gru.start(coder.sizes))
+    ends = counts.filter("tail = -1").agg(F.max("n")).first()[0] or 0
+    weights = gru.flat(first_weights(coder, np.array([ends, *(r.n for r in best)], np.float64) + 0.5, mass))
     first = docs.filter(F.pmod(F.xxhash64(F.col(doc_id), F.col("text")), F.lit(FIRST_SHARE)) == 0).coalesce(1)
     weights = train_weights(first, coder, weights, 0.02)
     weights = train_weights(docs, coder, weights, 0.005)
     return coder, weights, counts, {"n": total.n or 0, "v": total.v, "mass": mass}
 
 
+def even_keys(spark: SparkSession, n: int) -> list[int]:
+    """A key for each of n partitions, which Spark's hash deals to just that partition; so no task gets several blocks."""
+    keys = spark.range(n * 24).select(F.col("id").cast("int").alias("k")).groupBy(F.pmod(F.hash("k"), F.lit(n)).alias("p")).agg(F.min("k").alias("k"))
+    found = {r.p: r.k for r in keys.collect()}  # n rows
+    return [found.get(p, p) for p in range(n)]
+
+
 def score_texts(df: DataFrame, learned: tuple[Coder, np.ndarray, DataFrame, dict], doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` with n_tokens, n_known, train_tokens, base_score, score."""
     coder, weights, counts, totals = learned
@@ -180,7 +230,10 @@ def score_texts(df: DataFrame, learned: tuple[Coder, np.ndarray, DataFrame, dict
     spark = df.sparkSession
     chars = df.agg(F.sum(F.length(text))).first()[0] or 0
     n_blocks = max(1, math.ceil(chars / BLOCK_CHARS))
-    docs = df.select(F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(n_blocks)).cast("int").alias("block"), *keep, F.col(text).alias("text_"))
+    block = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(n_blocks)).cast("int")
+    if 1 < n_blocks <= EVEN_BLOCKS:
+        block = F.element_at(F.lit(even_keys(spark, n_blocks)), block + 1)
+    docs = df.select(block.alias("block"), *keep, F.col(text).alias("text_"))
     docs = docs.repartition(n_blocks, "block")
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +250,7 @@ def score_texts(df: DataFrame, learned: tuple[Coder, np.ndarray, DataFrame, dict
     def emit(block: int, own: set) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(own), block, np.int32)), pa.array(list(own), pa.binary())], names=["block", "word"])
 
-    met = docs.select("block", "text_").mapInArrow(distinct, "block int, word binary").join(counts.select("word", "n"), "word").groupBy("block", "word").agg(F.max("n").alias("n"))
+    met = docs.select("block", "text_").mapInArrow(distinct, "block int, word binary").join(counts.select("word", "n"), "word")  # a word twice in a block does no harm
     end_count = counts.filter("tail = -1").agg(F.max("n")).first()[0] or 0
     sent = spark.sparkContext.broadcast((weights, list(coder.frequent), totals, end_count))
     names = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -209,27 +262,28 @@ def score_texts(df: DataFrame, learned: tuple[Coder, np.ndarray, DataFrame, dict
         params = gru.unflat(weights, own.sizes)
         seen = dict(zip(right.column("word").to_pylist(), right.column("n").to_pylist(), strict=True))
         seen[END] = end_count
-        number: dict[bytes, int] = {}
+        number = Remembered(lambda _: len(number))
         lists = []
         for chunk in left.column("text_").chunks:
             for t in chunk.to_pylist():
-                lists.append(np.array([number.setdefault(w, len(number)) for w in [*tokens(t), END]], np.int32))
+                words = [*tokens(t), END]
+                lists.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
         lengths = np.array([len(x) for x in lists], np.int64)
         ids = np.concatenate(lists) if lists else np.zeros(0, np.int32)
+        del lists
         n = np.array([seen.get(w, 0) for w in number], np.float64)
-        codes = np.array([own.code(w) for w in number], np.int64)
+        codes = own.code_all(list(number))
         tail = (codes & 0xFFFFF) == 0
         base = np.log10((n + 0.5) / (totals["n"] + 0.5 * (totals["v"] + 1)))
         share = np.zeros(len(n))
         if len(n):
             share[tail] = np.log10((n[tail] + 0.5) / totals["mass"][(codes[tail] >> 20 & 0xFFFFF) - own.n_inner])
-        doc = np.repeat(np.arange(len(lengths)), lengths)
-        stream = codes[ids]
-        opens = np.zeros(len(stream), bool)
+        doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        opens = np.zeros(len(ids), bool)
         opens[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
-        _, classes, words = own.split(stream)
+        inputs, classes, words = (x[ids] for x in own.split(codes))
         inner = np.bincount(doc, share[ids], len(lengths))
-        logs = gru.score(params, lengths, own.shifted(stream, opens), classes, words) / math.log(10)
+        logs = gru.score(params, lengths, own.shifted(inputs, opens), classes, words) / math.log(10)
         columns = [
             pa.array(lengths),
             pa.array(np.bincount(doc, n[ids] > 0, len(lengths)).astype(np.int64)),
