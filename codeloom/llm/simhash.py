@@ -110,7 +110,9 @@ def variants(fps: DataFrame, distance: int) -> DataFrame:
         for bit in range(width):
             gone = value.bitwiseAND(F.lit(~(1 << bit)))
             keys.append(F.struct(F.lit(s * BITS + bit).cast("smallint").alias("slot"), gone.alias("value")))
-    return fps.select(F.explode(F.array(*keys)).alias("key"), *fps.columns).select("key.slot", "key.value", *fps.columns)
+    spread = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # so many rows come of each that the few partitions which hold the fingerprints would be too few
+    return fps.repartition(spread, F.xxhash64("fp")).select(F.explode(F.array(*keys)).alias("key"), *fps.columns).select("key.slot", "key.value", *fps.columns)
 
 
 def first_slot(xor: np.ndarray, cut: list[tuple[int, int]]) -> np.ndarray:
