@@ -48,28 +48,58 @@ class Letters:
         return classes
 
 
-def count_grams(classes: np.ndarray, into: np.ndarray) -> bool:
-    """Adds the n-grams of a text (padded, runs of non-letters as one) to ``into``; false if there is no letter."""
+def grams_of(classes: np.ndarray) -> np.ndarray | None:
+    """The n-grams of a text (padded, runs of non-letters as one); null if there is no letter."""
     gap = classes == NON_LETTER
     if gap.all():
-        return False
+        return None
     keep = np.ones(len(classes), bool)
     keep[1:] = ~(gap[1:] & gap[:-1])
     x = np.concatenate([[0], classes[keep], [0]]).astype(np.int32)
-    one = x[x > 0]
     two = x[:-1] * CLASSES + x[1:]
     three = two[:-1] * CLASSES + x[2:]
-    into += np.bincount(np.concatenate([one, two + CLASSES, three + CLASSES + CLASSES**2]), minlength=GRAMS)
-    return True
+    return np.concatenate([x[x > 0], two + CLASSES, three + (CLASSES + CLASSES**2)])
 
 
-def top_grams(counts: np.ndarray, size: int) -> np.ndarray:
-    """The most frequent n-grams in order; ties by n-gram."""
+def pieces(letters: Letters, text: str) -> list[np.ndarray]:
+    found = (grams_of(letters.of(text[at : at + PIECE])) for at in range(0, len(text), PIECE))
+    return [g for g in found if g is not None]
+
+
+def counted(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams with their counts: by sorting for one piece, by a table of all n-grams for several."""
+    if len(parts) == 1:
+        return np.unique(parts[0], return_counts=True)
+    counts = sum(np.bincount(g, minlength=GRAMS) for g in parts)
     found = np.flatnonzero(counts)
-    if len(found) > size:
-        least = np.partition(counts[found], len(found) - size)[len(found) - size]
-        found = found[counts[found] >= least]
-    return found[np.lexsort((found, -counts[found]))][:size]
+    return found, counts[found]
+
+
+def top_grams(grams: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
+    """The most frequent n-grams in order; ties by n-gram."""
+    if len(grams) > size:
+        least = np.partition(counts, len(counts) - size)[len(counts) - size]
+        grams, counts = grams[counts >= least], counts[counts >= least]
+    return grams[np.lexsort((grams, -counts))][:size]
+
+
+class Totals:
+    """Counts of all n-grams of a language; added to in large lots."""
+
+    def __init__(self) -> None:
+        self.counts, self.held, self.size = np.zeros(GRAMS, np.int64), [], 0
+
+    def add(self, grams: np.ndarray) -> None:
+        self.held.append(grams)
+        self.size += len(grams)
+        if self.size > PIECE:
+            self.settle()
+
+    def settle(self) -> np.ndarray:
+        if self.held:
+            self.counts += np.bincount(np.concatenate(self.held), minlength=GRAMS)
+            self.held, self.size = [], 0
+        return self.counts
 
 
 def learn_profiles(df: DataFrame, text: str = "text", lang: str = "lang", size: int = SIZE) -> list[tuple[str, list[int]]]:
@@ -82,13 +112,15 @@ def learn_profiles(df: DataFrame, text: str = "text", lang: str = "lang", size:
                 if k not in totals and len(totals) >= 64:  # many languages: hand over what there is
                     yield from emit(totals)
                     totals = {}
-                into = totals.setdefault(k, np.zeros(GRAMS, np.int64))
-                for at in range(0, len(t), PIECE):
-                    count_grams(letters.of(t[at : at + PIECE]), into)
+                if k not in totals:
+                    totals[k] = Totals()
+                for g in pieces(letters, t):
+                    totals[k].add(g)
         yield from emit(totals)
 
     def emit(totals: dict) -> Iterator[pa.RecordBatch]:
-        for k, counts in totals.items():
+        for k, total in totals.items():
+            counts = total.settle()
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["lang", "gram", "n"])
 
@@ -109,22 +141,19 @@ def predict(df: DataFrame, profiles: list[tuple[str, list[int]]], text: str = "t
     names = [k for k, _ in profiles]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, counts = Letters(), np.zeros(GRAMS, np.int64)
+        letters = Letters()
         ranks = np.full((len(names), GRAMS), -size * 4, np.int32)
         for i, (_, grams) in enumerate(profiles):
             ranks[i, grams] = np.arange(len(grams))
         for batch in batches:
             said, scores = [], []
             for t in batch.column("text_").to_pylist():
-                some = False
-                counts[:] = 0
-                for at in range(0, len(t or ""), PIECE):
-                    some |= count_grams(letters.of(t[at : at + PIECE]), counts)
-                if not some or not names:
+                parts = pieces(letters, t or "")
+                if not parts or not names:
                     said.append("und")
                     scores.append(0.0)
                     continue
-                top = top_grams(counts, size)
+                top = top_grams(*counted(parts), size)
                 away = np.minimum(np.abs(ranks[:, top] - np.arange(len(top))), size).sum(axis=1)
                 best = int(away.argmin())
                 said.append(names[best])
