@@ -197,13 +197,13 @@ def test_replay_with_ranks_that_fall():
 # --- 6
 
 
-@pytest.mark.parametrize(("shard", "segment"), [(1 << 20, 1 << 22), (400, 37), (60, 50)])
-def test_suffix_dedup(spark, monkeypatch, shard, segment):
+@pytest.mark.parametrize(("shard", "segment", "hot"), [(1 << 20, 1 << 22, 1000), (400, 37, 1000), (60, 50, 8), (1 << 20, 1 << 22, 2)])
+def test_suffix_dedup(spark, monkeypatch, shard, segment, hot):
     monkeypatch.setattr(suffixdedup, "SEGMENT", segment)
     texts = babble(7, 120, most=60)
     texts += [texts[3]] * 3 + ODD + ["ab" * 100, "a" * 150] + [a[:50] + b[10:] for a, b in zip(texts[:30], texts[30:60], strict=True)]
     df = frame(spark, texts)
-    got = rows(suffixdedup.remove_repeats(df.withColumn("n_bytes", F.lit("clash")), keep=["doc_id"], length=20, gram=8, shard=shard, with_text=True))
+    got = rows(suffixdedup.remove_repeats(df.withColumn("n_bytes", F.lit("clash")), keep=["doc_id"], length=20, gram=8, shard=shard, hot=hot, with_text=True))
     want = brute.repeats(texts, 20)
     assert [(got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) for i in range(len(texts))] == want
     assert any(w[1] for w in want)
@@ -282,6 +282,13 @@ def test_probabilities_sum_to_one():
     assert tails + words == pytest.approx(1, abs=1e-5)
 
 
+def test_codes_at_once():
+    coder = lmscore.Coder([lmscore.END, b"the", b"a"])
+    words = [lmscore.END, b"the", b"a", b"b", b"ab", b"abc.", "é".encode(), "日本語".encode(), b"x" * 50, b"9", b"it's", b"\xff"]
+    assert coder.code_all(words).tolist() == [coder.code(w) for w in words]
+    assert coder.code_all([]).tolist() == []
+
+
 def test_lm_scoring(spark, monkeypatch):
     texts = babble(10, 300, "abcdefgh", 60) + ODD
     docs = frame(spark, texts).withColumn("score", F.lit("clash"))
@@ -394,11 +401,24 @@ def test_language_id(spark):
 
 def test_out_of_place_distance():
     letters = langid.Letters()
-    counts = np.zeros(langid.GRAMS, np.int64)
-    assert langid.count_grams(letters.of("Ab, ab"), counts)
-    assert counts[1] == 2 and counts[2] == 2 and counts[64 + 1 * 64 + 2] == 2 and counts[64 + 4096 + (0 * 64 + 1) * 64 + 2] == 2
-    assert langid.top_grams(counts, 2).tolist() == [1, 2]
-    assert not langid.count_grams(letters.of("12 3"), counts)
+    grams, counts = langid.counted([langid.grams_of(letters.of("Ab, ab"))])
+    found = dict(zip(grams.tolist(), counts.tolist(), strict=True))
+    assert found[1] == 2 and found[2] == 2 and found[64 + 1 * 64 + 2] == 2 and found[64 + 4096 + (0 * 64 + 1) * 64 + 2] == 2
+    assert langid.top_grams(grams, counts, 2).tolist() == [1, 2]
+    assert langid.grams_of(letters.of("12 3")) is None
+
+
+def test_texts_in_pieces(monkeypatch):
+    letters = langid.Letters()
+    whole = langid.counted(langid.pieces(letters, "abc def " * 20))
+    monkeypatch.setattr(langid, "PIECE", 40)
+    parts = langid.pieces(letters, "abc def " * 20)
+    grams, counts = langid.counted(parts)
+    assert len(parts) == 4 and set(grams) == set(whole[0]) and counts.sum() == sum(map(len, parts))
+    total = langid.Totals()
+    for p in parts:
+        total.add(p)
+    assert total.settle()[grams].tolist() == counts.tolist()
 
 
 # --- 10
