@@ -67,7 +67,9 @@ def build_index(df: DataFrame, id_col: str, columns: Sequence[str]) -> TextIndex
     size = sum((F.size(f"t{k}") for k in range(len(columns))), F.lit(0)).cast("bigint")
     lengths = rows.select("id", size.alias("n"))
     each = F.array(*(F.struct(F.lit(c).alias("col"), F.col(f"t{k}").alias("t")) for k, c in enumerate(columns)))
-    by_column = rows.select("id", F.explode(each).alias("c")).select("id", "c.col", F.posexplode("c.t").alias("pos", "term"))
+    # the tokens are a column of their own before they are exploded, else every term would carry all of them along
+    by_column = rows.select("id", F.explode(each).alias("c")).select("id", F.col("c.col").alias("col"), F.col("c.t").alias("t"))
+    by_column = by_column.select("id", "col", F.posexplode("t").alias("pos", "term"))
     postings = by_column.groupBy("term", "id", "col").agg(F.sort_array(F.collect_list("pos")).alias("pos"))
     return TextIndex(postings, lengths, list(columns))
 

@@ -37,7 +37,7 @@ class Counters:
             return {"id": self.id, "tokens_saved": self.tokens, "call_count": self.calls, "started_at": self.started.strftime("%Y-%m-%dT%H:%M:%SZ")}
 
 
-def rows(df: DataFrame, **rename: str) -> list[dict]:
+def rows(df: DataFrame) -> list[dict]:
     return [json.loads(x) for x in df.toJSON().collect()]
 
 
