@@ -19,6 +19,12 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """128 bits that stand for a row's id and text, as ids may be null or repeat."""
+    own = F.coalesce(F.concat(F.lit("+"), doc_id.cast("string")), F.lit("-"))
+    return F.unhex(F.md5(F.concat(own, F.lit("\0"), F.coalesce(F.concat(F.lit("+"), text), F.lit("-"))).cast("binary")))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

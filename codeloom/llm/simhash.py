@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.common import table, written
 from codeloom.llm.components import components
+from codeloom.llm.nearcopies import link_near_copies
 from codeloom.llm.rolling import mixed
 
 SHINGLE = 3
@@ -280,17 +281,25 @@ def bits_for(similarity: float, words: int) -> int:
     return math.ceil(BITS * words * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
-#: For :func:`deduplicate`: bits of the indexed word in which texts may differ, words beside it, and the similarity of
-#: five-word shingles that these stand for.
-WIDE_DISTANCE, WORDS_MORE, SIMILARITY = 7, 2, 0.8
+#: For :func:`deduplicate`: bits of the fingerprint in which texts may differ to be proposed, and the similarity of five-word
+#: shingles by which they are linked.
+WIDE_DISTANCE, SIMILARITY = 7, 0.8
 
 
 def deduplicate(
-    df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = WIDE_DISTANCE, words_more: int = WORDS_MORE, similarity: float = SIMILARITY
+    df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = WIDE_DISTANCE, words_more: int | None = None, similarity: float = SIMILARITY
 ) -> DataFrame:
-    """``df`` with one row of each component: that of its least id (of rows repeated under one id, one)."""
-    stay = link_documents(df, doc_id, text, shingle, distance, words_more, bits_for(similarity, words_more) if words_more else None).select("component_id").distinct()
-    return df.join(stay, df[doc_id].eqNullSafe(stay["component_id"]), "left_semi").dropDuplicates([doc_id])
+    """``df`` with one row of each component: that of its least id (of rows repeated under one id, one).
+
+    Components are those of the exact similarity (see :mod:`codeloom.llm.nearcopies`); if ``words_more`` is given, those of
+    the fingerprints alone.
+    """
+    if words_more is not None:
+        stay = link_documents(df, doc_id, text, shingle, distance, words_more, bits_for(similarity, words_more) if words_more else None).select("component_id").distinct()
+        return df.join(stay, df[doc_id].eqNullSafe(stay["component_id"]), "left_semi").dropDuplicates([doc_id])
+    linked = link_near_copies(df, doc_id, text, shingle, distance, similarity)
+    stay = linked.groupBy("root").agg(F.min_by("doc_id", F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("least")).select("least")
+    return df.join(stay, df[doc_id].eqNullSafe(stay["least"]), "left_semi").dropDuplicates([doc_id])
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,6 +67,11 @@ def contained(doc, item, n=5):
     return (len(own), len(own & shingles(doc))) if own else (0, 0)
 
 
+def shingle_set(t, n=5):
+    w = words(lower(t))
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))}
+
+
 def quality(t):
     w = words(t)
     windows = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))

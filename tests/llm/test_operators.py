@@ -370,6 +370,34 @@ def test_links_connect_what_near_pairs_connect(spark, monkeypatch, words, distan
     assert brute.components(len(fp), lambda a, b: (a, b) in links or (b, a) in links) == brute.components(len(fp), near)
 
 
+@pytest.mark.parametrize("steps", [1, 40])
+def test_near_copies_are_those_of_the_exact_similarity(spark, steps):
+    """Pairs on either side of the similarity, far from what fingerprints can tell apart."""
+    rng = random.Random(20)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(3000)]
+    texts = []
+    for _ in range(30):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(20, 200))]
+        texts.append(" ".join(base))
+        for _ in range(6 if steps == 1 else 2):
+            edited = list(base)
+            for at in rng.sample(range(len(base)), max(1, len(base) * rng.randint(1, 6) // 150)):
+                edited[at] = rng.choice(vocabulary)
+            texts.append(" ".join(edited))
+    if steps > 1:  # a group whose texts are alike only in turn, and a passage that many share
+        passage = " ".join(rng.choice(vocabulary) for _ in range(40))
+        base = [rng.choice(vocabulary) for _ in range(150)]
+        for k in range(steps):
+            base[(k * 7) % 150] = rng.choice(vocabulary)
+            texts += [" ".join(base), f"{passage} " + " ".join(rng.choice(vocabulary) for _ in range(60))]
+    sets = [brute.shingle_set(t) for t in texts]
+    root = brute.components(len(texts), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    near = sum(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a in range(len(texts)) for b in range(a))
+    kept = simhash.deduplicate(frame(spark, texts))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root)) and near > 30
+    assert simhash.deduplicate(frame(spark, texts).limit(0)).count() == 0
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 150)] + [(7, 7), (3, 2), (2, 3), (200, 201)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
