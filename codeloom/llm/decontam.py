@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import table
+from codeloom.llm.common import row_key, table
 from codeloom.llm.rolling import Sums
 
 SHINGLE = 5
@@ -147,9 +147,10 @@ def find_leaks(
 
 
 def remove_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the documents that contain an item."""
-    leaky = find_leaks(docs, items, doc_id, text).select("doc_id").distinct()
-    return docs.join(leaky, docs[doc_id].eqNullSafe(leaky["doc_id"]), "left_anti")
+    """``docs`` without the documents that contain an item; rows are told apart by id and text."""
+    keyed = docs.withColumn("key_", row_key(docs[doc_id], docs[text]))
+    leaky = find_leaks(keyed, items, "key_", text).select(F.col("doc_id").alias("key_")).distinct()
+    return keyed.join(leaky, "key_", "left_anti").select(docs.columns)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

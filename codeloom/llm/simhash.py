@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import table, written
+from codeloom.llm.common import row_key, table, written
 from codeloom.llm.components import components
 from codeloom.llm.nearcopies import link_near_copies
 from codeloom.llm.rolling import mixed
@@ -289,17 +289,19 @@ WIDE_DISTANCE, SIMILARITY = 7, 0.8
 def deduplicate(
     df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = WIDE_DISTANCE, words_more: int | None = None, similarity: float = SIMILARITY
 ) -> DataFrame:
-    """``df`` with one row of each component: that of its least id (of rows repeated under one id, one).
+    """``df`` with one row of each component: that of its least id, ids being told apart from null and rows by id and text.
 
     Components are those of the exact similarity (see :mod:`codeloom.llm.nearcopies`); if ``words_more`` is given, those of
     the fingerprints alone.
     """
-    if words_more is not None:
-        stay = link_documents(df, doc_id, text, shingle, distance, words_more, bits_for(similarity, words_more) if words_more else None).select("component_id").distinct()
-        return df.join(stay, df[doc_id].eqNullSafe(stay["component_id"]), "left_semi").dropDuplicates([doc_id])
-    linked = link_near_copies(df, doc_id, text, shingle, distance, similarity)
-    stay = linked.groupBy("root").agg(F.min_by("doc_id", F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("least")).select("least")
-    return df.join(stay, df[doc_id].eqNullSafe(stay["least"]), "left_semi").dropDuplicates([doc_id])
+    if words_more is None:
+        linked = link_near_copies(df, doc_id, text, shingle, distance, similarity)
+    else:
+        total = bits_for(similarity, words_more) if words_more else None
+        own = df.select(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("doc_id"), row_key(F.col(doc_id), F.col(text)).alias("key")).alias("row"), F.col(text).alias("text"))
+        linked = link_documents(own, "row", "text", shingle, distance, words_more, total).select("doc_id.doc_id", "doc_id.key", F.col("component_id").alias("root"))
+    stay = linked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("least")).select(F.col("least.key").alias("key_"))
+    return df.withColumn("key_", row_key(df[doc_id], df[text])).join(stay, "key_", "left_semi").dropDuplicates(["key_"]).select(df.columns)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

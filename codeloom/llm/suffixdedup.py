@@ -14,6 +14,8 @@ one task. All its strings are dealt one by one instead, by a hash of the whole s
 Equal blocks are reduced within each batch before the shuffle, so a passage shared by a third of all rows sends one row a
 batch. Texts travel once by row, and only blocks in doubt travel by anchor.
 
+Rows are told apart by 128 bits (id, th) of their id and text.
+
 Defined cases: null or empty text has no bytes and loses none; rows repeated in full are copies of each other; texts of any
 length are cut into segments of starts, which changes no result; other columns may be kept. Where a removal splits a
 character, ``kept_text`` drops the odd bytes (``kept_sha256`` is of the exact bytes).
@@ -26,10 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import table, written
+from codeloom.llm.common import row_key, table, written
 from codeloom.llm.rolling import Sums, mixed
 from codeloom.llm.suffixarray import Merged, Shard
 
@@ -44,7 +46,6 @@ HOT = 50_000
 #: Anchors with more than that, as many as are sent to the executors; where there would be more, ``HOT`` is raised.
 MOST_HOT = 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
-LAST_ID = -(1 << 63)
 
 
 def anchors(text: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,12 +91,12 @@ def strings(text: bytes, length: int, gram: int, hot: np.ndarray) -> Iterator[tu
 
 
 SPAN, BLOCK = 0, 1
-_BLOCKS = "kind int, anchor long, digest long, id long, th int, a int, b int"
+_BLOCKS = "kind int, anchor long, digest long, id long, th long, a int, b int"
 
 
 def _batch(columns: list[np.ndarray]) -> pa.RecordBatch:
     names = [f.split()[0] for f in _BLOCKS.split(", ")]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
@@ -212,7 +213,7 @@ def hot_anchors(doubt: DataFrame, hot: int) -> list[int]:
 def cut_blocks(docs: DataFrame, doubt: DataFrame, length: int) -> DataFrame:
     """The text of the blocks in doubt: (anchor, id, th, a, block)."""
     wanted = doubt.groupBy("id", "th").agg(F.collect_list(F.struct("anchor", "a", "b")).alias("wanted"))
-    schema = "anchor long, id long, th int, a int, block binary"
+    schema = "anchor long, id long, th long, a int, block binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,7 +231,7 @@ def cut_blocks(docs: DataFrame, doubt: DataFrame, length: int) -> DataFrame:
                     rows, size = [[], [], [], [], []], 0
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], names=names)
 
-    names, kinds = ["anchor", "id", "th", "a", "block"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    names, kinds = ["anchor", "id", "th", "a", "block"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
     return docs.select("id", "th", "text").join(wanted, ["id", "th"]).select("id", "th", "text", "wanted").mapInArrow(run, schema)
 
 
@@ -260,7 +261,7 @@ def shard_spans(cut: DataFrame, length: int, shard: int) -> DataFrame:
         r = [rows[k] for k in own[at].tolist()]
         base = np.array([x[2] for x in r])
         yield pa.RecordBatch.from_arrays(
-            [pa.array([x[0] for x in r], pa.int64()), pa.array([x[1] for x in r], pa.int32()), pa.array(base + start[at], pa.int32()), pa.array(base + start[last], pa.int32())],
+            [pa.array([x[0] for x in r], pa.int64()), pa.array([x[1] for x in r], pa.int64()), pa.array(base + start[at], pa.int32()), pa.array(base + start[last], pa.int32())],
             names=["id", "th", "a", "b"],
         )
 
@@ -293,7 +294,13 @@ def shard_spans(cut: DataFrame, length: int, shard: int) -> DataFrame:
         if rows:
             yield from spans(rows, merged, before)
 
-    return cut.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "id long, th int, a int, b int")
+    return cut.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "id long, th long, a int, b int")
+
+
+def half(key: Column, at: int) -> Column:
+    """64 bits of a hexadecimal key."""
+    high, low = (F.conv(F.substring(key, at + k, 8), 16, 10).cast("bigint") for k in (0, 8))
+    return F.shiftleft(high, 32).bitwiseOR(low)
 
 
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
@@ -307,7 +314,8 @@ def remove_repeats(
     keep = [c for c in (df.columns if keep is None else keep) if c not in names]
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), RESULT])
     own = F.struct(*(df[c] for c in keep if c != text)).alias("own_")
-    docs = df.select(F.coalesce(df[doc_id].cast("bigint"), F.lit(LAST_ID)).alias("id"), F.hash(df[text]).alias("th"), df[text].alias("text"), own)
+    key = F.hex(row_key(df[doc_id], df[text]))
+    docs = df.select(half(key, 1).alias("id"), half(key, 17).alias("th"), df[text].alias("text"), own)
 
     found = written(meet(find_blocks(docs, length, gram)), "blocks")
     doubt = found.filter(F.col("kind") == BLOCK)

@@ -398,6 +398,38 @@ def test_near_copies_are_those_of_the_exact_similarity(spark, steps):
     assert simhash.deduplicate(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_rows_with_null_or_repeated_ids_stay_apart(spark):
+    def prose(seed):
+        rng = random.Random(seed)
+        return " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+
+    texts = [prose(k) for k in range(6)]
+    data = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (1, texts[3]), (1, texts[4]), (2, texts[5]), (3, texts[0]), (2, texts[5])]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    want = {(None, texts[1]), (None, texts[2]), (1, texts[3]), (1, texts[4]), (2, texts[5]), (3, texts[0])}
+    for words_more in (None, 0, 2):
+        kept = [tuple(r) for r in simhash.deduplicate(df, words_more=words_more).collect()]
+        assert len(kept) == len(want) and set(kept) == want
+    items = spark.createDataFrame([(0, texts[1]), (1, texts[4])], "item_id long, text string")
+    clean = [tuple(r) for r in decontam.remove_leaks(df, items).collect()]
+    assert len(clean) == 6 and set(clean) == {d for d in data if d[1] not in (texts[1], texts[4])}
+
+
+def test_spans_are_those_of_the_row(spark, monkeypatch):
+    """Two texts without an id whose 32-bit hashes are equal."""
+    seen, n = {}, 0
+    while True:
+        part = spark.range(n, n + 200_000).select("id", F.hash(F.concat(F.lit("a passage of its own, numbered "), F.col("id"))).alias("h")).collect()
+        pair = next(((seen[r.h], r.id) for r in part if seen.setdefault(r.h, r.id) != r.id), None)
+        if pair:
+            break
+        n += 200_000
+    a, b = (f"a passage of its own, numbered {k}" for k in pair)
+    df = spark.createDataFrame([(None, a), (None, b), (1, a)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.text, r.n_removed) for r in suffixdedup.remove_repeats(df, length=len(a), gram=8).collect())
+    assert got == sorted([(0, a, len(a)), (0, b, 0), (1, a, len(a))])
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 150)] + [(7, 7), (3, 2), (2, 3), (200, 201)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
