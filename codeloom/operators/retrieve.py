@@ -38,10 +38,13 @@ def expand_forward(content: Column, end: Column, lines: Column | int) -> Column:
 
 
 def slice_source(content: Column, start: Column, end: Column, lines: Column | int = 0) -> Column:
-    """The text of a symbol with its context; a marker for redacted, invalid or missing sources."""
+    """The text of a symbol with its context; a marker for redacted, invalid or missing sources.
+
+    Bytes that are no whole character, as where a slice begins or ends inside one, become U+FFFD.
+    """
     n = clamp_context(lines)
     begin, stop = expand_back(content, start, n), expand_forward(content, end, n)
-    text = F.decode(byte_slice(content, begin, stop), "UTF-8")
+    text = F.make_valid_utf8(byte_slice(content, begin, stop).cast("string"))
     bad = F.format_string("[source unavailable: invalid byte range [%d:%d] for file size %d]", start, end, F.octet_length(content))
     return (
         F.when(start.isNull() | end.isNull(), F.lit(REDACTED))

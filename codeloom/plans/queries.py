@@ -248,6 +248,30 @@ def expand_context(spark, sf_dir):
     return own.select("doc_id", retrieve.expand_back(c, F.lit(30), 2).cast("bigint").alias("ctx_start"), retrieve.expand_forward(c, F.lit(30), 2).cast("bigint").alias("ctx_end"))
 
 
+def all_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a file, also those without a language.
+
+    The ``_all`` queries take them, also where a cut falls inside a character, which DuckDB can't do; tests hold these
+    queries against slices of the bytes.
+    """
+    some = [F.coalesce(c, F.lit("")) for c in ("source", "lang")]
+    return doc_files(spark, sf_dir).withColumn("path", F.concat(some[0], F.lit("/"), some[1], F.lit("/doc"), "doc_id", F.lit(".txt")))
+
+
+@query()
+def slice_source_all(spark, sf_dir):
+    own = all_files(spark, sf_dir).filter("content is not null")
+    marked = own.select("doc_id", F.col("path").alias("file"), F.when(F.col("doc_id") % 5 != 0, F.lit(10)).alias("byte_start"), F.lit(40).alias("byte_end"))
+    return retrieve.with_source(marked, own).select("doc_id", "source")
+
+
+@query()
+def expand_context_all(spark, sf_dir):
+    own = all_files(spark, sf_dir).filter("size >= 40")
+    c = F.col("content")
+    return own.select("doc_id", retrieve.expand_back(c, F.lit(30), 2).cast("bigint").alias("ctx_start"), retrieve.expand_forward(c, F.lit(30), 2).cast("bigint").alias("ctx_end"))
+
+
 # --- search
 
 
@@ -510,6 +534,11 @@ def truncate_summary(spark, sf_dir):
     return t(spark, sf_dir, "documents").filter("lang = 'en' and text is not null").select("doc_id", text.truncate_summary(F.col("text")).alias("summary"))
 
 
+@query()
+def truncate_summary_all(spark, sf_dir):
+    return t(spark, sf_dir, "documents").filter("text is not null").select("doc_id", text.truncate_summary(F.col("text")).alias("summary"))
+
+
 @query("SELECT c_custkey, CASE WHEN n >= 1048576 THEN printf('%.1f MiB', n / 1048576.0) WHEN n >= 1024 THEN printf('%.1f KiB', n / 1024.0) ELSE printf('%d B', n) END AS size FROM (SELECT c_custkey, c_custkey * c_custkey + c_custkey AS n FROM customer)")
 def format_bytes(spark, sf_dir):
     return t(spark, sf_dir, "customer").select("c_custkey", units.format_bytes(F.col("c_custkey") * F.col("c_custkey") + F.col("c_custkey")).alias("size"))
@@ -718,6 +747,14 @@ def diff_symbols(spark, sf_dir):
     return diff.diff_files(own, diff.parse_name_status(lines), "path").select("doc_id", "change")
 
 
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'added' WHEN 1 THEN 'deleted' ELSE 'modified' END AS change FROM documents")
+def diff_symbols_all(spark, sf_dir):
+    own = all_files(spark, sf_dir)
+    letter = F.element_at(F.array(F.lit("A"), F.lit("D"), F.lit("R100\told")), (F.col("doc_id") % 3 + 1).cast("int"))
+    lines = own.select(F.concat(letter, F.lit("\t"), "path").alias("value"))
+    return diff.diff_files(own, diff.parse_name_status(lines), "path").select("doc_id", "change")
+
+
 @query(
     "SELECT doc_id AS id, CASE WHEN doc_id % 11 = 0 THEN 'deleted' WHEN doc_id % 13 = 0 THEN 'added' WHEN doc_id % 3 = 0 THEN 'modified_signature' ELSE 'modified_body' END AS change FROM documents "
     "WHERE NOT (doc_id % 11 = 0 AND doc_id % 13 = 0) AND (doc_id % 11 = 0 OR doc_id % 13 = 0 OR doc_id % 3 = 0 OR doc_id % 5 = 0)"
