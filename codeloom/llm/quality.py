@@ -1,7 +1,7 @@
 """Quality rules, lines first: every line is judged, failing lines go, and a text that loses too much is rejected.
 
 A line is what stands between line feeds. A line with a word fails if it is navigation (a large share of bare separators),
-boilerplate (a fixed phrase), markup or symbols rather than prose, one word over and over, or an earlier line again. A
+boilerplate (fixed phrases, as whole words, in a line of ``short_line`` words or as a large share of a longer one), markup or symbols rather than prose, one word over and over, or an earlier line again. A
 text is rejected if its whole fails a rule of the base (too few words, too much repeated) or if the failing lines hold
 more than ``max_lost`` of the code points in its words.
 
@@ -24,8 +24,8 @@ from codeloom.llm.common import table
 SYMBOLS = b"#*$%&|<>"
 SEPARATORS = {b"|", b"\xc2\xbb", b"\xc2\xb7", b">", b"/", b"::", b"-", b"\xe2\x80\xa2"}
 BOILERPLATE = re.compile(
-    rb"(?i)(?:all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|accept (?:all )?cookies|enable javascript"
-    rb"|click here|read more|sign up|log in|subscribe|lorem ipsum|powered by|copyright (?:\(c\)|\xc2\xa9)|licensed under|share this)"
+    rb"(?i)(?<![0-9A-Za-z_\x80-\xff])(?:(?:all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|accept (?:all )?cookies|enable javascript"
+    rb"|click here|read more|sign up|log in|subscribe|lorem ipsum|powered by|licensed under|share this)(?![0-9A-Za-z_\x80-\xff])|copyright (?:\(c\)|\xc2\xa9))"
 )
 RESULT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, clean_text string"
 
@@ -42,6 +42,8 @@ class Rules:
     min_letter_share: float = 0.4
     mono_words: int = 6
     mono_share: float = 0.8
+    short_line: int = 15
+    boilerplate_share: float = 0.2
     max_lost: float = 0.5
 
 
@@ -90,7 +92,9 @@ def line_fails(line: bytes, words: list[bytes], rules: Rules) -> bool:
         return True
     if n >= rules.mono_words and max(words.count(w) for w in set(words[:3])) >= rules.mono_share * n:
         return True
-    return bool(BOILERPLATE.search(line))
+    if n <= rules.short_line:
+        return bool(BOILERPLATE.search(line))
+    return sum(len(m.split()) for m in BOILERPLATE.findall(line)) >= rules.boilerplate_share * n
 
 
 def judge(text: str | None, rules: Rules) -> tuple:

@@ -500,3 +500,17 @@ def test_quality_lines(spark):
     got = rows(quality.apply_quality(frame(spark, texts), clean=True))
     assert [got[i].kept for i in range(6)] == [True, True, False, False, True, False]
     assert got[0].clean_text == prose == got[1].clean_text == got[4].clean_text
+
+
+def test_boilerplate_must_be_words_and_dominate_the_line(spark):
+    prose = "They came down from the hills in spring, with mules and empty sacks, to trade for salt at the river towns below"
+    texts = [
+        f"{prose} powered by wind and by rain; nobody knew how long it had been so, or cared",
+        f"{prose} read more slowly than others do, and subscribe to no paper at all",
+        f"{prose}\nA catalog in hand\nIt spread more widely\nThey design up there",
+        f"{prose}\nCopyright \u00a92020 Someone\nRead more\nShare this.",
+        "click here to log in or sign up and read more about the privacy policy and the terms of use of this site",
+    ]
+    got = rows(quality.apply_quality(frame(spark, texts), clean=True))
+    assert [got[i].kept for i in range(5)] == [True, True, True, True, False]
+    assert [got[i].clean_text for i in range(4)] == [*texts[:3], prose]
