@@ -9,7 +9,8 @@ that hit are verified by comparing the shingles themselves.
 Items are taken in blocks of bounded size, each searched in all documents in one pass without a shuffle; the documents
 themselves never travel.
 
-Defined cases: items with fewer words than a shingle, null or empty ones match nothing; null or empty documents contain
+Defined cases: items with fewer words than a shingle match as a whole sequence of words if asked for (the query and the
+pipeline do), else not; items without an id are searched like others; null or empty ones match nothing; null or empty documents contain
 nothing; repeated items and rows give a row each; other columns are ignored; shingles are sets, so repeats count once.
 """
 
@@ -55,15 +56,18 @@ def sketch_size(n: int, threshold: float) -> tuple[int, int]:
 class Items:
     """A block of items with the index of their sketches."""
 
-    def __init__(self, rows: list[tuple[int, str]], size: int, threshold: float) -> None:
+    def __init__(self, rows: list[tuple[int | None, str]], size: int, threshold: float, short: bool = False) -> None:
         self.size, self.threshold = size, threshold
-        self.ids: list[int] = []
+        self.ids: list[int | None] = []
         self.sets: list[set[bytes]] = []
         self.needs: list[int] = []
         pairs: list[tuple[np.ndarray, int]] = []
+        self.short: dict[int, dict[bytes, list[int | None]]] = {}  # by words, then by the whole sequence
         for item, text in rows:
             line, starts, ends = shingles(text, size)
             if not len(starts):
+                if line and short:
+                    self.short.setdefault(line.count(b" ") + 1, {}).setdefault(line, []).append(item)
                 continue
             hashes = np.unique(Sums(line).ranges(starts, ends))
             own = {line[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)}
@@ -81,7 +85,20 @@ class Items:
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[(self.values >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
 
-    def found(self, text: str | None) -> list[tuple[int, int, int, float]]:
+    def short_found(self, text: str | None) -> list[tuple[int | None, int, int, float]]:
+        """Items of fewer words than a shingle, as whole sequences; each is one shingle."""
+        out: list[int | None] = []
+        for n, lines in self.short.items():
+            line, starts, ends = shingles(text, n)
+            own = {line[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)}
+            small, large = (own, lines) if len(own) < len(lines) else (lines, own)
+            out += [item for s in small if s in large for item in lines[s]]
+        return [(item, 1, 1, 1.0) for item in out]
+
+    def found(self, text: str | None) -> list[tuple[int | None, int, int, float]]:
+        return self.long_found(text) + (self.short_found(text) if self.short else [])
+
+    def long_found(self, text: str | None) -> list[tuple[int | None, int, int, float]]:
         line, starts, ends = shingles(text, self.size)
         if not len(starts) or not len(self.values):
             return []
@@ -106,29 +123,32 @@ class Items:
         return out
 
 
-def item_blocks(items: DataFrame, item_id: str, text: str, chars: int) -> Iterator[list[tuple[int, str]]]:
+def item_blocks(items: DataFrame, item_id: str, text: str, chars: int) -> Iterator[list[tuple[int | None, str]]]:
     """Items in blocks of about ``chars`` characters; one block is on the driver at a time."""
     rows = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(text).alias("t")).filter("t is not null")
     total = rows.agg(F.sum(F.length("t"))).first()[0] or 0
     n = max(1, math.ceil(total / chars))
     for k in range(n):
         block = rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) if n > 1 else rows
-        yield sorted((r.i, r.t) for r in block.collect() if r.i is not None)
+        yield sorted(((r.i, r.t) for r in block.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
 
 
 def find_leaks(
-    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS
+    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS, short: bool = False
 ) -> DataFrame:
-    """(doc_id, item_id, n_shingles, n_found, containment) for each item that a document contains by ``threshold``."""
+    """(doc_id, item_id, n_shingles, n_found, containment) for each item that a document contains by ``threshold``.
+
+    If ``short``, items with fewer words than a shingle are found too.
+    """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     schema = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, {RESULT}"
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
 
-    def search(rows: list[tuple[int, str]]) -> DataFrame:
+    def search(rows: list[tuple[int | None, str]]) -> DataFrame:
         sent = docs.sparkSession.sparkContext.broadcast(rows)  # at most block_chars characters
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = Items(sent.value, shingle, threshold)
+            block = Items(sent.value, shingle, threshold, short)
             for batch in batches:
                 at, out = [], []
                 for k, t in enumerate(batch.column(1).to_pylist()):
@@ -146,15 +166,15 @@ def find_leaks(
     return found
 
 
-def remove_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", short: bool = False) -> DataFrame:
     """``docs`` without the documents that contain an item; rows are told apart by id and text."""
     keyed = docs.withColumn("key_", row_key(docs[doc_id], docs[text]))
-    leaky = find_leaks(keyed, items, "key_", text).select(F.col("doc_id").alias("key_")).distinct()
+    leaky = find_leaks(keyed, items, "key_", text, short=short).select(F.col("doc_id").alias("key_")).distinct()
     return keyed.join(leaky, "key_", "left_anti").select(docs.columns)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), short=True)
 
 
 OP1_SQL = r"""

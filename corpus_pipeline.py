@@ -42,7 +42,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
-    return decontam.remove_leaks(docs, table(spark, sf_dir, "benchmark")).select(COLUMNS)
+    return decontam.remove_leaks(docs, table(spark, sf_dir, "benchmark"), short=True).select(COLUMNS)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,6 +47,15 @@ def test_decontamination(spark):
     assert set(clean) == set(range(len(docs))) - {i for i, _ in want}
 
 
+def test_items_without_id_and_short_items(spark):
+    docs = ["now the quick brown fox jumps over it", "answer: Forty two.", "forty twofold", "answer: Forty two. x", "nothing here", None, "b a b"]
+    items = spark.createDataFrame([(None, "the quick brown fox jumps over"), (1, "forty two."), (2, ""), (3, None), (4, "a b"), (None, "nothing")], "item_id long, text string")
+    found = decontam.find_leaks(frame(spark, docs), items, short=True)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([(0, None, 2, 2, 1.0), (1, 1, 1, 1, 1.0), (3, 1, 1, 1, 1.0), (4, None, 1, 1, 1.0), (6, 4, 1, 1, 1.0)], key=str)
+    assert [tuple(r)[:2] for r in decontam.find_leaks(frame(spark, docs), items).collect()] == [(0, None)]
+    assert {r.doc_id for r in decontam.remove_leaks(frame(spark, docs), items, short=True).collect()} == {2, 5}
+
+
 @pytest.mark.parametrize("n", range(1, 60))
 def test_sketch_sizes_miss_nothing(n):
     import math
