@@ -12,6 +12,7 @@ nor fails; repeated rows get equal verdicts. Work is one pass over each text wit
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -90,7 +91,7 @@ def line_fails(line: bytes, words: list[bytes], rules: Rules) -> bool:
     letters = len(re.sub(rb"[^A-Za-z\x80-\xff]", b"", line))
     if letters < rules.min_letter_share * size:
         return True
-    if n >= rules.mono_words and max(words.count(w) for w in set(words[:3])) >= rules.mono_share * n:
+    if n >= rules.mono_words and max(Counter(words).values()) >= rules.mono_share * n:
         return True
     if n <= rules.short_line:
         return bool(BOILERPLATE.search(line))

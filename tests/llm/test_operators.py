@@ -523,3 +523,9 @@ def test_boilerplate_must_be_words_and_dominate_the_line(spark):
     got = rows(quality.apply_quality(frame(spark, texts), clean=True))
     assert [got[i].kept for i in range(5)] == [True, True, True, True, False]
     assert [got[i].clean_text for i in range(4)] == [*texts[:3], prose]
+
+
+def test_one_word_over_and_over_after_others():
+    line = b"three other words " + b"same " * 16
+    assert quality.line_fails(line, line.split(), quality.Rules())
+    assert not quality.line_fails(b"three other words and then same same same", b"three other words and then same same same".split(), quality.Rules())
