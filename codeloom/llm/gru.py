@@ -210,7 +210,7 @@ def train(params: dict[str, np.ndarray], inputs: np.ndarray, opens: np.ndarray,
     x, o, c, w = laid(inputs, 0), laid(opens, True), laid(classes, 0), laid(words, -1)
     adam = Adam(params, rate)
     h = np.zeros((lanes, HIDDEN), np.float32)
-    for at in range(0, steps - (steps > WINDOW) * 1, WINDOW):
+    for at in range(0, steps, WINDOW):
         g, h = Model(params).gradients(x[at : at + WINDOW], o[at : at + WINDOW], c[at : at + WINDOW], w[at : at + WINDOW], h)
         adam.step(g)
 

@@ -282,6 +282,15 @@ def test_gradients():
             assert g[k][at] == pytest.approx((loss(up) - loss(down)) / 2e-5, abs=1e-6)
 
 
+def test_every_step_is_trained(monkeypatch):
+    seen, real = [], gru.Model.gradients
+    monkeypatch.setattr(gru.Model, "gradients", lambda self, x, *rest: seen.append(len(x)) or real(self, x, *rest))
+    n = gru.WINDOW * 3 + 1
+    rng = np.random.default_rng(3)
+    gru.train(gru.start(gru.shapes(20, 6, 10, 5), 1), rng.integers(0, 20, n), rng.random(n) < 0.2, rng.integers(2, 6, n), np.full(n, -1), 0.01, lanes=1)
+    assert seen == [gru.WINDOW] * 3 + [1]
+
+
 def test_probabilities_sum_to_one():
     p = gru.start(gru.shapes(20, 6, 10, 5), 2)
     h = np.random.default_rng(1).standard_normal((1, gru.HIDDEN)).astype(np.float32)
