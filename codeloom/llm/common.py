@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +24,16 @@ def ascii_lower(col: Column) -> Column:
 def row_key(doc_id: Column, text: Column) -> Column:
     """128 bits that stand for a row's id and text, as ids may be null or repeat."""
     own = F.coalesce(F.concat(F.lit("+"), doc_id.cast("string")), F.lit("-"))
-    return F.unhex(F.md5(F.concat(own, F.lit("\0"), F.coalesce(F.concat(F.lit("+"), text), F.lit("-"))).cast("binary")))
+    whole = F.concat(own, F.lit("\0"), F.coalesce(F.concat(F.lit("+"), text), F.lit("-")))
+    return F.unhex(F.substring(F.sha2(whole.cast("binary"), 256), 1, 32))
+
+
+def fresh(taken: Sequence[str], name: str) -> str:
+    """A column name like ``name`` that isn't taken, whatever the case of its letters."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,12 +41,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new path under the folder that driver and executors share.
+    """A new folder below the one that driver and executors share; it is deleted when the driver's JVM ends.
 
-    The cluster names it in ``spark.checkpoint.dir``. Where that is unset (tests on one machine) a temporary
-    folder is made and set.
+    The cluster names the shared folder in ``spark.checkpoint.dir``. Where that is unset a temporary folder is made and
+    set, but only if all executors are threads of this machine; else that is an error.
     """
-    return f"{_shared_root(spark)}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{_shared_root(spark)}/{purpose}-{uuid.uuid4().hex}"
+    folder, files = _hadoop(spark, path)
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    for made in _OPEN:
+        made.append(path)
+    return path
+
+
+#: The folders made within each block of :func:`passing` that is open.
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Folders that are made within this block are deleted after it: for steps whose result is written elsewhere."""
+    made: list[str] = []
+    _OPEN.append(made)
+    try:
+        yield
+    finally:
+        _OPEN.remove(made)
+        for path in made:
+            drop_folder(spark, path)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing reads any more."""
+    folder, files = _hadoop(spark, path)
+    files.delete(folder, True)
+
+
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(context._jsc.hadoopConfiguration())
 
 
 def _shared_root(spark: SparkSession) -> str:
@@ -43,23 +89,26 @@ def _shared_root(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not root:
         current = context._jsc.sc().getCheckpointDir()
-        root = current.get() if current.isDefined() else f"file://{tempfile.mkdtemp(prefix='codeloom-')}"
+        if current.isDefined():
+            root = current.get()
+        elif context.master == "local" or context.master.startswith("local["):
+            root = f"file://{tempfile.mkdtemp(prefix='codeloom-')}"
+        else:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(root)
     return root.rstrip("/")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Writes the frame to the shared folder and reads it again, which cuts its lineage."""
-    _shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """The same rows as a Parquet table in the shared folder (smaller than a checkpoint)."""
-    path = shared_folder(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written_to(df, shared_folder(df.sparkSession, purpose))
+
+
+def written_to(df: DataFrame, folder: str) -> DataFrame:
+    """The same rows as a table in this folder."""
+    df.write.parquet(f"{folder}/rows")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/rows")
 
 
 def tokenizer_path(name: str) -> str:

@@ -3,7 +3,7 @@
 Links are rows (a, b). Every round replaces each node's links by links to the least neighbour, from above and from below,
 until nothing changes; then each node links to the least node of its component. Rounds grow with the logarithm of the
 longest chain. Only a count and a checksum reach the driver. Hub nodes: the least neighbour is reduced map-side, and the
-join that follows may be split by adaptive execution.
+join that follows may be split by adaptive execution. Every round is written to the shared folder, and the one before deleted.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import checkpoint
+from codeloom.llm.common import drop_folder, shared_folder, written_to
 
 
 def _large(links: DataFrame) -> DataFrame:
@@ -32,12 +32,15 @@ def _state(links: DataFrame) -> tuple:
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for each node of ``links`` but the roots, root being the least node of its component."""
-    links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct()
-    links = checkpoint(links)
+    spark = links.sparkSession
+    folder = shared_folder(spark, "links")
+    links = written_to(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), folder)
     before = _state(links)
     while True:
-        links = checkpoint(_small(_large(links)))
-        after = _state(links)
+        following = shared_folder(spark, "links")
+        links = written_to(_small(_large(links)), following)
+        drop_folder(spark, folder)  # what is written needs no lineage
+        folder, after = following, _state(links)
         if after == before:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = after

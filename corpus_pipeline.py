@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm import bpe, decontam, quality, simhash, suffixdedup
-from codeloom.llm.common import table, written
+from codeloom.llm.common import drop_folder, passing, shared_folder, table, written_to
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -63,7 +63,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        folder = shared_folder(spark, f"pipeline-{name}")
+        with passing(spark):
+            docs = written_to(stage(spark, docs, sf_dir), folder)
+        if before:
+            drop_folder(spark, before)
+        before = folder
     return STAGES[-1][1](spark, docs, sf_dir)
