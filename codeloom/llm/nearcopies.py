@@ -2,13 +2,15 @@
 
 1. Rows whose words are equal are one node. A node has a SimHash fingerprint and a MinHash sketch of its shingles.
 2. Fingerprints within an index distance, and sketches that agree in a band, meet; of a band's bucket only such links stay as
-   connect what the sketches hold for near. At the similarity itself all bands fail for less than one pair in 10,000.
-3. The nodes so connected are a cluster, and each of its texts travels once. Within it every pair that the sketches (five
-   standard deviations below the mean) and the sizes allow is compared by its shingles (as 64-bit hashes), unless the two are
-   connected already. Components are thus those of all pairs that reach the similarity, and of no others.
-
-Shared passages and lines don't make clusters, as texts that share little have sketches that differ. A cluster is the work of
-one task, with 8 bytes a word in memory.
+   connect what the sketches hold for near (of one with more than ``CROWDED`` nodes, links of all its nodes to the bucket).
+   At the similarity itself all bands fail for less than one pair in 10,000. The nodes so connected are a cluster.
+3. A cluster is cut into blocks of bounded size. Every pair that the sketches (five standard deviations below the mean) and
+   the sizes allow is compared by its shingles (as 64-bit hashes), unless the two are connected already: within a cluster
+   of one block in one task; in a larger one its ``HUBS`` nodes of the most proposals are first compared with all others,
+   then the nodes that these leave apart from the largest group, in blocks, with every block of the cluster.
+
+Components are thus those of all pairs that reach the similarity, and of no others, whatever the size of a cluster; a task
+holds two blocks at most. Shared passages and lines don't make clusters, as texts that share little have sketches that differ.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import row_key, written
@@ -30,6 +32,12 @@ SHINGLE = 5
 VALUES = 80
 #: The share of pairs at the similarity that may agree in no band.
 MISSED = 1e-4
+#: Nodes of a band's bucket that are compared in one task.
+CROWDED = 4096
+#: Nodes and bytes of text in a block of a cluster.
+BLOCK_NODES, BLOCK_BYTES = 2048, 8 << 20
+#: Nodes of a large cluster that are compared with all others first.
+HUBS = 8
 _ADD = mixed(np.arange(1, VALUES + 1, dtype=np.uint64))
 _TIMES = mixed(_ADD) | np.uint64(1)
 
@@ -68,30 +76,30 @@ def normalised(text: str | None) -> bytes:
 
 
 def nodes_of_rows(df: DataFrame, doc_id: str, text: str, shingle: int, similarity: float) -> DataFrame:
-    """(doc_id, key, node, fp, sketch, bands) for each row."""
+    """(doc_id, key, node, fp, sketch, bands, size) for each row."""
     import xxhash
 
     from codeloom.llm.simhash import fingerprint
 
     size = rows_of_band(similarity)
-    names, kinds = ["node", "fp", "sketch", "bands"], [pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+    names, kinds = ["node", "fp", "sketch", "bands", "size"], [pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for t in batch.column(2).to_pylist():
                 line = normalised(t)
                 values = minima(shingle_set(line))
                 bands = values.reshape(-1, size)[:, 0].copy()
                 for k in range(1, size):
                     bands = mixed(bands + values.reshape(-1, size)[:, k])
-                for to, x in zip(out, (xxhash.xxh3_128_digest(line), fingerprint(t, shingle)[0], values.astype(np.uint8).tobytes(), bands.view(np.int64)), strict=True):
+                for to, x in zip(out, (xxhash.xxh3_128_digest(line), fingerprint(t, shingle)[0], values.astype(np.uint8).tobytes(), bands.view(np.int64), len(line)), strict=True):
                     to.append(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names=["doc_id", "key", *names])
 
     kind = df.schema[doc_id].dataType.simpleString()
     rows = df.select(F.col(doc_id).alias("doc_id"), row_key(F.col(doc_id), F.col(text)).alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, key binary, node binary, fp long, sketch binary, bands array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, key binary, node binary, fp long, sketch binary, bands array<long>, size long")
 
 
 def sketches(column: pa.Array) -> np.ndarray:
@@ -154,8 +162,14 @@ def band_links(nodes: DataFrame, least: int) -> DataFrame:
         if held:
             yield from buckets(pa.Table.from_batches(held))
 
-    dealt = nodes.select(F.posexplode("bands").alias("band", "value"), "node", "sketch").repartition("band", "value").sortWithinPartitions("band", "value")
-    return dealt.mapInArrow(run, "a binary, b binary")
+    bands = nodes.select(F.posexplode("bands").alias("band", "value"), "node", "sketch")
+    crowded = written(bands.groupBy("band", "value").count().filter(F.col("count") > CROWDED).select("band", "value"), "crowded-bands")
+    if crowded.isEmpty():
+        return bands.repartition("band", "value").sortWithinPartitions("band", "value").mapInArrow(run, "a binary, b binary")
+    bucket = F.concat(F.lit(b"\xff"), F.unhex(F.md5(F.concat_ws(":", "band", "value").cast("binary"))))  # a byte longer than a node
+    all_linked = bands.join(crowded, ["band", "value"], "left_semi").select(bucket.alias("a"), F.col("node").alias("b"))
+    others = bands.join(crowded, ["band", "value"], "left_anti").select("band", "value", "node", "sketch")
+    return others.repartition("band", "value").sortWithinPartitions("band", "value").mapInArrow(run, "a binary, b binary").unionByName(all_linked)
 
 
 def fingerprint_pairs(nodes: DataFrame, distance: int) -> DataFrame:
@@ -169,25 +183,33 @@ def fingerprint_pairs(nodes: DataFrame, distance: int) -> DataFrame:
     return same.unionByName(near.select("a", "b"))
 
 
-def connected(sets: list[np.ndarray], sketch: np.ndarray, similarity: float, least: int) -> np.ndarray:
-    """For each set the first of those that pairs of this Jaccard similarity connect it with."""
+def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common >= similarity * (len(x) + len(y) - common) - 1e-9
+
+
+def connected(sets: list[np.ndarray], sketch: np.ndarray, similarity: float, least: int, label: np.ndarray | None = None) -> np.ndarray:
+    """For each set the first of those that pairs of this Jaccard similarity, or equal labels, connect it with."""
     n = len(sets)
-    label, size = np.arange(n), np.array([len(s) for s in sets])
+    size = np.array([len(s) for s in sets])
+    label = np.arange(n) if label is None else label.copy()
     at, step = 0, 1  # one at first, which connects most of a group of like texts
     while at < n - 1:
         rows = slice(at, min(n, at + step))
-        agree = (sketch[rows, None] == sketch[None, at:]).sum(axis=2, dtype=np.uint8)
-        low, high = np.minimum(size[rows, None], size[None, at:]), np.maximum(size[rows, None], size[None, at:])
-        a, b = np.nonzero((agree >= least) & (low >= similarity * high - 1e-9) & (label[rows, None] != label[None, at:]))
-        order = np.argsort(-agree[a, b].astype(np.int64), kind="stable")
-        a, b = a[order] + at, b[order] + at
+        a, b = np.nonzero(label[rows, None] != label[None, at:])
+        if len(a):
+            low, high = np.minimum(size[a + at], size[b + at]), np.maximum(size[a + at], size[b + at])
+            fits = low >= similarity * high - 1e-9
+            a, b = a[fits] + at, b[fits] + at
+            agree = np.concatenate([np.zeros(0, np.int64), *((sketch[a[k : k + 65536]] == sketch[b[k : k + 65536]]).sum(axis=1) for k in range(0, len(a), 65536))])
+            near = np.flatnonzero(agree >= least)
+            near = near[np.argsort(-agree[near], kind="stable")]
+            a, b = a[near], b[near]
         while len(a):
             for x, y in zip(a[:64].tolist(), b[:64].tolist(), strict=True):
-                if label[x] != label[y]:
-                    common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                    if common >= similarity * (size[x] + size[y] - common) - 1e-9:
-                        low_, high_ = sorted((label[x], label[y]))
-                        label[label == high_] = low_
+                if label[x] != label[y] and similar(sets[x], sets[y], similarity):
+                    low_, high_ = sorted((label[x], label[y]))
+                    label[label == high_] = low_
             a, b = a[64:], b[64:]
             apart = label[a] != label[b]
             a, b = a[apart], b[apart]
@@ -196,40 +218,113 @@ def connected(sets: list[np.ndarray], sketch: np.ndarray, similarity: float, lea
     return label
 
 
-def verified(members: DataFrame, similarity: float, least: int) -> DataFrame:
-    """(node, root) for the nodes that reach the similarity with another; ``members`` are (cluster, node, text)."""
+def small_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    return np.stack([minima(s).astype(np.uint8) for s in sets])
+
+
+def unit_links(units: DataFrame, keys: list[str], similarity: float, least: int) -> DataFrame:
+    """Links (a, b) that connect what similar pairs connect within each unit; ``units`` are (keys, node, text, group), nodes of
+    one group being connected already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cluster, sets = None, {}
+        unit, sets, groups = None, {}, {}
         for batch in batches:
-            for c, node, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if c != cluster:
-                    yield from parts(sets)
-                    cluster, sets = c, {}
+            own = zip(*(batch.column(k).to_pylist() for k in range(len(keys))), strict=True)
+            for u, node, text, group in zip(own, *(batch.column(k).to_pylist() for k in ("node", "text", "group")), strict=True):
+                if u != unit:
+                    yield from parts(sets, groups)
+                    unit, sets, groups = u, {}, {}
                 if node not in sets:
-                    sets[node] = shingle_set(normalised(t))
-        yield from parts(sets)
+                    sets[node], groups[node] = shingle_set(normalised(text)), group
+        yield from parts(sets, groups)
 
-    def parts(sets: dict[bytes, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def parts(sets: dict[bytes, np.ndarray], groups: dict[bytes, bytes]) -> Iterator[pa.RecordBatch]:
         if len(sets) < 2:
             return
         names = sorted(sets)
-        own = [sets[k] for k in names]
-        label = connected(own, np.stack([minima(s).astype(np.uint8) for s in own]), similarity, least)
-        at = np.flatnonzero(label != np.arange(len(names))).tolist()
-        yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in at], pa.binary()), pa.array([names[label[k]] for k in at], pa.binary())], names=["node", "root"])
+        own, first = [sets[k] for k in names], {}
+        before = np.array([first.setdefault(groups[k], i) for i, k in enumerate(names)])
+        label = connected(own, small_sketches(own), similarity, least, before)
+        at = np.flatnonzero((label != np.arange(len(names))) & (label != before)).tolist()
+        yield pa.RecordBatch.from_arrays([pa.array([names[label[k]] for k in at], pa.binary()), pa.array([names[k] for k in at], pa.binary())], names=["a", "b"])
 
-    return members.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(run, "node binary, root binary")
+    return units.select(*keys, "node", "text", "group").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a binary, b binary")
+
+
+def hub_links(units: DataFrame, similarity: float, least: int) -> DataFrame:
+    """Links (a, b) from the hubs to the similar nodes of each block; ``units`` are (cluster, block, member, node, text), hubs being no members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, hubs = None, []
+        for batch in batches:
+            a, b = [], []
+            for c, block, member, node, text in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if (c, block) != unit:
+                    unit, hubs = (c, block), []
+                own = shingle_set(normalised(text))
+                sketch = minima(own).astype(np.uint8)
+                if not member:
+                    hubs.append((node, own, sketch))
+                    continue
+                for hub, other, theirs in hubs:
+                    low, high = sorted((len(own), len(other)))
+                    if hub != node and low >= similarity * high - 1e-9 and (sketch == theirs).sum() >= least and similar(own, other, similarity):
+                        a.append(hub)
+                        b.append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    keys = ["cluster", "block"]
+    return units.select(*keys, "member", "node", "text").repartition(*keys).sortWithinPartitions(*keys, "member").mapInArrow(run, "a binary, b binary")
+
+
+def large_links(members: DataFrame, proposals: DataFrame, similarity: float, least: int) -> DataFrame:
+    """Links (a, b) within clusters of several blocks; ``members`` are (cluster, node, text, size, blocks)."""
+    degrees = proposals.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    place = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("degree"), "node"))
+    hubs = members.select("cluster", "node").join(degrees, "node").withColumn("place", place).filter(F.col("place") <= HUBS).select("cluster", "node")
+    placed = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    everywhere = members.join(hubs, ["cluster", "node"], "left_semi").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    columns = ["cluster", "block", "member", "node", "text"]
+    units = placed.withColumn("member", F.lit(True)).select(columns).unionByName(everywhere.withColumn("member", F.lit(False)).select(columns))
+    found = written(hub_links(units, similarity, least), "hub-links")
+
+    star = components(found)
+    grouped = members.select("cluster", "node", "size", "blocks").join(star, "node", "left").withColumn("group", F.coalesce("root", "node")).drop("root")
+    main = grouped.groupBy("cluster", "group").count().groupBy("cluster").agg(F.max_by("group", F.struct("count", "group")).alias("main"))
+    apart = written(grouped.join(main, "cluster").withColumn("apart", F.col("group") != F.col("main")).drop("main"), "groups")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("size") / BLOCK_BYTES)).alias("rest")
+    rest = apart.filter("apart").groupBy("cluster").agg(blocks)
+    rows = members.drop("size", "blocks").join(apart, ["cluster", "node"]).join(rest, "cluster")  # clusters without any apart go
+    all_ = rows.withColumns({"i": F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rest") - 1)), "j": F.pmod(F.xxhash64("node"), F.col("blocks"))})
+    queries = rows.filter("apart").withColumns({"j": F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)), "i": F.pmod(F.xxhash64("node"), F.col("rest"))})
+    columns = ["cluster", "i", "j", "node", "text", "group"]
+    return found.unionByName(unit_links(all_.select(columns).unionByName(queries.select(columns)), ["cluster", "i", "j"], similarity, least))
+
+
+def verified(members: DataFrame, proposals: DataFrame, similarity: float, least: int) -> DataFrame:
+    """(node, root) for the nodes that reach the similarity with another; ``members`` are (cluster, node, text, size), a node
+    being in one cluster."""
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("size") / BLOCK_BYTES)).alias("blocks")
+    large = written(members.groupBy("cluster").agg(blocks).filter("blocks > 1"), "large-clusters")
+    some = not large.isEmpty()
+    small = members.join(large, "cluster", "left_anti") if some else members
+    links = unit_links(small.withColumn("group", F.col("node")), ["cluster"], similarity, least)
+    if some:
+        links = links.unionByName(large_links(members.join(large, "cluster"), proposals, similarity, least))
+    return components(links)
 
 
 def link_near_copies(df: DataFrame, doc_id: str, text: str, shingle: int, distance: int, similarity: float) -> DataFrame:
     """(doc_id, key, root) for each row; rows of one root are connected by pairs of this five-word similarity."""
     least = least_agreement(similarity)
     docs = written(nodes_of_rows(df, doc_id, text, shingle, similarity), "nodes")
-    nodes = written(docs.groupBy("node").agg(*(F.first(c).alias(c) for c in ("fp", "sketch", "bands")), F.min("key").alias("key")), "distinct-nodes")
-    star = components(band_links(nodes, least).unionByName(fingerprint_pairs(nodes, distance)))
+    nodes = written(docs.groupBy("node").agg(*(F.first(c).alias(c) for c in ("fp", "sketch", "bands", "size")), F.min("key").alias("key")), "distinct-nodes")
+    proposals = written(band_links(nodes, least).unionByName(fingerprint_pairs(nodes, distance)), "proposals")
+    star = components(proposals)
     clusters = star.select("node", F.col("root").alias("cluster")).unionByName(star.select(F.col("root").alias("node"), F.col("root").alias("cluster")).distinct())
-    wanted = clusters.join(nodes.select("node", "key"), "node")
+    wanted = clusters.join(nodes.select("node", "key", "size"), "node")
     texts = df.select(row_key(F.col(doc_id), F.col(text)).alias("key"), F.col(text).alias("text"))
-    roots = verified(texts.join(wanted, "key").select("cluster", "node", "text"), similarity, least)
+    # one row of each node, as rows may be repeated in full
+    members = written(texts.join(wanted, "key").groupBy("cluster", "node", "size").agg(F.first("text").alias("text")), "members")
+    roots = verified(members, proposals, similarity, least)
     return docs.select("doc_id", "key", "node").join(roots, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root"))

@@ -4,7 +4,9 @@ A fingerprint is cut into ``distance // 2 + 1`` segments, so that one of them di
 fingerprints. Each segment is indexed once for each of its bits with that bit deleted; equal variants meet, and the pairs
 among them are verified. A pair is counted only under the first variant that it shares. Exact copies of a fingerprint are
 one entry. Within a bucket of many fingerprints only links that connect are kept, never all pairs: it is cut again by
-variants of the bits that are still free, until at most 2**11 fingerprints remain to be compared at once.
+variants of the bits that are still free, until at most 2**11 fingerprints remain to be compared at once. Buckets that may
+hold more than ``CROWDED`` fingerprints are dealt anew by such variants before they reach a task, so that no task holds
+more than ``CROWDED`` of them, or as many as 18 free bits can tell apart.
 
 A fingerprint may have further words of 64 bits, of longer shingles. They aren't indexed, but the further words of linked
 texts may differ in few bits too, as many as fit a similarity; so a wide index distance stays safe among very many texts.
@@ -17,14 +19,14 @@ ignored unless there is no other; other columns are kept by :func:`deduplicate`
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import row_key, table, written
+from codeloom.llm.common import fresh, row_key, table, written
 from codeloom.llm.components import components
 from codeloom.llm.nearcopies import link_near_copies
 from codeloom.llm.rolling import mixed
@@ -37,6 +39,8 @@ SEED = 42
 BITS = 64
 #: Up to so many fingerprints are compared all with all at once.
 DIRECT = 1 << 11
+#: Buckets with more fingerprints are dealt again.
+CROWDED = 1 << 16
 #: Buckets up to this size are compared without Python loops.
 SMALL = 24
 
@@ -103,19 +107,60 @@ def segments(distance: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def signed(x: int) -> int:
+    """The 64 bits of a number as a signed one."""
+    x &= (1 << BITS) - 1
+    return x - (1 << BITS) if x >> (BITS - 1) else x
+
+
+def segment_value(first: int, width: int) -> Column:
+    whole = F.shiftrightunsigned("fp", first)
+    return whole if first + width == BITS else whole.bitwiseAND(F.lit((1 << width) - 1))
+
+
 def variants(fps: DataFrame, distance: int) -> DataFrame:
-    """(key, fp): the segments with each one bit deleted; a key holds segment, bit and value."""
+    """(slot, value, fp): the segments with each one bit deleted; a slot holds segment and bit."""
     keys = []
     for s, (first, width) in enumerate(segments(distance)):
-        value = F.shiftrightunsigned("fp", first) if first + width == BITS else F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << width) - 1))
         for bit in range(width):
-            gone = value.bitwiseAND(F.lit(~(1 << bit)))
+            gone = segment_value(first, width).bitwiseAND(F.lit(signed(~(1 << bit))))
             keys.append(F.struct(F.lit(s * BITS + bit).cast("smallint").alias("slot"), gone.alias("value")))
     spread = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # so many rows come of each that the few partitions which hold the fingerprints would be too few
     return fps.repartition(spread, F.xxhash64("fp")).select(F.explode(F.array(*keys)).alias("key"), *fps.columns).select("key.slot", "key.value", *fps.columns)
 
 
+def crowded_buckets(fps: DataFrame, distance: int) -> DataFrame:
+    """(slot, value) of all buckets with more than ``CROWDED`` fingerprints, and perhaps of some with fewer.
+
+    A bucket's fingerprints have one of two values in its segment, so one of the two has more than half of them.
+    """
+    cut = segments(distance)
+    values = F.array(*(F.struct(F.lit(s).alias("s"), segment_value(first, width).alias("v")) for s, (first, width) in enumerate(cut)))
+    many = fps.select(F.explode(values).alias("k")).groupBy("k.s", "k.v").count().filter(F.col("count") > CROWDED // 2)
+    bits = F.array(*(F.sequence(F.lit(0), F.lit(width - 1)) for _, width in cut))
+    each = many.select("s", "v", F.explode(F.element_at(bits, F.col("s") + 1)).alias("bit"))
+    mask = F.bitwise_not(F.expr("shiftleft(1L, bit)"))
+    return each.select((F.col("s") * BITS + F.col("bit")).cast("smallint").alias("slot"), F.col("v").bitwiseAND(mask).alias("value")).distinct()
+
+
+def free_bits(slot: int, cut: list[tuple[int, int]]) -> np.ndarray:
+    """Numbers of the bits in which fingerprints of this slot's buckets may differ."""
+    first, width = cut[slot // BITS]
+    fixed = set(range(first, first + width)) - {first + slot % BITS}
+    return np.array([b for b in range(BITS) if b not in fixed])
+
+
+def second_cuts(slot: int, distance: int) -> list[tuple[int, np.ndarray]]:
+    """For each way to cut a bucket of this slot again: the mask of the bits that are equal then, and those still free."""
+    free, out = free_bits(slot, segments(distance)), []
+    for part in np.array_split(free, distance // 2 + 1):
+        for bit in part:
+            mask = sum(1 << int(b) for b in part if b != bit)
+            out.append((signed(mask), np.concatenate([free[~np.isin(free, part)], [bit]])))
+    return out
+
+
 def first_slot(xor: np.ndarray, cut: list[tuple[int, int]]) -> np.ndarray:
     """The first slot that a pair with this difference shares."""
     slot = np.full(xor.shape, -1, np.int64)
@@ -200,7 +245,11 @@ class Linker:
 
     def buckets(self, slot: np.ndarray, value: np.ndarray, fp: np.ndarray) -> None:
         """Whole buckets, sorted."""
-        edge = np.flatnonzero((slot[1:] != slot[:-1]) | (value[1:] != value[:-1])) + 1
+        self.groups(slot, [slot, value], fp, lambda k: free_bits(int(slot[k]), self.cut))
+
+    def groups(self, slot: np.ndarray, keys: list[np.ndarray], fp: np.ndarray, free: Callable[[int], np.ndarray]) -> None:
+        """Whole groups of equal keys, sorted; ``free`` gives the bits in which those of the group at a place may differ."""
+        edge = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
         starts = np.concatenate([[0], edge])
         sizes = np.diff(np.concatenate([starts, [len(fp)]]))
         bucket = np.repeat(np.arange(len(sizes)), sizes)
@@ -208,10 +257,7 @@ class Linker:
         if few.any():
             self.small(slot[few], bucket[few], fp[few])
         for i in np.flatnonzero(sizes > SMALL):
-            at = slice(starts[i], starts[i] + sizes[i])
-            first, width = self.cut[slot[at.start] // BITS]
-            fixed = set(range(first, first + width)) - {first + int(slot[at.start]) % BITS}
-            self.large(int(slot[at.start]), fp[at], np.array([b for b in range(BITS) if b not in fixed]))
+            self.large(int(slot[starts[i]]), fp[starts[i] : starts[i] + sizes[i]], free(starts[i]))
 
     def take(self) -> pa.RecordBatch:
         none = np.zeros((0, self.words), np.uint64)
@@ -238,29 +284,51 @@ def node(words_more: int) -> Column:
 def fingerprint_links(fps: DataFrame, distance: int = DISTANCE, total: int | None = None) -> DataFrame:
     """Links (a, b) between nodes that connect what pairs of near fingerprints connect; ``fps`` holds distinct fingerprints."""
     words = len(fps.columns)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        linker, held = Linker(distance, total, words), []
-        for batch in batches:
-            fp = np.stack([batch.column(2 + k).to_numpy().view(np.uint64) for k in range(words)], axis=1)
-            now = [batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_numpy(), fp]
-            if not len(now[0]):
-                continue
-            if held and (held[-1][0][-1], held[-1][1][-1]) == (now[0][-1], now[1][-1]) == (held[0][0][0], held[0][1][0]):
-                held.append(now)  # one bucket over many batches
-                continue
-            slot, value, fp = (np.concatenate(x) for x in zip(*held, now, strict=True))
-            last = int(np.flatnonzero((slot != slot[-1]) | (value != value[-1]))[-1]) + 1 if (slot[0], value[0]) != (slot[-1], value[-1]) else 0
-            if last:
-                linker.buckets(slot[:last], value[:last], fp[:last])
+    schema = "a long, b long" if words == 1 else "a binary, b binary"
+
+    def grouped(n_keys: int, handle):
+        """Whole groups of rows with equal keys, sorted, by ``handle(linker, keys, fp)``."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            linker, held = Linker(distance, total, words), []
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                keys = [batch.column(k).to_numpy().astype(np.int64) for k in range(n_keys)]
+                fp = np.stack([batch.column(n_keys + k).to_numpy().view(np.uint64) for k in range(words)], axis=1)
+                if held and all(h[0] == k[0] == k[-1] for h, k in zip(held[0][0], keys, strict=True)):
+                    held.append((keys, fp))  # one bucket over many batches
+                    continue
+                held.append((keys, fp))
+                keys = [np.concatenate(x) for x in zip(*(h[0] for h in held), strict=True)]
+                fp = np.concatenate([h[1] for h in held])
+                differ = np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in keys]))
+                last = int(differ[-1]) + 1 if len(differ) else 0
+                if last:
+                    handle(linker, [k[:last] for k in keys], fp[:last])
+                    yield linker.take()
+                held = [([k[last:] for k in keys], fp[last:])]
+            if held:
+                handle(linker, [np.concatenate(x) for x in zip(*(h[0] for h in held), strict=True)], np.concatenate([h[1] for h in held]))
                 yield linker.take()
-            held = [[slot[last:], value[last:], fp[last:]]]
-        if held:
-            linker.buckets(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            yield linker.take()
 
-    dealt = variants(fps, distance).repartition("slot", "value").sortWithinPartitions("slot", "value", *fps.columns)
-    return dealt.mapInArrow(run, "a long, b long" if words == 1 else "a binary, b binary")
+        return run
+
+    def crowd(linker: Linker, keys: list[np.ndarray], fp: np.ndarray) -> None:
+        linker.groups(keys[0], keys, fp, lambda k: second_cuts(int(keys[0][k]), distance)[int(keys[2][k])][1])
+
+    dealt, crowded, out = variants(fps, distance), written(crowded_buckets(fps, distance), "crowded"), None
+    if not crowded.isEmpty():
+        slots = [s * BITS + bit for s, (_, width) in enumerate(segments(distance)) for bit in range(width)]
+        masks = fps.sparkSession.createDataFrame([(s, [m for m, _ in second_cuts(s, distance)]) for s in slots], "slot smallint, masks array<long>")
+        again = dealt.join(crowded, ["slot", "value"], "left_semi").join(F.broadcast(masks), "slot")  # 64 rows
+        again = again.select("slot", "value", F.posexplode("masks").alias("way", "mask"), *fps.columns).select("slot", "value", "way", F.col("fp").bitwiseAND(F.col("mask")).alias("rest"), *fps.columns)
+        keys = ["slot", "value", "way", "rest"]
+        out = again.repartition(*keys).sortWithinPartitions(*keys, *fps.columns).mapInArrow(grouped(4, crowd), schema)
+        dealt = dealt.join(crowded, ["slot", "value"], "left_anti")
+    dealt = dealt.select("slot", "value", *fps.columns).repartition("slot", "value").sortWithinPartitions("slot", "value", *fps.columns)
+    links = dealt.mapInArrow(grouped(2, lambda linker, keys, fp: linker.buckets(*keys, fp)), schema)
+    return links if out is None else links.unionByName(out)
 
 
 def link_documents(
@@ -272,7 +340,8 @@ def link_documents(
     fps = docs.groupBy(*names).agg(F.min("doc_id").alias("least"))
     star = components(fingerprint_links(fps.select(*names), distance, total))
     placed = fps.withColumn("node", node(words_more)).join(star, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written, so that the join by root is a join of two tables, which adaptive execution may split where a root is hot
+    named = written(placed.groupBy("root").agg(F.min("least").alias("component_id")), "names")
     return docs.join(placed.join(named, "root").select(*names, "component_id"), names).select("doc_id", "fp", "component_id")
 
 
@@ -301,7 +370,9 @@ def deduplicate(
         own = df.select(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("doc_id"), row_key(F.col(doc_id), F.col(text)).alias("key")).alias("row"), F.col(text).alias("text"))
         linked = link_documents(own, "row", "text", shingle, distance, words_more, total).select("doc_id.doc_id", "doc_id.key", F.col("component_id").alias("root"))
     stay = linked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("least")).select(F.col("least.key").alias("key_"))
-    return df.withColumn("key_", row_key(df[doc_id], df[text])).join(stay, "key_", "left_semi").dropDuplicates(["key_"]).select(df.columns)
+    key = fresh(df.columns, "key_")
+    keyed = df.withColumn(key, row_key(df[doc_id], df[text])).dropDuplicates([key])  # reduced before it meets the keys that stay
+    return keyed.join(stay.withColumnRenamed("key_", key), key, "left_semi").select(df.columns)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
