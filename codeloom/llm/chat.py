@@ -1,15 +1,19 @@
 """Chat formatting: typed content parts flattened into one string per conversation, and read back. DataFrame only.
 
-A message is a list of parts ``struct<kind, text, ref, units>`` with kind text, image, audio or document. A visitor walks
-the parts of a conversation in order: text is escaped and kept; any other part becomes a placeholder ``[|kind n|]`` whose
-number counts the attachments of the conversation, and is recorded with its reference and its expanded token count.
+A message is a list of parts ``struct<kind, text, ref, units>`` with kind text, image, audio or document. A visitor renders
+the parts of a message in order: text is escaped and kept; any other part becomes a placeholder ``[|kind n|]`` whose number
+counts the attachments of the conversation, and is recorded with its reference and its expanded token count. Every step is
+a map over an array, so the work is linear in the length of a conversation.
 
 Template: ``<s>`` + turns + nothing, a turn being ``<|role|>`` + content + ``</s>``. Control strings inside a role or a
 text get a backslash after their first character, and a backslash is doubled; dropping the backslashes restores the text.
+A text part that follows another one begins with a backslash too (unless it begins with one), so that no control string
+arises where the two meet; so do a role and a kind that begin with ``]`` or ``>``, as they follow a bar. :func:`read_back` gives turns and parts again: adjacent text parts as one, empty ones left out.
 
-Defined cases: null text is empty; a null role is empty; rows of one conversation that share a turn are ordered by role,
-then content; null turns come first; rows with a null conversation form one conversation; other columns are ignored. A
-conversation is one row of the result, so it must fit in one row (2 GB); its turns are gathered map-side first.
+Defined cases: null text is empty; a null role is empty; a null kind is text; a part that is null is an empty text; rows of
+one conversation that share a turn are ordered by role, then content; null turns come first; rows with a null conversation
+form one conversation; other columns are ignored. A conversation is one row of the result, so it must fit in one row (2 GB);
+its turns are gathered map-side first.
 """
 
 from __future__ import annotations
@@ -38,65 +42,77 @@ def unescape(col: Column) -> Column:
     return F.regexp_replace(col, r"(?s)\\(.)", "$1")
 
 
-def _visit(state: Column, part: Column) -> Column:
-    """One step of the visitor: state is struct<content, attachments>."""
-    kind = F.coalesce(part["kind"], F.lit("text"))
-    n = F.size(state["attachments"]) + 1
-    cost = F.coalesce(*(F.when(kind == k, F.lit(v)) for k, v in TOKENS_PER_UNIT.items()), F.lit(1))
-    item = F.struct(
-        n.cast("int").alias("ordinal"), kind.alias("kind"), part["ref"].alias("ref"), (cost * F.coalesce(part["units"], F.lit(1))).cast("bigint").alias("n_tokens")
-    )
-    is_text = kind == "text"
-    mark = F.concat(F.lit("[|"), escape(kind), F.lit(" "), n.cast("string"), F.lit("|]"))
-    return F.struct(
-        F.concat(state["content"], F.when(is_text, escape(F.coalesce(part["text"], F.lit("")))).otherwise(mark)).alias("content"),
-        F.when(is_text, state["attachments"]).otherwise(F.concat(state["attachments"], F.array(item))).alias("attachments"),
-    )
+def _after_bar(said: Column) -> Column:
+    """Escaped text that follows a bar."""
+    return F.when(said.startswith("]") | said.startswith(">"), F.concat(F.lit("\\"), said)).otherwise(said)
+
+
+def _kind(part: Column) -> Column:
+    return F.coalesce(part["kind"], F.lit("text"))
+
+
+def _visit(part: Column, before: Column) -> Column:
+    """The visitor: what a part becomes, given the one before. A placeholder's number is put in when all are known."""
+    said = escape(F.coalesce(part["text"], F.lit("")))
+    border = (_kind(before) == "text") & (said != "") & ~said.startswith("\\")
+    return F.when(_kind(part) == "text", F.concat(F.when(border, F.lit("\\")).otherwise(F.lit("")), said)).otherwise(F.concat(F.lit("[|"), _after_bar(escape(_kind(part))), F.lit("|]")))
+
+
+def _numbered(content: Column) -> Column:
+    """Each placeholder's end, of which there are no others as they are escaped elsewhere, with its number before it."""
+    pieces = F.split(content, r"\|\]", -1)
+    return F.array_join(F.transform(pieces, lambda x, k: F.when(k < F.size(pieces) - 1, F.concat(x, F.lit(" "), (k + 1).cast("string"))).otherwise(x)), "|]")
 
 
 def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", parts: str = "parts") -> DataFrame:
     """One row per conversation: conv_id, formatted, attachments, attachment_tokens."""
-    rows = df.select(
-        F.col(conv).alias("conv_id"),
-        F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.col(parts).cast(f"array<{PART}>").alias("parts")).alias("message"),
-    )
+    own = F.coalesce(F.col(parts).cast(f"array<{PART}>"), F.array().cast(f"array<{PART}>"))
+    rows = df.select(F.col(conv).alias("conv_id"), F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), own.alias("parts")).alias("message"))
     gathered = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("message")).alias("messages"))
-    # texts alone need no numbering: they are built message by message, in time linear in the conversation's length
-    has_others = F.exists("messages", lambda m: F.exists(F.coalesce(m["parts"], F.array().cast(f"array<{PART}>")), lambda p: F.coalesce(p["kind"], F.lit("text")) != "text"))
-    empty = F.array().cast("array<struct<ordinal:int,kind:string,ref:string,n_tokens:bigint>>")
-
-    def plain(m: Column) -> Column:
-        texts = F.transform(F.coalesce(m["parts"], F.array().cast(f"array<{PART}>")), lambda p: escape(F.coalesce(p["text"], F.lit(""))))
-        return F.concat(F.lit("<|"), escape(m["role"]), F.lit("|>"), F.array_join(texts, ""), F.lit("</s>"))
-
-    def numbered(state: Column, m: Column) -> Column:
-        opened = F.struct(F.concat(state["content"], F.lit("<|"), escape(m["role"]), F.lit("|>")).alias("content"), state["attachments"].alias("attachments"))
-        seen = F.aggregate(F.coalesce(m["parts"], F.array().cast(f"array<{PART}>")), opened, _visit)
-        return F.struct(F.concat(seen["content"], F.lit("</s>")).alias("content"), seen["attachments"].alias("attachments"))
-
-    walked = F.aggregate("messages", F.struct(F.lit("<s>").alias("content"), empty.alias("attachments")), numbered)
-    simple = F.struct(F.concat(F.lit("<s>"), F.array_join(F.transform("messages", plain), "")).alias("content"), empty.alias("attachments"))
-    out = gathered.select("conv_id", F.when(has_others, walked).otherwise(simple).alias("out"))
-    return out.select(
-        "conv_id",
-        F.col("out.content").alias("formatted"),
-        F.col("out.attachments").alias("attachments"),
-        F.aggregate("out.attachments", F.lit(0).cast("bigint"), lambda s, a: s + a["n_tokens"]).alias("attachment_tokens"),
+
+    def rendered(m: Column) -> Column:
+        first = F.struct(F.lit("none").alias("kind"), F.lit("").alias("text"), F.lit("").alias("ref"), F.lit(0).cast("bigint").alias("units"))
+        before = F.slice(F.concat(F.array(first), m["parts"]), F.lit(1), F.size(m["parts"]))
+        return F.concat(F.lit("<|"), _after_bar(escape(m["role"])), F.lit("|>"), F.array_join(F.zip_with(m["parts"], before, _visit), ""), F.lit("</s>"))
+
+    def attachment(part: Column, k: Column) -> Column:
+        cost = F.coalesce(*(F.when(_kind(part) == name, F.lit(v)) for name, v in TOKENS_PER_UNIT.items()), F.lit(1))
+        tokens = (cost * F.coalesce(part["units"], F.lit(1))).cast("bigint")
+        return F.struct((k + 1).cast("int").alias("ordinal"), _kind(part).alias("kind"), part["ref"].alias("ref"), tokens.alias("n_tokens"))
+
+    content = F.concat(F.lit("<s>"), F.array_join(F.transform("messages", rendered), ""))
+    others = F.filter(F.flatten(F.transform("messages", lambda m: m["parts"])), lambda p: _kind(p) != "text")
+    out = gathered.select("conv_id", _numbered(content).alias("formatted"), F.transform(others, attachment).alias("attachments"))
+    return out.withColumn("attachment_tokens", F.aggregate("attachments", F.lit(0).cast("bigint"), lambda s, a: s + a["n_tokens"]))
+
+
+def _read_part(piece: Column) -> Column:
+    """A piece of content: a placeholder, or text."""
+    kind, number = (F.regexp_extract(piece, r"(?s)^\[\|(.*) ([0-9]+)\|\]$", k) for k in (1, 2))
+    is_mark = piece.startswith("[|")
+    return F.struct(
+        F.when(is_mark, unescape(kind)).otherwise(F.lit("text")).alias("kind"),
+        F.when(~is_mark, unescape(piece)).alias("text"),
+        F.when(is_mark, number.cast("int")).alias("ordinal"),
     )
 
 
 def read_back(df: DataFrame, formatted: str = "formatted") -> DataFrame:
-    """Adds ``turns``: array of struct<role, text>, parsed from the formatted string."""
-    body = F.expr(f"substring(`{formatted}`, {len('<s>') + 1})")
-    pieces = F.split(body, "</s>", -1)
-    turns = F.transform(
-        F.slice(pieces, 1, F.size(pieces) - 1),
-        lambda p: F.struct(
-            unescape(F.substring(F.substring_index(p, "|>", 1), 3, 1 << 30)).alias("role"),
-            unescape(F.substr(p, F.length(F.substring_index(p, "|>", 1)) + 3)).alias("text"),
-        ),
-    )
-    return df.withColumn("turns", turns)
+    """Adds ``turns``: array of struct<role, text, parts>, parsed from the formatted string.
+
+    ``parts`` are struct<kind, text, ordinal>, the ordinal being that of the attachment; ``text`` is the text among them,
+    without any mark of attachments.
+    """
+    pieces = F.split(F.expr(f"substring(`{formatted}`, {len('<s>') + 1})"), "</s>", -1)
+    opened = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p: F.substring(p, 3, 1 << 30))  # without <|
+
+    def turn(p: Column) -> Column:
+        role = F.substring_index(p, "|>", 1)
+        content = F.substr(p, F.length(role) + 3)
+        parts = F.transform(F.regexp_extract_all(content, F.lit(r"(?s)\[\|.*?\|\]|(?:(?!\[\|).)+"), 0), _read_part)
+        return F.struct(unescape(role).alias("role"), F.array_join(F.transform(parts, lambda x: F.coalesce(x["text"], F.lit(""))), "").alias("text"), parts.alias("parts"))
+
+    return df.withColumn("turns", F.transform(opened, turn))
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
