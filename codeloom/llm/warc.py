@@ -2,7 +2,9 @@
 
 ``payloads`` keeps each distinct payload once under its SHA-256, with its SHA-1 in base32 and its length; ``records`` keeps
 the exact header bytes of every record and the SHA-256 of its payload. A record is its header, its payload and two line
-ends; :func:`reconstruct` joins the two tables and verifies length and digest.
+ends; :func:`reconstruct` joins the two tables and verifies length and digest. :func:`parse_records` reads a record from its
+bytes alone: the header ends at the blank line, and ``Content-Length`` says where the payload ends. Line feeds and carriage
+returns in a target URI are written as %0A and %0D, as a header line can't hold them.
 
 Defined cases: a null payload is empty; of records with equal payloads of at least ``min_revisit_bytes`` the one with the
 smallest id is the response (rows repeated under that very id are all responses), the others revisit it; a null id counts
@@ -34,7 +36,7 @@ def sha1_base32(payload: Column) -> Column:
 def _header(kind: Column) -> Column:
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     urn = lambda col: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(col).cast("string"), F.lit("none")), F.lit(">"))
-    uri = F.regexp_replace(F.coalesce("target", F.lit("")), r"[\r\n]", " ")
+    uri = F.replace(F.replace(F.coalesce("target", F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     return F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", kind),
@@ -68,20 +70,23 @@ def write_archive(df: DataFrame, path: str, record_id: str, target: str, payload
 
 
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:
-    """Every original record: ``record`` (bytes) with ``header_bytes`` and ``payload_bytes``, verified against the store."""
+    """Every original record as bytes (``record``), verified against the store."""
     records, payloads = spark.read.parquet(f"{path}/records"), spark.read.parquet(f"{path}/payloads")
     sound = (F.sha2("payload", 256) == F.col("strong")) & (F.octet_length("payload") == F.col("n_bytes"))
     payloads = payloads.withColumn("bad", F.assert_true(sound, F.lit("a stored payload fails its digest"))).filter("bad is null")
-    return records.join(payloads, "strong").select(
-        F.concat("header", "payload", F.lit(b"\r\n\r\n")).alias("record"), F.octet_length("header").alias("header_bytes"), "n_bytes"
-    )
+    return records.join(payloads, "strong").select(F.concat("header", "payload", F.lit(b"\r\n\r\n")).alias("record"))
 
 
 def parse_records(df: DataFrame) -> DataFrame:
-    """Header fields and payload of reconstructed records."""
-    head = F.expr("cast(substring(record, 1, header_bytes) as string)")
+    """Header fields and payload of records, read from their bytes; a record that breaks off is an error."""
+    # as Latin-1 a place in the text is a place in the bytes
+    blank = F.locate("\r\n\r\n", F.decode("record", "ISO-8859-1"))
+    rows = df.select("record", blank.alias("blank")).withColumn("head", F.substring("record", F.lit(1), F.col("blank") + 1).cast("string"))
     field = lambda name, what: F.regexp_extract("head", rf"\r\n{name}: {what}\r\n", 1)
-    rows = df.withColumn("head", head).withColumn("payload", F.expr("substring(record, header_bytes + 1, cast(n_bytes as int))"))
+    rows = rows.withColumn("n_bytes", field("Content-Length", "([0-9]+)").cast("int"))
+    whole = (F.col("blank") > 0) & (F.col("blank") + 3 + F.col("n_bytes") + 4 == F.octet_length("record"))
+    rows = rows.filter(F.assert_true(F.coalesce(whole, F.lit(False)), F.lit("a record breaks off")).isNull())
+    rows = rows.withColumn("payload", F.substring("record", F.col("blank") + 4, F.col("n_bytes")))
     number = lambda col: F.when(col.rlike("^-?[0-9]+$"), col.cast("bigint"))
     return rows.select(
         number(field("WARC-Record-ID", r"<urn:page:([^>]*)>")).alias("page_id"),
