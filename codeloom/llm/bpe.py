@@ -6,8 +6,8 @@ replayed from the lowest; a merge touches only the two neighbours of its place,
 that arises with a rank below the current one is replayed next, so that the result is the one of encoding each word alone.
 The words' ids then make up the texts' ids, and a text is decoded from its ids.
 
-Defined cases: null text is empty and has no ids; texts of any length are handled whole; repeated rows give equal ids. The
-memory of word ids is bounded: at ``MEMORY`` words it is emptied.
+Defined cases: null text is empty and has no ids; texts of any length are handled whole; repeated rows give equal ids;
+other columns may be kept, but those named like a result. The memory of word ids is bounded: at ``MEMORY`` words it is emptied.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from heapq import heappop, heappush
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm.common import table, tokenizer_path
+from codeloom.llm.common import fresh, table, tokenizer_path
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Distinct words whose ids a Python worker remembers.
@@ -177,12 +177,14 @@ def encode(df: DataFrame, text: str = "text", keep: list[str] | None = None, voc
     kinds = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), kinds])
 
+    own = fresh(df.columns, "text_")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path, pattern)
         decimal = encoder.decimal
         for batch in batches:
             counts, digests, decoded, every = [], [], [], []
-            for block in blocks(batch.column("text_").to_pylist()):
+            for block in blocks(batch.column(own).to_pylist()):
                 for words in encoder.words(block):
                     ids = encoder.ids(words)
                     counts.append(len(ids))
@@ -194,7 +196,7 @@ def encode(df: DataFrame, text: str = "text", keep: list[str] | None = None, voc
             columns += [pa.array(every, pa.list_(pa.int32()))] if with_ids else []
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns], names=[*keep, *made])
 
-    return df.select(*keep, df[text].alias("text_")).mapInArrow(run, schema)
+    return df.select(*keep, df[text].alias(own)).mapInArrow(run, schema)
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
