@@ -17,4 +17,4 @@ QUERIES = {
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
-ORACLE_SQL = {"op1_decontamination": decontam.OP1_SQL, "op2_chat_formatting": chat.OP2_SQL, "op3_url_filters": urlfilter.OP3_SQL, "op4_warc": warc.OP4_SQL, "op6_suffix_dedup": suffixdedup.OP6_SQL, "op10_quality_rules": quality.OP10_SQL}
+ORACLE_SQL = {"op1_decontamination": decontam.OP1_SQL, "op2_chat_formatting": chat.OP2_SQL, "op3_url_filters": urlfilter.OP3_SQL, "op4_warc": warc.OP4_SQL, "op6_suffix_dedup": suffixdedup.OP6_SQL, "op9_language_id": langid.OP9_SQL, "op10_quality_rules": quality.OP10_SQL}
