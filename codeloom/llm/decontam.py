@@ -1,17 +1,19 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
 
-An item's sketch holds the least hashes of its word shingles. Items are partitioned by size: of an item with n shingles a
-document may lack ``n - ceil(threshold * n)``, so a sketch of one value more must be hit at least once, and a sketch of s
-values at least ``s`` less that many times. Sketch sizes thus follow from the size partition, and no document that contains
-an item is missed, however long it is (signatures of whole documents would miss most items in long ones). The documents
-that hit are verified by comparing the shingles themselves.
-
-Items are taken in blocks of bounded size, each searched in all documents in one pass without a shuffle; the documents
-themselves never travel.
+1. Items are partitioned by the number of their shingles, each partition reaching twice as far as the one before. An item's
+   sketch holds the least hashes of its word shingles: of an item with n shingles a document may lack
+   ``n - ceil(threshold * n)``, so a sketch of s values is hit at least ``s`` less that many times, and the sketch sizes
+   follow from the size partition. No document that contains an item is missed, however long it is (signatures of whole
+   documents would miss most items in long ones). The sketches are a table.
+2. One pass over the documents, whatever the number of items: a filter of fixed size says which of a document's shingles may
+   be in a sketch. Documents with such shingles are written with them; all others are done with.
+3. These hashes meet the sketches in an equi-join. Pairs with enough hits are verified by comparing the shingles themselves,
+   ``ITEMS`` items of a document at a time.
 
 Defined cases: items with fewer words than a shingle match as a whole sequence of words if asked for (the query and the
-pipeline do), else not; items without an id are searched like others; null or empty ones match nothing; null or empty documents contain
-nothing; repeated items and rows give a row each; other columns are ignored; shingles are sets, so repeats count once.
+pipeline do), else not; items without an id are searched like others; null or empty ones match nothing; null or empty
+documents contain nothing; items that are equal in id and text are one item; rows of documents that are repeated give rows
+each; ids of any type are kept as they are; other columns are ignored; shingles are sets, so repeats count once.
 """
 
 from __future__ import annotations
@@ -24,153 +26,184 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import row_key, table
-from codeloom.llm.rolling import Sums
+from codeloom.llm.common import fresh, row_key, table, written
+from codeloom.llm.rolling import Sums, mixed
 
 SHINGLE = 5
 THRESHOLD = 0.8
-#: Characters of items in a block.
-BLOCK_CHARS = 16 << 20
-#: Bits of the filter that is asked before the sketches.
-FILTER_BITS = 22
-RESULT = "item_id long, n_shingles long, n_found long, containment double"
+#: Bits of the filter that is asked before the sketches: 8 MB at every size of the benchmark.
+FILTER_BITS = 26
+#: Items verified at once against a document.
+ITEMS = 256
+
+
+def normalised(text: str | None) -> bytes:
+    return b" ".join((text or "").encode().lower().split())
+
+
+def ends_of_words(line: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of each word of a normalised text, and the byte after it."""
+    gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+    return np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(line)]])
 
 
 def shingles(text: str | None, size: int) -> tuple[bytes, np.ndarray, np.ndarray]:
     """The normalised text with the first and last byte of every shingle."""
-    line = b" ".join((text or "").encode().lower().split())
-    gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
-    starts, ends = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(line)]])
+    line = normalised(text)
+    starts, ends = ends_of_words(line)
     if not line or len(starts) < size:
         return line, starts[:0], ends[:0]
     return line, starts[: len(starts) - size + 1], ends[size - 1 :]
 
 
 def sketch_size(n: int, threshold: float) -> tuple[int, int]:
-    """For the partition of items with n shingles: values in the sketch, and how many of them must be hit."""
+    """For items with n shingles: values in the sketch, and how many of them must be hit."""
     spare = n - math.ceil(threshold * n - 1e-9)
     size = min(n, 2 * spare + 1)
     return size, size - spare
 
 
-class Items:
-    """A block of items with the index of their sketches."""
-
-    def __init__(self, rows: list[tuple[int | None, str]], size: int, threshold: float, short: bool = False) -> None:
-        self.size, self.threshold = size, threshold
-        self.ids: list[int | None] = []
-        self.sets: list[set[bytes]] = []
-        self.needs: list[int] = []
-        pairs: list[tuple[np.ndarray, int]] = []
-        self.short: dict[int, dict[bytes, list[int | None]]] = {}  # by words, then by the whole sequence
-        for item, text in rows:
-            line, starts, ends = shingles(text, size)
-            if not len(starts):
-                if line and short:
-                    self.short.setdefault(line.count(b" ") + 1, {}).setdefault(line, []).append(item)
-                continue
-            hashes = np.unique(Sums(line).ranges(starts, ends))
-            own = {line[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)}
-            values, needs = sketch_size(len(hashes), threshold)
-            pairs.append((hashes[:values], len(self.ids)))
-            self.ids.append(item)
-            self.sets.append(own)
-            self.needs.append(needs)
-        hashes = np.concatenate([h for h, _ in pairs] or [np.zeros(0, np.uint64)])
-        owner = np.concatenate([np.full(len(h), k) for h, k in pairs] or [np.zeros(0, np.int64)])
-        order = np.argsort(hashes, kind="stable")
-        self.owner = owner[order]
-        self.values, self.first = np.unique(hashes[order], return_index=True)
-        self.stop = np.concatenate([self.first[1:], [len(hashes)]])[: len(self.first)]
-        self.filter = np.zeros(1 << FILTER_BITS, bool)
-        self.filter[(self.values >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-
-    def short_found(self, text: str | None) -> list[tuple[int | None, int, int, float]]:
-        """Items of fewer words than a shingle, as whole sequences; each is one shingle."""
-        out: list[int | None] = []
-        for n, lines in self.short.items():
-            line, starts, ends = shingles(text, n)
-            own = {line[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)}
-            small, large = (own, lines) if len(own) < len(lines) else (lines, own)
-            out += [item for s in small if s in large for item in lines[s]]
-        return [(item, 1, 1, 1.0) for item in out]
-
-    def found(self, text: str | None) -> list[tuple[int | None, int, int, float]]:
-        return self.long_found(text) + (self.short_found(text) if self.short else [])
-
-    def long_found(self, text: str | None) -> list[tuple[int | None, int, int, float]]:
-        line, starts, ends = shingles(text, self.size)
-        if not len(starts) or not len(self.values):
-            return []
-        hashes = Sums(line).ranges(starts, ends)
-        some = hashes[self.filter[(hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]]
-        some = np.unique(some)
-        at = np.minimum(np.searchsorted(self.values, some), len(self.values) - 1)
-        hit = at[self.values[at] == some]
-        if not len(hit):
-            return []
-        owners = np.concatenate([self.owner[self.first[k] : self.stop[k]] for k in hit.tolist()])
-        items, hits = np.unique(owners, return_counts=True)
-        items = [k for k, n in zip(items.tolist(), hits.tolist(), strict=True) if n >= self.needs[k]]
-        if not items:
-            return []
-        own = {line[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)}
-        out = []
-        for k in items:
-            n, common = len(self.sets[k]), len(self.sets[k] & own)
-            if common >= self.threshold * n - 1e-9:
-                out.append((self.ids[k], n, common, common / n))
-        return out
-
-
-def item_blocks(items: DataFrame, item_id: str, text: str, chars: int) -> Iterator[list[tuple[int | None, str]]]:
-    """Items in blocks of about ``chars`` characters; one block is on the driver at a time."""
-    rows = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(text).alias("t")).filter("t is not null")
-    total = rows.agg(F.sum(F.length("t"))).first()[0] or 0
-    n = max(1, math.ceil(total / chars))
-    for k in range(n):
-        block = rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) if n > 1 else rows
-        yield sorted(((r.i, r.t) for r in block.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+def shingle_hashes(line: bytes, size: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return mixed(Sums(line).ranges(starts, ends) + np.uint64(size))
+
+
+def item_size(line: bytes, size: int) -> int:
+    """Words in a shingle of this item: all it has, if it is shorter than a shingle."""
+    return min(size, line.count(b" ") + 1)
+
+
+def sketch_items(items: DataFrame, size: int, threshold: float, short: bool) -> DataFrame:
+    """(part, words, hash, key, needs): a row for each value of an item's sketch; ``items`` are (key, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[list] = [[], [], [], [], []]
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                line = normalised(text)
+                words = item_size(line, size)
+                if not line or words < size and not short:
+                    continue
+                hashes = np.unique(shingle_hashes(line, words, *shingles(text, words)[1:]))
+                values, needs = sketch_size(len(hashes), threshold)
+                for h in hashes[:values].view(np.int64).tolist():
+                    for to, x in zip(rows, (len(hashes).bit_length(), words, h, key, needs), strict=True):
+                        to.append(x)
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], names=["part", "words", "hash", "key", "needs"])
+
+    return items.select("key", "text").mapInArrow(run, "part int, words int, hash long, key binary, needs int")
+
+
+def hash_filter(sketches: DataFrame) -> np.ndarray:
+    """A bit for each hash by its first ``FILTER_BITS`` bits. What reaches the driver are bytes with a bit set, 2**23 at most."""
+    place = sketches.select(F.shiftrightunsigned("hash", 64 - FILTER_BITS).alias("p"))
+    bits = place.select(F.shiftright("p", 3).cast("int").alias("byte"), F.expr("shiftleft(1, cast(p & 7 as int))").alias("bit"))
+    found = bits.groupBy("byte").agg(F.bit_or("bit").alias("bits"))
+    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    rows = found.toArrow()
+    out[rows.column("byte").to_numpy()] = rows.column("bits").to_numpy()
+    return out
+
+
+def possible_hits(docs: DataFrame, sketches: DataFrame, size: int) -> DataFrame:
+    """(row, text, hits: array of struct<words, hash>) of the documents that may hit a sketch; ``docs`` are (row, text)."""
+    lengths = sorted(r.words for r in sketches.select("words").distinct().collect())  # 1 to size
+    sent = docs.sparkSession.sparkContext.broadcast(hash_filter(sketches))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, right = sent.value, np.uint64(64 - FILTER_BITS)
+        for batch in batches:
+            at, hits = [], []
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                line = normalised(text)
+                if not line:
+                    continue
+                starts, ends = ends_of_words(line)
+                sums, found = Sums(line), []
+                for words in lengths:
+                    if len(starts) < words:
+                        break
+                    hashes = mixed(sums.ranges(starts[: len(starts) - words + 1], ends[words - 1 :]) + np.uint64(words))
+                    place = (hashes >> right).astype(np.int64)
+                    some = np.flatnonzero(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+                    found += [(words, h) for h in np.unique(hashes[some]).view(np.int64).tolist()]
+                if found:
+                    at.append(k)
+                    hits.append([{"words": w, "hash": h} for w, h in found])
+            kind = pa.list_(pa.struct([("words", pa.int32()), ("hash", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at, pa.int64())) for c in (0, 1)), pa.array(hits, kind)], names=["row", "text", "hits"])
+
+    return docs.select("row", "text").mapInArrow(run, "row binary, text string, hits array<struct<words:int,hash:bigint>>")
+
+
+def verify(pairs: DataFrame, size: int, threshold: float) -> DataFrame:
+    """(row, key, n_shingles, n_found, containment); ``pairs`` are (row, text, items: array of struct<key, text>)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], [], []]
+            for row, text, items in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                own: dict[int, set[bytes]] = {}
+                for item in items:
+                    words = item_size(normalised(item["text"]), size)
+                    if words not in own:
+                        own[words] = shingle_set(text, words)
+                    wanted = shingle_set(item["text"], words)
+                    n, common = len(wanted), len(wanted & own[words])
+                    if common >= threshold * n - 1e-9:
+                        for to, x in zip(out, (row, item["key"], n, common, common / n), strict=True):
+                            to.append(x)
+            kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["row", "key", "n_shingles", "n_found", "containment"])
+
+    return pairs.select("row", "text", "items").mapInArrow(run, "row binary, key binary, n_shingles long, n_found long, containment double")
+
+
+def shingle_set(text: str | None, size: int) -> set[bytes]:
+    line, starts, ends = shingles(text, size)
+    return {line[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)}
+
+
+def contained_items(docs: DataFrame, items: DataFrame, size: int, threshold: float, short: bool) -> DataFrame:
+    """(row, key, n_shingles, n_found, containment) for each item (key, text) that a document (row, text) contains."""
+    sketches = written(sketch_items(items, size, threshold, short), "sketches")
+    texts = written(possible_hits(docs, sketches, size), "possible-hits")
+    hits = texts.select("row", F.inline("hits")).distinct().join(sketches, ["words", "hash"])  # rows may be repeated in full
+    pairs = hits.groupBy("row", "part", "key").agg(F.count("*").alias("n"), F.max("needs").alias("needs")).filter("n >= needs").select("row", "key")
+    pairs = written(pairs.join(items.select("key", F.col("text").alias("item")), "key"), "candidates")
+    lots = pairs.groupBy("row").agg(F.ceil(F.count("*") / ITEMS).alias("lots"))
+    lot = F.pmod(F.xxhash64("key"), F.col("lots")).alias("lot")
+    dealt = pairs.join(lots, "row").groupBy("row", lot).agg(F.collect_list(F.struct("key", F.col("item").alias("text"))).alias("items"))
+    return verify(dealt.join(texts.select("row", "text"), "row"), size, threshold).dropDuplicates(["row", "key"])
+
+
+def keyed_items(items: DataFrame, item_id: str, text: str) -> DataFrame:
+    """(key, item_id, text) of the distinct items."""
+    rows = items.select(row_key(F.col(item_id), F.col(text)).alias("key"), F.col(item_id).alias("item_id"), F.col(text).alias("text"))
+    return rows.filter("text is not null").dropDuplicates(["key"])
 
 
 def find_leaks(
-    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS, short: bool = False
+    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD, short: bool = False
 ) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_found, containment) for each item that a document contains by ``threshold``.
 
     If ``short``, items with fewer words than a shingle are found too.
     """
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    schema = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, {RESULT}"
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
-
-    def search(rows: list[tuple[int | None, str]]) -> DataFrame:
-        sent = docs.sparkSession.sparkContext.broadcast(rows)  # at most block_chars characters
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = Items(sent.value, shingle, threshold, short)
-            for batch in batches:
-                at, out = [], []
-                for k, t in enumerate(batch.column(1).to_pylist()):
-                    for leak in block.found(t):
-                        at.append(k)
-                        out.append(leak)
-                columns = [pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], names=["doc_id", "item_id", "n_shingles", "n_found", "containment"])
-
-        return source.mapInArrow(run, schema)
-
-    found = None
-    for rows in item_blocks(items, item_id, item_text, block_chars):
-        found = search(rows) if found is None else found.unionByName(search(rows))
-    return found
+    own = keyed_items(items, item_id, item_text)
+    rows = docs.select(row_key(F.col(doc_id), F.col(text)).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    found = written(contained_items(rows, own, shingle, threshold, short), "leaks")
+    named = found.join(own.select("key", "item_id"), "key")
+    return rows.select("row", "doc_id").join(named, "row").select("doc_id", "item_id", "n_shingles", "n_found", "containment")
 
 
-def remove_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", short: bool = False) -> DataFrame:
+def remove_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", short: bool = False, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` without the documents that contain an item; rows are told apart by id and text."""
-    keyed = docs.withColumn("key_", row_key(docs[doc_id], docs[text]))
-    leaky = find_leaks(keyed, items, "key_", text, short=short).select(F.col("doc_id").alias("key_")).distinct()
-    return keyed.join(leaky, "key_", "left_anti").select(docs.columns)
+    key = fresh(docs.columns, "key_")
+    keyed = docs.withColumn(key, row_key(docs[doc_id], docs[text]))
+    rows = keyed.select(F.col(key).alias("row"), F.col(text).alias("text"))
+    leaky = contained_items(rows, keyed_items(items, item_id, item_text), SHINGLE, THRESHOLD, short).select(F.col("row").alias(key)).distinct()
+    return keyed.join(written(leaky, "leaky"), key, "left_anti").select(docs.columns)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,3 +86,18 @@ def quality(t):
             seen.add(line)
     n = len(w)
     return n, sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), dup, len(hit), n < 10 or 100 * len(hit) > 20 * n
+
+
+def grams(t):
+    """N-grams of one to three letters or single spaces as numbers of 21 bits a code point."""
+    x = []
+    for c in f" {t or ''} ":
+        v = ord(c.lower()[0]) if c.isalpha() else 32
+        if not (v == 32 and x and x[-1] == 32):
+            x.append(v)
+    out = Counter()
+    for n in (1, 2, 3):
+        for i in range(len(x) - n + 1):
+            if x[i : i + n] != [32]:
+                out[sum(v << 21 * (n - 1 - k) for k, v in enumerate(x[i : i + n]))] += 1
+    return out if len(x) > 1 else Counter()

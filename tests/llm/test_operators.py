@@ -2,12 +2,13 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, chat, components, decontam, gru, langid, lmscore, quality, simhash, suffixdedup, urlfilter, warc
+from codeloom.llm import bpe, chat, common, components, decontam, gru, langid, lmscore, nearcopies, quality, simhash, suffixdedup, urlfilter, warc
 from codeloom.llm.suffixarray import Merged, Shard
 from tests.llm import brute
 
@@ -31,11 +32,13 @@ def babble(seed, n, letters="abé", most=40):
 # --- 1
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("lot", [256, 2])
+def test_decontamination(spark, monkeypatch, lot):
+    monkeypatch.setattr(decontam, "ITEMS", lot)
     items = babble(1, 30, most=30) + [None, "", "too short", "q w e r t y u i o p"]
     docs = babble(2, 40, most=200)
     docs += [f"{docs[0]} {items[3]} {docs[1]}", (items[4] or "").upper(), f"x {items[5]} y", None, "", "q w e r t y u i o z"] + ODD
-    got = {(r.doc_id, r.item_id): (r.n_shingles, r.n_found) for r in decontam.find_leaks(frame(spark, docs), frame(spark, items).withColumnRenamed("doc_id", "item_id"), block_chars=200).collect()}
+    got = {(r.doc_id, r.item_id): (r.n_shingles, r.n_found) for r in decontam.find_leaks(frame(spark, docs), frame(spark, items).withColumnRenamed("doc_id", "item_id")).collect()}
     want = {}
     for i, d in enumerate(docs):
         for k, b in enumerate(items):
@@ -99,9 +102,62 @@ def test_chat_parts(spark):
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+def test_chat_parts_round_trip(spark):
+    """Control strings cut at every place, over borders of parts and roles."""
+    rng = random.Random(21)
+    bits = [s[a:b] for s in [*chat.CONTROLS, "\\\\", "\\"] for a in range(len(s)) for b in range(a + 1, len(s) + 1)] + ["x", " 1", "\n", "é", "|image 1|]"]
+    word = lambda n: "".join(rng.choice(bits) for _ in range(rng.randint(0, n)))
+
+    def part():
+        return None if rng.random() < 0.05 else (rng.choice(["text", "text", "image", "audio", None, word(2) or "x"]), None if rng.random() < 0.1 else word(3), rng.choice([None, word(2)]), rng.choice([None, 3]))
+
+    data = [(c, t, rng.choice([None, "user", word(3)]), [part() for _ in range(rng.randint(0, 5))]) for c in range(150) for t in range(rng.randint(1, 4))]
+    data += [(1000 + k, 0, "user", [("text", s[:k], None, None), ("text", s[k:], None, None)]) for s in chat.CONTROLS for k in range(1, len(s))]
+    df = spark.createDataFrame([(f"{c}-{i // 1000}", *r) for i, (c, *r) in enumerate(data)], f"conv_id string, turn long, role string, parts array<{chat.PART}>")
+    got = rows(chat.read_back(chat.format_conversations(df)), "conv_id")
+    by_conv = {}
+    for i, (c, t, role, parts) in enumerate(data):
+        by_conv.setdefault(f"{c}-{i // 1000}", []).append((t, role, parts))
+    for name, turns in by_conv.items():
+        if len({t for t, _, _ in turns}) < len(turns):
+            continue  # turns that share a number are ordered by content
+        r, n, marks = got[name], 0, []
+        want = []
+        for _, role, parts in turns:
+            own = []
+            for p in parts:
+                kind, said, ref, units = p or (None, None, None, None)
+                if kind in (None, "text"):
+                    if said:
+                        own[-1:] = [("text", own[-1][1] + said, None)] if own and own[-1][0] == "text" and own[-1][2] is None else [*own[-1:], ("text", said, None)]
+                else:
+                    n += 1
+                    own.append((kind, None, n))
+                    marks.append((n, kind, ref, chat.TOKENS_PER_UNIT.get(kind, 1) * (units or 1)))
+            want.append((role or "", own))
+        assert [(t.role, [tuple(p) for p in t.parts]) for t in r.turns] == want
+        assert [tuple(a) for a in r.attachments] == marks
+
+
 # --- 3
 
 
+def test_rules_of_many_shapes(spark):
+    rng = random.Random(24)
+    hosts = [".".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(60)]
+    rules = sorted({(rng.choice(["allow", "block"]), h, "/" + "/".join(rng.choice("xy") for _ in range(rng.randint(0, 3)))) for h in hosts for _ in range(3)})
+    rules = list({(h, p): (v, h, p) for v, h, p in rules}.values())
+    urls = [f"http://{'.'.join(rng.choice('abc') for _ in range(rng.randint(1, 5)))}/{'/'.join(rng.choice('xy') for _ in range(rng.randint(0, 5)))}" for _ in range(300)]
+    df = spark.createDataFrame([(i, u, "own", "own", "own") for i, u in enumerate(urls)], "page_id long, path string, url_ string, rest_ string, won string")
+    got = {r.page_id: r for r in urlfilter.judge_urls(df, urlfilter.rules_frame(spark, rules), url="path").collect()}
+    for i, u in enumerate(urls):
+        host, path = u[7:].split("/", 1)[0], "/" + u[7:].split("/", 1)[1]
+        fits = [(len(h + p), len(h), v == "block", h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fits, default=None)
+        assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, best and best[3], best[4] if best else "allow")
+        assert (got[i].url_, got[i].rest_, got[i].won) == ("own", "own", "own")
+
+
 def test_url_filters(spark):
     urls = [None, "", "x.com/en/", "http://COM/en/x", "http://a.example.com/en/77?q#f", "http://notcom/en/", "http://b.net/de", "http://b.net/de/", "s://example.net/de/81", "http://x.org#/es/", "a?u=http://z.org/es/1", "http://Ä.com/en/", "http://a.com:80/en/"]
     df = spark.createDataFrame([(i, u, "kept") for i, u in enumerate([*urls, urls[4]])], "page_id long, url string, host string")
@@ -366,8 +422,12 @@ def test_simhash(spark):
     assert simhash.link_documents(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize(("words", "distance", "total", "direct", "small"), [(1, 3, None, 2048, 24), (1, 3, None, 16, 4), (3, 7, 12, 2048, 24), (3, 7, 12, 16, 4), (1, 5, None, 8, 2)])
-def test_links_connect_what_near_pairs_connect(spark, monkeypatch, words, distance, total, direct, small):
+@pytest.mark.parametrize(
+    ("words", "distance", "total", "direct", "small", "crowded"),
+    [(1, 3, None, 2048, 24, 1 << 16), (1, 3, None, 16, 4, 1 << 16), (3, 7, 12, 2048, 24, 1 << 16), (3, 7, 12, 16, 4, 6), (1, 5, None, 8, 2, 1 << 16), (1, 3, None, 16, 4, 4), (1, 0, None, 16, 4, 1)],
+)
+def test_links_connect_what_near_pairs_connect(spark, monkeypatch, words, distance, total, direct, small, crowded):
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
     monkeypatch.setattr(simhash, "DIRECT", direct)
     monkeypatch.setattr(simhash, "SMALL", small)
     rng = np.random.default_rng(4)
@@ -388,9 +448,14 @@ def test_links_connect_what_near_pairs_connect(spark, monkeypatch, words, distan
     assert brute.components(len(fp), lambda a, b: (a, b) in links or (b, a) in links) == brute.components(len(fp), near)
 
 
-@pytest.mark.parametrize("steps", [1, 40])
-def test_near_copies_are_those_of_the_exact_similarity(spark, steps):
-    """Pairs on either side of the similarity, far from what fingerprints can tell apart."""
+@pytest.mark.parametrize(("steps", "block"), [(1, 2048), (40, 2048), (40, 6)])
+def test_near_copies_are_those_of_the_exact_similarity(spark, monkeypatch, steps, block):
+    """Pairs on either side of the similarity, far from what fingerprints can tell apart; also in clusters of many blocks."""
+    monkeypatch.setattr(nearcopies, "BLOCK_NODES", block)
+    if block < 100:
+        monkeypatch.setattr(nearcopies, "HUBS", 2)
+        monkeypatch.setattr(nearcopies, "CROWDED", 3)
+        monkeypatch.setattr(simhash, "CROWDED", 8)
     rng = random.Random(20)
     vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(3000)]
     texts = []
@@ -468,35 +533,62 @@ def test_language_id(spark):
     data += [(200, None, "xx"), (201, "12 !?", "xx"), (202, "lora mipi", None), (203, "", None)]
     df = spark.createDataFrame(data, "doc_id long, text string, lang string")
     profiles = langid.learn_profiles(df.filter("doc_id % 2 = 0"))
-    assert [k for k, _ in profiles] == ["xx", "yy", "zz"]
+    assert sorted(r.lang for r in profiles.collect()) == ["xx", "yy", "zz"]
     got = rows(langid.predict(df.withColumn("score", F.lit("clash")), profiles, keep=["doc_id"]))
     assert all(got[i].lang_pred == lang for i, _, lang in data[:150])
     assert [got[i].lang_pred for i in (200, 201, 202, 203)] == ["und", "und", "xx", "und"]
     assert all(0 <= r.score <= 1 for r in got.values())
-    assert {r.lang_pred for r in langid.predict(df, [], keep=["doc_id"]).collect()} == {"und"}
-    assert langid.learn_profiles(df.limit(0)) == []
-
-
-def test_out_of_place_distance():
-    letters = langid.Letters()
-    grams, counts = langid.counted([langid.grams_of(letters.of("Ab, ab"))])
-    found = dict(zip(grams.tolist(), counts.tolist(), strict=True))
-    assert found[1] == 2 and found[2] == 2 and found[64 + 1 * 64 + 2] == 2 and found[64 + 4096 + (0 * 64 + 1) * 64 + 2] == 2
-    assert langid.top_grams(grams, counts, 2).tolist() == [1, 2]
-    assert langid.grams_of(letters.of("12 3")) is None
+    assert {r.lang_pred for r in langid.predict(df, profiles.limit(0), keep=["doc_id"]).collect()} == {"und"}
+    assert langid.learn_profiles(df.limit(0)).count() == 0 and langid.predict(df.limit(0), profiles).count() == 0
+
+
+def rank_order(texts, langs, size):
+    """Language and score of each text by a plain rank-order comparison."""
+    counts = [brute.grams(t) for t in texts]
+    total = {}
+    for c, k in zip(counts, langs, strict=True):
+        if k:
+            total.setdefault(k, Counter()).update(c)
+    order = lambda c: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:size]]
+    profiles = {k: order(c) for k, c in sorted(total.items()) if c}
+    out = []
+    for c in counts:
+        own = order(c)
+        if not own:
+            out.append(("und", 0.0))
+            continue
+        away = {k: sum(min(abs(i - p.index(g)), size) if g in p else size for i, g in enumerate(own)) for k, p in profiles.items()}
+        best = min(away, key=lambda k: (away[k], k))
+        out.append((best, 1 - away[best] / (size * len(own))))
+    return out
+
+
+@pytest.mark.parametrize(("piece", "languages"), [(1 << 20, 1024), (7, 2)])
+def test_out_of_place_distance(spark, monkeypatch, piece, languages):
+    monkeypatch.setattr(langid, "LANGUAGES", languages)
+    rng = random.Random(22)
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 90))) for letters in ["abc É.", "bcd é 1", "日本語 ab,", "ний\nмост", "αβγΣ "] for _ in range(12)] + ODD
+    langs = [[None, "a", "b", "c", "d", "e"][rng.randrange(6)] for _ in texts]
+    df = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(zip(texts, langs, strict=True))], "doc_id long, text string, lang string")
+    got = rows(langid.predict(df, langid.learn_profiles(df, size=20), keep=["doc_id"], size=20))
+    want = rank_order(texts, langs, 20)
+    assert [(got[i].lang_pred, pytest.approx(got[i].score)) for i in range(len(texts))] == want
 
 
 def test_texts_in_pieces(monkeypatch):
-    letters = langid.Letters()
-    whole = langid.counted(langid.pieces(letters, "abc def " * 20))
+    letters, rng = langid.Letters(), random.Random(23)
+    for piece in (1, 2, 3, 5, 1 << 20):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        for _ in range(150):
+            text = "".join(rng.choice("ab É. ,日\n") for _ in range(rng.randint(0, 14)))
+            grams, counts = langid.counted(langid.pieces(letters, text))
+            assert dict(zip(grams.tolist(), counts.tolist(), strict=True)) == brute.grams(text)
     monkeypatch.setattr(langid, "PIECE", 40)
-    parts = langid.pieces(letters, "abc def " * 20)
-    grams, counts = langid.counted(parts)
-    assert len(parts) == 4 and set(grams) == set(whole[0]) and counts.sum() == sum(map(len, parts))
-    total = langid.Totals()
+    total, parts = langid.Totals(), list(langid.pieces(letters, "abc def " * 200))
     for p in parts:
         total.add(p)
-    assert total.settle()[grams].tolist() == counts.tolist()
+    grams, counts = total.settle()
+    assert len(parts) > 30 and dict(zip(grams.tolist(), counts.tolist(), strict=True)) == brute.grams("abc def " * 200)
 
 
 # --- 10
