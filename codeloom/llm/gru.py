@@ -126,8 +126,8 @@ class Model:
             total[rows] += np.log((x[np.arange(len(rows)), words[rows] % self.per_class] / _totals(x)).astype(np.float64))
         return total
 
-    def gradients(self, inputs: np.ndarray, opens: np.ndarray, classes: np.ndarray, words: np.ndarray, h0: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        """Mean gradients over a window, and the last state."""
+    def gradients(self, inputs: np.ndarray, opens: np.ndarray, classes: np.ndarray, words: np.ndarray, h0: np.ndarray, real: np.ndarray | None = None) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Mean gradients over the tokens of a window (those where ``real``, if given), and the last state."""
         p, (steps, lanes) = self.p, inputs.shape
         hs, saved = self.states(inputs, opens, h0, keep=True)
         size = steps * lanes
@@ -136,6 +136,8 @@ class Model:
         x = _exp(h @ p["out"][:-1] + p["out"][-1])
         x *= (1 / _totals(x))[:, None]
         x[np.arange(size), c] -= 1
+        if real is not None:
+            x[~real.reshape(size)] = 0
         g["out"][:-1], g["out"][-1] = h.T @ x, np.ones(size, x.dtype) @ x
         dh = x @ p["out"][:-1].T
         for k, rows in self.by_class(w):
@@ -180,7 +182,7 @@ class Model:
         g["w"] = p["embed"][seen].T @ by_input
         g["embed"][seen] = by_input @ p["w"].T
         for v in g.values():
-            v /= size
+            v /= size if real is None else max(1, int(real.sum()))
         return g, hs[-1]
 
 
@@ -208,10 +210,12 @@ def train(params: dict[str, np.ndarray], inputs: np.ndarray, opens: np.ndarray,
         return np.concatenate([x, np.full(lanes * steps - n, fill, x.dtype)]).reshape(lanes, steps).T.copy()
 
     x, o, c, w = laid(inputs, 0), laid(opens, True), laid(classes, 0), laid(words, -1)
+    real = laid(np.ones(n, bool), False) if lanes * steps > n else None  # what fills the lanes up isn't trained on
     adam = Adam(params, rate)
     h = np.zeros((lanes, HIDDEN), np.float32)
     for at in range(0, steps, WINDOW):
-        g, h = Model(params).gradients(x[at : at + WINDOW], o[at : at + WINDOW], c[at : at + WINDOW], w[at : at + WINDOW], h)
+        part = slice(at, at + WINDOW)
+        g, h = Model(params).gradients(x[part], o[part], c[part], w[part], h, None if real is None else real[part])
         adam.step(g)
 
 

@@ -5,15 +5,18 @@ training rows. The base score is the smoothed unigram log10-probability.
 
 Model: a GRU gives the class of the next token; a frequent word then has a softmax within its class, any other token the
 smoothed share of its count within its tail class (by length, letters and last character), where unknown tokens have one
-share. So the probabilities of all tokens sum to one. Training: a first model on a small part of the texts gives the start;
-then every partition trains on all its training texts, and the weights are averaged by tokens. What reaches the driver is
-the ``FREQUENT`` most frequent words, sums by tail class and the weights, all of fixed size.
+share. So the probabilities of all tokens sum to one. Training: texts are dealt to shards by a hash of the row, about
+``SHARD`` tokens each; a first model is trained on at most ``SHARD`` tokens of the first shard; from it every shard trains
+on all its texts, in the order of their hashes, and the weights are averaged by tokens. So the model doesn't depend on how
+the input is split. What reaches the driver is the ``FREQUENT`` most frequent words, sums by tail class and the weights,
+all of fixed size.
 
-Scoring: texts are dealt to blocks of bounded size; each block's distinct words meet their counts in one join, and the block
-is scored as a whole, the state running through each complete text.
+Scoring: distinct texts are dealt to blocks of bounded size; each block's distinct words meet their counts in one join, and
+the block is scored as a whole, the state running through each complete text. Rows meet their text's score by its digest.
 
 Defined cases: null or empty text is an end alone; rows with null id are training rows; without training rows N and V are 0,
-nothing is known, every share is that of an unknown token; repeated rows count and are scored each.
+nothing is known, every share is that of an unknown token; repeated rows count each, train the network once and are scored
+each; other columns may be kept, but those named like a result.
 """
 
 from __future__ import annotations
@@ -24,11 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm import gru
-from codeloom.llm.common import table, written
+from codeloom.llm.common import fresh, table, written
 
 #: A word that no text has, as words hold no white space.
 END = b"\n"
@@ -40,11 +43,9 @@ BUCKETS = 256
 BLOCK_CHARS = 20 << 20
 #: Up to so many blocks are dealt one to a partition; among more, chance evens them out.
 EVEN_BLOCKS = 4096
-#: One text in so many makes the first model.
-FIRST_SHARE = 64
 LANES = 384
-#: Tokens trained on at once in a task.
-STREAM = 1 << 20
+#: Tokens of a shard, and tokens trained on at once.
+SHARD = 1 << 20
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -81,7 +82,24 @@ class Coder:
         self.n_words = len(frequent)
         self.n_inner = -(-len(frequent) // PER_CLASS)
         self.sizes = gru.shapes(len(frequent) + BUCKETS, self.n_inner + TAILS, len(frequent), PER_CLASS)
-        self.known = Remembered(self.code)
+        self.trained = Remembered(self.number)
+
+    def number(self, word: bytes) -> int:
+        """Input and class as one number below 2**15: that of a frequent word, else bucket and tail class after them."""
+        f = self.frequent.get(word)
+        return f if f is not None else self.n_words + bucket(word) * TAILS + tail_class(word)
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        if len(self.trained) > 300_000:
+            self.trained.clear()
+        return np.fromiter(map(self.trained.__getitem__, words), np.int16, len(words))
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Input, class and word by number."""
+        f, tail = np.arange(self.n_words), np.arange(BUCKETS * TAILS)
+        inputs = np.concatenate([f, self.n_words + tail // TAILS])
+        classes = np.concatenate([f // PER_CLASS, self.n_inner + tail % TAILS])
+        return inputs.astype(np.int16), classes.astype(np.int16), np.concatenate([f, np.full(len(tail), -1)]).astype(np.int16)
 
     def code(self, word: bytes) -> int:
         """Input, class and word in one number."""
@@ -107,11 +125,6 @@ class Coder:
                 out[k] = self.code(w)
         return out
 
-    def codes(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > 300_000:
-            self.known.clear()
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-
     @staticmethod
     def split(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Input, class and word of each code, as small integers."""
@@ -147,38 +160,82 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, tail int, n long").groupBy("word", "tail").agg(F.sum("n").alias("n"))
 
 
-def train_weights(docs: DataFrame, coder: Coder, weights: np.ndarray, rate: float) -> np.ndarray:
-    """One pass over all texts from these weights, in parallel; the average by tokens."""
-    sent = docs.sparkSession.sparkContext.broadcast((weights, list(coder.frequent)))
+def dealt(spark: SparkSession, df: DataFrame, n: int, name: str) -> DataFrame:
+    """Rows dealt by the column ``name`` (0 to n - 1): each value a partition of its own up to ``EVEN_BLOCKS`` values."""
+    if n > EVEN_BLOCKS:
+        return df.repartition(max(EVEN_BLOCKS, int(spark.conf.get("spark.sql.shuffle.partitions"))), name)
+    if n > 1:
+        df = df.withColumn(name, F.element_at(F.lit(even_keys(spark, n)), F.col(name) + 1))
+    return df.repartition(n, name)
+
+
+def code_texts(docs: DataFrame, coder: Coder) -> DataFrame:
+    """(shard, k1, k2, numbers) of rows (shard, k1, k2, text); a row met before in a task is left out."""
+    sent = docs.sparkSession.sparkContext.broadcast(list(coder.frequent))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, seen = Coder(sent.value), set()
+        for batch in batches:
+            at, out = [], []
+            for k, (key, t) in enumerate(zip(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True), batch.column(3).to_pylist(), strict=True)):
+                if key not in seen:
+                    seen.add(key)
+                    at.append(k)
+                    out.append(own.numbers([*tokens(t), END]).tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at, pa.int64())) for c in range(3)), pa.array(out, pa.binary())], names=["shard", "k1", "k2", "numbers"])
+
+    return docs.select("shard", "k1", "k2", "text").mapInArrow(run, "shard int, k1 long, k2 long, numbers binary")
+
+
+def train_weights(docs: DataFrame, coder: Coder, weights: np.ndarray, rate: float, n_shards: int, most: int | None = None) -> np.ndarray:
+    """One pass over all texts of each shard (of ``most`` tokens, if given) from these weights; the average by tokens."""
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast((weights, list(coder.frequent)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Coder(sent.value[1])
-        params = gru.unflat(sent.value[0].copy(), own.sizes)
-        held, opens, size, seen = [], [], 0, 0
+        tables = own.tables()
+        total, seen = np.zeros(len(sent.value[0])), 0
+        shard = key = params = None
+        held, opens, size, taken = [], [], 0, 0
 
         def learn() -> None:
-            codes, first = np.concatenate(held), np.zeros(size, bool)
+            numbers, first = np.concatenate(held), np.zeros(size, bool)
             first[opens] = True
-            inputs, classes, words = own.split(codes)
+            inputs, classes, words = (x[numbers] for x in tables)
             gru.train(params, own.shifted(inputs, first), first, classes, words, rate, LANES)
 
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                codes = own.codes([*tokens(t), END])
-                held.append(codes)
+            for s, *k, data in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                if s != shard:
+                    if size:
+                        learn()
+                    if taken:
+                        total += gru.flat(params).astype(np.float64) * taken
+                    shard, key, params = s, None, gru.unflat(sent.value[0].copy(), own.sizes)
+                    held, opens, size, taken = [], [], 0, 0
+                if k == key or most is not None and taken >= most:
+                    continue
+                key, numbers = k, np.frombuffer(data, np.int16)
+                if most is not None:
+                    numbers = numbers[: most - taken]
+                held.append(numbers)
                 opens.append(size)
-                size += len(codes)
-                seen += len(codes)
-                if size >= STREAM:
+                size += len(numbers)
+                taken += len(numbers)
+                seen += len(numbers)
+                if size >= SHARD:
                     learn()
                     held, opens, size = [], [], 0
         if size:
             learn()
+        if taken:
+            total += gru.flat(params).astype(np.float64) * taken
         if seen:
-            values = gru.flat(params).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values * seen), pa.array(np.full(len(values), float(seen)))], names=["i", "x", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total), pa.array(np.full(len(total), float(seen)))], names=["i", "x", "n"])
 
-    sums = docs.select("text").mapInArrow(run, "i int, x double, n double").groupBy("i").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+    coded = dealt(spark, code_texts(docs, coder), n_shards, "shard").sortWithinPartitions("shard", "k1", "k2")
+    sums = coded.mapInArrow(run, "i int, x double, n double").groupBy("i").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
     out = weights.astype(np.float64)
     for r in sums.collect():  # as many rows as the model has weights
         out[r.i] = r.x / r.n
@@ -210,9 +267,11 @@ def learn(docs: DataFrame, doc_id: str) -> tuple[Coder, np.ndarray, DataFrame, d
         mass[r.tail] -= r.n + 0.5
     ends = counts.filter("tail = -1").agg(F.max("n")).first()[0] or 0
     weights = gru.flat(first_weights(coder, np.array([ends, *(r.n for r in best)], np.float64) + 0.5, mass))
-    first = docs.filter(F.pmod(F.xxhash64(F.col(doc_id), F.col("text")), F.lit(FIRST_SHARE)) == 0).coalesce(1)
-    weights = train_weights(first, coder, weights, 0.02)
-    weights = train_weights(docs, coder, weights, 0.005)
+    n_shards = max(1, math.ceil((total.n or 0) / SHARD))
+    k1, k2 = F.xxhash64(F.col(doc_id), F.col("text")), F.xxhash64(F.lit(1), F.col("text"), F.col(doc_id))
+    rows = docs.select(F.pmod(k1, F.lit(n_shards)).cast("int").alias("shard"), k1.alias("k1"), k2.alias("k2"), "text")
+    weights = train_weights(rows.filter("shard = 0"), coder, weights, 0.02, n_shards, SHARD)
+    weights = train_weights(rows, coder, weights, 0.005, n_shards)
     return coder, weights, counts, {"n": total.n or 0, "v": total.v, "mass": mass}
 
 
@@ -223,23 +282,40 @@ def even_keys(spark: SparkSession, n: int) -> list[int]:
     return [found.get(p, p) for p in range(n)]
 
 
+def digest(text: Column) -> Column:
+    return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), 1, 32))
+
+
 def score_texts(df: DataFrame, learned: tuple[Coder, np.ndarray, DataFrame, dict], doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` with n_tokens, n_known, train_tokens, base_score, score."""
     coder, weights, counts, totals = learned
-    keep = [doc_id] if keep is None else keep
+    made = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    keep = [c for c in ([doc_id] if keep is None else keep) if c not in made]
     spark = df.sparkSession
     chars = df.agg(F.sum(F.length(text))).first()[0] or 0
     n_blocks = max(1, math.ceil(chars / BLOCK_CHARS))
-    block = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(n_blocks)).cast("int")
-    if 1 < n_blocks <= EVEN_BLOCKS:
-        block = F.element_at(F.lit(even_keys(spark, n_blocks)), block + 1)
-    docs = df.select(block.alias("block"), *keep, F.col(text).alias("text_"))
-    docs = docs.repartition(n_blocks, "block")
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first row of each text in a task, so that a text of very many rows isn't sent for each."""
+        seen: set[bytes] = set()
+        for batch in batches:
+            at = []
+            for k, key in enumerate(batch.column(1).to_pylist()):
+                if key not in seen:
+                    seen.add(key)
+                    at.append(k)
+            yield batch if len(at) == batch.num_rows else batch.take(pa.array(at, pa.int64()))
+
+    rows = df.select(digest(F.col(text)).alias("key"), F.col(text).alias("text"))
+    rows = rows.select(F.pmod(F.xxhash64("key"), F.lit(n_blocks)).cast("int").alias("block"), "key", "text").mapInArrow(once, "block int, key binary, text string")
+    docs = dealt(spark, rows, n_blocks, "block")
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[int, set] = {}
         for batch in batches:
             for block, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if block not in words and len(words) >= 4:
+                    yield emit(*words.popitem())
                 own = words.setdefault(block, set())
                 own.update(tokens(t))
                 if len(own) > 1_000_000:
@@ -250,11 +326,9 @@ def score_texts(df: DataFrame, learned: tuple[Coder, np.ndarray, DataFrame, dict
     def emit(block: int, own: set) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(own), block, np.int32)), pa.array(list(own), pa.binary())], names=["block", "word"])
 
-    met = docs.select("block", "text_").mapInArrow(distinct, "block int, word binary").join(counts.select("word", "n"), "word")  # a word twice in a block does no harm
+    met = docs.select("block", "text").mapInArrow(distinct, "block int, word binary").join(counts.select("word", "n"), "word")  # a word twice in a block does no harm
     end_count = counts.filter("tail = -1").agg(F.max("n")).first()[0] or 0
     sent = spark.sparkContext.broadcast((weights, list(coder.frequent), totals, end_count))
-    names = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), "n_tokens long, n_known long, train_tokens long, base_score double, score double"])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         weights, frequent, totals, end_count = sent.value
@@ -263,9 +337,13 @@ def score_texts(df: DataFrame, learned: tuple[Coder, np.ndarray, DataFrame, dict
         seen = dict(zip(right.column("word").to_pylist(), right.column("n").to_pylist(), strict=True))
         seen[END] = end_count
         number = Remembered(lambda _: len(number))
-        lists = []
-        for chunk in left.column("text_").chunks:
-            for t in chunk.to_pylist():
+        lists, keys, met_keys = [], [], set()
+        for chunk in left.select(["key", "text"]).to_batches():
+            for key, t in zip(chunk.column(0).to_pylist(), chunk.column(1).to_pylist(), strict=True):
+                if key in met_keys:
+                    continue
+                met_keys.add(key)
+                keys.append(key)
                 words = [*tokens(t), END]
                 lists.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
         lengths = np.array([len(x) for x in lists], np.int64)
@@ -284,16 +362,13 @@ def score_texts(df: DataFrame, learned: tuple[Coder, np.ndarray, DataFrame, dict
         inputs, classes, words = (x[ids] for x in own.split(codes))
         inner = np.bincount(doc, share[ids], len(lengths))
         logs = gru.score(params, lengths, own.shifted(inputs, opens), classes, words) / math.log(10)
-        columns = [
-            pa.array(lengths),
-            pa.array(np.bincount(doc, n[ids] > 0, len(lengths)).astype(np.int64)),
-            pa.array(np.full(len(lengths), totals["n"], np.int64)),
-            pa.array(np.bincount(doc, base[ids], len(lengths))),
-            pa.array(logs + inner),
-        ]
-        return pa.Table.from_arrays([*(left.column(c) for c in keep), *columns], names=[*keep, *names])
-
-    return docs.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(run, schema)
+        columns = [pa.array(lengths), pa.array(np.bincount(doc, n[ids] > 0, len(lengths)).astype(np.int64)), pa.array(np.bincount(doc, base[ids], len(lengths))), pa.array(logs + inner)]
+        return pa.Table.from_arrays([pa.array(keys, pa.binary()), *columns], names=["key", "n_tokens", "n_known", "base_score", "score"])
+
+    scored = docs.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(run, "key binary, n_tokens long, n_known long, base_score double, score double")
+    key = fresh([*keep, *made], "key")
+    out = df.select(*keep, digest(F.col(text)).alias(key)).join(scored.withColumnRenamed("key", key), key)
+    return out.withColumn("train_tokens", F.lit(totals["n"]).cast("bigint")).select(*keep, *made)
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -347,6 +347,25 @@ def test_every_step_is_trained(monkeypatch):
     assert seen == [gru.WINDOW] * 3 + [1]
 
 
+def test_padding_is_not_trained(monkeypatch):
+    """A stream that leaves places of the lanes empty trains as the same steps without these places do."""
+    rng, n = np.random.default_rng(5), 3 * gru.WINDOW * 7 - 2
+    data = rng.integers(0, 20, n), rng.random(n) < 0.1, rng.integers(2, 6, n), np.full(n, -1)
+    seen, real = [], gru.Model.gradients
+
+    def spy(self, x, o, c, w, h, mask=None):
+        out = real(self, x, o, c, w, h, mask)
+        again = real(self, x, o, np.where(mask, c, 3) if mask is not None else c, w, h, mask)  # what stands there has no effect
+        assert all((out[0][k] == again[0][k]).all() for k in out[0])
+        seen.append(x.size if mask is None else int(mask.sum()))
+        return out
+
+    monkeypatch.setattr(gru, "UPDATES", 1)
+    monkeypatch.setattr(gru.Model, "gradients", spy)
+    gru.train(gru.start(gru.shapes(20, 6, 10, 5), 1), *data, 0.01, lanes=7)
+    assert sum(seen) == n
+
+
 def test_probabilities_sum_to_one():
     p = gru.start(gru.shapes(20, 6, 10, 5), 2)
     h = np.random.default_rng(1).standard_normal((1, gru.HIDDEN)).astype(np.float32)
@@ -389,6 +408,32 @@ def test_lm_scoring(spark, monkeypatch):
     assert lmscore.score_texts(docs.limit(0), learned).count() == 0
 
 
+@pytest.mark.parametrize("shard", [1 << 20, 2000])
+def test_scores_do_not_depend_on_the_splits(spark, monkeypatch, shard):
+    monkeypatch.setattr(lmscore, "SHARD", shard)
+    texts = babble(25, 200, "abcdefgh", 60)
+    data = [(i if i % 7 else None, t, "own", "own") for i, t in enumerate(texts)] + [(None, texts[0], "own", "own")] * 40 + [(3, None, "own", "own")]
+    df = spark.createDataFrame(data, "doc_id long, text string, block string, key string")
+    found = []
+    for parts in (1, 3, 8):
+        docs = df.repartition(parts)
+        scored = lmscore.score_texts(docs, lmscore.learn(docs.filter("doc_id is null or doc_id % 5 <> 1"), "doc_id"), keep=["doc_id", "text", "block", "key"]).collect()
+        assert {(r.block, r.key) for r in scored} == {("own", "own")} and len(scored) == len(data)
+        found.append(sorted((str(r.doc_id), r.text or "", r.n_tokens, r.base_score, r.score) for r in scored))
+    for other in found[1:]:
+        assert [x[:3] for x in other] == [x[:3] for x in found[0]]
+        assert all(x[3:] == pytest.approx(y[3:], rel=1e-6) for x, y in zip(other, found[0], strict=True))
+
+
+def test_training_has_no_single_task_over_all_rows(spark, tmp_path):
+    frame(spark, babble(26, 50)).write.parquet(f"{tmp_path}/t")
+    docs = spark.read.parquet(f"{tmp_path}/t")
+    coder = lmscore.Coder([lmscore.END, b"a"])
+    rows = docs.select(F.lit(0).alias("shard"), F.xxhash64("text").alias("k1"), F.lit(0).cast("bigint").alias("k2"), "text")
+    coded = lmscore.dealt(spark, lmscore.code_texts(rows, coder), 4, "shard")
+    assert "Coalesce" not in coded._jdf.queryExecution().executedPlan().toString()
+
+
 def test_the_model_learns_order(spark):
     rng = random.Random(11)
     vocabulary = [f"w{k}" for k in range(40)]
