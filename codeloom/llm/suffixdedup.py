@@ -3,13 +3,14 @@
 1. Every string of ``length`` bytes has one anchor, its least ``GRAM``-byte piece by hash, the first of equal ones. Strings
    that are equal have equal anchors, so only starts that share an anchor can match. Each anchor stands for a run of
    starts; its block is the text of those strings.
-2. Blocks meet by anchor. Blocks that occur once more as a whole (by anchor and digest, 128 bits) are repeated in full, and
-   one of them stands for all. An anchor with but one distinct block needs nothing more.
+2. Blocks meet by anchor. Blocks that occur once more as a whole (by 128 bits of SHA-256) are repeated in full, and one of
+   them stands for all. An anchor with but one distinct block needs nothing more.
 3. The distinct blocks of the other anchors are dealt by anchor to shards of bounded size. Each shard gets its suffix array
    and common prefixes; the shards of an anchor that fills more than one are merged by binary search.
 
 An anchor with more than ``HOT`` distinct blocks (the edge of a passage that very many texts share) would be too much for
-one task. All its strings are dealt one by one instead, by a hash of the whole string, and found equal by hash and digest.
+one task. The strings of its distinct blocks are dealt one by one instead, by the same digest of the whole string. Which
+anchors these are is a table like all else; nothing is collected.
 
 Equal blocks are reduced within each batch before the shuffle, so a passage shared by a third of all rows sends one row a
 batch. Texts travel once by row, and only blocks in doubt travel by anchor.
@@ -24,14 +25,14 @@ character, ``kept_text`` drops the odd bytes (``kept_sha256`` is of the exact by
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import row_key, table, written
+from codeloom.llm.common import fresh, row_key, table, written
 from codeloom.llm.rolling import Sums, mixed
 from codeloom.llm.suffixarray import Merged, Shard
 
@@ -42,9 +43,7 @@ SEGMENT = 1 << 22
 #: Bytes of text in a shard.
 SHARD = 1 << 20
 #: Distinct blocks of an anchor that one task takes.
-HOT = 50_000
-#: Anchors with more than that, as many as are sent to the executors; where there would be more, ``HOT`` is raised.
-MOST_HOT = 1 << 20
+HOT = 8192
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -62,41 +61,28 @@ def anchors(text: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray
     return hashes[(least[first] & _PLACE).astype(np.int64)].view(np.int64), first, last
 
 
-def blocks(text: bytes, length: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(anchor hash, block digest, first start, last start) by segments."""
-    import xxhash
-
-    digest = xxhash.xxh3_64_intdigest
-    for at in range(0, len(text) - length + 1, SEGMENT):
-        part = text[at : at + SEGMENT + length - 1]
-        hashes, first, last = anchors(part, length, gram)
-        own = np.fromiter((digest(part[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(first))
-        yield hashes, own.view(np.int64), first + at, last + at
+def digests(parts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The first 128 bits of SHA-256 of each."""
+    sha = hashlib.sha256
+    both = np.frombuffer(b"".join([sha(p).digest()[:16] for p in parts]), np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
 
 
-def strings(text: bytes, length: int, gram: int, hot: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """As :func:`blocks`, for each single string of the anchors ``hot``: (hash of the string, digest, start, start)."""
-    import xxhash
-
-    digest = xxhash.xxh3_64_intdigest
+def blocks(text: bytes, length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(anchor hash, digest of the block in two halves, first start, last start) by segments."""
     for at in range(0, len(text) - length + 1, SEGMENT):
         part = text[at : at + SEGMENT + length - 1]
         hashes, first, last = anchors(part, length, gram)
-        pick = np.flatnonzero(np.isin(hashes, hot))
-        if len(pick):
-            starts = np.concatenate([np.arange(a, b + 1) for a, b in zip(first[pick].tolist(), last[pick].tolist(), strict=True)])
-            own = np.fromiter((digest(part[a : a + length]) for a in starts.tolist()), np.uint64, len(starts))
-            whole = Sums(part).ranges(starts, starts + length)
-            yield whole.view(np.int64), own.view(np.int64), starts + at, starts + at
+        yield hashes, *digests(part[a : b + length] for a, b in zip(first.tolist(), last.tolist(), strict=True)), first + at, last + at
 
 
 SPAN, BLOCK = 0, 1
-_BLOCKS = "kind int, anchor long, digest long, id long, th long, a int, b int"
+_BLOCKS = "kind int, anchor long, d1 long, d2 long, id long, th long, a int, b int"
 
 
 def _batch(columns: list[np.ndarray]) -> pa.RecordBatch:
     names = [f.split()[0] for f in _BLOCKS.split(", ")]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    kinds = [pa.int32(), *[pa.int64()] * 5, pa.int32(), pa.int32()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
@@ -111,47 +97,74 @@ def joined_spans(cols: list[np.ndarray]) -> list[np.ndarray]:
     return [i[at], th[at], a[at], np.maximum.reduceat(b, at)]
 
 
-def find_blocks(docs: DataFrame, length: int, gram: int, hot: list[int] | None = None) -> DataFrame:
-    """Rows of kind BLOCK to meet by anchor; rows of kind SPAN are blocks found twice in one batch.
+class Found:
+    """Blocks of a batch, equal ones combined: one row of kind BLOCK each, and rows of kind SPAN for those found twice."""
 
-    With ``hot``, the single strings of these anchors instead of the blocks of all.
-    """
-    sent = None if hot is None else docs.sparkSession.sparkContext.broadcast(np.array(hot, np.int64))  # at most MOST_HOT
+    def __init__(self) -> None:
+        self.rows: list[list[np.ndarray]] = [[], [], [], [], [], [], []]
+        self.size = 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: list[list[np.ndarray]] = [[], [], [], [], [], []]
-            size = 0
-            for i, th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                data = (text or "").encode()
-                for h, d, a, b in blocks(data, length, gram) if sent is None else strings(data, length, gram, sent.value):
-                    for to, x in zip(found, (h, d, np.full(len(h), i), np.full(len(h), th), a, b), strict=True):
-                        to.append(x)
-                size += len(data)
-                if size > 32 << 20:
-                    yield from combine(found)
-                    found, size = [[], [], [], [], [], []], 0
-            yield from combine(found)
+    def add(self, i: int, th: int, part: tuple[np.ndarray, ...]) -> None:
+        anchor, d1, d2, a, b = part
+        for to, x in zip(self.rows, (anchor, d1, d2, np.full(len(a), i), np.full(len(a), th), a, b), strict=True):
+            to.append(x)
+        self.size += len(a)
 
-    def combine(found: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        if not found[0]:
+    def take(self) -> Iterator[pa.RecordBatch]:
+        if not self.size:
             return
-        cols = [np.concatenate(x) for x in found]
-        order = np.lexsort((cols[1], cols[0]))
+        cols = [np.concatenate(x) for x in self.rows]
+        self.__init__()
+        order = np.lexsort((cols[2], cols[1], cols[0]))
         cols = [c[order] for c in cols]
-        same = (cols[0][1:] == cols[0][:-1]) & (cols[1][1:] == cols[1][:-1])
+        same = np.logical_and.reduce([c[1:] == c[:-1] for c in cols[:3]])
         first = np.concatenate([[True], ~same])
         twice = ~first
         twice[:-1] |= same
         at = np.flatnonzero(first)
         yield _batch([np.full(len(at), BLOCK), *(c[at] for c in cols)])
-        spans = joined_spans([c[twice] for c in cols[2:]])
+        spans = joined_spans([c[twice] for c in cols[3:]])
         if len(spans[0]):  # dealt by document, as their anchors may be one and the same
-            yield _batch([np.full(len(spans[0]), SPAN), mixed(spans[0].view(np.uint64)).view(np.int64), np.zeros(len(spans[0]), np.int64), *spans])
+            none = np.zeros(len(spans[0]), np.int64)
+            yield _batch([np.full(len(none), SPAN), mixed(spans[0].view(np.uint64)).view(np.int64), none, none, *spans])
+
+
+def find_blocks(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """Rows of kind BLOCK to meet by anchor; rows of kind SPAN are blocks found twice in one batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, size = Found(), 0
+            for i, th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                data = (text or "").encode()
+                for part in blocks(data, length, gram):
+                    found.add(i, th, part)
+                size += len(data)
+                if size > 32 << 20:
+                    yield from found.take()
+                    size = 0
+            yield from found.take()
 
     return docs.select("id", "th", "text").mapInArrow(run, _BLOCKS)
 
 
+def find_strings(cut: DataFrame, length: int) -> DataFrame:
+    """The same for every single string of blocks (anchor, id, th, a, block): dealt by their digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Found()
+        for batch in batches:
+            for _, i, th, a, block in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                n = len(block) - length + 1
+                d1, d2 = digests(block[k : k + length] for k in range(n))
+                found.add(i, th, (d1, d1, d2, np.arange(a, a + n), np.arange(a, a + n)))
+                if found.size > 1 << 18:
+                    yield from found.take()
+        yield from found.take()
+
+    return cut.mapInArrow(run, _BLOCKS)
+
+
 def meet(found: DataFrame) -> DataFrame:
     """Spans that are repeated, and blocks in doubt: one for each distinct block of an anchor that has several."""
 
@@ -163,7 +176,7 @@ def meet(found: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(i).to_numpy() for i in range(7)]
+            cols = [batch.column(i).to_numpy() for i in range(8)]
             spans = cols[0] == SPAN
             if spans.any():
                 yield _batch([c[spans] for c in cols])
@@ -174,7 +187,7 @@ def meet(found: DataFrame) -> DataFrame:
                 cols = [np.concatenate([[x], c]).astype(c.dtype) for x, c in zip(row, cols, strict=True)]
             n = len(cols[0])
             equal = np.zeros(n, bool)
-            equal[1:] = (cols[1][1:] == cols[1][:-1]) & (cols[2][1:] == cols[2][:-1])
+            equal[1:] = np.logical_and.reduce([c[1:] == c[:-1] for c in cols[1:4]])
             equal[0] = row is not None and row_equal
             twice = equal[:-1] | equal[1:]
             at = np.flatnonzero(twice)
@@ -199,15 +212,7 @@ def meet(found: DataFrame) -> DataFrame:
         if row is not None and row_equal:
             yield _batch([np.array([SPAN]), *(np.array([x]) for x in row[1:])])
 
-    return found.repartition("anchor").sortWithinPartitions("kind", "anchor", "digest").mapInArrow(run, _BLOCKS)
-
-
-def hot_anchors(doubt: DataFrame, hot: int) -> list[int]:
-    """Anchors with more than ``hot`` distinct blocks, or with so many more that there are at most MOST_HOT of them."""
-    counts = doubt.groupBy("anchor").count()
-    while counts.filter(F.col("count") > hot).limit(MOST_HOT + 1).count() > MOST_HOT:
-        hot *= 4
-    return [r.anchor for r in counts.filter(F.col("count") > hot).select("anchor").collect()]
+    return found.repartition("anchor").sortWithinPartitions("kind", "anchor", "d1", "d2").mapInArrow(run, _BLOCKS)
 
 
 def cut_blocks(docs: DataFrame, doubt: DataFrame, length: int) -> DataFrame:
@@ -313,17 +318,18 @@ def remove_repeats(
     names = [f.split()[0] for f in RESULT.split(", ")]
     keep = [c for c in (df.columns if keep is None else keep) if c not in names]
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), RESULT])
-    own = F.struct(*(df[c] for c in keep if c != text)).alias("own_")
+    own = F.struct(F.lit(None).cast("string").alias(fresh(keep, "none")), *(df[c] for c in keep if c != text)).alias("own_")
     key = F.hex(row_key(df[doc_id], df[text]))
     docs = df.select(half(key, 1).alias("id"), half(key, 17).alias("th"), df[text].alias("text"), own)
 
     found = written(meet(find_blocks(docs, length, gram)), "blocks")
     doubt = found.filter(F.col("kind") == BLOCK)
     spans = found.filter(F.col("kind") == SPAN).select("id", "th", "a", "b")
-    if many := hot_anchors(doubt, hot):
-        one_by_one = meet(find_blocks(docs, length, gram, many))
-        spans = spans.unionByName(one_by_one.filter(F.col("kind") == SPAN).select("id", "th", "a", "b"))
-        doubt = doubt.join(F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in many], "anchor long")), "anchor", "left_anti")
+    many = written(doubt.groupBy("anchor").count().filter(F.col("count") > hot).select("anchor"), "hot-anchors")
+    if not many.isEmpty():
+        strings = find_strings(cut_blocks(docs, doubt.join(many, "anchor", "left_semi"), length), length)
+        spans = spans.unionByName(meet(strings).filter(F.col("kind") == SPAN).select("id", "th", "a", "b"))
+        doubt = doubt.join(many, "anchor", "left_anti")
     spans = spans.unionByName(shard_spans(cut_blocks(docs, doubt, length), length, shard))
     removed = spans.groupBy("id", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
