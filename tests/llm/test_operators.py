@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 from collections import Counter
 
@@ -675,3 +676,104 @@ def test_one_word_over_and_over_after_others():
     line = b"three other words " + b"same " * 16
     assert quality.line_fails(line, line.split(), quality.Rules())
     assert not quality.line_fails(b"three other words and then same same same", b"three other words and then same same same".split(), quality.Rules())
+
+
+def test_punctuation_of_lines():
+    fails = lambda line: quality.line_fails(line.encode(), line.encode().split(), quality.Rules())
+    assert fails("THE!! ERHEAT!! TIHAING!! ERONBLE!! ANHAER!! THIS.") and fails("About us") and fails("Home page\u00a0")
+    for line in ["Yes.", "\u00abOui.\u00bb", "\u00bfQu\u00e9?", "\u201eJa.\u201c", "\u65e5\u672c\u3002", "She said: no, never, not once, and left.", "A line that was wrapped where no sentence ends"]:
+        assert not fails(line), line
+
+
+def test_common_lines_are_counted_over_documents(spark, monkeypatch):
+    rng = random.Random(27)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    prose = lambda n=30: " ".join(word() for _ in range(n)) + "."
+    heading, copied = "News of the river towns.", f"{prose()}\nA short line.\n{prose()}"
+    texts = [f"{heading}\n{prose()}\n{prose()}" for _ in range(30)] + [copied] * 40 + [f"{heading}\n{heading}\n{heading} {heading}"]
+    got = rows(quality.apply_quality(frame(spark, texts).repartition(3), clean=True))
+    assert all(got[i].kept and got[i].clean_text == texts[i].split("\n", 1)[1] for i in range(30))
+    assert all(got[i].kept and got[i].clean_text == copied for i in range(30, 70))
+    assert not got[70].kept
+    few = rows(quality.apply_quality(frame(spark, texts[:15]), clean=True))
+    assert all(few[i].clean_text == texts[i] for i in range(15))
+
+
+# --- all
+
+
+def test_columns_that_clash(spark):
+    """Columns of the caller named like the operators' own temporary ones are kept."""
+    names = ["text_", "block", "key", "key_", "own_", "id", "th", "row", "node", "shard", "spans", "url_", "won"]
+    text = " ".join(f"word{k} and" for k in range(40))
+    df = spark.createDataFrame([(i, f"{text} {i} end.", "en", *["mine"] * len(names)) for i in range(4)], ", ".join(["doc_id long, text string, lang string", *(f"{n} string" for n in names)]))
+    items = spark.createDataFrame([("item", "nothing of the kind is in any of these")], "item_id string, text string")
+    made = [
+        bpe.encode(df),
+        quality.apply_quality(df),
+        langid.predict(df, langid.learn_profiles(df)),
+        lmscore.score_texts(df, lmscore.learn(df, "doc_id"), keep=df.columns),
+        suffixdedup.remove_repeats(df, length=20, gram=8),
+        decontam.remove_leaks(df, items),
+        urlfilter.judge_urls(df, urlfilter.rules_frame(spark, urlfilter.CONTRACT_RULES), url="text"),
+    ]
+    for out in made:
+        got = out.collect()
+        assert len(got) == 4 and all(r[n] == "mine" for r in got for n in names)
+    assert all(r[n] == "mine" for r in simhash.deduplicate(df).collect() for n in names)
+
+
+def test_ids_of_other_types(spark):
+    text = "a passage that two rows hold in full, long enough"
+    df = spark.createDataFrame([("a", text), ("b", text), (None, "another text"), ("a", "x")], "doc_id string, text string")
+    items = spark.createDataFrame([("q1", "a passage that two rows hold"), (None, "another text")], "item_id string, text string")
+    assert sorted(map(str, ((r.doc_id, r.item_id) for r in decontam.find_leaks(df, items, short=True).collect()))) == sorted(map(str, [("a", "q1"), ("b", "q1"), (None, None)]))
+    assert sorted(r.n_removed for r in suffixdedup.remove_repeats(df, length=20, gram=8).collect()) == [0, 0, len(text), len(text)]
+    assert sorted(str(r.doc_id) for r in simhash.deduplicate(df).collect()) == ["None", "a", "a"]
+    assert {r.component_id for r in simhash.link_documents(df.filter("text like '%passage%'")).collect()} == {"a"}
+
+
+def test_long_texts(spark):
+    """Texts of megabytes, longer than any piece, segment or block that the operators cut."""
+    rng = random.Random(28)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 9))) for _ in range(5000)]
+    long = " ".join(rng.choice(vocabulary) for _ in range(500_000))
+    texts = [long, long + " tail", "short one"]
+    df = frame(spark, texts).withColumn("lang", F.lit("xx"))
+    assert [r.fp % 2**64 for r in sorted(simhash.link_documents(df).collect())] == [brute.fingerprint(t) for t in texts]
+    assert {r.doc_id for r in simhash.deduplicate(df).collect()} == {0, 2}
+    removed = rows(suffixdedup.remove_repeats(df, keep=["doc_id"]))
+    assert (removed[0].n_removed, removed[1].n_removed, removed[2].n_removed) == (len(long), len(long), 0)
+    item = spark.createDataFrame([(0, " ".join(long.split()[-30:]))], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontam.find_leaks(df, item).collect()) == [0, 1]
+    encoded = rows(bpe.encode(df, keep=["doc_id"]))
+    assert [encoded[i].decoded_sha256 for i in range(3)] == [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+    assert {r.lang_pred for r in langid.predict(df, langid.learn_profiles(df)).collect()} == {"xx"}
+    assert [rows(quality.apply_quality(df))[i].n_words for i in range(3)] == [500_000, 500_001, 2]
+
+
+def test_folders(spark, monkeypatch, tmp_path):
+    """Tables that nothing reads any more are deleted; off a local master there is no folder of this machine."""
+    with common.passing(spark):
+        path = common.shared_folder(spark, "passing")
+        df = common.written_to(spark.range(3), path)
+        assert df.count() == 3 and os.path.exists(path.removeprefix("file://"))
+    assert not os.path.exists(path.removeprefix("file://"))
+
+    class Far:
+        master = "spark://far:7077"
+
+        class _jsc:
+            sc = staticmethod(lambda: Far)
+
+        getCheckpointDir = staticmethod(lambda: Far)
+        isDefined = staticmethod(lambda: False)
+
+    class Session:
+        sparkContext = Far
+
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        common._shared_root(Session)
