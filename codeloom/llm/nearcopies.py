@@ -308,10 +308,9 @@ def verified(members: DataFrame, proposals: DataFrame, similarity: float, least:
     large = written(members.groupBy("cluster").agg(blocks).filter("blocks > 1"), "large-clusters")
     some = not large.isEmpty()
     small = members.join(large, "cluster", "left_anti") if some else members
-    links = unit_links(small.withColumn("group", F.col("node")), ["cluster"], similarity, least)
-    if some:
-        links = links.unionByName(large_links(members.join(large, "cluster"), proposals, similarity, least))
-    return components(links)
+    # a cluster of one block is linked in one task, each node to the first that it is connected with
+    roots = unit_links(small.withColumn("group", F.col("node")), ["cluster"], similarity, least).select(F.col("b").alias("node"), F.col("a").alias("root"))
+    return roots.unionByName(components(large_links(members.join(large, "cluster"), proposals, similarity, least))) if some else roots
 
 
 def link_near_copies(df: DataFrame, doc_id: str, text: str, shingle: int, distance: int, similarity: float) -> DataFrame:
