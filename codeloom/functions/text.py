@@ -59,9 +59,9 @@ def strip_outer_parens(s: Column) -> Column:
 
 
 def receiver_type(s: Column) -> Column:
-    """The type of a method's receiver: last field, without pointer and type parameters."""
-    inner = strip_outer_parens(s)
-    return F.substring_index(F.regexp_replace(F.element_at(F.split(inner, " "), -1), r"^\*+", ""), "[", 1)
+    """The type of a method's receiver: last field before any type parameters, without pointer."""
+    inner = F.trim(F.substring_index(strip_outer_parens(s), "[", 1))
+    return F.regexp_replace(F.element_at(F.split(inner, " "), -1), r"^\*+", "")
 
 
 def strip_type_arguments(s: Column) -> Column:

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 
 def parse_name_status(lines: DataFrame, line: str = "value") -> DataFrame:
-    """(path, status) from lines of status and paths: the first letter, the last field; blank lines go."""
-    fields = F.split(F.trim(F.col(line)), r"\s+")
+    """(path, status) from lines of status and paths: the first letter, the last field; blank lines go.
+
+    Fields stand between tabs, as paths may hold blanks; a line without tabs is split at white space.
+    """
+    fields = F.when(F.col(line).contains("\t"), F.split(F.col(line), r"\t+")).otherwise(F.split(F.trim(F.col(line)), r"\s+"))
     rows = lines.filter(F.trim(F.col(line)) != "").filter(F.size(fields) >= 2)
-    return rows.select(F.element_at(fields, -1).alias("path"), F.substring(F.element_at(fields, 1), 1, 1).alias("status"))
+    return rows.select(F.element_at(fields, -1).alias("path"), F.substring(F.trim(F.element_at(fields, 1)), 1, 1).alias("status"))
 
 
 def change_kind(status: Column) -> Column:

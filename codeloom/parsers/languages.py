@@ -6,7 +6,7 @@ import ast
 import re
 from collections.abc import Callable
 
-from codeloom.parsers.scan import IDENT, Found, Source, Symbol, func_signature, squeeze
+from codeloom.parsers.scan import IDENT, Around, Found, Source, Symbol, func_signature, inside, squeeze
 
 _KEYWORDS = frozenset(
     b"if for while switch catch return func function fn match else elif do try with typeof await yield super throw case in of select go defer range synchronized assert import require impl where as loop unsafe move new delete void instanceof sizeof".split()
@@ -42,8 +42,8 @@ def _go_type_word(code: bytes, at: int) -> str:
 
 
 def _go_receiver(text: str) -> str:
-    inner = squeeze(text.strip()[1:-1])
-    return inner.split(" ")[-1].lstrip("*").split("[", 1)[0] if inner else ""
+    inner = squeeze(text.strip()[1:-1].split("[", 1)[0])
+    return inner.split(" ")[-1].lstrip("*") if inner else ""
 
 
 def _go_body(src: Source, i: int) -> int | None:
@@ -126,8 +126,8 @@ def parse_go(data: bytes) -> Found:
                 for name in re.findall(IDENT, names[0]):
                     out.symbols.append(Symbol(kind, name.decode("utf-8", "replace"), m.start(), stop, "", "", src.comment_before(m.start())))
             i = src.skip(src.statement_end(i) + 1)
-    specs = [(m.end() - 1, src.match.get(m.end() - 1, 0)) for m in re.finditer(rb"\binterface\s*\{", code)]
-    out.calls = [c for c in src.calls(_GO_KEYWORDS, declared) if not any(a < c[0] < b for a, b in specs)]
+    in_spec = inside([(m.end(), src.match.get(m.end() - 1, 0)) for m in re.finditer(rb"\binterface\s*\{", code)])
+    out.calls = [c for c in src.calls(_GO_KEYWORDS, declared) if not in_spec(c[0])]
     return out
 
 
@@ -169,15 +169,16 @@ def _params(src: Source, i: int) -> int | None:
 
 
 def _script(data: bytes, typed: bool) -> Found:
-    src = Source(data, [(b'"', b'"', True), (b"'", b"'", True), (b"`", b"`", True)])
+    src = Source(data, [(b'"', b'"', True), (b"'", b"'", True)], template=b"`")
     out, code, declared = Found(), src.code, set()
 
     def comment(at: int) -> str:
-        lead = re.search(rb"(?:\b(?:export|default|declare|abstract)\s+)+$", code[:at])
-        return src.comment_before(lead.start() if lead else at)
+        window = max(0, at - 256)
+        lead = re.search(rb"(?:\b(?:export|default|declare|abstract)\s+)+$", code[window:at])
+        return src.comment_before(window + lead.start() if lead else at)
 
     for m in re.finditer(rb"(?<![\w$.])(?:async\s+)?function\s+(" + IDENT + rb")", code):
-        before = code[: m.start()].rstrip()
+        before = src.before(m.start())
         paren = _params(src, m.end())
         if paren is None:
             continue
@@ -190,7 +191,7 @@ def _script(data: bytes, typed: bool) -> Found:
             out.symbols.append(Symbol("function", name, m.start(), src.match[body] + 1, func_signature("", name, params), "", comment(m.start()), params))
     for m in re.finditer(rb"(?<![\w$.])(?:abstract\s+)?class\s+(" + IDENT + rb")", code):
         body = code.find(b"{", m.end())
-        before = code[: m.start()].rstrip()
+        before = src.before(m.start())
         if body < 0 or body not in src.match or before[-1:] in (b"=", b"(", b","):
             continue
         name, end = m[1].decode("utf-8", "replace"), src.match[body]
@@ -224,8 +225,8 @@ def _script(data: bytes, typed: bool) -> Found:
             end += code[end : end + 1] == b";"
             name = m[1].decode("utf-8", "replace")
             out.symbols.append(Symbol("type", name, m.start(), end, f"type {name} type", "", comment(m.start())))
-    shapes = [(s.start, s.end) for s in out.symbols if s.kind in ("interface", "type")]
-    out.calls = [c for c in src.calls(_KEYWORDS, declared) if not any(a <= c[0] < b for a, b in shapes)]
+    in_shape = inside([(s.start, s.end) for s in out.symbols if s.kind in ("interface", "type")])
+    out.calls = [c for c in src.calls(_KEYWORDS, declared) if not in_shape(c[0])]
     return out
 
 
@@ -246,8 +247,8 @@ def parse_rust(data: bytes) -> Found:
     out, code, declared = Found(), src.code, set()
 
     def comment(at: int) -> str:
-        while (a := re.search(rb"#!?\[[^\]\n]*\]\s*$", code[:at])) is not None:
-            at = a.start()
+        while (a := re.search(rb"#!?\[[^\]\n]*\]\s*$", code[(window := max(0, at - 4096)) : at])) is not None:
+            at = window + a.start()
         return src.comment_before(at)
 
     homes: list[tuple[int, int, str]] = []
@@ -262,6 +263,7 @@ def parse_rust(data: bytes) -> Found:
             homes.append((body, src.match[body], re.sub(r"^&?(?:'\w+\s+)?(?:mut\s+)?", "", target).strip()))
         else:
             homes.append((body, src.match[body], ""))
+    around = Around(homes)
     lead = rb"((?:pub(?:\s*\([^)]*\))?\s+)?(?:(?:default|const|async|unsafe|extern)\s+)*)"
     for m in re.finditer(rb"(?<![\w.])" + lead + rb"fn\s+(" + IDENT + rb")", code):
         paren = _params(src, m.end())
@@ -272,16 +274,17 @@ def parse_rust(data: bytes) -> Found:
         semi = code.find(b";", src.match[paren])
         if body < 0 or 0 <= semi < body or body not in src.match:
             continue
-        home = max((h for h in homes if h[0] < m.start() < h[1]), default=None)
+        home = (around(m.start()) or [None])[-1]
         receiver, start = home[2] if home else "", m.start()
         name, params = m[2].decode("utf-8", "replace"), squeeze(src.text(paren + 1, src.match[paren]))
         if home and not receiver:  # a default method of a trait
             continue
         out.symbols.append(Symbol("method" if receiver else "function", name, start, src.match[body] + 1, func_signature(receiver, name, params), receiver, comment(start), params))
+    in_home = inside([(a + 1, b) for a, b, _ in homes])
     for m in re.finditer(rb"(?m)^[ \t]*((?:pub(?:\s*\([^)]*\))?\s+)?(?:unsafe\s+)?)(struct|enum|trait|type|const)\s+(" + IDENT + rb")", code):
         start = m.start(1) if m[1] else m.start(2)
         word, name = m[2].decode(), m[3].decode("utf-8", "replace")
-        if any(a < start < b for a, b, _ in homes) or m[3] == b"fn":
+        if in_home(start) or m[3] == b"fn":
             continue
         stop = src.statement_end(m.end(), b";")
         brace = code.find(b"{", m.end())
@@ -311,6 +314,7 @@ def parse_java(data: bytes) -> Found:
         homes.append((body, src.match[body], name, word))
         out.symbols.append(Symbol("interface" if word == "interface" else "type", name, start, src.match[body] + 1, f"type {name} {word}", "", src.comment_before(start)))
     member = re.compile(modifiers + rb"(?:<[^<>]*(?:<[^<>]*>[^<>]*)*>\s*)?([A-Za-z_$][\w$.]*(?:\s*<[^;(){}]*>)?(?:\s*\[\s*\])*)\s+(" + IDENT + rb")\s*\(")
+    homes_around = Around(homes)
     for m in member.finditer(code):
         paren = m.end() - 1
         kind = m[2].split(b"<")[0].split()[0]
@@ -319,10 +323,10 @@ def parse_java(data: bytes) -> Found:
         after = src.skip(src.match[paren] + 1)
         throws = re.compile(rb"throws\s+[\w.,\s$]+").match(code, after)
         after = src.skip(throws.end()) if throws else after
-        around = [h for h in homes if h[0] < m.start() < h[1]]
+        around = list(homes_around(m.start()))
         if not around:
             continue
-        if code[after : after + 1] == b";" and max(around)[3] == "interface":
+        if code[after : after + 1] == b";" and around[-1][3] == "interface":
             declared.add(paren)
         if code[after : after + 1] != b"{" or after not in src.match:
             continue
@@ -331,7 +335,7 @@ def parse_java(data: bytes) -> Found:
             continue
         start = m.start(1) if m[1] else m.start(2)
         classes = [h for h in around if h[3] == "class"]
-        receiver = max(classes)[2] if classes else ""
+        receiver = classes[-1][2] if classes else ""
         name, params = m[3].decode("utf-8", "replace"), squeeze(src.text(paren + 1, src.match[paren]))
         out.symbols.append(Symbol("method", name, start, src.match[after] + 1, func_signature(receiver, name, params), receiver, src.comment_before(start), params))
     for body, end, name, _ in homes:  # constructors are no calls

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import posixpath
+import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,15 +18,34 @@ from codeloom.parsers.scan import first_sentence, template
 from codeloom.schemas import PARSED, names
 
 COLUMNS = names(PARSED)
-KINDS = {"ordinal": pa.int32(), "byte_start": pa.int32(), "byte_end": pa.int32(), "line_start": pa.int32(), "line_end": pa.int32(), "depth": pa.int32()}
+KINDS = {"ordinal": pa.int32(), "byte_start": pa.int32(), "byte_end": pa.int32(), "line_start": pa.int32(), "line_end": pa.int32(), "depth": pa.int32(), "secret": pa.bool_()}
 
 
 def symbol_id(qualified_name: str) -> str:
     return hashlib.sha256(qualified_name.encode()).hexdigest()[:8]
 
 
-def parse_file(path: str, language: str, data: bytes) -> list[dict]:
-    """Rows of :data:`PARSED`: symbols in order, then edges; one error row for a source that can't be parsed."""
+def smallest_around(rows: list[dict], places: list[int]) -> list[int | None]:
+    """For each place the smallest of the rows, sorted by ``byte_start``, that holds it, the first of equal ones: one sweep."""
+    out: list[int | None] = [None] * len(places)
+    heap: list[tuple[int, int]] = []
+    at = 0
+    for i in sorted(range(len(places)), key=places.__getitem__):
+        while at < len(rows) and rows[at]["byte_start"] <= places[i]:
+            heappush(heap, (rows[at]["byte_end"] - rows[at]["byte_start"], at))
+            at += 1
+        while heap and rows[heap[0][1]]["byte_end"] <= places[i]:  # holds none of the places to come
+            heappop(heap)
+        if heap:
+            out[i] = heap[0][1]
+    return out
+
+
+def parse_file(path: str, language: str, data: bytes, secrets: Sequence[re.Pattern] = ()) -> list[dict]:
+    """Rows of :data:`PARSED`: symbols in order, then edges; one error row for a source that can't be parsed.
+
+    A constant or variable in whose source one of ``secrets`` is found is marked.
+    """
     parser = PARSERS.get(language)
     if parser is None:
         return []
@@ -59,29 +80,28 @@ def parse_file(path: str, language: str, data: bytes) -> list[dict]:
             "line_end": bisect_right(lines, max(s.end - 1, s.start)),
             "parent_id": around[-1][2] if around else (symbol_id(f"{folder}.{s.receiver}") if s.receiver else None),
             "depth": len(around),
+            "content_hash": hashlib.sha256(data[s.start : s.end]).hexdigest()[:16],
+            "secret": s.kind in ("const", "var") and any(p.search(data[s.start : s.end].decode("latin-1")) for p in secrets),
         }
         rows.append(row)
         stack.append((s.start, s.end, row["id"]))
-    own = [(r["byte_end"] - r["byte_start"], k, r) for k, r in enumerate(rows)]
-    seen = set()
-    for at, raw in found.calls:
-        around = [(size, k, r) for size, k, r in own if r["byte_start"] <= at < r["byte_end"]]
-        if around:
-            caller = min(around)[2]["id"]
-            if (caller, raw) not in seen:
-                seen.add((caller, raw))
-                rows.append({"record": "edge", "file": path, "ordinal": len(rows), "caller_id": caller, "raw_expression": raw, "confidence": "dynamic"})
+    callers, seen = smallest_around(rows, [at for at, _ in found.calls]), set()
+    for (_, raw), k in zip(found.calls, callers, strict=True):
+        if k is not None and (rows[k]["id"], raw) not in seen:
+            seen.add((rows[k]["id"], raw))
+            rows.append({"record": "edge", "file": path, "ordinal": len(rows), "caller_id": rows[k]["id"], "raw_expression": raw, "confidence": "dynamic"})
     return rows
 
 
-def parse_files(files: DataFrame) -> DataFrame:
+def parse_files(files: DataFrame, secret_patterns: Sequence[str] = ()) -> DataFrame:
     """:data:`PARSED` rows of files (path, language, content)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        secrets = [re.compile(p, re.ASCII) for p in secret_patterns]
         for batch in batches:
             rows = []
             for path, language, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                rows += parse_file(path, language, data or b"")
+                rows += parse_file(path, language, data or b"", secrets)
             yield pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], KINDS.get(c, pa.string())) for c in COLUMNS], names=COLUMNS)
 
     usable = files.filter(F.col("language").isin(sorted(PARSERS))).select("path", "language", F.col("content").cast("binary").alias("content"))

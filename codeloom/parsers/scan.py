@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 OPEN, CLOSE = b"([{", b")]}"
@@ -53,24 +54,84 @@ def func_signature(receiver: str, name: str, params: str) -> str:
     return f"func {f'({receiver}) ' if receiver else ''}{name}({params})"
 
 
+def inside(spans: list[tuple[int, int]]) -> Callable[[int], bool]:
+    """Whether a place lies in one of the spans [start, end)."""
+    starts, ends = [], []
+    for a, b in sorted(spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return lambda at: (k := bisect_right(starts, at)) > 0 and at < ends[k - 1]
+
+
+class Around:
+    """The nested spans (start, end, ...) that hold a place, outermost first, for places in ascending order."""
+
+    def __init__(self, spans: list[tuple]) -> None:
+        self.spans, self.at, self.open = sorted(spans, key=lambda s: (s[0], -s[1])), 0, []
+
+    def __call__(self, place: int) -> list[tuple]:
+        while self.at < len(self.spans) and self.spans[self.at][0] < place:
+            while self.open and self.open[-1][1] <= self.spans[self.at][0]:
+                self.open.pop()
+            self.open.append(self.spans[self.at])
+            self.at += 1
+        while self.open and self.open[-1][1] <= place:
+            self.open.pop()
+        return self.open
+
+
 class Source:
     """A file with its strings and comments blanked, byte for byte."""
 
-    def __init__(self, data: bytes, literals: list[tuple[bytes, bytes, bool]], line: tuple[bytes, ...] = (b"//",), block: tuple[bytes, bytes] | None = (b"/*", b"*/"), nested: bool = False, char: bool = False) -> None:
-        """``literals``: opening, closing, whether a backslash escapes. ``char``: a quote may also begin a lifetime."""
-        self.data = data
-        code, self.comments, i, n = bytearray(data), [], 0, len(data)
-        openers = [re.escape(x) for x in line] + ([re.escape(block[0])] if block else []) + [re.escape(a) for a, _, _ in literals] + ([rb"'"] if char else [])
-        find = re.compile(b"|".join(sorted(openers, key=len, reverse=True)))
-        while (m := find.search(data, i)) is not None:
+    def __init__(
+        self,
+        data: bytes,
+        literals: list[tuple[bytes, bytes, bool]],
+        line: tuple[bytes, ...] = (b"//",),
+        block: tuple[bytes, bytes] | None = (b"/*", b"*/"),
+        nested: bool = False,
+        char: bool = False,
+        template: bytes = b"",
+    ) -> None:
+        """``literals``: opening, closing, whether a backslash escapes. ``char``: a quote may also begin a lifetime.
+        ``template``: the quote of strings whose ``${...}`` hold code, which stays."""
+        self.data, self.literals, self.line, self.block, self.nested, self.template = data, literals, line, block, nested, template
+        self.bytes, self.comments = bytearray(data), []
+        openers = [re.escape(x) for x in line] + ([re.escape(block[0])] if block else []) + [re.escape(a) for a, _, _ in literals] + ([rb"'"] if char else []) + ([re.escape(template)] if template else [])
+        openers = sorted(openers, key=len, reverse=True)
+        self.find, self.find_within = re.compile(b"|".join(openers)), re.compile(b"|".join([*openers, rb"[{}]"]))
+        self._blank_all(char)
+        self.code = bytes(self.bytes)
+        self.match = self._brackets()
+
+    def _blank(self, a: int, b: int) -> None:
+        self.bytes[a:b] = re.sub(rb"[^\n]", b" ", self.data[a:b])
+
+    def _blank_all(self, char: bool) -> None:
+        data, i, n = self.data, 0, len(self.data)
+        depths: list[int] = []  # of braces, for each ``${`` that is open
+        while (m := (self.find_within if depths else self.find).search(data, i)) is not None:
             at, what = m.start(), m[0]
-            if what in line:
+            if depths and what in (b"{", b"}"):
+                depths[-1] += 1 if what == b"{" else -1
+                i = at + 1
+                if depths[-1] < 0:  # the rest of the template
+                    depths.pop()
+                    i = self._template(at, i, depths)
+                continue
+            if what in self.line:
                 end = data.find(b"\n", at)
                 end = n if end < 0 else end
                 self.comments.append((at, end))
-            elif block and what == block[0]:
-                end = self._block_end(data, m.end(), block, nested)
+            elif self.block and what == self.block[0]:
+                end = self._block_end(data, m.end(), self.block, self.nested)
                 self.comments.append((at, end))
+            elif what == self.template:
+                i = self._template(at, m.end(), depths)
+                continue
             elif char and what == b"'":
                 c = re.compile(rb"'(?:\\(?:u\{[^}]*\}|x[0-9A-Fa-f]{2}|.)|[^'\\\n\x80-\xff]|[\xc0-\xff][\x80-\xbf]+)'", re.S).match(data, at)
                 if not c:
@@ -78,14 +139,29 @@ class Source:
                     continue
                 end = c.end()
             else:
-                close, escapes = next((b, e) for a, b, e in literals if a == what)
+                close, escapes = next((b, e) for a, b, e in self.literals if a == what)
                 end = self._literal_end(data, m.end(), close, escapes)
-            for k in range(at, end):
-                if code[k] != 10:
-                    code[k] = 32
+            self._blank(at, end)
             i = max(end, at + 1)
-        self.code = bytes(code)
-        self.match = self._brackets()
+
+    def _template(self, at: int, i: int, depths: list[int]) -> int:
+        """Blanks a template's text from ``at`` up to its end or the next code in it; what is read next begins there.
+        The borders of code become commas."""
+        for m in re.compile(rb"\\.|\$\{|" + re.escape(self.template), re.S).finditer(self.data, i):
+            if m[0] == b"${":
+                depths.append(0)
+                self._blank(at, m.end())
+                self.bytes[m.start()] = 44
+                break
+            if m[0] == self.template:
+                self._blank(at, m.end())
+                break
+        else:
+            self._blank(at, len(self.data))
+            return len(self.data)
+        if self.data[at] == 125:
+            self.bytes[at] = 44
+        return m.end()
 
     @staticmethod
     def _block_end(data: bytes, i: int, block: tuple[bytes, bytes], nested: bool) -> int:
@@ -131,6 +207,10 @@ class Source:
             i += 1
         return i
 
+    def before(self, at: int, window: int = 256) -> bytes:
+        """The code before a place, without white space at its end, as far back as a look at single words needs."""
+        return self.code[max(0, at - window) : at].rstrip()
+
     def comment_before(self, at: int) -> str:
         """The comments that stand directly before, joined by line ends."""
         found, k = [], bisect_left(self.comments, (at, 0)) - 1
@@ -182,7 +262,7 @@ class Source:
             if paren in declared or m[1] in keywords or paren not in self.match:
                 continue
             begin = self.expression_start(m.end(1))
-            before = self.code[:begin].rstrip()
+            before = self.before(begin)
             if before.endswith(b"new") and re.search(rb"\bnew$", before) or re.search(rb"\b(?:func|function|fn|class)$", before):
                 continue
             out.append((begin, self.text(begin, self.match[paren] + 1)))
