@@ -20,6 +20,7 @@ VARIABLES = {
 @dataclass
 class Config:
     cache_root: str = field(default_factory=lambda: os.path.expanduser("~/.codeloom"))
+    cache_shared: bool = False
     log_level: str = "WARNING"
     log_file: str = ""
     max_file_bytes: int = 2 << 20
@@ -39,7 +40,7 @@ def load(path: str | None = None, environ: dict[str, str] | None = None) -> Conf
     out = Config()
     if root := environ.get(VARIABLES["cache_root"]):
         out.cache_root = root
-    path = path or os.path.join(out.cache_root, "config.toml")
+    path = path or os.path.join(out.cache_root if "://" not in out.cache_root else os.path.expanduser("~/.codeloom"), "config.toml")
     if os.path.exists(path):
         with open(path, "rb") as f:
             said = tomllib.load(f)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import time
 from dataclasses import dataclass
 
@@ -48,32 +49,31 @@ def walk(spark: SparkSession, root: str, config: Config) -> tuple[str, DataFrame
 
 
 def symbols_and_edges(contents: DataFrame, all_files: DataFrame, config: Config, stamp: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Symbols, edges and parse errors of files (path, language, content, untracked)."""
-    parsed = parse_files(contents).persist(StorageLevel.MEMORY_AND_DISK)
+    """Symbols, edges and parse errors of files (path, language, content, untracked). The contents go no further than the parser."""
+    parsed = parse_files(contents, [*security.SECRET_PATTERNS, *config.extra_secret_patterns]).persist(StorageLevel.MEMORY_AND_DISK)
     tier = security.tier(F.col("file"), config.extra_ignore_filenames, config.extra_secret_filenames)
     homes = paths.with_package_root(all_files.select("path")).select(F.col("path").alias("file"), "package_root")
-    rows = parsed.filter("record = 'symbol'").select(*[c for c in schemas.names(schemas.PARSED) if c in schemas.names(schemas.SYMBOLS)])
-    texts = contents.select(F.col("path").alias("file"), "language", "content", "untracked")
-    rows = rows.join(texts, "file").join(homes, "file", "left")
-    slice_ = identity.byte_slice(F.col("content"), F.col("byte_start"), F.col("byte_end"))
-    secret = F.col("kind").isin("const", "var") & security.is_secret(F.decode(slice_, "ISO-8859-1"), config.extra_secret_patterns)
-    hidden = (tier == security.REDACTED) | secret
-    hashed = identity.content_hash(F.col("content"), F.col("byte_start"), F.col("byte_end"))
+    rows = parsed.filter("record = 'symbol'").select("secret", *[c for c in schemas.names(schemas.PARSED) if c in schemas.names(schemas.SYMBOLS)])
+    rows = rows.join(contents.select(F.col("path").alias("file"), "language", "untracked"), "file").join(homes, "file", "left")
+    rows = redacted(rows, (tier == security.REDACTED), F.col("secret"))
     none = F.lit(None)
-    rows = rows.withColumns(
+    rows = rows.withColumns({"children": none.cast("array<string>"), "imports": none.cast("array<string>"), "possible_unresolved": F.lit(False), "indexed_at": F.lit(stamp)})
+    edges = parsed.filter("record = 'edge'").select("caller_id", F.lit(None).cast("string").alias("callee_id"), "raw_expression", "confidence")
+    return rows.select(schemas.names(schemas.SYMBOLS)), edges, parsed.filter("record = 'error'").select("file", "error")
+
+
+def redacted(rows: DataFrame, hidden_file: Column, secret: Column) -> DataFrame:
+    """Symbols of hidden files and secret ones without offsets and hash, so that no source is shown; secret ones are tagged."""
+    shown = ~(hidden_file | secret)
+    return rows.withColumns(
         {
-            "content_hash": F.when(~hidden, hashed),
+            "content_hash": F.when(shown, F.col("content_hash")),
+            "byte_start": F.when(shown, F.col("byte_start")),
+            "byte_end": F.when(shown, F.col("byte_end")),
             "summary": F.when(secret, F.lit("[redacted]")).otherwise(F.col("summary")),
-            "tags": F.when(secret, F.array(F.lit("secret"))).otherwise(none.cast("array<string>")),
-            "children": none.cast("array<string>"),
-            "imports": none.cast("array<string>"),
-            "possible_unresolved": F.lit(False),
-            "indexed_at": F.lit(stamp),
+            "tags": F.when(secret, F.array(F.lit("secret"))).otherwise(F.lit(None).cast("array<string>")),
         }
     )
-    rows = rows.withColumns({"byte_start": F.when(~hidden, F.col("byte_start")), "byte_end": F.when(~hidden, F.col("byte_end"))})
-    edges = parsed.filter("record = 'edge'").select("caller_id", F.lit(None).cast("string").alias("callee_id"), "raw_expression", "confidence")
-    return rows.select(schemas.names(schemas.SYMBOLS)), edges, parsed.filter("record = 'error'").select("file", "error")
 
 
 def row_key() -> Column:
@@ -96,19 +96,29 @@ def index(spark: SparkSession, root: str, config: Config | None = None, force: b
     """Brings the repository's store up to date."""
     config, began = config or Config(), time.time()
     stamp = time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime(began))
-    store = stores.Store(spark, config.cache_root, root)
+    store = stores.Store(spark, config.cache_root, root, config.cache_shared)
     store.create()
     mode, found = walk(spark, root, config)
-    found = files.capped(found, config.max_files).persist(StorageLevel.MEMORY_AND_DISK)
-    old_files, old_symbols, old_edges = (store.read(r) for r in ("files", "symbols", "edges"))
-    read = filesystem.contents(found, root, config.max_file_bytes).filter("content is not null")
+    found = found.persist(StorageLevel.MEMORY_AND_DISK)
+    old_files, old_symbols, old_edges, old_unread = (store.read(r) for r in ("files", "symbols", "edges", "unread"))
+    old_all = old_files.unionByName(old_unread)
+    looked = files.changes(found, old_all)
+    pending = (looked if force else looked.filter("status != 'same'")).persist(StorageLevel.MEMORY_AND_DISK)
+    todo = files.capped(pending, config.max_files)  # the rest is still new or changed next time
+    if not force:  # a change within the second of the last run doesn't show in the time: such files are read again
+        before = old_all.select("path", F.col("last_indexed").alias("before"))
+        recent = looked.filter("status = 'same' and blob_sha is null").join(before, "path").filter("mtime >= before").select(todo.columns)
+        todo = todo.unionByName(recent)
+    read = filesystem.contents(todo, root, config.max_file_bytes)
+    usable = F.col("content").isNotNull() & ~security.is_binary(F.col("content"))
     sha = F.coalesce("blob_sha", identity.blob_sha(F.col("content")))
-    read = read.withColumns({"blob_sha": sha, "language": paths.language(F.col("path"))}).filter(~security.is_binary(F.col("content")))
-    changed = files.changes(read, old_files)
-    if not force:
-        changed = changed.filter("status != 'same'")
+    read = read.withColumns({"blob_sha": sha, "language": paths.language(F.col("path")), "usable": F.coalesce(usable, F.lit(False))}).persist(StorageLevel.MEMORY_AND_DISK)
+    known = old_files.select("path", F.col("blob_sha").alias("was"))
+    changed = read.filter("usable")
+    if not force:  # a file may have been touched only
+        changed = changed.join(known, "path", "left").filter(~F.col("blob_sha").eqNullSafe(F.col("was"))).drop("was")
     changed = changed.persist(StorageLevel.MEMORY_AND_DISK)
-    gone = files.deleted(found, old_files).select("path")
+    gone = files.deleted(found, old_files).select("path").unionByName(read.filter("not usable").join(known, "path", "left_semi").select("path"))
     touched = changed.select(F.col("path").alias("file")).unionByName(gone.select(F.col("path").alias("file")))
 
     symbols, edges, errors = symbols_and_edges(changed, found, config, stamp)
@@ -126,18 +136,23 @@ def index(spark: SparkSession, root: str, config: Config | None = None, force: b
     # a name may have become unique or ambiguous, so every call is resolved anew
     new_edges = new_edges.withColumn("callee_id", F.when(F.col("raw_expression").isNull(), F.col("callee_id")))
     new_edges = files.dedup_edges(graph.resolve(new_edges, new_symbols, text.callee_name(F.col("raw_expression"))).drop("resolved"))
-    new_rows = changed.select("path", "blob_sha", "mtime", "size", F.lit(stamp).alias("last_indexed"))
-    new_files = files.upsert(files.delete(old_files, gone, "path"), new_rows, "path")
+    new_rows = read.select("usable", "path", "blob_sha", "mtime", "size", F.lit(stamp).alias("last_indexed"))
+    new_files = files.upsert(files.delete(old_files, gone, "path"), new_rows.filter("usable").drop("usable"), "path")
+    still = old_unread.join(found.select("path"), "path", "left_semi").join(new_rows.filter("usable").select("path"), "path", "left_anti")
+    unread = files.upsert(still, new_rows.filter("not usable").drop("usable"), "path")
 
-    n_found, n_changed, n_gone = found.count(), changed.count(), gone.count()
+    n_found, n_pending, n_changed, n_gone = found.count(), pending.count(), changed.count(), gone.count()
     warnings = [f"{r.file}: {r.error}" for r in errors.orderBy("file").limit(100).collect()]
+    if n_pending > config.max_files:
+        warnings.append(f"limit of {config.max_files} files reached: {n_pending - config.max_files} files are left for the next run")
+        logging.getLogger(__name__).warning("%s", warnings[-1])
     store.append_contents(files.mirror(store.contents(), changed))
-    store.write(search_index(store, symbols, touched), files=new_files, symbols=new_symbols, edges=new_edges)
+    store.write(search_index(store, symbols, touched), files=new_files, symbols=new_symbols, edges=new_edges, unread=unread)
     store.write_meta(
         hash=store.hash, path=store.repo, name=store.repo.rsplit("/", 1)[-1], mode=mode, last_sync=stamp, initialized_at=(store.meta() or {}).get("initialized_at", stamp), last_indexed_commit=git.head(root) if mode == "git" else None
     )
     stores.upsert_repo(config.cache_root, {"hash": store.hash, "path": store.repo, "name": store.repo.rsplit("/", 1)[-1], "last_indexed": stamp})
-    for df in (found, changed):
+    for df in (found, pending, read, changed):
         df.unpersist()
     return IndexResult(n_changed, max(0, n_found - n_changed), n_gone, store.read("symbols").count(), store.read("edges").count(), warnings, mode, time.time() - began)
 

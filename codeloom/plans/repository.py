@@ -27,7 +27,7 @@ class Repository:
 
     def __init__(self, spark: SparkSession, root: str, config: Config | None = None, must_exist: bool = False) -> None:
         self.spark, self.root, self.config = spark, os.path.abspath(root), config or Config()
-        self.store = stores.Store(spark, self.config.cache_root, root)
+        self.store = stores.Store(spark, self.config.cache_root, root, self.config.cache_shared)
         self.session = session_id()
         if must_exist and not self.store.exists():
             raise NotIndexedError(f"{self.root} is not indexed: run index first")

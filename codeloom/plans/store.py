@@ -1,23 +1,27 @@
-"""Snapshots: every change writes new Parquet folders, then moves a pointer; readers keep what they have opened."""
+"""Snapshots: every change writes new Parquet folders, then moves a pointer; readers keep what they have opened.
+
+The cache folder is a path or the URL of any file system that Spark knows. On a cluster a path of one machine is refused,
+unless the configuration says that all machines share it.
+"""
 
 from __future__ import annotations
 
 import json
 import os
-import shutil
-import tempfile
 import time
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from codeloom import schemas
 from codeloom.functions.identity import repo_hash
 from codeloom.operators import search
+from codeloom.sources.storage import is_local, storage
 
 #: Columns of the inverted index.
 INDEXED = ["name", "qualified_name", "signature", "summary"]
-RELATIONS = {"files": schemas.FILES, "symbols": schemas.SYMBOLS, "edges": schemas.EDGES}
+#: ``unread`` are files that were looked at but hold nothing to index: binary, too large or unreadable ones.
+RELATIONS = {"files": schemas.FILES, "symbols": schemas.SYMBOLS, "edges": schemas.EDGES, "unread": schemas.FILES}
+SORTED_BY = {"files": "path", "symbols": "file", "edges": "caller_id", "unread": "path"}
 
 
 class VersionError(RuntimeError):
@@ -27,126 +31,121 @@ class VersionError(RuntimeError):
 class Store:
     """The relations of one repository below a cache folder that driver and executors share."""
 
-    def __init__(self, spark: SparkSession, cache_root: str, repo: str) -> None:
-        self.spark, self.cache_root, self.repo = spark, Path(cache_root), os.path.abspath(repo)
+    def __init__(self, spark: SparkSession, cache_root: str, repo: str, shared: bool = False) -> None:
+        master = spark.sparkContext.master
+        if is_local(cache_root) and not shared and master != "local" and not master.startswith("local["):
+            raise ValueError(f"{cache_root} is a folder of one machine: name a URL that all executors see, or set cache_shared")
+        self.spark, self.cache_root, self.repo = spark, cache_root, os.path.abspath(repo)
         self.hash = repo_hash(repo)
-        self.path = self.cache_root / self.hash
-        self.pointer = self.path / "CURRENT"
+        self.storage = storage(cache_root, spark)
+
+    def at(self, name: str) -> str:
+        return f"{self.hash}/{name}"
+
+    def url(self, name: str) -> str:
+        return self.storage.url(self.at(name))
 
     def create(self) -> None:
-        for p in (self.cache_root, self.path, self.path / "snapshots"):
-            p.mkdir(mode=0o700, parents=True, exist_ok=True)
+        self.storage.make(self.at("snapshots"))
         self.version()
 
     def version(self) -> int:
         """The schema version; a new store gets this one."""
-        f = self.path / "version"
-        if not f.exists():
-            _replace(f, str(schemas.VERSION))
-        found = int(f.read_text())
+        name = self.at("version")
+        if not self.storage.exists(name):
+            self.storage.write_text(name, str(schemas.VERSION))
+        found = int(self.storage.read_text(name))
         if found > schemas.VERSION:
             raise VersionError(f"schema version {found} is newer than {schemas.VERSION}")
         return found
 
     @property
     def current(self) -> int:
-        return int(self.pointer.read_text()) if self.pointer.exists() else 0
+        name = self.at("CURRENT")
+        return int(self.storage.read_text(name)) if self.storage.exists(name) else 0
 
     def exists(self) -> bool:
         return self.current > 0
 
     def read(self, relation: str) -> DataFrame:
-        schema = RELATIONS[relation]
-        if not self.exists():
+        schema, name = RELATIONS[relation], f"snapshots/{self.current}/{relation}"
+        if not self.exists() or not self.storage.exists(self.at(name)):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"file://{self.path}/snapshots/{self.current}/{relation}")
+        return self.spark.read.schema(schema).parquet(self.url(name))
 
     def search_index(self) -> search.TextIndex:
         """The inverted index of the current snapshot."""
-        return search.read_index(self.spark, f"file://{self.path}/snapshots/{self.current}/search", INDEXED)
+        return search.read_index(self.spark, self.url(f"snapshots/{self.current}/search"), INDEXED)
 
     def write(self, index: search.TextIndex, **relations: DataFrame) -> int:
         """A new snapshot of all relations and the inverted index; symbols are sorted by file, so that lookups skip most of
         the data."""
         number = self.current + 1
-        target = self.path / "snapshots" / str(number)
-        shutil.rmtree(target, ignore_errors=True)
+        target = f"snapshots/{number}"
+        self.storage.delete(self.at(target))
         for name, schema in RELATIONS.items():
-            df = relations[name].select(schemas.names(schema))
-            key = {"files": "path", "symbols": "file", "edges": "caller_id"}[name]
-            df.repartitionByRange(key).sortWithinPartitions(key).write.parquet(f"file://{target}/{name}")
-        index.write(f"file://{target}/search")
-        _replace(self.pointer, str(number))
-        for old in (self.path / "snapshots").iterdir():
-            if old.name.isdigit() and int(old.name) < number - 1:
-                shutil.rmtree(old, ignore_errors=True)
+            df, key = relations[name].select(schemas.names(schema)), SORTED_BY[name]
+            df.repartitionByRange(key).sortWithinPartitions(key).write.parquet(self.url(f"{target}/{name}"))
+        index.write(self.url(f"{target}/search"))
+        self.storage.write_text(self.at("CURRENT"), str(number))
+        for old in self.storage.children(self.at("snapshots")):
+            if old.isdigit() and int(old) < number - 1:
+                self.storage.delete(self.at(f"snapshots/{old}"))
         return number
 
+    def _appended(self, name: str, schema: str) -> DataFrame:
+        if not self.storage.exists(self.at(name)):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self.url(name))
+
     def contents(self) -> DataFrame:
-        path = self.path / "files"
-        if not path.exists():
-            return self.spark.createDataFrame([], schemas.CONTENTS)
-        return self.spark.read.schema(schemas.CONTENTS).parquet(f"file://{path}")
+        return self._appended("files", schemas.CONTENTS)
 
     def append_contents(self, new: DataFrame) -> None:
-        new.select(schemas.names(schemas.CONTENTS)).write.mode("append").parquet(f"file://{self.path}/files")
+        new.select(schemas.names(schemas.CONTENTS)).write.mode("append").parquet(self.url("files"))
 
     def savings(self) -> DataFrame:
-        path = self.path / "savings"
-        if not path.exists():
-            return self.spark.createDataFrame([], schemas.SAVINGS)
-        return self.spark.read.schema(schemas.SAVINGS).parquet(f"file://{path}")
+        return self._appended("savings", schemas.SAVINGS)
 
     def append_savings(self, rows: DataFrame) -> None:
-        rows.select(schemas.names(schemas.SAVINGS)).write.mode("append").parquet(f"file://{self.path}/savings")
+        rows.select(schemas.names(schemas.SAVINGS)).write.mode("append").parquet(self.url("savings"))
 
     def meta(self) -> dict | None:
-        f = self.path / "meta.json"
-        return json.loads(f.read_text()) if f.exists() else None
+        name = self.at("meta.json")
+        return json.loads(self.storage.read_text(name)) if self.storage.exists(name) else None
 
     def write_meta(self, **values: object) -> None:
-        _replace(self.path / "meta.json", json.dumps((self.meta() or {}) | values, indent=2))
-
-
-def _replace(path: Path, text: str) -> None:
-    """Writes a file at once or not at all."""
-    fd, temporary = tempfile.mkstemp(dir=path.parent)
-    with os.fdopen(fd, "w") as f:
-        f.write(text)
-    os.replace(temporary, path)
+        self.storage.write_text(self.at("meta.json"), json.dumps((self.meta() or {}) | values, indent=2))
 
 
 # --- the manifest of repositories, and the cache
 
 
 def manifest(cache_root: str) -> list[dict]:
-    f = Path(cache_root) / "repos.json"
-    return json.loads(f.read_text()) if f.exists() else []
-
-
-def upsert_repo(cache_root: str, entry: dict) -> None:
-    rows = [r for r in manifest(cache_root) if r["hash"] != entry["hash"]]
-    _replace(Path(cache_root) / "repos.json", json.dumps(sorted([*rows, entry], key=lambda r: r["hash"]), indent=2))
+    at = storage(cache_root)
+    return json.loads(at.read_text("repos.json")) if at.exists("repos.json") else []
 
 
 def _write_manifest(cache_root: str, rows: list[dict]) -> None:
-    _replace(Path(cache_root) / "repos.json", json.dumps(rows, indent=2))
+    storage(cache_root).write_text("repos.json", json.dumps(rows, indent=2))
 
 
-def folder_bytes(path: Path) -> int:
-    return sum(p.stat().st_size for p in path.rglob("*") if p.is_file()) if path.exists() else 0
+def upsert_repo(cache_root: str, entry: dict) -> None:
+    rows = [r for r in manifest(cache_root) if r["hash"] != entry["hash"]]
+    _write_manifest(cache_root, sorted([*rows, entry], key=lambda r: r["hash"]))
 
 
 def cache_status(cache_root: str) -> dict:
-    repos = [r | {"size_bytes": folder_bytes(Path(cache_root) / r["hash"])} for r in manifest(cache_root)]
+    at = storage(cache_root)
+    repos = [r | {"size_bytes": at.size(r["hash"])} for r in manifest(cache_root)]
     return {"repos": repos, "total_bytes": sum(r["size_bytes"] for r in repos)}
 
 
 def invalidate(cache_root: str, repo: str) -> bool:
     """Drops a repository's data but keeps it in the manifest."""
-    path = Path(cache_root) / repo_hash(repo)
-    there = path.exists()
-    shutil.rmtree(path, ignore_errors=True)
+    at, own = storage(cache_root), repo_hash(repo)
+    there = at.exists(own)
+    at.delete(own)
     return there
 
 
@@ -160,7 +159,7 @@ def remove(cache_root: str, repo: str) -> bool:
 def clear(cache_root: str) -> int:
     rows = manifest(cache_root)
     for r in rows:
-        shutil.rmtree(Path(cache_root) / r["hash"], ignore_errors=True)
+        storage(cache_root).delete(r["hash"])
     if rows:
         _write_manifest(cache_root, [])
     return len(rows)
@@ -168,11 +167,11 @@ def clear(cache_root: str) -> int:
 
 def prune(cache_root: str, older_than_s: float, now: float | None = None) -> list[str]:
     """Drops repositories without an index, or whose index is older than the limit."""
-    cutoff, gone, kept = (time.time() if now is None else now) - older_than_s, [], []
+    at, cutoff, gone, kept = storage(cache_root), (time.time() if now is None else now) - older_than_s, [], []
     for r in manifest(cache_root):
-        pointer = Path(cache_root) / r["hash"] / "CURRENT"
-        if not pointer.exists() or pointer.stat().st_mtime < cutoff:
-            shutil.rmtree(Path(cache_root) / r["hash"], ignore_errors=True)
+        pointer = f"{r['hash']}/CURRENT"
+        if not at.exists(pointer) or at.modified(pointer) < cutoff:
+            at.delete(r["hash"])
             gone.append(r["hash"])
         else:
             kept.append(r)

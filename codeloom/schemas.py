@@ -14,7 +14,7 @@ CONTENTS = "blob_sha string, content binary"
 PARSED = (
     "record string, file string, ordinal int, id string, kind string, name string, qualified_name string, signature string, summary string, "
     "byte_start int, byte_end int, line_start int, line_end int, parent_id string, depth int, caller_id string, raw_expression string, "
-    "confidence string, error string"
+    "confidence string, error string, content_hash string, secret boolean"
 )
 
 VERSION = 1

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import subprocess
 
 import pytest
@@ -136,6 +137,70 @@ def test_changes_equal_a_full_build(repo, spark, root, tmp_path):
     assert repo.search("assist").count() == 1 and repo.search("helper").count() == 0 and repo.search("Box").count() == 0
 
 
+def test_the_limit_goes_on_next_time(spark, tmp_path):
+    top = tmp_path / "many"
+    top.mkdir()
+    for k in range(6):
+        (top / f"f{k}.py").write_text(f"def f{k}(): pass\n")
+    (top / "a.bin").write_bytes(b"\0" * 100)
+    repo = Repository(spark, str(top), Config(cache_root=str(tmp_path / "cache"), max_files=3))
+    first = repo.index()
+    assert first.indexed == 2 and any("limit of 3 files" in w and "4 files are left" in w for w in first.warnings)  # the binary one counts as looked at
+    second = repo.sync()
+    assert (second.indexed, second.deleted) == (3, 0) and any("1 files are left" in w for w in second.warnings)
+    third = repo.sync()
+    assert (third.indexed, third.deleted, third.warnings) == (1, 0, [])
+    assert names(repo.symbols) == {f"f{k}" for k in range(6)}
+    (top / "f0.py").write_text("def other(): pass\n")
+    last = repo.sync()
+    assert (last.indexed, last.deleted) == (1, 0) and names(repo.symbols) == {"other", *(f"f{k}" for k in range(1, 6))}
+
+
+def test_unchanged_files_are_not_read(repo, spark, root, monkeypatch):
+    from codeloom.sources import filesystem
+
+    repo.index()
+    for f in root.rglob("*"):  # long ago, so that a further change would show
+        os.utime(f, (1_600_000_000, 1_600_000_000))
+    repo.sync()
+    asked, real = [], filesystem.contents
+
+    def spy(files, *rest):
+        asked.append({r.path for r in files.select("path").collect()})
+        return real(files, *rest)
+
+    monkeypatch.setattr(filesystem, "contents", spy)
+    assert repo.sync().indexed == 0
+    (root / "lib/box.py").write_text(PY + "\nclass New:\n    pass\n")
+    assert repo.sync().indexed == 1
+    assert asked == [set(), {"lib/box.py"}]
+
+
+def test_a_store_on_another_file_system(spark, root, tmp_path):
+    (tmp_path / "far").mkdir()
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.loom.link./c", f"file://{tmp_path}/far")
+    cache = "viewfs://loom/c/cache"
+    repo = Repository(spark, str(root), Config(cache_root=cache))
+    repo.index()
+    assert repo.search("Sta").first()["name"] == "Start"
+    repo.record("search", 1.0, 5)
+    (root / "pkg/work.go").write_text(GO.replace("helper", "assist"))
+    assert repo.sync().indexed == 1 and repo.search("assist").count() == 1
+    assert repo.savings().first().tokens_saved == 5
+    assert stores.cache_status(cache)["total_bytes"] > 0 and (tmp_path / "far/cache/repos.json").exists()
+    assert stores.prune(cache, 3600) == [] and stores.prune(cache, -1) == [repo.store.hash] and stores.manifest(cache) == []
+
+
+def test_a_folder_of_one_machine_is_refused_on_a_cluster(tmp_path):
+    class Far:
+        class sparkContext:
+            master = "spark://far:7077"
+
+    with pytest.raises(ValueError, match="one machine"):
+        stores.Store(Far, str(tmp_path), str(tmp_path))
+    assert stores.Store(Far, str(tmp_path), str(tmp_path), shared=True).hash
+
+
 def test_git_mode_and_diff(spark, root, tmp_path):
     def git(*args):
         subprocess.run(["git", "-C", str(root), "-c", "user.name=t", "-c", "user.email=t@example.com", *args], check=True, capture_output=True)

@@ -52,6 +52,33 @@ def test_empty_and_broken(language):
         parse_file("f", language, broken)
 
 
+def test_code_in_template_literals():
+    calls = lambda text: [r["raw_expression"] for r in parse_file("p/f", "javascript", text) if r["record"] == "edge"]
+    assert calls(b"function g(x) { return `a${h(x)}b` }\n") == ["h(x)"]
+    assert calls(b"function g(x) { return `a${h(`in ${k({a: '}'})}`)} no(1) ${'`'}` + z(2) }\n") == ["h(`in ${k({a: '}'})}`)", "k({a: '}'})", "z(2)"]
+    assert calls(b"function g() { return `no(1) \\${no(2)} \\` no(3)` }\n") == []
+
+
+def test_receivers_with_type_parameters():
+    rows = parse_file("p/f", "go", b"func (p *Pair[K, V]) Get() int { return 1 }\nfunc (List[T]) Len() int { return 0 }\n")
+    assert [(r["qualified_name"], r["signature"]) for r in rows] == [("p.Pair.Get", "func (Pair) Get()"), ("p.List.Len", "func (List) Len()")]
+
+
+@pytest.mark.parametrize("language", SOURCES)
+def test_time_grows_with_the_number_of_symbols(language):
+    import time
+
+    text = {"go": "func f%d(a int) int {\n\treturn g(h(a))\n}\n", "typescript": "export function f%d(a) { return `a${g(h(a))}`; }\n", "javascript": "class A%d { run(a) { return g(h(a)); } }\n", "python": "def f%d(a):\n    return g(h(a))\n", "rust": "#[inline]\nfn f%d(a: u8) -> u8 { g(h(a)) }\nimpl S%d { fn m(&self) { k() } }\n", "java": "class A%d { int m(int a) { return g(h(a)); } }\n"}[language]
+    took = []
+    for n in (400, 4000):
+        source = "".join(text.replace("%d", str(k)) for k in range(n)).encode()
+        began = time.process_time()
+        rows = parse_file("p/f", language, source)
+        took.append(time.process_time() - began)
+        assert sum(r["record"] == "edge" for r in rows) >= 2 * n
+    assert took[1] < 30 * max(took[0], 0.01)
+
+
 def test_registry():
     with pytest.raises(ValueError):
         register("go", lambda data: None)
