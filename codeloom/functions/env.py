@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.security import is_placeholder
 
+# Names of environment files, and what is said about a value.
 CANDIDATES = [".env", ".env.local", ".env.example", ".env.template", ".env.development", ".env.production"]
 NOTE = "value matches placeholder pattern"
+PLACEHOLDER_WARNING = " is a placeholder — likely causing authentication failures"
+EMPTY_WARNING = " is empty — dependent features will fail"
 
 
 def _trim(x: Column) -> Column:
@@ -39,6 +42,6 @@ def note(state: Column) -> Column:
 
 
 def warning(key: Column, state: Column) -> Column:
-    return F.when(state == "placeholder", F.concat(key, F.lit(" is a placeholder — likely causing authentication failures"))).when(
-        state == "empty", F.concat(key, F.lit(" is empty — dependent features will fail"))
+    return F.when(state == "placeholder", F.concat(key, F.lit(PLACEHOLDER_WARNING))).when(
+        state == "empty", F.concat(key, F.lit(EMPTY_WARNING))
     )

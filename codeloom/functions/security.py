@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -83,10 +82,3 @@ def safe_path(root: str, path: str) -> bool:
     """An existing path that stays under the root once links are resolved."""
     base, full = os.path.realpath(root), os.path.realpath(os.path.join(root, path))
     return os.path.exists(full) and (full == base or full.startswith(base + os.sep))
-
-
-def redact(value: str) -> str:
-    for p in SECRET_PATTERNS:
-        if re.search(p, value):
-            return "[redacted]"
-    return value

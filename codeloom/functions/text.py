@@ -88,6 +88,10 @@ def truncate_summary(s: Column) -> Column:
     return F.when(F.octet_length(line) > SUMMARY_BYTES, F.concat(kept, F.lit("..."))).otherwise(line)
 
 
-def prompt(language: Column, kind: Column, name: Column, signature: Column) -> Column:
+def prompt(kind: Column, name: Column, signature: Column, source: Column) -> Column:
     """The request for a one-line summary of a symbol."""
-    return F.format_string("Summarise this %s %s in one sentence.\nName: %s\nSignature: %s", language, kind, name, signature)
+    e = F.lit("")
+    return F.format_string(
+        "Describe this %s '%s' in one sentence of at most 120 characters.\nSignature: %s\nSource:\n%s\nAnswer with the sentence only.",
+        F.coalesce(kind, e), F.coalesce(name, e), F.coalesce(signature, e), F.coalesce(source, e),
+    )

@@ -27,5 +27,5 @@ def parse_duration(s: str) -> float:
     return sum(float(a) * SECONDS[b] for a, b in parts)
 
 
-def age_seconds(since: Column) -> Column:
-    return F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp(since)
+def age_seconds(since: Column, now: Column | None = None) -> Column:
+    return F.unix_timestamp(F.current_timestamp() if now is None else now) - F.unix_timestamp(since)

@@ -96,6 +96,11 @@ def filtered(df: DataFrame, **equal: object) -> DataFrame:
     return df
 
 
+def listed(files: DataFrame) -> DataFrame:
+    """Files by path."""
+    return files.orderBy("path")
+
+
 def capped(walk: DataFrame, limit: int, key: str = "path") -> DataFrame:
     """The first files by path."""
     return walk.orderBy(key).limit(limit)

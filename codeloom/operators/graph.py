@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.session import written
+
 DIRECTIONS = ("calls", "callers", "both")
 
 
@@ -61,14 +63,17 @@ def has_dynamic(edges: DataFrame) -> DataFrame:
 def reach(links: DataFrame, starts: list, depth: int) -> DataFrame:
     """(id, distance) of the nodes within ``depth`` links (src, dst) of the starts, each at its least distance.
 
-    Every hop joins the frontier with the links and leaves out what was seen; the plan grows by one join a hop.
+    Every hop joins the frontier with the links, leaves out what was seen and is written to the shared folder; so a hop is
+    one join of tables, whatever the depth. It ends where nothing new is reached.
     """
     kind = links.schema["src"].dataType.simpleString()
-    seen = links.sparkSession.createDataFrame([(s,) for s in starts], f"id {kind}").withColumn("distance", F.lit(0))
+    seen = links.sparkSession.createDataFrame([(s,) for s in starts], f"id {kind}").distinct().withColumn("distance", F.lit(0))
     front = seen
     for k in range(1, depth + 1):
         following = links.join(front.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).filter("id is not null").distinct()
-        front = following.join(seen.select("id"), "id", "left_anti").withColumn("distance", F.lit(k))
+        front = written(following.join(seen.select("id"), "id", "left_anti").withColumn("distance", F.lit(k)), "frontier")
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen
 
@@ -76,9 +81,20 @@ def reach(links: DataFrame, starts: list, depth: int) -> DataFrame:
 def enclosing(points: DataFrame, ranges: DataFrame, keys: list[str], at: str, start: str, end: str, order: str, carry: list[str]) -> DataFrame:
     """For each point the smallest range [start, end) of its group that holds it, the first of equal ones; else dropped.
 
-    An equi-join on the group with the range as a further condition; each point is reduced to one row by its columns.
+    A range of a size up to 2**n is put in the one or two cells of width 2**n that it touches; a point looks into its cell
+    of each width that occurs (64 at most). So a point meets but ranges near it, by an equi-join. Equal points are looked
+    up once and given back as often as they occur.
     """
-    other = ranges.select(*keys, F.col(start).alias("start_"), F.col(end).alias("end_"), F.col(order).alias("order_"), *(F.col(c).alias(f"r_{c}") for c in carry))
-    held = points.join(other, keys).filter((F.col("start_") <= F.col(at)) & (F.col(at) < F.col("end_")))
-    best = F.struct((F.col("end_") - F.col("start_")).alias("size"), F.col("order_").alias("order"))
-    return held.groupBy(*points.columns).agg(F.min_by(F.struct(*(f"r_{c}" for c in carry)), best).alias("in_")).select(*points.columns, *(F.col("in_")[f"r_{c}"].alias(f"enclosing_{c}") for c in carry))
+    size = F.col("end_") - F.col("start_")
+    own = ranges.select(*keys, F.col(start).cast("bigint").alias("start_"), F.col(end).cast("bigint").alias("end_"), F.col(order).alias("order_"), *(F.col(c).alias(f"r_{c}") for c in carry))
+    own = own.filter(size > 0).withColumn("level_", F.length(F.bin(size - 1)))
+    levels = sorted(r.level_ for r in own.select("level_").distinct().collect())
+    cell = lambda x: F.expr(f"shiftright({x}, level_)")
+    own = own.withColumn("cell_", F.explode(F.array_distinct(F.array(cell("start_"), cell("end_ - 1")))))
+    counted = points.groupBy(*points.columns).agg(F.count("*").alias("times_")).withColumn("at_", F.col(at).cast("bigint"))
+    looked = counted.withColumn("level_", F.explode(F.lit(levels).cast("array<int>"))).withColumn("cell_", cell("at_"))
+    held = looked.join(own, [*keys, "level_", "cell_"]).filter((F.col("start_") <= F.col("at_")) & (F.col("at_") < F.col("end_")))
+    best = F.struct(size.alias("size"), F.col("order_").alias("order"))
+    found = held.groupBy(*points.columns, "times_").agg(F.min_by(F.struct(*(f"r_{c}" for c in carry)), best).alias("in_"))
+    found = found.withColumn("time_", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times_"))))
+    return found.select(*points.columns, *(F.col("in_")[f"r_{c}"].alias(f"enclosing_{c}") for c in carry))

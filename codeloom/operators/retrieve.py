@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.identity import byte_slice, content_hash, valid_range
+from codeloom.functions.paths import language
 
 MAX_CONTEXT = 50
 REDACTED = "[redacted]"
@@ -68,3 +69,10 @@ def verify(symbols: DataFrame, contents: DataFrame, file: str = "file", path: st
     usable = joined.filter(F.col("byte_start").isNotNull() & F.col("byte_end").isNotNull() & valid_range(F.col("content_"), F.col("byte_start"), F.col("byte_end")))
     now = content_hash(F.col("content_"), F.col("byte_start"), F.col("byte_end"))
     return usable.agg(F.count("*").alias("total"), F.count_if(now != F.col("content_hash")).alias("mismatched"))
+
+
+def shown(contents: DataFrame, hidden: Column) -> DataFrame:
+    """(path, content, language, supported, size_bytes) of files (path, content); hidden ones show a marker."""
+    known = language(F.col("path"))
+    text = F.when(hidden, F.lit(REDACTED)).otherwise(F.make_valid_utf8(F.col("content").cast("string")))
+    return contents.select("path", text.alias("content"), known.alias("language"), known.isNotNull().alias("supported"), F.octet_length("content").cast("bigint").alias("size_bytes"))

@@ -84,3 +84,29 @@ def overview(files: DataFrame, symbols: DataFrame) -> DataFrame:
             "packages": F.transform("packages", lambda x: F.struct(x["package_root"].alias("package_root"), x["symbols"].alias("symbols"))),
         }
     )
+
+
+def counters(calls: DataFrame, tool: str = "tool_name") -> DataFrame:
+    """Calls and tokens by tool, as the counters of a process have them."""
+    return calls.groupBy(F.col(tool).alias("tool_name")).agg(F.count("*").alias("calls"), F.sum("tokens_saved").alias("tokens_saved"))
+
+
+def counts(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """One row: symbols and files."""
+    return symbols.agg(F.count("*").alias("symbols")).crossJoin(files.agg(F.count("*").alias("files")))  # one row each
+
+
+def folder_sizes(listing: DataFrame, folder: str = "folder", size: str = "size") -> DataFrame:
+    """(folder, size_bytes, files) of a listing of files."""
+    return listing.groupBy(folder).agg(F.coalesce(F.sum(size), F.lit(0)).cast("bigint").alias("size_bytes"), F.count("*").alias("files"))
+
+
+def outdated(indexes: DataFrame, cutoff: DataFrame, at: str = "last") -> DataFrame:
+    """Rows without an index, or whose index is older than the one row of ``cutoff``."""
+    return indexes.crossJoin(F.broadcast(cutoff.limit(1))).filter(F.col(at).isNull() | (F.col(at) < F.col("cutoff"))).select(indexes.columns)
+
+
+def status(symbols: DataFrame, files: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: symbols, those with callees that may be gone, files, calls without a known callee."""
+    row = symbols.agg(F.count("*").alias("symbols"), F.count_if("possible_unresolved").alias("possible_unresolved"))
+    return row.crossJoin(files.agg(F.count("*").alias("files"))).crossJoin(edges.agg(F.count_if(F.col("callee_id").isNull()).alias("unresolved_edges")))

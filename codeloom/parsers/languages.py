@@ -146,6 +146,14 @@ def _body_after(src: Source, i: int) -> int | None:
         c = code[i]
         if c in b"([" and i in src.match:
             i = src.match[i]
+        elif c == 60:  # type arguments
+            depth, k = 1, i + 1
+            while k < len(code) and depth and code[k] not in b";":
+                depth += (code[k] == 60) - (code[k] == 62 and code[k - 1] != 61)
+                k += 1
+            i = k - 1
+        elif c == 123 and src.before(i)[-1:] in (b"|", b"&") and i in src.match:  # an object type
+            i = src.match[i]
         elif c == 123:
             return i if i in src.match else None
         elif c in b";=}" and code[i : i + 2] != b"=>":
@@ -294,7 +302,7 @@ def parse_rust(data: bytes) -> Found:
             end = stop + 1
         kind = {"trait": "interface", "const": "const"}.get(word, "type")
         out.symbols.append(Symbol(kind, name, start, end, "" if word == "const" else f"type {name} {word}", "", comment(start)))
-    out.calls = src.calls(_KEYWORDS, declared)
+    out.calls = src.calls(_KEYWORDS | {b"pub"}, declared)
     return out
 
 

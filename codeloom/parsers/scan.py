@@ -263,7 +263,11 @@ class Source:
                 continue
             begin = self.expression_start(m.end(1))
             before = self.before(begin)
-            if before.endswith(b"new") and re.search(rb"\bnew$", before) or re.search(rb"\b(?:func|function|fn|class)$", before):
+            if re.search(rb"\bnew$", before):
+                if b"(" not in self.code[begin : m.start(1)]:  # a constructor
+                    continue
+                begin = self.code.rindex(b"new", 0, begin)  # a call on what was made
+            elif re.search(rb"\b(?:func|function|fn|class)$", before):
                 continue
             out.append((begin, self.text(begin, self.match[paren] + 1)))
         return out

@@ -12,6 +12,7 @@ from dataclasses import asdict
 from codeloom.plans import config as configs
 from codeloom.plans import hooks, render
 from codeloom.plans import store as stores
+from codeloom.sources.storage import is_local
 
 
 def parser() -> argparse.ArgumentParser:
@@ -98,6 +99,10 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "cache":
         from codeloom.functions.units import parse_duration
 
+        if not is_local(config.cache_root):
+            from codeloom.session import session
+
+            session()
         actions = {
             "status": lambda: stores.cache_status(config.cache_root),
             "invalidate": lambda: stores.invalidate(config.cache_root, root),
@@ -119,7 +124,10 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     repo = Repository(spark, root, config, must_exist=args.command not in ("index", "sync", "env", "savings"))
     if args.command in ("index", "sync"):
-        print(json.dumps(asdict(repo.index(force=getattr(args, "force", False)))))
+        from codeloom.operators import enrich
+
+        describe = enrich.provider(timeout_s=config.enrich_timeout_s) if getattr(args, "enrich", False) and not args.no_enrich and not config.enrich_disabled else None
+        print(json.dumps(asdict(repo.index(force=getattr(args, "force", False), describe=describe))))
     elif args.command == "search":
         columns = ["id", "kind", "qualified_name", "file", "signature", "summary", "rank"]
         show(repo.search(args.query, args.kind, args.language, args.file, args.limit).select(columns), args.json)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import env, identity, paths, security, text, units
 from codeloom.operators import diff, envs, files, graph, retrieve, search, similar, stats, tree
+from codeloom.session import shared_folder
+from codeloom.sources import git
 from codeloom.streaming import savings as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,7 +77,7 @@ def savings_rollup(spark, sf_dir):
 
 @query(f"SELECT tool_name, count(*) AS calls, sum(tokens_saved)::BIGINT AS tokens_saved FROM {LEDGER} GROUP BY tool_name")
 def session_counters(spark, sf_dir):
-    return ledger(spark, sf_dir).groupBy("tool_name").agg(F.count("*").alias("calls"), F.sum("tokens_saved").alias("tokens_saved"))
+    return stats.counters(ledger(spark, sf_dir))
 
 
 @query("SELECT doc_id, greatest(5000 - strlen(text), 0) // 4 AS tokens_saved FROM documents WHERE text IS NOT NULL")
@@ -128,7 +130,7 @@ def count_flagged(spark, sf_dir):
 
 @query("SELECT (SELECT count(*) FROM documents) AS symbols, (SELECT count(*) FROM pages) AS files")
 def counts(spark, sf_dir):
-    return t(spark, sf_dir, "documents").agg(F.count("*").alias("symbols")).crossJoin(t(spark, sf_dir, "pages").agg(F.count("*").alias("files")))
+    return stats.counts(t(spark, sf_dir, "documents"), t(spark, sf_dir, "pages"))
 
 
 @query(
@@ -167,7 +169,7 @@ def outline(spark, sf_dir):
 
 @query("SELECT source || '/' || lang || '/doc' || doc_id || '.txt' AS path, sha256(text) AS blob_sha, strlen(text) AS size FROM documents")
 def list_files(spark, sf_dir):
-    return doc_files(spark, sf_dir).select("path", "blob_sha", "size").orderBy("path")
+    return files.listed(doc_files(spark, sf_dir)).select("path", "blob_sha", "size")
 
 
 @query("SELECT doc_id, lang FROM documents WHERE lang = 'de' AND source = 'src3'")
@@ -211,8 +213,8 @@ def content_hash(spark, sf_dir):
 
 @query("SELECT count(*) AS total, count(*) FILTER (doc_id % 7 = 0) AS mismatched FROM documents WHERE strlen(text) >= 60")
 def verify_hashes(spark, sf_dir):
-    own = doc_files(spark, sf_dir)
-    stored = own.filter("size >= 60").select(
+    own = all_files(spark, sf_dir)
+    stored = own.select(  # ranges past the end among them, which the operator leaves out
         F.col("path").alias("file"),
         F.lit(10).alias("byte_start"),
         F.lit(60).alias("byte_end"),
@@ -221,55 +223,65 @@ def verify_hashes(spark, sf_dir):
     return retrieve.verify(stored, own)
 
 
-def ascii_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return doc_files(spark, sf_dir).filter("lang = 'en'")
+def all_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a file, also those without a language."""
+    some = [F.coalesce(c, F.lit("")) for c in ("source", "lang")]
+    return doc_files(spark, sf_dir).withColumn("path", F.concat(some[0], F.lit("/"), some[1], F.lit("/doc"), "doc_id", F.lit(".txt")))
 
 
 @query(
-    "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '[redacted]' WHEN strlen(text) < 40 THEN '[source unavailable: invalid byte range [10:40] for file size ' || strlen(text) || ']' "
-    "ELSE decode(encode(text)[11:40]) END AS source FROM documents WHERE lang = 'en'"
+    """
+WITH c AS (
+  SELECT doc_id, unnest(regexp_extract_all(text[1:40], '(?s).')) AS c, unnest(range(1, len(regexp_extract_all(text[1:40], '(?s).')) + 1)) AS i FROM documents WHERE text IS NOT NULL
+), p AS (
+  SELECT doc_id, i, c, strlen(c) AS n, sum(strlen(c)) OVER (PARTITION BY doc_id ORDER BY i) AS z FROM c
+), s AS (
+  SELECT doc_id, string_agg(CASE WHEN z - n >= 10 AND z <= 40 THEN c WHEN z - n < 10 THEN repeat(chr(65533), (z - 10)::BIGINT) ELSE chr(65533) END, '' ORDER BY i) AS source FROM p WHERE z > 10 AND z - n < 40 GROUP BY doc_id
+)
+SELECT d.doc_id, CASE WHEN d.doc_id % 5 = 0 THEN '[redacted]' WHEN strlen(text) < 40 THEN '[source unavailable: invalid byte range [10:40] for file size ' || strlen(text) || ']' ELSE s.source END AS source
+FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id WHERE text IS NOT NULL
+"""
 )
 def slice_source(spark, sf_dir):
-    own = ascii_docs(spark, sf_dir).filter("content is not null")
+    """Also where a cut falls inside a character."""
+    own = all_files(spark, sf_dir).filter("content is not null")
     marked = own.select("doc_id", F.col("path").alias("file"), F.when(F.col("doc_id") % 5 != 0, F.lit(10)).alias("byte_start"), F.lit(40).alias("byte_end"))
     return retrieve.with_source(marked, own).select("doc_id", "source")
 
 
 @query(
-    r"""
-SELECT doc_id, CASE WHEN len(b) - 1 < 2 THEN 0 ELSE 30 - strlen(array_to_string(b[len(b) - 1:len(b)], chr(10))) - 1 END AS ctx_start,
-  CASE WHEN len(a) - 1 < 2 THEN strlen(text) ELSE 30 + strlen(array_to_string(a[1:2], chr(10))) + 1 END AS ctx_end
-FROM (SELECT doc_id, text, string_split(decode(encode(text)[1:30]), chr(10)) AS b, string_split(decode(encode(text)[31:]), chr(10)) AS a FROM documents WHERE lang = 'en' AND strlen(text) >= 40)
+    """
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE strlen(text) >= 40
+), f AS (
+  SELECT doc_id, sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS place, i = count(*) OVER (PARTITION BY doc_id) AS tail FROM l
+), c AS (
+  SELECT doc_id, list(place ORDER BY place DESC) FILTER (NOT tail AND place < 30) AS b, list(place ORDER BY place) FILTER (NOT tail AND place >= 30) AS a FROM f GROUP BY doc_id
+)
+SELECT doc_id, coalesce(b[2], 0)::BIGINT AS ctx_start, coalesce(a[2] + 1, strlen(text))::BIGINT AS ctx_end FROM documents JOIN c USING (doc_id)
 """
 )
 def expand_context(spark, sf_dir):
-    own = ascii_docs(spark, sf_dir).filter("size >= 40")
+    own = all_files(spark, sf_dir).filter("size >= 40")
     c = F.col("content")
     return own.select("doc_id", retrieve.expand_back(c, F.lit(30), 2).cast("bigint").alias("ctx_start"), retrieve.expand_forward(c, F.lit(30), 2).cast("bigint").alias("ctx_end"))
 
 
-def all_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a file, also those without a language.
-
-    The ``_all`` queries take them, also where a cut falls inside a character, which DuckDB can't do; tests hold these
-    queries against slices of the bytes.
-    """
-    some = [F.coalesce(c, F.lit("")) for c in ("source", "lang")]
-    return doc_files(spark, sf_dir).withColumn("path", F.concat(some[0], F.lit("/"), some[1], F.lit("/doc"), "doc_id", F.lit(".txt")))
-
-
-@query()
-def slice_source_all(spark, sf_dir):
-    own = all_files(spark, sf_dir).filter("content is not null")
-    marked = own.select("doc_id", F.col("path").alias("file"), F.when(F.col("doc_id") % 5 != 0, F.lit(10)).alias("byte_start"), F.lit(40).alias("byte_end"))
-    return retrieve.with_source(marked, own).select("doc_id", "source")
+@query("SELECT p_partkey, greatest(0, least(50, p_size * 3 - 20))::INT AS n FROM part")
+def clamp_context(spark, sf_dir):
+    return t(spark, sf_dir, "part").select("p_partkey", retrieve.clamp_context(F.col("p_size") * 3 - 20).cast("int").alias("n"))
 
 
-@query()
-def expand_context_all(spark, sf_dir):
-    own = all_files(spark, sf_dir).filter("size >= 40")
-    c = F.col("content")
-    return own.select("doc_id", retrieve.expand_back(c, F.lit(30), 2).cast("bigint").alias("ctx_start"), retrieve.expand_forward(c, F.lit(30), 2).cast("bigint").alias("ctx_end"))
+@query(
+    """
+SELECT path, CASE WHEN doc_id % 3 = 0 THEN '[redacted]' ELSE text END AS content, CASE WHEN doc_id % 3 = 1 THEN 'go' END AS language, doc_id % 3 = 1 AS supported, strlen(text) AS size_bytes
+FROM (SELECT *, 'd/' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.pem' WHEN 1 THEN '.go' ELSE '.txt' END AS path FROM documents)
+"""
+)
+def get_files(spark, sf_dir):
+    end = F.when(F.col("doc_id") % 3 == 0, F.lit(".pem")).when(F.col("doc_id") % 3 == 1, F.lit(".go")).otherwise(F.lit(".txt"))
+    own = t(spark, sf_dir, "documents").select(F.concat(F.lit("d/"), "doc_id", end).alias("path"), F.encode("text", "UTF-8").alias("content"))
+    return retrieve.shown(own, security.tier(F.col("path")) != security.NORMAL)
 
 
 # --- search
@@ -289,12 +301,43 @@ tot AS (SELECT count(*) AS rows_, avg(len(w)) AS mean_, {totals} FROM hit)
 SELECT doc_id, round(-({score}), 6) AS rank FROM hit, tot WHERE ({holds}) AND {where} ORDER BY -({score}), doc_id LIMIT {limit}"""
 
 
+#: Where the inverted index of a table lies, by application and table.
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> search.TextIndex:
+    """The inverted index of the documents: written to the shared folder by the first search, read by all others."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        path = f"{shared_folder(spark, 'search')}/index"
+        search.build_index(t(spark, sf_dir, "documents"), "doc_id", ["text"]).write(path)
+        _INDEXES[key] = path
+    return search.read_index(spark, _INDEXES[key], ["text"])
+
+
 def find(spark: SparkSession, sf_dir: str, q: str, limit: int = 10, **filters: object) -> DataFrame:
-    docs = t(spark, sf_dir, "documents")
-    found = search.search(docs, search.build_index(docs, "doc_id", ["text"]), q, "doc_id", ("text", "source"), limit, 0, filters)
+    found = search.search(t(spark, sf_dir, "documents"), stored_index(spark, sf_dir), q, "doc_id", ("text", "source"), limit, 0, filters)
     return found.select("doc_id", F.round("rank", 6).alias("rank"))
 
 
+@query(
+    r"""
+WITH tok AS (SELECT unnest(regexp_extract_all(lower(strip_accents(coalesce(text, ''))), '[\p{L}\p{N}\p{Co}]+')) AS term, doc_id FROM documents)
+SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS occurrences FROM tok GROUP BY term
+"""
+)
+def search_build(spark, sf_dir):
+    """The inverted index itself, built anew: occurrences of each term."""
+    index = search.build_index(t(spark, sf_dir, "documents"), "doc_id", ["text"])
+    return index.postings.groupBy("term").agg(F.count("*").alias("documents"), F.sum(F.size("pos")).alias("occurrences"))
+
+
+@query(f"SELECT count(*) AS total FROM ({_bm25(["w[i] = 'the'", "starts_with(w[i], 'ere')"], 'f0 > 0 AND f1 > 0', limit=50)})")
+def search_total(spark, sf_dir):
+    """The total that a search reports: the rows returned."""
+    return find(spark, sf_dir, "the ere", 50).agg(F.count("*").alias("total"))
+
+
 @query(_bm25(["starts_with(w[i], 'token')"], "f0 > 0", limit=1000))
 def search_prefix(spark, sf_dir):
     return find(spark, sf_dir, "token", 1000)
@@ -529,14 +572,26 @@ def name_helpers(spark, sf_dir):
     return t(spark, sf_dir, "part").select("p_partkey", text.callee_name(raw).alias("callee"), text.receiver_type(receiver).alias("receiver"), text.strip_type_arguments(bare).alias("bare"))
 
 
-@query("SELECT doc_id, CASE WHEN strlen(line) > 200 THEN line[1:197] || '...' ELSE line END AS summary FROM (SELECT doc_id, trim(split_part(trim(text), chr(10), 1)) AS line FROM documents WHERE lang = 'en' AND text IS NOT NULL)")
+@query(
+    """
+SELECT doc_id, CASE WHEN strlen(line) > 200 THEN line[1:list_max(list_filter(range(0, 198), lambda k: strlen(line[1:k]) <= 197))] || '...' ELSE line END AS summary
+FROM (SELECT doc_id, trim(split_part(trim(text), chr(10), 1)) AS line FROM documents WHERE text IS NOT NULL)
+"""
+)
 def truncate_summary(spark, sf_dir):
-    return t(spark, sf_dir, "documents").filter("lang = 'en' and text is not null").select("doc_id", text.truncate_summary(F.col("text")).alias("summary"))
+    """Also where the cut falls inside a character."""
+    return t(spark, sf_dir, "documents").filter("text is not null").select("doc_id", text.truncate_summary(F.col("text")).alias("summary"))
 
 
-@query()
-def truncate_summary_all(spark, sf_dir):
-    return t(spark, sf_dir, "documents").filter("text is not null").select("doc_id", text.truncate_summary(F.col("text")).alias("summary"))
+@query(
+    """
+SELECT p_partkey, 'Describe this const ' || chr(39) || p_name || chr(39) || ' in one sentence of at most 120 characters.' || chr(10) || 'Signature: ' || CASE WHEN p_size % 2 = 0 THEN p_brand ELSE '' END || chr(10) || 'Source:' || chr(10)
+  || p_type || chr(10) || 'Answer with the sentence only.' AS prompt FROM part
+"""
+)
+def enrich_prompt(spark, sf_dir):
+    signature = F.when(F.col("p_size") % 2 == 0, F.col("p_brand"))
+    return t(spark, sf_dir, "part").select("p_partkey", text.prompt(F.lit("const"), F.col("p_name"), signature, F.col("p_type")).alias("prompt"))
 
 
 @query("SELECT c_custkey, CASE WHEN n >= 1048576 THEN printf('%.1f MiB', n / 1048576.0) WHEN n >= 1024 THEN printf('%.1f KiB', n / 1024.0) ELSE printf('%d B', n) END AS size FROM (SELECT c_custkey, c_custkey * c_custkey + c_custkey AS n FROM customer)")
@@ -725,7 +780,7 @@ def mirror_contents(spark, sf_dir):
 
 @query("SELECT source, coalesce(sum(strlen(text)), 0)::BIGINT AS size_bytes, count(*) AS files FROM documents GROUP BY source")
 def cache_sizes(spark, sf_dir):
-    return doc_files(spark, sf_dir).groupBy("source").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size_bytes"), F.count("*").alias("files"))
+    return stats.folder_sizes(doc_files(spark, sf_dir), "source")
 
 
 @query("SELECT user_id AS hash FROM events GROUP BY user_id HAVING max(ts) < (SELECT max(ts) - INTERVAL 2 DAY FROM events)")
@@ -733,24 +788,17 @@ def cache_prune(spark, sf_dir):
     events = t(spark, sf_dir, "events")
     last = events.groupBy(F.col("user_id").alias("hash")).agg(F.max("ts").alias("last"))
     cutoff = events.agg((F.max("ts") - F.expr("INTERVAL 2 DAY")).alias("cutoff"))
-    return last.crossJoin(F.broadcast(cutoff)).filter("last < cutoff").select("hash")  # one row
+    return stats.outdated(last, cutoff).select("hash")
 
 
 # --- differences
 
 
-@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'added' WHEN 1 THEN 'deleted' ELSE 'modified' END AS change FROM documents WHERE doc_id % 2 = 0")
-def diff_symbols(spark, sf_dir):
-    own = doc_files(spark, sf_dir)
-    letter = F.element_at(F.array(F.lit("A"), F.lit("D"), F.lit("R100\told")), (F.col("doc_id") % 3 + 1).cast("int"))
-    lines = own.filter("doc_id % 2 = 0").select(F.concat(letter, F.lit("\t"), "path").alias("value"))
-    return diff.diff_files(own, diff.parse_name_status(lines), "path").select("doc_id", "change")
-
-
 @query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'added' WHEN 1 THEN 'deleted' ELSE 'modified' END AS change FROM documents")
-def diff_symbols_all(spark, sf_dir):
-    own = all_files(spark, sf_dir)
-    letter = F.element_at(F.array(F.lit("A"), F.lit("D"), F.lit("R100\told")), (F.col("doc_id") % 3 + 1).cast("int"))
+def diff_symbols(spark, sf_dir):
+    """Paths hold blanks, and renamed files their old name."""
+    own = all_files(spark, sf_dir).withColumn("path", F.concat(F.lit("my files/"), "path"))
+    letter = F.element_at(F.array(F.lit("A"), F.lit("D"), F.lit("R100\told name")), (F.col("doc_id") % 3 + 1).cast("int"))
     lines = own.select(F.concat(letter, F.lit("\t"), "path").alias("value"))
     return diff.diff_files(own, diff.parse_name_status(lines), "path").select("doc_id", "change")
 
@@ -787,20 +835,81 @@ def cosine_topk(spark, sf_dir):
     return similar.cosine_topk(vectors, vectors.filter("vec_id = 0").select(F.col("embedding").alias("q")), 20)
 
 
+# --- what is parsed, sent and shown
+
+
+@query("SELECT substr(sha256(text), 1, 40) AS blob_sha, source || '/my doc' || doc_id || '.txt' AS path FROM documents WHERE text IS NOT NULL")
+def git_format_lines(spark, sf_dir):
+    docs = t(spark, sf_dir, "documents").filter("text is not null")
+    path = F.concat("source", F.lit("/my doc"), "doc_id", F.lit(".txt"))
+    lines = docs.select(F.concat(F.substring(F.sha2("text", 256), 1, 40), F.lit(" "), path).alias("value"))
+    return git.parse_format(lines.unionByName(spark.createDataFrame([("nothing",)], "value string")))
+
+
+@query("SELECT substr(sha256(text), 1, 40) AS blob_sha, source || '/my doc' || doc_id || '.txt' AS path FROM documents WHERE text IS NOT NULL")
+def git_stage_lines(spark, sf_dir):
+    docs = t(spark, sf_dir, "documents").filter("text is not null")
+    path = F.concat("source", F.lit("/my doc"), "doc_id", F.lit(".txt"))
+    lines = docs.select(F.concat(F.lit("100644 "), F.substring(F.sha2("text", 256), 1, 40), F.lit(" 0\t"), path).alias("value"))
+    return git.parse_stage(lines.unionByName(spark.createDataFrame([("100644 no tab",)], "value string")))
+
+
 @query(
-    r"""
-WITH tags AS (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS name FROM pages)
-SELECT page_id, name, count(*) AS n, substr(sha256('page' || page_id || '.' || name), 1, 8) AS id FROM tags GROUP BY page_id, name
+    """
+SELECT n_name AS key, CASE n_nationkey % 3 WHEN 0 THEN 'empty' WHEN 1 THEN 'placeholder' ELSE 'set' END AS state, CASE WHEN n_nationkey % 3 = 1 THEN 'value matches placeholder pattern' END AS note,
+  CASE n_nationkey % 3 WHEN 0 THEN n_name || ' is empty — dependent features will fail' WHEN 1 THEN n_name || ' is a placeholder — likely causing authentication failures' END AS warning
+FROM nation
 """
 )
-def html_symbols(spark, sf_dir):
-    tags = t(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<([a-z][a-z0-9]*)"), 1)).alias("name"))
-    own = tags.groupBy("page_id", "name").agg(F.count("*").alias("n"))
-    name = identity.qualified_name(F.concat(F.lit("page"), F.col("page_id").cast("string")), F.lit(""), F.col("name"))
-    return own.withColumn("id", identity.symbol_id(name))
+def env_report(spark, sf_dir):
+    value = F.element_at(F.array(F.lit(""), F.lit("'changeme'"), F.lit('"v = 1"')), (F.col("n_nationkey") % 3 + 1).cast("int"))
+    first = t(spark, sf_dir, "nation").select(F.lit(0).alias("file_rank"), F.lit(1).alias("line_no"), F.concat(F.lit(" "), "n_name", F.lit(" = "), value).alias("line"))
+    other = t(spark, sf_dir, "nation").select(F.lit(1).alias("file_rank"), F.lit(1).alias("line_no"), F.concat("n_name", F.lit("=later")).alias("line"))
+    return envs.variables(first.unionByName(other)).select("key", "state", "note", "warning")
+
+
+@query("SELECT event_id, greatest(0, epoch(TIMESTAMP '2030-01-01 00:00:00') - epoch(date_trunc('second', ts)))::BIGINT AS age FROM events")
+def index_age(spark, sf_dir):
+    return t(spark, sf_dir, "events").select("event_id", units.age_seconds(F.col("ts").cast("timestamp"), F.lit("2030-01-01 00:00:00").cast("timestamp")).alias("age"))
+
+
+@query("SELECT d AS duration, s::DOUBLE AS seconds FROM (VALUES ('30d', 2592000), ('1h30m', 5400), ('500ms', 0.5), ('45s', 45), ('1.5h', 5400)) v(d, s)")
+def durations(spark, sf_dir):
+    given = ["30d", "1h30m", "500ms", "45s", "1.5h"]
+    return spark.createDataFrame([(d, units.parse_duration(d)) for d in given], "duration string, seconds double")
+
+
+@query("SELECT s_suppkey || '  ' || coalesce(s_name, '-') || '  ' || CASE WHEN s_suppkey % 4 = 0 THEN '-' ELSE s_nationkey::VARCHAR END AS line FROM supplier")
+def render_text(spark, sf_dir):
+    from codeloom.plans.render import as_text
+
+    return as_text(t(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.when(F.col("s_suppkey") % 4 != 0, F.col("s_nationkey")).alias("s_nationkey")))
+
+
+@query("SELECT s_suppkey || '|' || coalesce(s_name, '') || '|' || CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE s_nationkey::VARCHAR END AS line FROM supplier")
+def render_compact(spark, sf_dir):
+    from codeloom.plans.render import as_compact
+
+    return as_compact(t(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.when(F.col("s_suppkey") % 4 != 0, F.col("s_nationkey")).alias("s_nationkey")))
+
+
+@query(
+    "SELECT (SELECT count(*) FROM documents) AS symbols, (SELECT count(*) FROM documents WHERE doc_id % 9 = 0) AS possible_unresolved, (SELECT count(*) FROM pages) AS files, "
+    "(SELECT count(*) FROM lineitem WHERE l_partkey % 5 = 0) AS unresolved_edges"
+)
+def status(spark, sf_dir):
+    own = symbols(spark, sf_dir).withColumn("possible_unresolved", F.col("doc_id") % 9 == 0)
+    calls = edges(spark, sf_dir).withColumn("callee_id", F.when(F.col("callee_id") % 5 != 0, F.col("callee_id")))
+    return stats.status(own, t(spark, sf_dir, "pages"), calls)
+
+
+@query("SELECT doc_id, CASE WHEN hidden OR secret THEN NULL ELSE n_chars END AS byte_end, CASE WHEN secret THEN '[redacted]' ELSE lang END AS summary, CASE WHEN secret THEN 'secret' ELSE '' END AS tags FROM (SELECT *, doc_id % 4 = 0 AS hidden, doc_id % 6 = 0 AS secret FROM documents)")
+def redaction(spark, sf_dir):
+    from codeloom.plans.index import redacted
+
+    rows = t(spark, sf_dir, "documents").select("doc_id", F.lit("h").alias("content_hash"), F.lit(0).alias("byte_start"), F.col("n_chars").alias("byte_end"), F.col("lang").alias("summary"))
+    out = redacted(rows, F.col("doc_id") % 4 == 0, F.col("doc_id") % 6 == 0)
+    return out.select("doc_id", "byte_end", "summary", F.array_join(F.coalesce("tags", F.array().cast("array<string>")), ",").alias("tags"))
 
 
-@query("SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1))) AS target FROM pages")
-def html_links(spark, sf_dir):
-    links = t(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("target"))
-    return links.distinct()
+from codeloom.plans import parser_queries  # noqa: E402, F401  registers its queries

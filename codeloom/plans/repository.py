@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.functions import paths, security, units
+from codeloom.functions import security, units
 from codeloom.functions.identity import session_id
 from codeloom.operators import diff, envs, files, graph, retrieve, search, stats, tree
 from codeloom.plans import index as indexing
@@ -65,11 +65,8 @@ class Repository:
             if not security.safe_path(self.root, p):
                 raise FileNotFoundError(p)
         listed = self.spark.createDataFrame([(p,) for p in paths_], "path string")
-        language = paths.language(F.col("path"))
         hidden = security.tier(F.col("path"), self.config.extra_ignore_filenames, self.config.extra_secret_filenames) != security.NORMAL
-        raw = filesystem.contents(listed, self.root)
-        content = F.when(hidden, F.lit(retrieve.REDACTED)).otherwise(F.decode("content", "UTF-8"))
-        out = raw.select("path", content.alias("content"), language.alias("language"), language.isNotNull().alias("supported"), F.octet_length("content").cast("bigint").alias("size_bytes"))
+        out = retrieve.shown(filesystem.contents(listed, self.root), hidden)
         return symbols, out
 
     def deps(self, symbol: str, direction: str = "both", depth: int = 1) -> DataFrame:
@@ -101,8 +98,7 @@ class Repository:
 
     def status(self, verify: bool = False) -> DataFrame:
         meta = self.store.meta() or {}
-        row = self.symbols.agg(F.count("*").alias("symbols"), F.count_if("possible_unresolved").alias("possible_unresolved"))
-        row = row.crossJoin(self.files.agg(F.count("*").alias("files"))).crossJoin(self.edges.agg(F.count_if(F.col("callee_id").isNull()).alias("unresolved_edges")))
+        row = stats.status(self.symbols, self.files, self.edges)
         commit = meta.get("last_indexed_commit")
         row = row.withColumns({"mode": F.lit(meta.get("mode", "filesystem")), "index_age_seconds": self._age(), "commit_valid": F.lit(git.reachable(self.root, commit) if commit else None).cast("boolean")})
         if verify:

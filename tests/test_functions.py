@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,8 +85,8 @@ def test_safe_path(tmp_path):
 
 
 def test_package_roots(spark):
-    df = spark.createDataFrame([(p,) for p in ["go.mod", "cmd/main.go", "web/package.json", "web/src/a.ts", "web/src/deep/b.ts"]], "path string")
-    assert {r.path: r.package_root for r in paths.with_package_root(df).collect()} == {"go.mod": ".", "cmd/main.go": ".", "web/package.json": "web", "web/src/a.ts": "web", "web/src/deep/b.ts": "web"}
+    df = spark.createDataFrame([(p,) for p in ["go.mod", "app/run.go", "web/package.json", "web/src/a.ts", "web/src/deep/b.ts"]], "path string")
+    assert {r.path: r.package_root for r in paths.with_package_root(df).collect()} == {"go.mod": ".", "app/run.go": ".", "web/package.json": "web", "web/src/a.ts": "web", "web/src/deep/b.ts": "web"}
     assert {r.package_root for r in paths.with_package_root(df.filter("path like '%.ts'")).collect()} == {""}
 
 
@@ -162,13 +163,13 @@ def test_diff(spark):
 
 
 def test_tree(spark):
-    df = spark.createDataFrame([("internal/a/x.go", 1), ("internal/b.md", 2), ("cmd/main.go", 3), ("README.md", 4)], "path string, size long")
-    counts = spark.createDataFrame([("cmd/main.go", 5)], "path string, symbol_count long")
+    df = spark.createDataFrame([("core/a/x.go", 1), ("core/b.md", 2), ("app/run.go", 3), ("README.md", 4)], "path string, size long")
+    counts = spark.createDataFrame([("app/run.go", 5)], "path string, symbol_count long")
     got = {r.path: r for r in tree.tree(df, counts, depth=2).collect()}
-    assert set(got) == {"internal", "internal/a", "internal/b.md", "cmd", "cmd/main.go", "README.md"}
-    assert got["cmd/main.go"].symbol_count == 5 and got["cmd"].symbol_count == 0 and got["internal/a"].is_dir
-    assert {r.path for r in tree.tree(df, depth=2, source_only=True).collect()} == {"cmd", "cmd/main.go"}
-    assert {r.path for r in tree.tree(df, scope="internal/", depth=1).collect()} == {"a", "b.md"}
+    assert set(got) == {"core", "core/a", "core/b.md", "app", "app/run.go", "README.md"}
+    assert got["app/run.go"].symbol_count == 5 and got["app"].symbol_count == 0 and got["core/a"].is_dir
+    assert {r.path for r in tree.tree(df, depth=2, source_only=True).collect()} == {"app", "app/run.go"}
+    assert {r.path for r in tree.tree(df, scope="core/", depth=1).collect()} == {"a", "b.md"}
 
 
 def test_savings(spark):
@@ -204,3 +205,119 @@ def test_enrichment(spark):
 
     assert {r.name: r.summary for r in enrich.enrich(df, describe).collect()} == {"f": "Does f.", "c": "kept", "bad": "function bad"}
     assert enrich.detect({}) == "template" and enrich.detect({"GOOGLE_API_KEY": "x"}) == "google"
+
+
+class _Stub:
+    """A service on this machine that answers in the formats of the providers."""
+
+    def __init__(self, reply):
+        import http.server
+        import threading
+
+        asked = self.asked = []
+
+        class Handler(http.server.BaseHTTPRequestHandler):
+            def answer(self, body):
+                status, said = reply(self.path, body)
+                asked.append((self.path, dict(self.headers), body))
+                data = said if isinstance(said, bytes) else json.dumps(said).encode()
+                self.send_response(status)
+                self.end_headers()
+                self.wfile.write(data)
+
+            def do_GET(self):  # noqa: N802
+                self.answer(None)
+
+            def do_POST(self):  # noqa: N802
+                self.answer(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+
+            def log_message(self, *_):
+                pass
+
+        self.server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+        self.url = f"http://127.0.0.1:{self.server.server_port}"
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.server.shutdown()
+
+
+@pytest.mark.parametrize(
+    ("environ", "path", "header", "said"),
+    [
+        ({"ANTHROPIC_API_KEY": "k", "ANTHROPIC_BASE_URL": "URL"}, "/v1/messages", ("x-api-key", "k"), {"content": [{"type": "text", "text": "Does f."}]}),
+        ({"GOOGLE_API_KEY": "k", "GOOGLE_BASE_URL": "URL", "GOOGLE_MODEL": "m"}, "/v1beta/models/m:generateContent", ("x-goog-api-key", "k"), {"candidates": [{"content": {"parts": [{"text": "Does f."}]}}]}),
+        ({"OPENAI_API_BASE": "URL", "OPENAI_API_KEY": "k"}, "/v1/chat/completions", ("Authorization", "Bearer k"), {"choices": [{"message": {"content": "Does f."}}]}),
+        ({"OLLAMA_HOST": "URL"}, "/v1/chat/completions", ("Authorization", "Bearer ollama"), {"choices": [{"message": {"content": "Does f."}}]}),
+    ],
+)
+def test_providers(spark, environ, path, header, said):
+    from codeloom.operators import enrich
+
+    with _Stub(lambda where, body: (200, said)) as stub:
+        found = enrich.provider({k: v.replace("URL", stub.url) for k, v in environ.items()}, timeout_s=5)
+        assert found("a prompt") == "Does f."
+        where, headers, body = stub.asked[-1]
+        assert where == path and {k.lower(): v for k, v in headers.items()}[header[0].lower()] == header[1] and "a prompt" in json.dumps(body)
+        df = spark.createDataFrame([("function", "f", "func f()", "", "src"), ("const", "c", "", "kept", "src")], "kind string, name string, signature string, summary string, source string")
+        assert {r.name: r.summary for r in enrich.enrich(df, found).collect()} == {"f": "Does f.", "c": "kept"}
+
+
+@pytest.mark.parametrize("reply", [(200, {"content": []}), (200, {"error": {"message": "no"}}), (500, {"error": {"message": "no"}}), (429, b"busy"), (200, b"not json")])
+def test_a_provider_that_fails_leaves_the_template(spark, reply):
+    from codeloom.operators import enrich
+
+    with _Stub(lambda where, body: reply) as stub:
+        found = enrich.Provider("anthropic", stub.url, "m", "k", 5)
+        with pytest.raises(enrich.ProviderError):
+            found("x")
+        df = spark.createDataFrame([("function", "f", "", "", "")], "kind string, name string, signature string, summary string, source string")
+        assert enrich.enrich(df, found).first().summary == "function f"
+
+
+def test_a_local_service_is_probed():
+    from codeloom.operators import enrich
+
+    assert enrich.provider({}, local="http://127.0.0.1:9") is None
+    with _Stub(lambda where, body: (200, {}) if where == "/api/tags" else (404, {})) as stub:
+        assert enrich.provider({}, local=stub.url).name == "ollama" and stub.asked[0][0] == "/api/tags"
+
+
+def test_joins_of_a_trace_do_not_grow_with_the_depth(spark):
+    from codeloom.operators import graph
+
+    links = spark.createDataFrame([(k, k + 1) for k in range(12)] + [(3, 0), (5, 5), (2, None)], "src long, dst long")
+    plans = []
+    for depth in (2, 9):
+        out = graph.reach(links, [0], depth)
+        assert {r.id: r.distance for r in out.collect()} == {k: k for k in range(depth + 1)}
+        plans.append(out._jdf.queryExecution().executedPlan().toString().count("Join"))
+    assert plans == [0, 0]
+
+
+def test_the_smallest_range_around(spark):
+    import random
+
+    from codeloom.operators import graph
+
+    rng = random.Random(5)
+    ranges = [(g, a := rng.randint(-50, 300), a + rng.choice([0, 1, 2, 7, 64, 65, 200]), k) for k, g in enumerate("ab" * 60)]
+    points = [(rng.choice("abc"), rng.randint(-60, 400)) for _ in range(200)]
+    points += points[:20]
+    found = graph.enclosing(spark.createDataFrame(points, "g string, at long"), spark.createDataFrame(ranges, "g string, a long, z long, id long"), ["g"], "at", "a", "z", "id", ["id"])
+    want = []
+    for g, at in points:
+        around = [(z - a, k) for h, a, z, k in ranges if h == g and a <= at < z]
+        if around:
+            want.append((g, at, min(around)[1]))
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_names_of_files_with_blanks(spark):
+    from codeloom.operators import diff
+
+    lines = spark.createDataFrame([("M\tdir/my file.go",), ("R100\told name\tnew name",), ("",), ("D  plain.go",), (" A\tx y",)], "value string")
+    assert sorted(map(tuple, diff.parse_name_status(lines).collect())) == [("dir/my file.go", "M"), ("new name", "R"), ("plain.go", "D"), ("x y", "A")]
