@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom import session
+
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
@@ -41,15 +41,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder below the one that driver and executors share; it is deleted when the driver's JVM ends.
-
-    The cluster names the shared folder in ``spark.checkpoint.dir``. Where that is unset a temporary folder is made and
-    set, but only if all executors are threads of this machine; else that is an error.
-    """
-    path = f"{_shared_root(spark)}/{purpose}-{uuid.uuid4().hex}"
-    folder, files = _hadoop(spark, path)
-    files.mkdirs(folder)
-    files.deleteOnExit(folder)
+    """A new folder below the one that driver and executors share (see :func:`codeloom.session.shared_root`)."""
+    path = session.shared_folder(spark, purpose)
     for made in _OPEN:
         made.append(path)
     return path
@@ -74,30 +67,8 @@ def passing(spark: SparkSession) -> Iterator[None]:
 
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Deletes a folder that nothing reads any more."""
-    folder, files = _hadoop(spark, path)
-    files.delete(folder, True)
-
-
-def _hadoop(spark: SparkSession, path: str) -> tuple:
-    context = spark.sparkContext
-    folder = context._jvm.org.apache.hadoop.fs.Path(path)
-    return folder, folder.getFileSystem(context._jsc.hadoopConfiguration())
-
-
-def _shared_root(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if not root:
-        current = context._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            root = current.get()
-        elif context.master == "local" or context.master.startswith("local["):
-            root = f"file://{tempfile.mkdtemp(prefix='codeloom-')}"
-        else:
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(root)
-    return root.rstrip("/")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def written(df: DataFrame, purpose: str) -> DataFrame:

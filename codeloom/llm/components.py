@@ -2,8 +2,9 @@
 
 Links are rows (a, b). Every round replaces each node's links by links to the least neighbour, from above and from below,
 until nothing changes; then each node links to the least node of its component. Rounds grow with the logarithm of the
-longest chain. Only a count and a checksum reach the driver. Hub nodes: the least neighbour is reduced map-side, and the
-join that follows may be split by adaptive execution. Every round is written to the shared folder, and the one before deleted.
+longest chain. Only a count and a checksum reach the driver. Every round is written to the shared folder, and the one before
+deleted. Hub nodes: the least neighbour is reduced map-side, and among ``MANY`` links it is written before the links meet it,
+so that the join is one of two tables, which adaptive execution splits where a hub has very many links.
 """
 
 from __future__ import annotations
@@ -11,17 +12,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import drop_folder, shared_folder, written_to
+from codeloom.llm.common import drop_folder, passing, shared_folder, written, written_to
 
 
-def _large(links: DataFrame) -> DataFrame:
+MANY = 50_000
+
+
+def _large(links: DataFrame, many: bool) -> DataFrame:
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = written(least, "least") if many else least
     return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small(links: DataFrame) -> DataFrame:
+def _small(links: DataFrame, many: bool) -> DataFrame:
     least = links.groupBy("a").agg(F.min("b").alias("m"))
+    least = written(least, "least") if many else least
     moved = links.join(least, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.withColumnRenamed("m", "b")).distinct()
 
@@ -37,8 +43,12 @@ def components(links: DataFrame) -> DataFrame:
     links = written_to(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), folder)
     before = _state(links)
     while True:
-        following = shared_folder(spark, "links")
-        links = written_to(_small(_large(links)), following)
+        following, many = shared_folder(spark, "links"), before[0] >= MANY
+        with passing(spark):
+            stars = _large(links, many)
+            if many:
+                stars = written(stars, "stars")
+            links = written_to(_small(stars, many), following)
         drop_folder(spark, folder)  # what is written needs no lineage
         folder, after = following, _state(links)
         if after == before:

@@ -559,7 +559,9 @@ def test_spans_are_those_of_the_row(spark, monkeypatch):
     assert got == sorted([(0, a, len(a)), (0, b, 0), (1, a, len(a))])
 
 
-def test_components(spark):
+@pytest.mark.parametrize("many", [50_000, 1])
+def test_components(spark, monkeypatch, many):
+    monkeypatch.setattr(components, "MANY", many)
     chain = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 150)] + [(7, 7), (3, 2), (2, 3), (200, 201)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(1, 61)} | {k: 100 for k in range(101, 150)} | {201: 200}
@@ -776,4 +778,4 @@ def test_folders(spark, monkeypatch, tmp_path):
             get = staticmethod(lambda *_: None)
 
     with pytest.raises(RuntimeError, match="checkpoint"):
-        common._shared_root(Session)
+        common.shared_folder(Session, "x")
