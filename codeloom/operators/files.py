@@ -88,6 +88,11 @@ def by_ids(df: DataFrame, ids: Sequence, key: str = "id") -> DataFrame:
     return df.filter(F.col(key).isin(list(ids)))
 
 
+def by_path(files: DataFrame, path: str) -> DataFrame:
+    """The file of this path; no row for an unknown one."""
+    return files.filter(F.col("path") == path)
+
+
 def filtered(df: DataFrame, **equal: object) -> DataFrame:
     """Equality on each column whose value isn't empty, so that only real predicates reach the scan."""
     for column, value in equal.items():

@@ -86,10 +86,9 @@ def search_index(store: stores.Store, symbols: DataFrame, touched: DataFrame) ->
     fresh = search.build_index(symbols.withColumn("row_", row_key()), "row_", stores.INDEXED)
     if not store.exists():
         return fresh
-    old, gone = store.search_index(), touched.select(F.col("file").alias("file_")).distinct()
-    file = F.element_at(F.split("id", "\0"), 2)
-    kept = [df.join(gone, file == F.col("file_"), "left_anti") for df in (old.postings, old.lengths)]
-    return search.TextIndex(kept[0].unionByName(fresh.postings), kept[1].unionByName(fresh.lengths), stores.INDEXED)
+    old, files_ = store.search_index(), touched.select(F.col("file").alias("file_")).distinct()
+    gone = old.lengths.join(files_, F.element_at(F.split("id", "\0"), 2) == F.col("file_"), "left_semi")
+    return search.renewed(old, fresh, gone)
 
 
 def index(spark: SparkSession, root: str, config: Config | None = None, force: bool = False, describe=None) -> IndexResult:

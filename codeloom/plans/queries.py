@@ -123,6 +123,13 @@ def package_stats(spark, sf_dir):
     return stats.package_stats(symbols(spark, sf_dir))
 
 
+@query("SELECT source || '/' || lang || '/doc' || doc_id || '.txt' AS path, strlen(text) AS size FROM documents WHERE doc_id = 7 UNION ALL SELECT NULL, NULL WHERE false")
+def get_file(spark, sf_dir):
+    own = doc_files(spark, sf_dir)
+    known = own.filter("doc_id = 7").first()
+    return files.by_path(own, known.path).unionByName(files.by_path(own, "no such file")).select("path", "size")
+
+
 @query("SELECT count(*) AS n FROM labels WHERE toxic = 1")
 def count_flagged(spark, sf_dir):
     return stats.count_flagged(t(spark, sf_dir, "labels"), F.col("toxic") == 1)
@@ -332,6 +339,22 @@ def search_build(spark, sf_dir):
     return index.postings.groupBy("term").agg(F.count("*").alias("documents"), F.sum(F.size("pos")).alias("occurrences"))
 
 
+@query(
+    r"""
+WITH now AS (SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN lang || ' ' || source ELSE text END AS text FROM documents WHERE doc_id % 3 <> 0),
+tok AS (SELECT unnest(regexp_extract_all(lower(strip_accents(coalesce(text, ''))), '[\p{L}\p{N}\p{Co}]+')) AS term, doc_id FROM now)
+SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS occurrences FROM tok GROUP BY term
+"""
+)
+def search_renew(spark, sf_dir):
+    """The index after a third of the rows went and another third changed, without building it anew."""
+    docs = t(spark, sf_dir, "documents")
+    changed = docs.filter("doc_id % 3 = 1").withColumn("text", F.concat_ws(" ", "lang", "source"))
+    gone = docs.filter("doc_id % 3 <> 2").select(F.col("doc_id").alias("id"))
+    index = search.renewed(stored_index(spark, sf_dir), search.build_index(changed, "doc_id", ["text"]), gone)
+    return index.postings.groupBy("term").agg(F.count("*").alias("documents"), F.sum(F.size("pos")).alias("occurrences"))
+
+
 @query(f"SELECT count(*) AS total FROM ({_bm25(["w[i] = 'the'", "starts_with(w[i], 'ere')"], 'f0 > 0 AND f1 > 0', limit=50)})")
 def search_total(spark, sf_dir):
     """The total that a search reports: the rows returned."""
@@ -854,6 +877,15 @@ def git_stage_lines(spark, sf_dir):
     return git.parse_stage(lines.unionByName(spark.createDataFrame([("100644 no tab",)], "value string")))
 
 
+@query("SELECT 'd/' || doc_id AS path, CASE WHEN doc_id % 2 = 0 THEN substr(sha256(text), 1, 40) END AS blob_sha, doc_id % 2 = 1 AS untracked FROM documents")
+def git_walk(spark, sf_dir):
+    docs = t(spark, sf_dir, "documents")
+    path = F.concat(F.lit("d/"), "doc_id")
+    known = docs.filter("doc_id % 2 = 0").select(F.concat_ws(" ", F.substring(F.sha2("text", 256), 1, 40), path).alias("value"))
+    others = docs.filter("doc_id % 2 = 1").select(path.alias("value"))
+    return git.merged(git.parse_format(known), git.parse_untracked(others))
+
+
 @query(
     """
 SELECT n_name AS key, CASE n_nationkey % 3 WHEN 0 THEN 'empty' WHEN 1 THEN 'placeholder' ELSE 'set' END AS state, CASE WHEN n_nationkey % 3 = 1 THEN 'value matches placeholder pattern' END AS note,

@@ -62,6 +62,16 @@ def parse_stage(lines: DataFrame) -> DataFrame:
     return lines.filter(F.col("value").contains("\t") & (F.size(fields) >= 2)).select(path.alias("path"), F.element_at(fields, 2).alias("blob_sha")).dropDuplicates(["path"])
 
 
+def parse_untracked(lines: DataFrame) -> DataFrame:
+    """(path, blob_sha) of lines that are paths; git has no hash for them."""
+    return lines.filter(F.col("value") != "").select(F.col("value").alias("path"), F.lit(None).cast("string").alias("blob_sha"))
+
+
+def merged(known: DataFrame, others: DataFrame) -> DataFrame:
+    """(path, blob_sha, untracked) of both lists."""
+    return known.withColumn("untracked", F.lit(False)).unionByName(others.withColumn("untracked", F.lit(True)))
+
+
 def tracked(spark: SparkSession, root: str) -> DataFrame:
     if (version() or (0, 0)) >= (2, 38):
         return parse_format(_lines(spark, run(root, "ls-files", "--format=%(objectname) %(path)")))
@@ -74,12 +84,12 @@ def untracked(spark: SparkSession, root: str) -> DataFrame:
         said = run(root, "ls-files", "--others", "--exclude-standard")
     except (OSError, subprocess.CalledProcessError):
         said = ""
-    return _lines(spark, said).select(F.col("value").alias("path"), F.lit(None).cast("string").alias("blob_sha"))
+    return parse_untracked(_lines(spark, said))
 
 
 def walk(spark: SparkSession, root: str) -> DataFrame:
     """(path, blob_sha, untracked)."""
-    return tracked(spark, root).withColumn("untracked", F.lit(False)).unionByName(untracked(spark, root).withColumn("untracked", F.lit(True)))
+    return merged(tracked(spark, root), untracked(spark, root))
 
 
 def name_status(spark: SparkSession, root: str, since: str) -> DataFrame:
