@@ -68,9 +68,20 @@ def strip_type_arguments(s: Column) -> Column:
     return F.trim(F.substring_index(s, "<", 1))
 
 
+def _arguments(depth: int) -> str:
+    """A pattern for arguments in parentheses, strings taken whole, to this depth."""
+    atom = r"""[^()"'`]|"(?:\\.|[^"\\])*+"|'(?:\\.|[^'\\])*+'|`(?:\\.|[^`\\])*+`"""
+    return rf"\((?:{atom}{'|' + _arguments(depth - 1) if depth else ''})*+\)"
+
+
 def callee_name(raw: Column) -> Column:
-    """The identifier called: before the first parenthesis or type argument, after the last dot or double colon."""
-    head = F.regexp_extract(raw, r"(?s)^([^(]*)", 1)
+    """The identifier called: what stands before the last arguments, after the last dot or double colon.
+
+    Type arguments are left out. Where the last arguments can't be told (very deep, or quotes that aren't strings), it is
+    what stands before the first parenthesis.
+    """
+    whole = F.regexp_replace(raw, rf"(?s)(?:(?:::)?\s*<[^<>()]*>)?\s*{_arguments(5)}\s*$", "")
+    head = F.when(whole != raw, whole).otherwise(F.regexp_extract(raw, r"(?s)^([^(]*)", 1))
     return F.trim(F.regexp_replace(F.regexp_extract(head, r"(?s)([^.:]*)$", 1), r"[!?]+$", ""))
 
 

@@ -240,7 +240,7 @@ def parse_java(spark, sf_dir):
     """
 WITH s AS (SELECT s_suppkey::VARCHAR AS k FROM supplier)
 SELECT substr(sha256('dir/' || k || '.Pair' || k || '.Get' || k), 1, 8) AS caller_id, CASE WHEN c = 'call' THEN substr(sha256('dir/' || k || '.call' || k), 1, 8) END AS callee_id, c AS called
-FROM s, (VALUES ('call'), ('Do'), ('Do')) v(c)
+FROM s, (VALUES ('call'), ('Do'), ('Then')) v(c)
 """
 )
 def index_calls(spark, sf_dir):

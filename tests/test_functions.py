@@ -321,3 +321,11 @@ def test_names_of_files_with_blanks(spark):
 
     lines = spark.createDataFrame([("M\tdir/my file.go",), ("R100\told name\tnew name",), ("",), ("D  plain.go",), (" A\tx y",)], "value string")
     assert sorted(map(tuple, diff.parse_name_status(lines).collect())) == [("dir/my file.go", "M"), ("new name", "R"), ("plain.go", "D"), ("x y", "A")]
+
+
+def test_callee_of_a_chain(spark):
+    given = {
+        "f(x)": "f", "a.b(1).c(2)": "c", 'q.in.Do(1).Then(")")': "Then", "x.new::<u8>(y)": "new", "Vec::<u8>::new()": "new", "a?.go(b)": "go", "println!(x)": "println",
+        "g(h(i(j(k(1)))))": "g", "a.b(c => d(`${e(1)}`))": "b", "f('('))": "f", "m(&'a x)": "m", "plain": "plain", "": "",
+    }
+    assert values(spark, text.callee_name(F.col("r")), [(k,) for k in given], "r string") == list(given.values())
