@@ -12,7 +12,7 @@ the input is split. What reaches the driver is the ``FREQUENT`` most frequent wo
 all of fixed size.
 
 Scoring: distinct texts are dealt to blocks of bounded size; each block's distinct words meet their counts in one join, and
-the block is scored as a whole, the state running through each complete text. Rows meet their text's score by its digest.
+the block is scored as a whole, the state running through each complete text. Rows meet their text's score by 128 bits of the text.
 
 Defined cases: null or empty text is an end alone; rows with null id are training rows; without training rows N and V are 0,
 nothing is known, every share is that of an unknown token; repeated rows count each, train the network once and are scored
@@ -22,7 +22,6 @@ each; other columns may be kept, but those named like a result.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +31,7 @@ from pyspark.sql import functions as F
 
 from codeloom.llm import gru
 from codeloom.llm.common import fresh, table, written
+from codeloom.llm.wordcut import Seen, Words, groups
 
 #: A word that no text has, as words hold no white space.
 END = b"\n"
@@ -44,55 +44,37 @@ BLOCK_CHARS = 20 << 20
 #: Up to so many blocks are dealt one to a partition; among more, chance evens them out.
 EVEN_BLOCKS = 4096
 LANES = 384
+#: Rows of one text, from which on a task sends a text but once.
+COPIES = 1 << 14
 #: Tokens of a shard, and tokens trained on at once.
 SHARD = 1 << 20
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
-
-
 def tail_class(word: bytes) -> int:
     """By length in bytes, by having other than ASCII, and by a last byte other than a letter."""
     last = word[-1]
     return min((len(word) - 1) // 3, 3) * 4 + 2 * (not word.isascii()) + (last < 128 and not (97 <= last <= 122))
 
 
-def bucket(word: bytes) -> int:
-    return int.from_bytes(word[-3:], "big") % 251 % BUCKETS
-
-
-class Remembered(dict):
-    """Values of a function, computed once."""
-
-    def __init__(self, f) -> None:
-        super().__init__()
-        self.f = f
-
-    def __missing__(self, key):
-        self[key] = out = self.f(key)
-        return out
-
-
 class Coder:
-    """Numbers of tokens: input, class, and word within the frequent ones (-1: tail)."""
+    """Numbers of words: input, class, and word within the frequent ones (-1: tail)."""
 
     def __init__(self, frequent: list[bytes]) -> None:
-        self.frequent = {w: k for k, w in enumerate(frequent)}
+        """``frequent``: the end, then the most frequent words."""
         self.n_words = len(frequent)
         self.n_inner = -(-len(frequent) // PER_CLASS)
         self.sizes = gru.shapes(len(frequent) + BUCKETS, self.n_inner + TAILS, len(frequent), PER_CLASS)
-        self.trained = Remembered(self.number)
-
-    def number(self, word: bytes) -> int:
-        """Input and class as one number below 2**15: that of a frequent word, else bucket and tail class after them."""
-        f = self.frequent.get(word)
-        return f if f is not None else self.n_words + bucket(word) * TAILS + tail_class(word)
-
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        if len(self.trained) > 300_000:
-            self.trained.clear()
-        return np.fromiter(map(self.trained.__getitem__, words), np.int16, len(words))
+        self.frequent = Seen()
+        self.frequent.add(Words(frequent[1:]).keys())
+
+    def numbers(self, words: Words) -> np.ndarray:
+        """Input and class as one number below 2**15: that of a frequent word, else bucket and tail class after them. The
+        end's number is 0."""
+        n, last = words.ends - words.starts, words.last(1)
+        buckets = ((words.last(3) << 16) | (words.last(2) << 8) | last) % 251 % BUCKETS
+        tails = np.minimum((n - 1) // 3, 3) * 4 + 2 * words.wide() + ((last < 128) & ~((97 <= last) & (last <= 122)))
+        found = self.frequent.find(words.keys())
+        return np.where(found >= 0, found + 1, self.n_words + buckets * TAILS + tails).astype(np.int16)
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Input, class and word by number."""
@@ -126,38 +108,50 @@ class Coder:
         return out
 
     @staticmethod
-    def split(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Input, class and word of each code, as small integers."""
-        return (codes >> 40).astype(np.int16), ((codes >> 20) & 0xFFFFF).astype(np.int16), ((codes & 0xFFFFF) - 1).astype(np.int16)
-
-    def shifted(self, inputs: np.ndarray, opens: np.ndarray) -> np.ndarray:
+    def shifted(inputs: np.ndarray, opens: np.ndarray) -> np.ndarray:
         """The input before each token, that of the end where a text opens."""
         before = np.empty_like(inputs)
         before[1:] = inputs[:-1]
-        before[opens] = self.code(END) >> 40
+        before[opens] = 0
         return before
 
 
+def with_ends(values: np.ndarray, counts: np.ndarray, end: float) -> tuple[np.ndarray, np.ndarray]:
+    """Values of words with one for an end after each text, and where each text begins."""
+    stops = np.cumsum(counts + 1)
+    out = np.empty(len(values) + len(counts), values.dtype)
+    at = np.ones(len(out), bool)
+    at[stops - 1] = False
+    out[at], out[~at] = values, end
+    return out, stops - counts - 1
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, tail, n) over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        seen, words, counts, n_texts = Seen(), [], np.zeros(0, np.int64), 0
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                counts.update(tokens(t))
-                counts[END] += 1
-                if len(counts) > 400_000:
-                    yield emit(counts)
-                    counts = Counter()
-        yield emit(counts)
-
-    def emit(counts: Counter) -> pa.RecordBatch:
-        words = list(counts)
+            for texts in groups(batch.column(0).to_pylist()):
+                n_texts += len(texts)
+                own = Words(texts)
+                keys, first, n = np.unique(own.keys(), return_index=True, return_counts=True)
+                known = seen.find(keys)
+                counts[known[known >= 0]] += n[known >= 0]
+                new = known < 0
+                seen.add(keys[new])
+                words += own.take(first[new])
+                counts = np.concatenate([counts, n[new]])
+                if len(words) > 400_000:
+                    yield emit(words, counts)
+                    seen, words, counts = Seen(), [], np.zeros(0, np.int64)
+        yield emit([*words, END], np.append(counts, n_texts))
+
+    def emit(words: list[bytes], counts: np.ndarray) -> pa.RecordBatch:
         tails = [-1 if w == END else tail_class(w) for w in words]
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(tails, pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["word", "tail", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(tails, pa.int32()), pa.array(counts)], names=["word", "tail", "n"])
 
-    return docs.select("text").mapInArrow(run, "word binary, tail int, n long").groupBy("word", "tail").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "word binary, tail int, n long").filter("n > 0").groupBy("word", "tail").agg(F.sum("n").alias("n"))
 
 
 def dealt(spark: SparkSession, df: DataFrame, n: int, name: str) -> DataFrame:
@@ -171,18 +165,23 @@ def dealt(spark: SparkSession, df: DataFrame, n: int, name: str) -> DataFrame:
 
 def code_texts(docs: DataFrame, coder: Coder) -> DataFrame:
     """(shard, k1, k2, numbers) of rows (shard, k1, k2, text); a row met before in a task is left out."""
-    sent = docs.sparkSession.sparkContext.broadcast(list(coder.frequent))
+    sent = docs.sparkSession.sparkContext.broadcast(coder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen = Coder(sent.value), set()
+        own, seen = sent.value, set()
         for batch in batches:
             at, out = [], []
-            for k, (key, t) in enumerate(zip(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True), batch.column(3).to_pylist(), strict=True)):
+            for k, key in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 if key not in seen:
                     seen.add(key)
                     at.append(k)
-                    out.append(own.numbers([*tokens(t), END]).tobytes())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at, pa.int64())) for c in range(3)), pa.array(out, pa.binary())], names=["shard", "k1", "k2", "numbers"])
+            rows = batch.take(pa.array(at, pa.int64()))
+            for texts in groups(rows.column(3).to_pylist()):
+                words = Words(texts)
+                numbers, begins = with_ends(own.numbers(words), words.counts, 0)
+                data, cuts = numbers.tobytes(), [*(2 * begins).tolist(), 2 * len(numbers)]
+                out += [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(out, pa.binary())], names=["shard", "k1", "k2", "numbers"])
 
     return docs.select("shard", "k1", "k2", "text").mapInArrow(run, "shard int, k1 long, k2 long, numbers binary")
 
@@ -190,10 +189,10 @@ def code_texts(docs: DataFrame, coder: Coder) -> DataFrame:
 def train_weights(docs: DataFrame, coder: Coder, weights: np.ndarray, rate: float, n_shards: int, most: int | None = None) -> np.ndarray:
     """One pass over all texts of each shard (of ``most`` tokens, if given) from these weights; the average by tokens."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((weights, list(coder.frequent)))
+    sent = spark.sparkContext.broadcast((weights, coder))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Coder(sent.value[1])
+        own = sent.value[1]
         tables = own.tables()
         total, seen = np.zeros(len(sent.value[0])), 0
         shard = key = params = None
@@ -282,8 +281,10 @@ def even_keys(spark: SparkSession, n: int) -> list[int]:
     return [found.get(p, p) for p in range(n)]
 
 
-def digest(text: Column) -> Column:
-    return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), 1, 32))
+def text_keys(text: Column) -> list[Column]:
+    """128 bits of a text."""
+    whole = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(whole), F.xxhash64(F.lit(1), whole)]
 
 
 def score_texts(df: DataFrame, learned: tuple[Coder, np.ndarray, DataFrame, dict], doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -296,78 +297,82 @@ def score_texts(df: DataFrame, learned: tuple[Coder, np.ndarray, DataFrame, dict
     n_blocks = max(1, math.ceil(chars / BLOCK_CHARS))
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The first row of each text in a task, so that a text of very many rows isn't sent for each."""
-        seen: set[bytes] = set()
+        """The first row of each text in a task."""
+        seen: set[tuple] = set()
         for batch in batches:
             at = []
-            for k, key in enumerate(batch.column(1).to_pylist()):
+            for k, key in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 if key not in seen:
                     seen.add(key)
                     at.append(k)
             yield batch if len(at) == batch.num_rows else batch.take(pa.array(at, pa.int64()))
 
-    rows = df.select(digest(F.col(text)).alias("key"), F.col(text).alias("text"))
-    rows = rows.select(F.pmod(F.xxhash64("key"), F.lit(n_blocks)).cast("int").alias("block"), "key", "text").mapInArrow(once, "block int, key binary, text string")
+    keys = text_keys(F.col(text))
+    rows = df.select(F.pmod(keys[0], F.lit(n_blocks)).cast("int").alias("block"), keys[0].alias("k1"), keys[1].alias("k2"), F.col(text).alias("text"))
+    if not rows.groupBy("k1", "k2").count().filter(F.col("count") > COPIES).isEmpty():
+        rows = rows.mapInArrow(once, "block int, k1 long, k2 long, text string")
     docs = dealt(spark, rows, n_blocks, "block")
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[int, set] = {}
+        met: dict[int, Seen] = {}
         for batch in batches:
-            for block, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if block not in words and len(words) >= 4:
-                    yield emit(*words.popitem())
-                own = words.setdefault(block, set())
-                own.update(tokens(t))
-                if len(own) > 1_000_000:
-                    yield emit(block, words.pop(block))
-        for block, own in words.items():
-            yield emit(block, own)
-
-    def emit(block: int, own: set) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(own), block, np.int32)), pa.array(list(own), pa.binary())], names=["block", "word"])
-
-    met = docs.select("block", "text").mapInArrow(distinct, "block int, word binary").join(counts.select("word", "n"), "word")  # a word twice in a block does no harm
+            blocks, texts = batch.column(0).to_numpy(), batch.column(1)
+            for block in np.unique(blocks).tolist():
+                for group in groups(texts.take(pa.array(np.flatnonzero(blocks == block))).to_pylist()):
+                    if block not in met and len(met) >= 4 or block in met and len(met[block]) > 1_000_000:
+                        met.clear()  # a word twice in a block does no harm
+                    seen, words = met.setdefault(block, Seen()), Words(group)
+                    keys, first = np.unique(words.keys(), return_index=True)
+                    new = seen.find(keys) < 0
+                    seen.add(keys[new])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(int(new.sum()), block, np.int32)), pa.array(words.take(first[new]), pa.binary())], names=["block", "word"])
+
+    met = docs.select("block", "text").mapInArrow(distinct, "block int, word binary").join(counts.select("word", "n").hint("shuffle_hash"), "word")
     end_count = counts.filter("tail = -1").agg(F.max("n")).first()[0] or 0
-    sent = spark.sparkContext.broadcast((weights, list(coder.frequent), totals, end_count))
+    sent = spark.sparkContext.broadcast((weights, coder, totals, end_count))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        weights, frequent, totals, end_count = sent.value
-        own = Coder(frequent)
-        params = gru.unflat(weights, own.sizes)
-        seen = dict(zip(right.column("word").to_pylist(), right.column("n").to_pylist(), strict=True))
-        seen[END] = end_count
-        number = Remembered(lambda _: len(number))
-        lists, keys, met_keys = [], [], set()
-        for chunk in left.select(["key", "text"]).to_batches():
-            for key, t in zip(chunk.column(0).to_pylist(), chunk.column(1).to_pylist(), strict=True):
-                if key in met_keys:
-                    continue
-                met_keys.add(key)
-                keys.append(key)
-                words = [*tokens(t), END]
-                lists.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
-        lengths = np.array([len(x) for x in lists], np.int64)
-        ids = np.concatenate(lists) if lists else np.zeros(0, np.int32)
-        del lists
-        n = np.array([seen.get(w, 0) for w in number], np.float64)
-        codes = own.code_all(list(number))
-        tail = (codes & 0xFFFFF) == 0
-        base = np.log10((n + 0.5) / (totals["n"] + 0.5 * (totals["v"] + 1)))
-        share = np.zeros(len(n))
-        if len(n):
-            share[tail] = np.log10((n[tail] + 0.5) / totals["mass"][(codes[tail] >> 20 & 0xFFFFF) - own.n_inner])
+        weights, own, totals, end_count = sent.value
+        params, tables = gru.unflat(weights, own.sizes), own.tables()
+        keys: dict[tuple[int, int], int] = {}
+        once = []  # each text once
+        for chunk in left.select(["k1", "k2"]).to_batches():
+            for key in zip(chunk.column(0).to_pylist(), chunk.column(1).to_pylist(), strict=True):
+                once.append(key not in keys)
+                keys.setdefault(key, len(keys))
+        texts = left.column("text").filter(pa.array(once, pa.bool_()))
+        known = Seen()
+        word_keys, first = np.unique(Words(right.column("word").to_pylist()).keys(), return_index=True)
+        known.add(word_keys)
+        # logarithms of the smoothed counts: of the known words, of an unknown one
+        n = np.append(right.column("n").to_numpy()[first], 0) if len(first) else np.zeros(1)
+        log_n = np.log10(n + 0.5)
+        log_end, log_all, log_mass = np.log10(end_count + 0.5), np.log10(totals["n"] + 0.5 * (totals["v"] + 1)), np.log10(totals["mass"])
+        parts: list[list[np.ndarray]] = [[], [], [], []]
+        for chunk in texts.chunks:
+            for group in groups(chunk.to_pylist()):
+                words = Words(group)
+                at = known.find(words.keys())
+                for to, (values, end) in zip(parts, ((own.numbers(words), 0), (log_n[at], log_end), (n[at] > 0, end_count > 0)), strict=False):
+                    to.append(with_ends(values, words.counts, end)[0])
+                parts[3].append(words.counts + 1)
+        numbers, logs, is_known, lengths = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in zip(parts, (np.int16, float, bool, np.int64), strict=True))
         doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
-        opens = np.zeros(len(ids), bool)
-        opens[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
-        inputs, classes, words = (x[ids] for x in own.split(codes))
-        inner = np.bincount(doc, share[ids], len(lengths))
-        logs = gru.score(params, lengths, own.shifted(inputs, opens), classes, words) / math.log(10)
-        columns = [pa.array(lengths), pa.array(np.bincount(doc, n[ids] > 0, len(lengths)).astype(np.int64)), pa.array(np.bincount(doc, base[ids], len(lengths))), pa.array(logs + inner)]
-        return pa.Table.from_arrays([pa.array(keys, pa.binary()), *columns], names=["key", "n_tokens", "n_known", "base_score", "score"])
-
-    scored = docs.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(run, "key binary, n_tokens long, n_known long, base_score double, score double")
-    key = fresh([*keep, *made], "key")
-    out = df.select(*keep, digest(F.col(text)).alias(key)).join(scored.withColumnRenamed("key", key), key)
+        opens = np.zeros(len(numbers), bool)
+        opens[np.cumsum(lengths) - lengths] = True
+        inputs, classes, words = (x[numbers] for x in tables)
+        tail = np.flatnonzero(words < 0)
+        inner = np.bincount(doc[tail], logs[tail] - log_mass[classes[tail] - own.n_inner], len(lengths))
+        scores = gru.score(params, lengths, own.shifted(inputs, opens), classes, words) / math.log(10)
+        base = np.bincount(doc, logs, len(lengths)) - lengths * log_all
+        columns = [pa.array(lengths), pa.array(np.bincount(doc, is_known, len(lengths)).astype(np.int64)), pa.array(base), pa.array(scores + inner)]
+        k1, k2 = ([k[i] for k in keys] for i in (0, 1))
+        return pa.Table.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), *columns], names=["k1", "k2", "n_tokens", "n_known", "base_score", "score"])
+
+    scored = docs.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(run, "k1 long, k2 long, n_tokens long, n_known long, base_score double, score double")
+    k1 = fresh([*keep, *made], "k1")
+    k2 = fresh([*keep, *made, k1], "k2")
+    out = df.select(*keep, *(c.alias(n) for c, n in zip(text_keys(F.col(text)), (k1, k2), strict=True))).join(scored.withColumnsRenamed({"k1": k1, "k2": k2}), [k1, k2])
     return out.withColumn("train_tokens", F.lit(totals["n"]).cast("bigint")).select(*keep, *made)
 
 

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import fresh, table
+from codeloom.llm.rolling import mixed
 
 SYMBOLS = b"#*$%&|<>"
 SEPARATORS = {b"|", b"\xc2\xbb", b"\xc2\xb7", b">", b"/", b"::", b"-", b"\xe2\x80\xa2"}
@@ -122,12 +123,23 @@ def line_fails(line: bytes, words: list[bytes], rules: Rules) -> bool:
 
 def common_lines(df: DataFrame, text: str, rules: Rules) -> frozenset[int]:
     """XXH64 (seed 42) of the common lines."""
-    n_rows = df.count()
-    least = max(rules.common_least, rules.common_share * n_rows)
-    lines = F.split(F.col("t"), "\n", -1)
-    around = F.transform(lines, lambda x, k: F.struct(x.alias("line"), F.xxhash64(F.get(lines, k - 1), F.lit(0), F.get(lines, k + 1)).alias("between")))
-    short = df.select(df[text].alias("t")).select(F.explode(F.filter(around, lambda x: F.length(x["line"]).between(1, rules.common_chars))).alias("x"))
-    pairs = short.select(F.xxhash64("x.line").alias("h"), "x.between").filter(F.col("h").isNotNull()).groupBy("h", "between").agg(F.lit(1))
+    from xxhash import xxh64_intdigest
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, short = [0], [False]  # a zero between texts stands for no line
+            for t in batch.column(0).to_pylist():
+                for line in (t or "").encode().split(b"\n"):
+                    hashes.append(xxh64_intdigest(line, 42))
+                    short.append(0 < len(line) <= rules.common_chars or 0 < len(line) <= 4 * rules.common_chars and code_points(line) <= rules.common_chars)
+                hashes.append(0)
+                short.append(False)
+            h, at = np.array(hashes, np.uint64), np.flatnonzero(short)
+            between = mixed(mixed(h[at - 1]) + h[np.minimum(at + 1, len(h) - 1)])
+            yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(between.view(np.int64))], names=["h", "between"])
+
+    least = max(rules.common_least, rules.common_share * df.count())
+    pairs = df.select(df[text].alias("t")).mapInArrow(run, "h long, between long").distinct()
     found = pairs.groupBy("h").count().filter(F.col("count") >= least).select("h")
     return frozenset(int(h) & (1 << 64) - 1 for h in found.toArrow().column(0).to_pylist())
 

@@ -11,6 +11,7 @@ from codeloom.functions import env, identity, paths, security, text, units
 from codeloom.operators import diff, envs, files, graph, retrieve, search, similar, stats, tree
 from codeloom.session import shared_folder
 from codeloom.sources import git
+from codeloom.sources.storage import HadoopStorage
 from codeloom.streaming import savings as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -315,7 +316,7 @@ _INDEXES: dict[tuple[str, str], str] = {}
 def stored_index(spark: SparkSession, sf_dir: str) -> search.TextIndex:
     """The inverted index of the documents: written to the shared folder by the first search, read by all others."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _INDEXES:
+    if key not in _INDEXES or not HadoopStorage(spark, _INDEXES[key]).exists("lengths/_SUCCESS"):
         path = f"{shared_folder(spark, 'search')}/index"
         search.build_index(t(spark, sf_dir, "documents"), "doc_id", ["text"]).write(path)
         _INDEXES[key] = path

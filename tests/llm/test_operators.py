@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, chat, common, components, decontam, gru, langid, lmscore, nearcopies, quality, simhash, suffixdedup, urlfilter, warc
+from codeloom.llm import bpe, chat, common, components, decontam, gru, langid, lmscore, nearcopies, quality, simhash, suffixdedup, urlfilter, warc, wordcut
 from codeloom.llm.suffixarray import Merged, Shard
 from tests.llm import brute
 
@@ -60,6 +60,14 @@ def test_items_without_id_and_short_items(spark):
     assert {r.doc_id for r in decontam.remove_leaks(frame(spark, docs), items, short=True).collect()} == {2, 5}
 
 
+def test_decontamination_of_empty_tables(spark):
+    docs, items = frame(spark, ["one two three four five six"]), spark.createDataFrame([(0, "one two three four five six")], "item_id long, text string")
+    for d, i in [(docs.limit(0), items), (docs, items.limit(0)), (docs.limit(0), items.limit(0))]:
+        assert decontam.find_leaks(d, i, short=True).count() == 0
+        assert decontam.remove_leaks(d, i, short=True).count() == d.count()
+    assert decontam.remove_leaks(docs, items).count() == 0
+
+
 @pytest.mark.parametrize("n", range(1, 60))
 def test_sketch_sizes_miss_nothing(n):
     import math
@@ -376,11 +384,30 @@ def test_probabilities_sum_to_one():
     assert tails + words == pytest.approx(1, abs=1e-5)
 
 
-def test_codes_at_once():
-    coder = lmscore.Coder([lmscore.END, b"the", b"a"])
-    words = [lmscore.END, b"the", b"a", b"b", b"ab", b"abc.", "é".encode(), "日本語".encode(), b"x" * 50, b"9", b"it's", b"\xff"]
-    assert coder.code_all(words).tolist() == [coder.code(w) for w in words]
-    assert coder.code_all([]).tolist() == []
+def test_words_at_once():
+    rng = random.Random(30)
+    for _ in range(200):
+        texts = ["".join(rng.choice("abAB é日.\t\n\x0b\x1c\x85 ") * rng.choice([1, 1, 9]) for _ in range(rng.randint(0, 12))) for _ in range(rng.randint(0, 5))]
+        words = wordcut.Words([t.encode() for t in texts])
+        want = [brute.words(brute.lower(t)) for t in texts]
+        flat = [w.encode() for own in want for w in own]
+        assert words.take(np.arange(len(words))) == flat and words.counts.tolist() == list(map(len, want))
+        keys = words.keys().tolist()
+        assert len(set(keys)) == len(set(flat)) == len(set(zip(keys, flat, strict=True)))
+        assert words.wide().tolist() == [not w.isascii() for w in flat]
+
+
+def test_numbers_of_words():
+    frequent = [lmscore.END, b"the", b"a", b"a" * 20]
+    coder = lmscore.Coder(frequent)
+    own = [b"the", b"a", b"b", b"ab", b"abc.", "é".encode(), "日本語".encode(), b"x" * 50, b"9", b"it's", b"\xff", b"a" * 20, b"a" * 9 + b"b" + b"a" * 10]
+    inputs, classes, words = coder.tables()
+    for w, k in zip(own, coder.numbers(wordcut.Words(own)).tolist(), strict=True):
+        if w in frequent:
+            assert (inputs[k], classes[k], words[k]) == (frequent.index(w), frequent.index(w) // lmscore.PER_CLASS, frequent.index(w))
+        else:
+            assert (inputs[k], classes[k], words[k]) == (coder.n_words + int.from_bytes(w[-3:], "big") % 251, coder.n_inner + lmscore.tail_class(w), -1)
+    assert coder.numbers(wordcut.Words([])).tolist() == []
 
 
 def test_lm_scoring(spark, monkeypatch):
@@ -412,6 +439,8 @@ def test_lm_scoring(spark, monkeypatch):
 @pytest.mark.parametrize("shard", [1 << 20, 2000])
 def test_scores_do_not_depend_on_the_splits(spark, monkeypatch, shard):
     monkeypatch.setattr(lmscore, "SHARD", shard)
+    monkeypatch.setattr(lmscore, "COPIES", 1 << 14 if shard > 2000 else 2)
+    monkeypatch.setattr(wordcut, "GROUP", 4 << 20 if shard > 2000 else 100)
     texts = babble(25, 200, "abcdefgh", 60)
     data = [(i if i % 7 else None, t, "own", "own") for i, t in enumerate(texts)] + [(None, texts[0], "own", "own")] * 40 + [(3, None, "own", "own")]
     df = spark.createDataFrame(data, "doc_id long, text string, block string, key string")
