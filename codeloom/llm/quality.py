@@ -61,7 +61,7 @@ class Rules:
     max_lost: float = 0.5
     mark_words: int = 6
     mark_share: float = 0.8
-    unfinished_words: int = 4
+    unfinished_words: int = 3
     common_chars: int = 200
     common_least: int = 20
     common_share: float = 0.001
@@ -243,7 +243,7 @@ WITH d AS (
 ), by_doc AS (
   SELECT r, count(*) FILTER (again) AS dup, coalesce(sum(chars) FILTER (common), 0) AS set_aside,
     sum(chars) FILTER (NOT common AND (again OR separators >= 0.3 * n OR symbols > 0.3 * size OR letters < 0.4 * size OR (n >= 6 AND most >= 0.8 * n)
-      OR (n <= 4 AND NOT finished) OR (n >= 6 AND marks > 0.8 * n) OR (n <= 15 AND n_phrases > 0) OR (n > 15 AND phrase_words >= 0.2 * n))) AS lost
+      OR (n <= 3 AND NOT finished) OR (n >= 6 AND marks > 0.8 * n) OR (n <= 15 AND n_phrases > 0) OR (n > 15 AND phrase_words >= 0.2 * n))) AS lost
   FROM judged GROUP BY r
 ), base AS (
   SELECT w.doc_id, len(w.w)::BIGINT AS n_words, len(array_to_string(w.w, ''))::BIGINT AS word_chars, (len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
