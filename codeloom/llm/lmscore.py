@@ -83,30 +83,6 @@ class Coder:
         classes = np.concatenate([f // PER_CLASS, self.n_inner + tail % TAILS])
         return inputs.astype(np.int16), classes.astype(np.int16), np.concatenate([f, np.full(len(tail), -1)]).astype(np.int16)
 
-    def code(self, word: bytes) -> int:
-        """Input, class and word in one number."""
-        f = self.frequent.get(word)
-        if f is not None:
-            return (f << 40) | ((f // PER_CLASS) << 20) | (f + 1)
-        return ((self.n_words + bucket(word)) << 40) | ((self.n_inner + tail_class(word)) << 20)
-
-    def code_all(self, words: list[bytes]) -> np.ndarray:
-        """The codes of many words met for the first time, at once."""
-        if not words:
-            return np.zeros(0, np.int64)
-        data = np.frombuffer(b"\0\0" + b"".join(words), np.uint8).astype(np.int64)
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(lengths) + 2
-        last, before, third = data[ends - 1], np.where(lengths > 1, data[ends - 2], 0), np.where(lengths > 2, data[ends - 3], 0)
-        wide = np.add.reduceat(data[2:] > 127, ends - lengths - 2) > 0
-        tails = np.minimum((lengths - 1) // 3, 3) * 4 + 2 * wide + ((last < 128) & ~((97 <= last) & (last <= 122)))
-        buckets = ((third << 16) | (before << 8) | last) % 251 % BUCKETS
-        out = ((self.n_words + buckets) << 40) | ((self.n_inner + tails) << 20)
-        for k, w in enumerate(words):
-            if w in self.frequent:
-                out[k] = self.code(w)
-        return out
-
     @staticmethod
     def shifted(inputs: np.ndarray, opens: np.ndarray) -> np.ndarray:
         """The input before each token, that of the end where a text opens."""
