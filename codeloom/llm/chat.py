@@ -86,15 +86,25 @@ def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn
     return out.withColumn("attachment_tokens", F.aggregate("attachments", F.lit(0).cast("bigint"), lambda s, a: s + a["n_tokens"]))
 
 
-def _read_part(piece: Column) -> Column:
-    """A piece of content: a placeholder, or text."""
-    kind, number = (F.regexp_extract(piece, r"(?s)^\[\|(.*) ([0-9]+)\|\]$", k) for k in (1, 2))
-    is_mark = piece.startswith("[|")
-    return F.struct(
-        F.when(is_mark, unescape(kind)).otherwise(F.lit("text")).alias("kind"),
-        F.when(~is_mark, unescape(piece)).alias("text"),
-        F.when(is_mark, number.cast("int")).alias("ordinal"),
-    )
+def _part(kind: Column, text: Column | None = None, ordinal: Column | None = None) -> Column:
+    none = F.lit(None)
+    return F.struct(kind.alias("kind"), (none.cast("string") if text is None else text).alias("text"), (none.cast("int") if ordinal is None else ordinal).alias("ordinal"))
+
+
+def _read_parts(content: Column) -> Column:
+    """Content cut where placeholders begin: what comes before the first is text; each other piece is a placeholder's inside, its end, and text."""
+
+    def text_of(said: Column) -> Column:
+        return F.when(said != "", F.array(_part(F.lit("text"), unescape(said)))).otherwise(F.array().cast("array<struct<kind:string,text:string,ordinal:int>>"))
+
+    def read(piece: Column, k: Column) -> Column:
+        inside = F.substring_index(piece, "|]", 1)
+        number = F.substring_index(inside, " ", -1)
+        kind = F.substr(inside, F.lit(1), F.length(inside) - F.length(number) - 1)
+        mark = F.array(_part(unescape(kind), ordinal=number.cast("int")))
+        return F.when(k == 0, text_of(piece)).otherwise(F.concat(mark, text_of(F.substr(piece, F.length(inside) + 3))))
+
+    return F.flatten(F.transform(F.split(content, r"\[\|", -1), read))
 
 
 def read_back(df: DataFrame, formatted: str = "formatted") -> DataFrame:
@@ -109,7 +119,7 @@ def read_back(df: DataFrame, formatted: str = "formatted") -> DataFrame:
     def turn(p: Column) -> Column:
         role = F.substring_index(p, "|>", 1)
         content = F.substr(p, F.length(role) + 3)
-        parts = F.transform(F.regexp_extract_all(content, F.lit(r"(?s)\[\|.*?\|\]|(?:(?!\[\|).)+"), 0), _read_part)
+        parts = _read_parts(content)
         return F.struct(unescape(role).alias("role"), F.array_join(F.transform(parts, lambda x: F.coalesce(x["text"], F.lit(""))), "").alias("text"), parts.alias("parts"))
 
     return df.withColumn("turns", F.transform(opened, turn))
