@@ -808,3 +808,18 @@ def test_folders(spark, monkeypatch, tmp_path):
 
     with pytest.raises(RuntimeError, match="checkpoint"):
         common.shared_folder(Session, "x")
+
+
+def test_long_texts_of_conversations_and_urls(spark):
+    mixed = "a😀[|" * 250_000
+    rows = [(1, 0, "user", mixed), (1, 1, "assistant", "\\" + mixed)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, said string")
+    kind = chat.PART
+    parts = F.array(F.struct(F.lit("text").alias("kind"), F.col("said").alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(0).cast("bigint").alias("units")), F.struct(F.lit("im age").alias("kind"), F.lit(None).cast("string").alias("text"), F.lit("r").alias("ref"), F.lit(1).cast("bigint").alias("units")))
+    back = chat.read_back(chat.format_conversations(df.withColumn("parts", parts.cast(f"array<{kind}>")))).first()
+    assert [(t.role, t.text, [(p.kind, p.ordinal) for p in t.parts]) for t in back.turns] == [(r, t, [("text", None), ("im age", k + 1)]) for k, (_, _, r, t) in enumerate(rows)]
+    hosts = ["a." * 500_000 + "evil.com", "." * 1_000_000, "x" * 1_000_000 + ".evil.com", "evil.com.b"]
+    urls = spark.createDataFrame([(k, f"http://{h}/p/{'q' * 1_000_000}") for k, h in enumerate(hosts)], "page_id long, url string")
+    rules = urlfilter.rules_frame(spark, [("block", "evil.com", "/p"), ("allow", "a.evil.com", "/p/q")])
+    got = {r.page_id: (r.rule, r.verdict) for r in urlfilter.judge_urls(urls, rules).select("page_id", "rule", "verdict").collect()}
+    assert got == {0: ("a.evil.com/p/q", "allow"), 1: (None, "allow"), 2: ("evil.com/p", "block"), 3: (None, "allow")}
