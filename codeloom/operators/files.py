@@ -36,11 +36,15 @@ def dedup_edges(edges: DataFrame, order: Sequence[str | Column] = ("confidence",
     return first.select("caller_id", *(F.col("row_")[c].alias(c) for c in names)).select(edges.columns)
 
 
+def sure(edges: DataFrame) -> DataFrame:
+    """An empty confidence becomes static."""
+    return edges.withColumn("confidence", F.when(F.coalesce("confidence", F.lit("")) == "", F.lit("static")).otherwise(F.col("confidence")))
+
+
 def replace_edges(old: DataFrame, new: DataFrame, callers: DataFrame) -> DataFrame:
     """Edges of ``callers`` (column ``id``) replaced; an empty confidence becomes static."""
     kept = old.join(callers.select(F.col("id").alias("caller_id")).distinct(), "caller_id", "left_anti").select(old.columns)
-    confidence = F.when(F.coalesce("confidence", F.lit("")) == "", F.lit("static")).otherwise(F.col("confidence"))
-    return dedup_edges(kept.unionByName(new.withColumn("confidence", confidence).select(old.columns)))
+    return dedup_edges(kept.unionByName(sure(new).select(old.columns)))
 
 
 def mark_unresolved(symbols: DataFrame, files: DataFrame, file: str = "file") -> DataFrame:

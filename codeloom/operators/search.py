@@ -49,6 +49,10 @@ def tokenize(text: str) -> list[str]:
     return regex.findall(TOKEN, fold_text(text))
 
 
+POSTINGS = "term string, id string, col string, pos array<int>"
+LENGTHS = "id string, n long"
+
+
 @dataclass
 class TextIndex:
     """postings (term, id, col, pos array), lengths (id, n)."""
@@ -74,13 +78,6 @@ def build_index(df: DataFrame, id_col: str, columns: Sequence[str]) -> TextIndex
     return TextIndex(postings, lengths, list(columns))
 
 
-def renewed(old: TextIndex, fresh: TextIndex, gone: DataFrame) -> TextIndex:
-    """The index without the rows of ``gone`` (column ``id``), and with those of ``fresh``."""
-    ids = gone.select("id").distinct()
-    kept = [df.join(ids, "id", "left_anti").select(df.columns) for df in (old.postings, old.lengths)]
-    return TextIndex(kept[0].unionByName(fresh.postings), kept[1].unionByName(fresh.lengths), old.columns)
-
-
 def read_index(spark, path: str, columns: Sequence[str]) -> TextIndex:
     return TextIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"), list(columns))
 

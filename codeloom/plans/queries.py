@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import env, identity, paths, security, text, units
 from codeloom.operators import diff, envs, files, graph, retrieve, search, similar, stats, tree
+from codeloom.plans.segments import Change, Log, Manifest, Table
 from codeloom.session import shared_folder
 from codeloom.sources import git
 from codeloom.sources.storage import HadoopStorage
@@ -311,20 +312,27 @@ SELECT doc_id, round(-({score}), 6) AS rank FROM hit, tot WHERE ({holds}) AND {w
 
 #: Where the inverted index of a table lies, by application and table.
 _INDEXES: dict[tuple[str, str], str] = {}
+_INDEX_TABLES = {"postings": Table(search.POSTINGS.replace("id string", "id long"), "cast(id AS string)", "term"), "lengths": Table(search.LENGTHS.replace("id string", "id long"), "cast(id AS string)", "id")}
 
 
-def stored_index(spark: SparkSession, sf_dir: str) -> search.TextIndex:
+def stored_index(spark: SparkSession, sf_dir: str) -> tuple[Log, Manifest]:
     """The inverted index of the documents: written to the shared folder by the first search, read by all others."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _INDEXES or not HadoopStorage(spark, _INDEXES[key]).exists("lengths/_SUCCESS"):
-        path = f"{shared_folder(spark, 'search')}/index"
-        search.build_index(t(spark, sf_dir, "documents"), "doc_id", ["text"]).write(path)
-        _INDEXES[key] = path
-    return search.read_index(spark, _INDEXES[key], ["text"])
+    if key not in _INDEXES or not HadoopStorage(spark, _INDEXES[key]).exists("index/manifests"):
+        _INDEXES[key] = shared_folder(spark, "search")
+    log = Log(spark, HadoopStorage(spark, _INDEXES[key]), "index", _INDEX_TABLES)
+    if not log.numbers():
+        index = search.build_index(t(spark, sf_dir, "documents"), "doc_id", ["text"])
+        log.commit(log.stage(Manifest(), {"postings": Change(index.postings), "lengths": Change(index.lengths)}))
+    return log, log.current()
+
+
+def text_index(log: Log, state: Manifest) -> search.TextIndex:
+    return search.TextIndex(log.read("postings", state), log.read("lengths", state), ["text"])
 
 
 def find(spark: SparkSession, sf_dir: str, q: str, limit: int = 10, **filters: object) -> DataFrame:
-    found = search.search(t(spark, sf_dir, "documents"), stored_index(spark, sf_dir), q, "doc_id", ("text", "source"), limit, 0, filters)
+    found = search.search(t(spark, sf_dir, "documents"), text_index(*stored_index(spark, sf_dir)), q, "doc_id", ("text", "source"), limit, 0, filters)
     return found.select("doc_id", F.round("rank", 6).alias("rank"))
 
 
@@ -348,11 +356,14 @@ SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS occurrences FROM t
 """
 )
 def search_renew(spark, sf_dir):
-    """The index after a third of the rows went and another third changed, without building it anew."""
+    """The index after a third of the rows went and another third changed: a segment of the new rows and a set of old ids."""
     docs = t(spark, sf_dir, "documents")
     changed = docs.filter("doc_id % 3 = 1").withColumn("text", F.concat_ws(" ", "lang", "source"))
-    gone = docs.filter("doc_id % 3 <> 2").select(F.col("doc_id").alias("id"))
-    index = search.renewed(stored_index(spark, sf_dir), search.build_index(changed, "doc_id", ["text"]), gone)
+    gone = docs.filter("doc_id % 3 <> 2").select("doc_id")
+    log, base = stored_index(spark, sf_dir)
+    fresh = search.build_index(changed, "doc_id", ["text"])
+    state = log.stage(base, {"postings": Change(fresh.postings, gone), "lengths": Change(fresh.lengths, gone)})  # others search what was there
+    index = text_index(log, state)
     return index.postings.groupBy("term").agg(F.count("*").alias("documents"), F.sum(F.size("pos")).alias("occurrences"))
 
 

@@ -1,4 +1,4 @@
-"""Snapshots: every change writes new Parquet folders, then moves a pointer; readers keep what they have opened.
+"""The store of a repository: a log of segments for its relations and its inverted index, and what lies beside it.
 
 The cache folder is a path or the URL of any file system that Spark knows. On a cluster a path of one machine is refused,
 unless the configuration says that all machines share it.
@@ -15,13 +15,24 @@ from pyspark.sql import DataFrame, SparkSession
 from codeloom import schemas
 from codeloom.functions.identity import repo_hash
 from codeloom.operators import search
+from codeloom.plans.segments import Change, Log, Manifest, Table
 from codeloom.sources.storage import is_local, storage
 
 #: Columns of the inverted index.
 INDEXED = ["name", "qualified_name", "signature", "summary"]
-#: ``unread`` are files that were looked at but hold nothing to index: binary, too large or unreadable ones.
-RELATIONS = {"files": schemas.FILES, "symbols": schemas.SYMBOLS, "edges": schemas.EDGES, "unread": schemas.FILES}
-SORTED_BY = {"files": "path", "symbols": "file", "edges": "caller_id", "unread": "path"}
+#: ``unread`` are files that were looked at but hold nothing to index: binary, too large or unreadable ones; ``calls`` are
+#: edges as parsed.
+#: A change of the index names files, whose path is the second part of a row's key.
+_OWNER = "element_at(split(id, '\\0'), 2)"
+TABLES = {
+    "files": Table(schemas.FILES, "path", "path"),
+    "symbols": Table(schemas.SYMBOLS, "file", "file"),
+    "edges": Table(schemas.EDGES, "caller_id", "caller_id"),
+    "calls": Table(schemas.CALLS, "file", "file"),
+    "unread": Table(schemas.FILES, "path", "path"),
+    "postings": Table(search.POSTINGS, _OWNER, "term"),
+    "lengths": Table(search.LENGTHS, _OWNER, "id"),
+}
 
 
 class VersionError(RuntimeError):
@@ -38,6 +49,7 @@ class Store:
         self.spark, self.cache_root, self.repo = spark, cache_root, os.path.abspath(repo)
         self.hash = repo_hash(repo)
         self.storage = storage(cache_root, spark)
+        self.log = Log(spark, self.storage, self.hash, TABLES)
 
     def at(self, name: str) -> str:
         return f"{self.hash}/{name}"
@@ -46,52 +58,36 @@ class Store:
         return self.storage.url(self.at(name))
 
     def create(self) -> None:
-        self.storage.make(self.at("snapshots"))
+        self.storage.make(self.at("manifests"))
         self.version()
 
     def version(self) -> int:
-        """The schema version; a new store gets this one."""
+        """The schema version; a new store gets this one, and what an older version kept is dropped to be built anew."""
         name = self.at("version")
-        if not self.storage.exists(name):
-            self.storage.write_text(name, str(schemas.VERSION))
-        found = int(self.storage.read_text(name))
+        found = int(self.storage.read_text(name)) if self.storage.exists(name) else 0
         if found > schemas.VERSION:
             raise VersionError(f"schema version {found} is newer than {schemas.VERSION}")
-        return found
-
-    @property
-    def current(self) -> int:
-        name = self.at("CURRENT")
-        return int(self.storage.read_text(name)) if self.storage.exists(name) else 0
+        if found < schemas.VERSION:
+            for old in ("snapshots", "CURRENT"):
+                self.storage.delete(self.at(old))
+            self.storage.write_text(name, str(schemas.VERSION))
+        return schemas.VERSION
 
     def exists(self) -> bool:
-        return self.current > 0
+        return bool(self.log.numbers())
 
-    def read(self, relation: str) -> DataFrame:
-        schema, name = RELATIONS[relation], f"snapshots/{self.current}/{relation}"
-        if not self.exists() or not self.storage.exists(self.at(name)):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self.url(name))
+    def read(self, relation: str, manifest: Manifest | None = None) -> DataFrame:
+        return self.log.read(relation, manifest)
+
+    def search_index(self, manifest: Manifest | None = None) -> search.TextIndex:
+        """The inverted index of the present state."""
+        manifest = manifest or self.log.current()
+        return search.TextIndex(self.log.read("postings", manifest), self.log.read("lengths", manifest), INDEXED)
 
-    def search_index(self) -> search.TextIndex:
-        """The inverted index of the current snapshot."""
-        return search.read_index(self.spark, self.url(f"snapshots/{self.current}/search"), INDEXED)
-
-    def write(self, index: search.TextIndex, **relations: DataFrame) -> int:
-        """A new snapshot of all relations and the inverted index; symbols are sorted by file, so that lookups skip most of
-        the data."""
-        number = self.current + 1
-        target = f"snapshots/{number}"
-        self.storage.delete(self.at(target))
-        for name, schema in RELATIONS.items():
-            df, key = relations[name].select(schemas.names(schema)), SORTED_BY[name]
-            df.repartitionByRange(key).sortWithinPartitions(key).write.parquet(self.url(f"{target}/{name}"))
-        index.write(self.url(f"{target}/search"))
-        self.storage.write_text(self.at("CURRENT"), str(number))
-        for old in self.storage.children(self.at("snapshots")):
-            if old.isdigit() and int(old) < number - 1:
-                self.storage.delete(self.at(f"snapshots/{old}"))
-        return number
+    def write(self, base: Manifest, changes: dict[str, Change]) -> Manifest:
+        """Commits these changes of ``base``, and merges segments where that is due."""
+        self.log.commit(self.log.stage(base, changes))
+        return self.log.compact()
 
     def _appended(self, name: str, schema: str) -> DataFrame:
         if not self.storage.exists(self.at(name)):
@@ -169,8 +165,8 @@ def prune(cache_root: str, older_than_s: float, now: float | None = None) -> lis
     """Drops repositories without an index, or whose index is older than the limit."""
     at, cutoff, gone, kept = storage(cache_root), (time.time() if now is None else now) - older_than_s, [], []
     for r in manifest(cache_root):
-        pointer = f"{r['hash']}/CURRENT"
-        if not at.exists(pointer) or at.modified(pointer) < cutoff:
+        manifests = at.children(f"{r['hash']}/manifests")
+        if not manifests or at.modified(f"{r['hash']}/manifests/{manifests[-1]}") < cutoff:
             at.delete(r["hash"])
             gone.append(r["hash"])
         else:

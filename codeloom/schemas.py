@@ -9,6 +9,7 @@ SYMBOLS = (
     "children array<string>, tags array<string>, imports array<string>, possible_unresolved boolean, untracked boolean, indexed_at string"
 )
 EDGES = "caller_id string, callee_id string, raw_expression string, confidence string"
+CALLS = f"file string, {EDGES}"
 SAVINGS = "session_id string, tool_name string, call_at timestamp, timing_ms double, tokens_saved long"
 CONTENTS = "blob_sha string, content binary"
 PARSED = (
@@ -17,7 +18,7 @@ PARSED = (
     "confidence string, error string, content_hash string, secret boolean"
 )
 
-VERSION = 1
+VERSION = 2
 KINDS = ["function", "class", "method", "interface", "type", "const", "var"]
 CONFIDENCES = ["static", "inferred", "dynamic"]
 ENV_STATES = ["set", "empty", "placeholder", "unset", "missing"]

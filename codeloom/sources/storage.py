@@ -38,8 +38,24 @@ class LocalStorage:
             f.write(text)
         os.replace(temporary, self.root / name)
 
+    def create_text(self, name: str, text: str) -> bool:
+        """A new text, whole at once; False if the name is taken."""
+        fd, temporary = tempfile.mkstemp(dir=(self.root / name).parent)
+        with os.fdopen(fd, "w") as f:
+            f.write(text)
+        try:
+            os.link(temporary, self.root / name)
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(temporary)
+        return True
+
     def delete(self, name: str) -> None:
-        shutil.rmtree(self.root / name, ignore_errors=True)
+        if (self.root / name).is_file():
+            (self.root / name).unlink(missing_ok=True)
+        else:
+            shutil.rmtree(self.root / name, ignore_errors=True)
 
     def children(self, name: str) -> list[str]:
         return sorted(p.name for p in (self.root / name).iterdir()) if self.exists(name) else []
@@ -79,7 +95,7 @@ class HadoopStorage:
         finally:
             stream.close()
 
-    def write_text(self, name: str, text: str) -> None:
+    def _renamed(self, name: str, text: str, overwrite: bool) -> None:
         temporary = f"{name}.{uuid.uuid4().hex}"
         stream = self.fs.create(self._path(temporary))
         try:
@@ -88,8 +104,25 @@ class HadoopStorage:
             stream.close()
         kind = self.jvm.org.apache.hadoop.fs.Options.Rename
         how = self.gateway.new_array(kind, 1)
-        how[0] = kind.OVERWRITE
-        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path("").toUri(), self.conf).rename(self._path(temporary), self._path(name), how)
+        how[0] = kind.OVERWRITE if overwrite else kind.NONE
+        try:
+            self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path("").toUri(), self.conf).rename(self._path(temporary), self._path(name), how)
+        except Exception:
+            self.fs.delete(self._path(temporary), False)
+            raise
+
+    def write_text(self, name: str, text: str) -> None:
+        self._renamed(name, text, True)
+
+    def create_text(self, name: str, text: str) -> bool:
+        """A new text, by a rename that doesn't overwrite; False if the name is taken."""
+        try:
+            self._renamed(name, text, False)
+        except Exception:
+            if self.exists(name):
+                return False
+            raise
+        return True
 
     def delete(self, name: str) -> None:
         self.fs.delete(self._path(name), True)
