@@ -27,5 +27,18 @@ def parse_duration(s: str) -> float:
     return sum(float(a) * SECONDS[b] for a, b in parts)
 
 
+def duration_seconds(text: Column) -> Column:
+    """:func:`parse_duration` for a column; null for what isn't a duration."""
+    parts = F.regexp_extract_all(text, F.lit(r"[0-9]+(?:[.][0-9]+)?(?:ms|[dhms])"), 0)
+
+    def seconds(part: Column) -> Column:
+        unit = F.regexp_extract(part, "[a-z]+$", 0)
+        size = F.coalesce(*(F.when(unit == u, F.lit(v)) for u, v in SECONDS.items()))
+        return F.regexp_extract(part, "^[0-9.]+", 0).cast("double") * size
+
+    whole = (F.size(parts) > 0) & (F.array_join(parts, "") == F.regexp_replace(text, r"^\s+|\s+$", ""))
+    return F.when(whole, F.aggregate(F.transform(parts, seconds), F.lit(0.0), lambda a, x: a + x))
+
+
 def age_seconds(since: Column, now: Column | None = None) -> Column:
     return F.unix_timestamp(F.current_timestamp() if now is None else now) - F.unix_timestamp(since)

@@ -66,6 +66,12 @@ def saved_by_call(tool: str, rows: int) -> int:
     return PER_ROW.get(tool, 0) * rows + PER_CALL.get(tool, 0)
 
 
+def saved_by_calls(tool: Column, rows: Column) -> Column:
+    """:func:`saved_by_call` for columns."""
+    each, once = (F.coalesce(*(F.when(tool == name, F.lit(v)) for name, v in of.items()), F.lit(0)) for of in (PER_ROW, PER_CALL))
+    return (each * rows + once).cast("bigint")
+
+
 def overview(files: DataFrame, symbols: DataFrame) -> DataFrame:
     """One row: counts, languages and packages as arrays, top-level directories in order.
 

@@ -88,10 +88,21 @@ def tokens_saved(spark, sf_dir):
     return docs.select("doc_id", stats.saved_by_symbol(F.octet_length("text")).alias("tokens_saved"))
 
 
-@query("SELECT tool, CASE tool WHEN 'search' THEN 15 * n WHEN 'deps' THEN 20 * n WHEN 'outline' THEN 10 * n WHEN 'diff' THEN 15 * n WHEN 'tree' THEN 80 WHEN 'overview' THEN 60 WHEN 'env' THEN 40 ELSE 30 END AS tokens_saved FROM (VALUES ('search', 7), ('deps', 3), ('outline', 5), ('diff', 2), ('tree', 9), ('overview', 9), ('env', 9), ('status', 9)) v(tool, n)")
+TOOLS = ["search", "deps", "outline", "diff", "tree", "overview", "env", "status", "get"]
+
+
+@query(
+    f"""
+WITH calls AS (SELECT event_id, ({TOOLS})[event_id % 9 + 1] AS tool, event_id % 13 AS n FROM events)
+SELECT event_id, tool, CASE tool WHEN 'search' THEN 15 * n WHEN 'deps' THEN 20 * n WHEN 'outline' THEN 10 * n WHEN 'diff' THEN 15 * n WHEN 'tree' THEN 80 WHEN 'overview' THEN 60
+  WHEN 'env' THEN 40 WHEN 'status' THEN 30 ELSE 0 END AS tokens_saved FROM calls
+"""
+)
 def tokens_saved_by_tool(spark, sf_dir):
-    rows = [("search", 7), ("deps", 3), ("outline", 5), ("diff", 2), ("tree", 9), ("overview", 9), ("env", 9), ("status", 9)]
-    return spark.createDataFrame([(tool, stats.saved_by_call(tool, n)) for tool, n in rows], "tool string, tokens_saved int")
+    """Every event as a call of a tool that gave some rows."""
+    tool = F.element_at(F.array(*map(F.lit, TOOLS)), (F.col("event_id") % 9 + 1).cast("int"))
+    calls = t(spark, sf_dir, "events").select("event_id", tool.alias("tool"), (F.col("event_id") % 13).alias("n"))
+    return calls.select("event_id", "tool", stats.saved_by_calls(F.col("tool"), F.col("n")).alias("tokens_saved"))
 
 
 @query("SELECT session_id, sum(tokens_saved)::BIGINT AS tokens_saved, count(*) AS calls, min(call_at) AS first_call, max(call_at) AS last_call FROM " + LEDGER + " GROUP BY session_id")
@@ -106,6 +117,19 @@ def savings_stream(spark, sf_dir):
     return spark.table(name)
 
 
+@query(SESSIONS)
+def savings_sessions(spark, sf_dir):
+    """The ledger as a stream whose state is kept by session until it is idle, here for longer than the events last; the last of the totals given."""
+    events = spark.readStream.schema(t(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
+    tokens = F.get_json_object("props", "$.k").cast("bigint")
+    stream = events.select(F.col("user_id").cast("string").alias("session_id"), F.col("ts").cast("timestamp").alias("call_at"), tokens.alias("tokens_saved"))
+    name = f"savings_{identity.session_id()}"
+    totals = streams.session_totals(stream, late="10000 days", idle_s=864_000_000)
+    totals.writeStream.format("memory").queryName(name).outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    given = spark.table(name).groupBy("session_id").agg(F.max_by(F.struct("tokens_saved", "calls", "first_call", "last_call"), "calls").alias("last"))
+    return given.select(F.col("session_id").cast("bigint").alias("session_id"), "last.*").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_call", "last_call")})
+
+
 # --- counts
 
 
@@ -917,10 +941,19 @@ def index_age(spark, sf_dir):
     return t(spark, sf_dir, "events").select("event_id", units.age_seconds(F.col("ts").cast("timestamp"), F.lit("2030-01-01 00:00:00").cast("timestamp")).alias("age"))
 
 
-@query("SELECT d AS duration, s::DOUBLE AS seconds FROM (VALUES ('30d', 2592000), ('1h30m', 5400), ('500ms', 0.5), ('45s', 45), ('1.5h', 5400)) v(d, s)")
+@query(
+    """
+SELECT o_orderkey, k % 40 || 'd' || k % 7 || 'h' || CASE k % 5 WHEN 0 THEN ' 1m' WHEN 1 THEN '1.5m' WHEN 2 THEN k || 'ms' WHEN 3 THEN '' ELSE 'x' END AS duration,
+  CASE WHEN k % 5 NOT IN (0, 4) THEN (k % 40) * 86400 + (k % 7) * 3600 + CASE k % 5 WHEN 1 THEN 90 WHEN 2 THEN k * 0.001 ELSE 0 END END::DOUBLE AS seconds
+FROM (SELECT o_orderkey, o_orderkey % 1000 AS k FROM orders)
+"""
+)
 def durations(spark, sf_dir):
-    given = ["30d", "1h30m", "500ms", "45s", "1.5h"]
-    return spark.createDataFrame([(d, units.parse_duration(d)) for d in given], "duration string, seconds double")
+    """Durations made of every order's key, some of them not well formed."""
+    k = F.col("o_orderkey") % 1000
+    end = F.element_at(F.array(F.lit(" 1m"), F.lit("1.5m"), F.concat(k, F.lit("ms")), F.lit(""), F.lit("x")), (k % 5 + 1).cast("int"))
+    orders = t(spark, sf_dir, "orders").select("o_orderkey", F.concat(k % 40, F.lit("d"), k % 7, F.lit("h"), end).alias("duration"))
+    return orders.withColumn("seconds", units.duration_seconds(F.col("duration")))
 
 
 @query("SELECT s_suppkey || '  ' || coalesce(s_name, '-') || '  ' || CASE WHEN s_suppkey % 4 = 0 THEN '-' ELSE s_nationkey::VARCHAR END AS line FROM supplier")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from codeloom.schemas import SAVINGS
 
@@ -26,6 +30,33 @@ def windowed_totals(ledger: DataFrame, width: str = "1 hour", late: str = "1 hou
     return out.select(F.col("w.start").alias("window_start"), "session_id", "tokens_saved", "calls")
 
 
+def session_totals(ledger: DataFrame, late: str = "1 hour", idle_s: int = 3600) -> DataFrame:
+    """Totals of the sessions that had calls, for output mode update; a session's state is dropped when it has been idle.
+
+    Rows that come later than ``late`` behind the newest time are left out, as in every query with a watermark; so are rows
+    without a session or a time. A session ends once the watermark is ``idle_s`` seconds past its last call; a call after
+    that begins a new one of the same id. So the state holds the sessions of about the last ``late`` and ``idle_s``, however
+    long the stream runs.
+    """
+
+    def add(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        tokens, calls, first, last = state.get if state.exists else (0, 0, None, None)
+        for part in parts:  # in pieces of bounded size
+            times = part["call_at"]
+            tokens, calls = tokens + int(part["tokens_saved"].fillna(0).sum()), calls + len(part)
+            first, last = min(x for x in (first, times.min()) if x is not None), max(x for x in (last, times.max()) if x is not None)
+        state.update((tokens, calls, first, last))
+        state.setTimeoutTimestamp(max(int(last.timestamp() * 1000) + idle_s * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"session_id": [key[0]], "tokens_saved": [tokens], "calls": [calls], "first_call": [first], "last_call": [last]})
+
+    known = ledger.filter("session_id is not null and call_at is not null").withWatermark("call_at", late)
+    totals = "tokens_saved long, calls long, first_call timestamp, last_call timestamp"
+    return known.select("session_id", "call_at", "tokens_saved").groupBy("session_id").applyInPandasWithState(add, f"session_id string, {totals}", totals, "update", GroupStateTimeout.EventTimeTimeout)
+
+
 def append_stream(ledger: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Appends what has arrived to the ledger's folder, once for each row."""
     return ledger.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()

@@ -329,3 +329,16 @@ def test_callee_of_a_chain(spark):
         "g(h(i(j(k(1)))))": "g", "a.b(c => d(`${e(1)}`))": "b", "f('('))": "f", "m(&'a x)": "m", "plain": "plain", "": "",
     }
     assert values(spark, text.callee_name(F.col("r")), [(k,) for k in given], "r string") == list(given.values())
+
+
+def test_durations_of_a_column(spark):
+    given = ["30d", "1h30m", "500ms", "45s", " 1.5h\t", "", "soon", "1h x", "h", "1.h", "1 h", None, "9" * 30 + "s", "1d" * 2000]
+
+    def plain(s):
+        try:
+            return units.parse_duration(s)
+        except (ValueError, AttributeError):
+            return None
+
+    got = spark.createDataFrame([(d,) for d in given], "d string").select(units.duration_seconds(F.col("d")).alias("s")).collect()
+    assert [r.s for r in got] == [plain(d) for d in given]
