@@ -339,10 +339,10 @@ _INDEXES: dict[tuple[str, str], str] = {}
 _INDEX_TABLES = {"postings": Table(search.POSTINGS.replace("id string", "id long"), "cast(id AS string)", "term"), "lengths": Table(search.LENGTHS.replace("id string", "id long"), "cast(id AS string)", "id")}
 
 
-def stored_index(spark: SparkSession, sf_dir: str) -> tuple[Log, Manifest]:
-    """The inverted index of the documents: written to the shared folder by the first search, read by all others."""
+def stored_index(spark: SparkSession, sf_dir: str, anew: bool = False) -> tuple[Log, Manifest]:
+    """The inverted index of the documents: written to the shared folder by the first search or anew, read by all others."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _INDEXES or not HadoopStorage(spark, _INDEXES[key]).exists("index/manifests"):
+    if anew or key not in _INDEXES or not HadoopStorage(spark, _INDEXES[key]).exists("index/manifests"):
         _INDEXES[key] = shared_folder(spark, "search")
     log = Log(spark, HadoopStorage(spark, _INDEXES[key]), "index", _INDEX_TABLES)
     if not log.numbers():
@@ -367,8 +367,8 @@ SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS occurrences FROM t
 """
 )
 def search_build(spark, sf_dir):
-    """The inverted index itself, built anew: occurrences of each term."""
-    index = search.build_index(t(spark, sf_dir, "documents"), "doc_id", ["text"])
+    """The inverted index itself, built and written anew: occurrences of each term."""
+    index = text_index(*stored_index(spark, sf_dir, anew=True))
     return index.postings.groupBy("term").agg(F.count("*").alias("documents"), F.sum(F.size("pos")).alias("occurrences"))
 
 
