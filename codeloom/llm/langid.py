@@ -1,7 +1,7 @@
 """Language ID by rank-order profiles: out-of-place distance between n-gram ranks.
 
-Letters are lower-cased one by one and kept as code points; every run of anything else is one space, and a text has a space
-before and after it. N-grams have one to three code points, single spaces left out; three code points fit in one number. A
+Letters are lower-cased one by one and kept as code points, as are the combining marks that follow them (vowel signs, accents
+written apart); every run of anything else is one space, and a text has a space before and after it. N-grams have one to three code points, single spaces left out; three code points fit in one number. A
 language's profile holds the ranks of its ``size`` most frequent n-grams over all training texts; a text is compared by the
 ranks of its own ``size`` most frequent n-grams, an n-gram that a profile lacks counting ``size``, as does a greater
 difference. The least distance wins; ties go to the smaller n-gram (as a number), then to the smaller language.
@@ -19,6 +19,7 @@ a result.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,8 @@ SIZE = 300
 #: Languages whose profiles a pass holds.
 LANGUAGES = 1024
 SPACE = 32
+#: Tells a combining mark from a letter until it is known what it follows.
+MARK = 1 << 24
 #: Texts are counted in pieces of so many characters, which bounds memory.
 PIECE = 1 << 20
 #: Distinct n-grams of a language held by a task before they are handed over.
@@ -39,7 +42,7 @@ HELD = 1 << 21
 
 
 class Letters:
-    """Code points as lower-case letters or spaces, learned from Python's own tables as they occur."""
+    """Code points as lower-case letters, marks or spaces, learned from Python's own tables as they occur."""
 
     def __init__(self) -> None:
         self.known = np.full(0x110000, -1, np.int32)
@@ -49,17 +52,28 @@ class Letters:
         out = self.known[points]
         if (out < 0).any():
             for p in np.unique(points[out < 0]).tolist():
-                self.known[p] = ord(chr(p).lower()[0]) if chr(p).isalpha() else SPACE
+                c = chr(p)
+                self.known[p] = ord(c.lower()[0]) if c.isalpha() else p | MARK if unicodedata.category(c)[0] == "M" else SPACE
             out = self.known[points]
         return out
 
 
+def after_letters(own: np.ndarray, begun: bool) -> np.ndarray:
+    """Marks that follow a letter, or marks that do, are kept; others are spaces. ``begun``: a letter or mark stands before."""
+    mark = own >= MARK
+    if not mark.any():
+        return own
+    last = np.maximum.accumulate(np.where(mark, -1, np.arange(len(own))))
+    follows = np.where(last >= 0, own[last] != SPACE, begun)
+    return np.where(mark, np.where(follows, own & (MARK - 1), SPACE), own).astype(own.dtype)
+
+
 def pieces(letters: Letters, text: str) -> Iterator[np.ndarray]:
     """The n-grams of a text as numbers, by pieces; none if there is no letter."""
     before = np.array([SPACE], np.int32)  # what the last piece left: its last two symbols, or the space at the start
     seen = False
     for at in range(0, len(text) + 1, PIECE):
-        own = letters.of(text[at : at + PIECE]) if at < len(text) else np.zeros(0, np.int32)
+        own = after_letters(letters.of(text[at : at + PIECE]), bool(before[-1] != SPACE)) if at < len(text) else np.zeros(0, np.int32)
         if at + PIECE > len(text):
             own = np.append(own, np.int32(SPACE))
         seen = seen or bool((own != SPACE).any())
@@ -223,7 +237,7 @@ OP9_SQL = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, text, lang, coalesce({CRC32_SQL} % 4 = 2, false) AS held_out FROM documents
 ), s AS (
-  SELECT r, list_transform(regexp_extract_all(regexp_replace(' ' || lower(text) || ' ', '[^\p{{L}}]+', ' ', 'g'), '(?s).'), lambda c: unicode(c)::BIGINT) AS x FROM d WHERE regexp_matches(text, '\p{{L}}')
+  SELECT r, list_transform(regexp_extract_all(regexp_replace(' ' || lower(text) || ' ', '([^\p{{L}}\p{{M}}]\p{{M}}*)+', ' ', 'g'), '(?s).'), lambda c: unicode(c)::BIGINT) AS x FROM d WHERE regexp_matches(text, '\p{{L}}')
 ), g AS (
   SELECT r, unnest(list_concat(list_filter(x, lambda v: v <> 32), list_transform(range(1, len(x)), lambda i: x[i] * 2097152 + x[i + 1]),
     list_transform(range(1, len(x) - 1), lambda i: (x[i] * 2097152 + x[i + 1]) * 2097152 + x[i + 2]))) AS gram FROM s

@@ -823,3 +823,19 @@ def test_long_texts_of_conversations_and_urls(spark):
     rules = urlfilter.rules_frame(spark, [("block", "evil.com", "/p"), ("allow", "a.evil.com", "/p/q")])
     got = {r.page_id: (r.rule, r.verdict) for r in urlfilter.judge_urls(urls, rules).select("page_id", "rule", "verdict").collect()}
     assert got == {0: ("a.evil.com/p/q", "allow"), 1: (None, "allow"), 2: ("evil.com/p", "block"), 3: (None, "allow")}
+
+
+def test_marks_stay_with_their_letters(monkeypatch):
+    monkeypatch.setattr(langid, "PIECE", 3)
+    letters = langid.Letters()
+
+    def words(text):
+        grams = np.concatenate([[], *langid.pieces(letters, text)]).astype(np.int64)
+        one = [int(g) for g in grams if g < 1 << 21]
+        three = Counter(tuple(int(g) >> k & (1 << 21) - 1 for k in (42, 21, 0)) for g in grams if g >= 1 << 42)
+        return "".join(map(chr, one)), three
+
+    assert words("हिन्दी")[0] == "हिन्दी" and words("ไทยกำลัง, e\u0301t\u00e9 ")[0] == "ไทยกำลังe\u0301t\u00e9"
+    assert words("\u0301a \u0301\u0302b\u0301\u0302 1\u0301")[0] == "ab\u0301\u0302"
+    assert words("\u0301 \u0302")[0] == ""
+    assert words("a\u0301b")[1] == Counter({(32, 97, 0x301): 1, (97, 0x301, 98): 1, (0x301, 98, 32): 1})
