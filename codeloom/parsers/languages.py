@@ -1,16 +1,18 @@
-"""Symbols and calls of six languages, without a grammar library: blanked sources, bracket matching and Python's own ast."""
+"""Symbols and calls of six languages, without a grammar library: blanked sources and bracket matching; for Python see ``python_source``."""
 
 from __future__ import annotations
 
-import ast
 import re
 from collections.abc import Callable
 
+from codeloom.parsers.python_source import parse_python
 from codeloom.parsers.scan import IDENT, Around, Found, Source, Symbol, func_signature, inside, squeeze
 
 _KEYWORDS = frozenset(
     b"if for while switch catch return func function fn match else elif do try with typeof await yield super throw case in of select go defer range synchronized assert import require impl where as loop unsafe move new delete void instanceof sizeof".split()
 )
+#: What stands before a parenthesis and a brace in a class body that isn't closed where it should be.
+_STATEMENTS = frozenset(b"if for while switch catch function return with".split())
 _GO_KEYWORDS = frozenset(b"if for switch return func else case select go defer range var const type struct interface map chan package import".split())
 
 
@@ -65,7 +67,7 @@ def _go_body(src: Source, i: int) -> int | None:
 
 
 def parse_go(data: bytes) -> Found:
-    src = Source(data, [(b'"', b'"', True), (b"`", b"`", False), (b"'", b"'", True)])
+    src = Source(data, [(b'"', b'"', True), (b"`", b"`", False), (b"'", b"'", True)], spanning=(b"`",))
     out, code, declared = Found(), src.code, set()
     for m in re.finditer(rb"(?m)^func\b[ \t]*", code):
         i, receiver = m.end(), ""
@@ -213,7 +215,7 @@ def _script(data: bytes, typed: bool) -> Found:
             inner = _body_after(src, src.match[paren] + 1) if paren is not None else None
             if paren is not None:
                 declared.add(paren)
-            if inner is not None and inner < end and found[2] not in _KEYWORDS:
+            if inner is not None and inner < end and found[2] not in _STATEMENTS:
                 word, params = found[2].decode("utf-8", "replace"), squeeze(src.text(paren + 1, src.match[paren]))
                 out.symbols.append(Symbol("method", word, i, src.match[inner] + 1, func_signature(name, word, params), name, src.comment_before(i), params))
                 i = src.match[inner] + 1
@@ -251,7 +253,7 @@ def parse_javascript(data: bytes) -> Found:
 
 def parse_rust(data: bytes) -> Found:
     raw = [(b'r' + b"#" * k + b'"', b'"' + b"#" * k, False) for k in range(3)]
-    src = Source(data, [*raw, (b'"', b'"', True)], nested=True, char=True)
+    src = Source(data, [*raw, (b'"', b'"', True)], nested=True, char=True, spanning=(b'"', *(b for _, b, _ in raw)))
     out, code, declared = Found(), src.code, set()
 
     def comment(at: int) -> str:
@@ -310,7 +312,7 @@ def parse_rust(data: bytes) -> Found:
 
 
 def parse_java(data: bytes) -> Found:
-    src = Source(data, [(b'"""', b'"""', True), (b'"', b'"', True), (b"'", b"'", True)])
+    src = Source(data, [(b'"""', b'"""', True), (b'"', b'"', True), (b"'", b"'", True)], spanning=(b'"""',))
     out, code, declared = Found(), src.code, set()
     modifiers = rb"((?:(?:public|private|protected|static|final|abstract|sealed|strictfp|synchronized|native|default)\s+|@" + IDENT + rb"(?:\s*\([^()]*\))?\s+)*)"
     homes: list[tuple[int, int, str, str]] = []
@@ -353,50 +355,6 @@ def parse_java(data: bytes) -> Found:
     return out
 
 
-# --- Python
-
-
-def parse_python(data: bytes) -> Found:
-    tree = ast.parse(data)
-    starts = [0]
-    for line in data.splitlines(keepends=True):
-        starts.append(starts[-1] + len(line))
-    at = lambda line, col: starts[line - 1] + col
-    src_comments = [(m.start(), m.end()) for m in re.finditer(rb"(?m)^[ \t]*#[^\n]*$", data)]
-    out = Found()
-
-    def comment(start: int) -> str:
-        found = []
-        for a, b in reversed(src_comments):
-            if b <= start and not data[b:start].strip():
-                found.append(data[a:b].decode("utf-8", "replace").strip().lstrip("#").strip())
-                start = a
-        return "\n".join(reversed(found))
-
-    def visit(node: ast.AST, owner: str) -> None:
-        for child in ast.iter_child_nodes(node):
-            if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-                start, end = at(child.lineno, child.col_offset), at(child.end_lineno, child.end_col_offset)
-                doc = ast.get_docstring(child, clean=False) or comment(start)
-                if isinstance(child, ast.ClassDef):
-                    out.symbols.append(Symbol("class", child.name, start, end, f"type {child.name} class", "", doc))
-                    visit(child, child.name)
-                else:
-                    head = Source(data[start:end], [(b'"', b'"', True), (b"'", b"'", True)], line=(b"#",), block=None)
-                    paren = head.code.find(b"(")
-                    params = squeeze(head.text(paren + 1, head.match.get(paren, paren + 1)))
-                    out.symbols.append(Symbol("method" if owner else "function", child.name, start, end, func_signature(owner, child.name, params), owner, doc, params))
-                    visit(child, "")
-            else:
-                if isinstance(child, ast.Call) and isinstance(child.func, (ast.Name, ast.Attribute)):
-                    a, b = at(child.lineno, child.col_offset), at(child.end_lineno, child.end_col_offset)
-                    out.calls.append((a, data[a:b].decode("utf-8", "replace")))
-                visit(child, owner)
-
-    visit(tree, "")
-    return out
-
-
 PARSERS: dict[str, Callable[[bytes], Found]] = {
     "go": parse_go,
     "typescript": parse_typescript,

@@ -42,7 +42,7 @@ def smallest_around(rows: list[dict], places: list[int]) -> list[int | None]:
 
 
 def parse_file(path: str, language: str, data: bytes, secrets: Sequence[re.Pattern] = ()) -> list[dict]:
-    """Rows of :data:`PARSED`: symbols in order, then edges; one error row for a source that can't be parsed.
+    """Rows of :data:`PARSED`: symbols in order, then edges, and an error row for a source of which a part can't be parsed.
 
     A constant or variable in whose source one of ``secrets`` is found is marked.
     """
@@ -90,6 +90,8 @@ def parse_file(path: str, language: str, data: bytes, secrets: Sequence[re.Patte
         if k is not None and (rows[k]["id"], raw) not in seen:
             seen.add((rows[k]["id"], raw))
             rows.append({"record": "edge", "file": path, "ordinal": len(rows), "caller_id": rows[k]["id"], "raw_expression": raw, "confidence": "dynamic"})
+    if found.error:
+        rows.append({"record": "error", "file": path, "error": found.error})
     return rows
 
 

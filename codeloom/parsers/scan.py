@@ -28,6 +28,8 @@ class Symbol:
 class Found:
     symbols: list[Symbol] = field(default_factory=list)
     calls: list[tuple[int, str]] = field(default_factory=list)
+    #: Why a part of the file is missing.
+    error: str = ""
 
 
 def squeeze(text: str) -> str:
@@ -95,10 +97,12 @@ class Source:
         nested: bool = False,
         char: bool = False,
         template: bytes = b"",
+        spanning: tuple[bytes, ...] = (),
     ) -> None:
         """``literals``: opening, closing, whether a backslash escapes. ``char``: a quote may also begin a lifetime.
-        ``template``: the quote of strings whose ``${...}`` hold code, which stays."""
-        self.data, self.literals, self.line, self.block, self.nested, self.template = data, literals, line, block, nested, template
+        ``template``: the quote of strings whose ``${...}`` hold code, which stays. ``spanning``: closing quotes of literals that
+        may go over several lines. A literal that isn't closed ends with its line, so that it doesn't hide what follows."""
+        self.data, self.literals, self.line, self.block, self.nested, self.template, self.spanning = data, literals, line, block, nested, template, set(spanning)
         self.bytes, self.comments = bytearray(data), []
         openers = [re.escape(x) for x in line] + ([re.escape(block[0])] if block else []) + [re.escape(a) for a, _, _ in literals] + ([rb"'"] if char else []) + ([re.escape(template)] if template else [])
         openers = sorted(openers, key=len, reverse=True)
@@ -140,7 +144,12 @@ class Source:
                 end = c.end()
             else:
                 close, escapes = next((b, e) for a, b, e in self.literals if a == what)
-                end = self._literal_end(data, m.end(), close, escapes)
+                end = self._literal_end(m.end(), close, escapes)
+                if not data.startswith(close, max(end - len(close), m.end())):
+                    self._blank(at, end)
+                    self.bytes[end - 1] = 59  # what follows is a statement of its own
+                    i = end
+                    continue
             self._blank(at, end)
             i = max(end, at + 1)
 
@@ -157,8 +166,10 @@ class Source:
                 self._blank(at, m.end())
                 break
         else:
-            self._blank(at, len(self.data))
-            return len(self.data)
+            end = self._line_end(i)
+            self._blank(at, end)
+            self.bytes[end - 1] = 59
+            return end
         if self.data[at] == 125:
             self.bytes[at] = 44
         return m.end()
@@ -175,16 +186,23 @@ class Source:
                 return m.end()
         return len(data)
 
-    @staticmethod
-    def _literal_end(data: bytes, i: int, close: bytes, escapes: bool) -> int:
+    def _line_end(self, i: int) -> int:
+        end = self.data.find(b"\n", i)
+        return len(self.data) if end < 0 else end
+
+    def _literal_end(self, i: int, close: bytes, escapes: bool) -> int:
+        data, start = self.data, i
         while i < len(data):
             if escapes and data[i] == 92:
                 i += 2
             elif data.startswith(close, i):
                 return i + len(close)
+            elif data[i] == 10 and close not in self.spanning:
+                return i
             else:
                 i += 1
-        return len(data)
+        self.spanning.discard(close)  # no other one need be looked for to the end of the file
+        return self._line_end(start)
 
     def _brackets(self) -> dict[int, int]:
         """Each bracket's partner, both ways."""
@@ -259,7 +277,7 @@ class Source:
         out = []
         for m in re.finditer(rb"(" + IDENT + rb")\s*(?:::\s*<[^<>()]*>\s*)?\(", self.code):
             paren = m.end() - 1
-            if paren in declared or m[1] in keywords or paren not in self.match:
+            if paren in declared or m[1] in keywords and self.code[m.start() - 1 : m.start()] != b"." or paren not in self.match:  # a member may be named like a keyword
                 continue
             begin = self.expression_start(m.end(1))
             before = self.before(begin)

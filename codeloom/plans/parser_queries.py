@@ -177,7 +177,11 @@ def sources(spark: SparkSession, sf_dir: str, language: str) -> DataFrame:
 
 
 def parsed(spark: SparkSession, sf_dir: str, language: str) -> DataFrame:
-    rows = parse_files(sources(spark, sf_dir, language))
+    return named(parse_files(sources(spark, sf_dir, language)))
+
+
+def named(rows: DataFrame) -> DataFrame:
+    """Parsed rows under the columns that symbols and calls share."""
     what = F.coalesce("raw_expression", "qualified_name")
     return rows.select("record", "file", "kind", what.alias("what"), F.coalesce("caller_id", "id").alias("id"), "signature", "summary", "byte_start", "byte_end", "line_start", "line_end", "content_hash")
 
@@ -188,9 +192,9 @@ def _quoted(s: str) -> str:
     return f"replace('{body}', '{{k}}', k)"
 
 
-def symbols_sql(language: str) -> str:
-    made, out = TEMPLATES[language], []
-    names = {}
+def symbols_sql_of(made: Template) -> str:
+    """The rows of a template for each key in ``s``."""
+    names, out = {}, []
     for s in made.symbols:
         dotted = f".{s.receiver + '.' if s.receiver else ''}{s.name}"
         names[s.name] = f"'dir/' || k || {_quoted(dotted)}"
@@ -203,7 +207,11 @@ def symbols_sql(language: str) -> str:
         )
     for caller, raw in made.calls:
         out.append(f"SELECT 'edge', 'dir/' || k || '/f{made.extension}', NULL, {_quoted(raw)}, substr(sha256({names[caller]}), 1, 8), NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM s")
-    return "WITH s AS (SELECT s_suppkey::VARCHAR AS k FROM supplier) " + " UNION ALL ".join(out)
+    return " UNION ALL ".join(out)
+
+
+def symbols_sql(language: str) -> str:
+    return "WITH s AS (SELECT s_suppkey::VARCHAR AS k FROM supplier) " + symbols_sql_of(TEMPLATES[language])
 
 
 @query(symbols_sql("go"))
@@ -271,3 +279,72 @@ def index_symbols(spark, sf_dir):
     symbols, _, _ = symbols_and_edges(files, files.select("path").unionByName(manifests), Config(extra_secret_patterns=["(Most|done)[0-9]*[02468] ="]), "now")
     hidden = F.when(F.col("byte_start").isNull() & F.col("content_hash").isNull() & F.array_contains("tags", "secret"), F.col("summary"))
     return symbols.select("file", "kind", hidden.alias("hidden"), "package_root")
+
+
+def _function(name: str, params: str, first: int, end: int, receiver: str = "") -> Made:
+    kind = "method" if receiver else "function"
+    return Made(kind, name, receiver, f"func {f'({receiver}) ' if receiver else ''}{name}({params})", f"{kind} {name}" + (f" accepting {params}" if params else ""), first, end)
+
+
+def _type(word: str, name: str, first: int, end: int, kind: str = "type") -> Made:
+    return Made(kind, name, "", f"type {name} {word}", f"{kind} {name}", first, end)
+
+
+#: Shapes of which a row picks one; those that are damaged keep the symbols before and after.
+SHAPES: list[tuple[str, Template]] = [
+    ("go", Template(".go", ["func a{k}() { f{k}(1) }", "\nfunc bad( {\n\tg(2)\n}\n", "func b{k}(n int) { h{k}(3) }", "\n"], [_function("a{k}", "", 0, 1), _function("b{k}", "n int", 2, 3)], [("a{k}", "f{k}(1)"), ("b{k}", "h{k}(3)")])),
+    ("go", Template(".go", ['func a{k}() {\n\tx := "open\n}', "\n", "func b{k}() { h{k}(3) }", "\n"], [_function("a{k}", "", 0, 1), _function("b{k}", "", 2, 3)], [("b{k}", "h{k}(3)")])),
+    ("go", Template(".go", ["type M{k} map[string]int", "\n\n", "type C{k} chan int", "\n\n", "type S{k} []byte", "\n\n", "type P{k} *int", "\n"], [_type("map_type", "M{k}", 0, 1), _type("channel_type", "C{k}", 2, 3), _type("slice_type", "S{k}", 4, 5), _type("pointer_type", "P{k}", 6, 7)], [])),
+    ("go", Template(".go", ["const (\n\tOne{k} = 1\n\tTwo{k} = 2\n)", "\n\n", "var x{k}, y{k} = f(1), 2", "\n"], [Made("const", "One{k}", "", "", "constant One{k}", 0, 1), Made("const", "Two{k}", "", "", "constant Two{k}", 0, 1), Made("var", "x{k}", "", "", "variable x{k}", 2, 3), Made("var", "y{k}", "", "", "variable y{k}", 2, 3)], [("x{k}", "f(1)")])),
+    ("go", Template(".go", ["func (T{k}) one() { two{k}(`a\n}`) }", "\n", "func (t *T{k}) two(xs ...int) {\n\tgo func() { t.one() }()\n}", "\n"], [_function("one", "", 0, 1, "T{k}"), _function("two", "xs ...int", 2, 3, "T{k}")], [("one", "two{k}(`a\n}`)"), ("two", "t.one()")])),
+    ("typescript", Template(".ts", ["function a{k}() { f{k}(1); }", '\nconst s = "open\n', "function b{k}(n: number) { h{k}(3); }", "\n"], [_function("a{k}", "", 0, 1), _function("b{k}", "n: number", 2, 3)], [("a{k}", "f{k}(1)"), ("b{k}", "h{k}(3)")])),
+    ("typescript", Template(".ts", ["export ", "type Pair{k} = { a: string };", "\n", "type Either{k} =\n  | A\n  | B;", "\n"], [_type("type", "Pair{k}", 1, 2), _type("type", "Either{k}", 3, 4)], [])),
+    ("typescript", Template(".ts", ["abstract class Q{k} {\n  ", "constructor(private n: number) { this.init{k}(n); }", "\n  ", "static of(n: number): Q{k} { return n.match(make{k}(n)); }", "\n}", "\n"], [_type("class", "Q{k}", 0, 5, "class"), _function("constructor", "private n: number", 1, 2, "Q{k}"), _function("of", "n: number", 3, 4, "Q{k}")], [("constructor", "this.init{k}(n)"), ("of", "n.match(make{k}(n))"), ("of", "make{k}(n)")])),
+    ("typescript", Template(".tsx", ["class C {\n  m( { }\n}\n", "function b{k}() { h{k}(3); }", "\n"], [_function("b{k}", "", 1, 2)], [("b{k}", "h{k}(3)")])),
+    ("javascript", Template(".js", ["function a{k}() { f{k}(1); }", "\nfunction bad() {\n  if (x) {\n", "async function b{k}(n) { h{k}(3); }", "\n"], [_function("a{k}", "", 0, 1), _function("b{k}", "n", 2, 3)], [("a{k}", "f{k}(1)"), ("b{k}", "h{k}(3)")])),
+    ("javascript", Template(".mjs", ["class A{k} extends B {\n  ", "get n() { return `${f{k}(1)} ${'}'}`; }", "\n  ", "set n(v) { this.v = g{k}(v); }", "\n}", "\n"], [_type("class", "A{k}", 0, 5, "class"), _function("n", "", 1, 2, "A{k}"), _function("n", "v", 3, 4, "A{k}")], [("n", "f{k}(1)"), ("n", "g{k}(v)")])),
+    ("javascript", Template(".js", ["x = `open\n", "function b{k}() { h{k}(3); }", "\n"], [_function("b{k}", "", 1, 2)], [("b{k}", "h{k}(3)")])),
+    ("python", Template(".py", ["def a{k}():\n    f{k}(1)", "\n\n\ndef bad(:\n    g(2)\n\n\n", "def b{k}(n):\n    h{k}(3)", "\n"], [_function("a{k}", "", 0, 1), _function("b{k}", "n", 2, 3)], [("a{k}", "f{k}(1)"), ("b{k}", "h{k}(3)")])),
+    ("python", Template(".py", ["class C{k}:\n    ", "def m(self):\n        return f{k}(1)", "\n\n    def n(self:\n        k()\n\n    ", "async def o(self):\n        await h{k}(3)", "\n"], [_type("class", "C{k}", 0, 4, "class"), _function("m", "self", 1, 2, "C{k}"), _function("o", "self", 3, 4, "C{k}")], [("m", "f{k}(1)"), ("C{k}", "k()"), ("o", "h{k}(3)")])),
+    ("python", Template(".py", ['s = """open\n', "def b{k}(x='}'):\n    h{k}(3)", "\n"], [_function("b{k}", "x='}'", 1, 2)], [("b{k}", "h{k}(3)")])),
+    ("python", Template(".pyi", ["def a{k}(n):\n    ", "def deep{k}(x):\n        return f{k}(x)", "\n    return deep{k}(n)", "\n"], [_function("a{k}", "n", 0, 3), _function("deep{k}", "x", 1, 2)], [("deep{k}", "f{k}(x)"), ("a{k}", "deep{k}(n)")])),
+    ("python", Template(".py", ["if x{k}:\n    ", "def a{k}(): pass", "\nelse\n    y()\nprint 'old'\n", "class D{k}(B): pass", "\n"], [_function("a{k}", "", 1, 2), _type("class", "D{k}", 3, 4, "class")], [])),
+    ("rust", Template(".rs", ["fn a{k}() { f{k}(1); }", "\nfn bad( {\n  g(2);\n}\n", "pub async fn b{k}(n: u8) { h{k}(3); }", "\n"], [_function("a{k}", "", 0, 1), _function("b{k}", "n: u8", 2, 3)], [("a{k}", "f{k}(1)"), ("b{k}", "h{k}(3)")])),
+    ("rust", Template(".rs", ["pub trait T{k} { fn d(&self); }", "\n", "pub const N{k}: u8 = 1;", "\n", "type L{k} = Vec<u8>;", "\n"], [_type("trait", "T{k}", 0, 1, "interface"), Made("const", "N{k}", "", "", "constant N{k}", 2, 3), _type("type", "L{k}", 4, 5)], [])),
+    ("rust", Template(".rs", ["impl S{k} {\n", "fn b{k}(s: &'static str) { h{k}('\"', s); }", "\n"], [_function("b{k}", "s: &'static str", 1, 2)], [("b{k}", "h{k}('\"', s)")])),
+    ("java", Template(".java", ["class A{k} {\n  ", "void a() { f{k}(1); }", "\n}", "\nclass Bad {\n  void m() {\n", "class B{k} {\n  ", "int[] b(int n) { return h{k}(3); }", "\n}", "\n"], [_type("class", "A{k}", 0, 3), _function("a", "", 1, 2, "A{k}"), _type("class", "B{k}", 4, 7), _function("b", "int n", 5, 6, "B{k}")], [("a", "f{k}(1)"), ("b", "h{k}(3)")])),
+    ("java", Template(".java", ["enum K{k} {\n  X;\n  ", "void z() { y{k}(\"\"\"\n}\"\"\"); }", "\n}", "\n"], [_type("enum", "K{k}", 0, 3), Made("method", "z", "", "func z()", "method z", 1, 2)], [("z", "y{k}(\"\"\"\n}\"\"\")")])),
+    ("java", Template(".java", ["class C{k} {\n  String s = \"open;\n  ", "void c() { h{k}('\"'); }", "\n}", "\n"], [_type("class", "C{k}", 0, 3), _function("c", "", 1, 2, "C{k}")], [("c", "h{k}('\"')")])),
+]
+
+
+def shape_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, language, content): a file for each customer, of the shape that the key picks."""
+    key = F.col("c_custkey").cast("string")
+    made = F.array(*(F.struct(F.lit(language).alias("language"), F.lit(s.extension).alias("extension"), F.lit("".join(s.pieces)).alias("text")) for language, s in SHAPES))
+    own = F.element_at(made, F.pmod("c_custkey", F.lit(len(SHAPES))).cast("int") + 1)
+    rows = t(spark, sf_dir, "customer").select(key.alias("k"), own.alias("own"))
+    path = F.concat(F.lit("dir/"), "k", F.lit("/f"), "own.extension")
+    return rows.select(path.alias("path"), F.col("own.language").alias("language"), F.encode(F.replace("own.text", F.lit("{k}"), "k"), "UTF-8").alias("content"))
+
+
+def _shapes_sql() -> str:
+    parts = []
+    for i, (_, made) in enumerate(SHAPES):
+        picked = f"(SELECT c_custkey::VARCHAR AS k FROM customer WHERE c_custkey % {len(SHAPES)} = {i})"
+        parts.append(symbols_sql_of(made).replace(" FROM s", f" FROM {picked} s"))
+    return " UNION ALL ".join(parts)
+
+
+@query(_shapes_sql())
+def parse_shapes(spark, sf_dir):
+    """Sources of many shapes in six languages, some of them damaged: what isn't damaged is found."""
+    return named(parse_files(shape_sources(spark, sf_dir)).filter("record <> 'error'"))
+
+
+@query(
+    f"SELECT 'dir/' || c_custkey || '/f.py' AS file, true AS damaged FROM customer WHERE c_custkey % {len(SHAPES)} IN (12, 13, 14, 16)"
+)
+def parse_errors(spark, sf_dir):
+    """Files of which a part couldn't be parsed."""
+    return parse_files(shape_sources(spark, sf_dir)).filter("record = 'error'").select("file", F.col("error").startswith("SyntaxError").alias("damaged"))

@@ -83,3 +83,53 @@ def test_registry():
     with pytest.raises(ValueError):
         register("go", lambda data: None)
     assert parse_file("f", "cobol", b"x") == []
+
+
+DAMAGED = {
+    "go": ("func a() { f(1) }\n", ["func bad( {\n\tg(2)\n}\n", "func bad() {\n\tif x {\n", 'func bad() {\n\tx := "open\n}\n', "func bad() ) {}\n", "type T struct {\n", "var x = (1\n", "x := `open\n"], "func b() { h(3) }\n"),
+    "typescript": ("function a() { f(1); }\n", ["function bad( {\n  g(2);\n}\n", "function bad() {\n  if (x) {\n", 'const s = "open\n', "class C {\n  m( { }\n}\n", "x = `open\n"], "function b() { h(3); }\n"),
+    "javascript": ("function a() { f(1); }\n", ["function bad( {\n  g(2);\n}\n", "const s = 'open\n", "const r = /['\"]/;\n", ")}\n"], "function b() { h(3); }\n"),
+    "rust": ("fn a() { f(1); }\n", ["fn bad( {\n  g(2);\n}\n", "fn bad() {\n  if x {\n", "impl S {\n", ")}\n", 'const S: &str = "open\n'], "fn b() { h(3); }\n"),
+    "java": ("class A { void a() { f(1); } }\n", ["class Bad { void bad( {\n  g(2);\n} }\n", "class Bad {\n  void m() {\n", ")}\n", 'String s = """open\n'], "class B { void b() { h(3); } }\n"),
+    "python": ("def a():\n    f(1)\n", ["def bad(:\n    g(2)\n", "x = (1\n", 's = "open\n', 's = """open\n', "if x\n    y()\n", "    bad indent\n", "x = 1 \\\n", "print 'old'\n", "\tx\n  y\n", "@\n", "\0\n"], "def b():\n    h(3)\n"),
+}
+
+
+@pytest.mark.parametrize("language", DAMAGED)
+def test_what_is_not_damaged_is_found(language):
+    before, damages, after = DAMAGED[language]
+    for damage in damages:
+        text = (before + damage + after).encode()
+        rows = parse_file("p/f", language, text)
+        names, calls = {r["name"] for r in rows if r["record"] == "symbol"}, {r["raw_expression"] for r in rows if r["record"] == "edge"}
+        assert {"a", "b"} <= names and {"f(1)", "h(3)"} <= calls, damage
+        own = next(r for r in rows if r.get("name") == "b")
+        assert text[own["byte_start"] : own["byte_end"]].strip() in after.strip().encode()
+
+
+def test_python_mended_equals_whole():
+    """Statements around a damaged one give the rows that they give without it."""
+    good = 'import os\n\n\n@deco(1)\ndef one(a, b=")"):\n    """One."""\n    return g(a)(b)\n\n\n# Two things.\nclass Two(Base):\n    x = f(1)\n\n    @property\n    def m(self):\n        if self.x:\n            return h("""\ndef no(): pass\n""")\n        else:\n            return k([\n1,\n])\n\n    async def n(self): await z()\n\n\nlast(1)\n'
+    keep = ("kind", "name", "signature", "summary", "depth", "content_hash", "parent_id", "raw_expression", "caller_id")
+    rows = lambda text: sorted(str([r.get(c) for c in keep]) for r in parse_file("p/f", "python", text.encode()) if r["record"] != "error")
+    whole = rows(good)
+    lines = good.splitlines(keepends=True)
+    for at in (0, 3, 9, len(lines)):  # between statements
+        for damage in ("def bad(:\n", "x = = 1\n", "else:\n", 's = "\n', "1 +\n"):
+            assert rows("".join(lines[:at]) + damage + "".join(lines[at:])) == whole, (at, damage)
+    inside = "".join(lines[:12]) + "\n    def bad(self:\n        pass\n" + "".join(lines[12:])
+    assert {r["name"] for r in parse_file("p/f", "python", inside.encode()) if r["record"] == "symbol"} == {"one", "Two", "m", "n"}
+    assert [r["name"] for r in parse_file("p/f", "python", b"class A:\n    class B:\n        def c(self):\n            x = = 1\n            def d(): pass\n") if r["record"] == "symbol"] == ["A", "B", "c", "d"]
+
+
+def test_time_to_mend_grows_with_the_file():
+    import time
+
+    took = []
+    for n in (300, 3000):
+        source = ("# Note.\ndef f%d(a):\n    return g(h(a))\n\n\n" * n % tuple(range(n)) + "def bad(:\n" + 'x = "\n' * n).encode()
+        began = time.process_time()
+        rows = parse_file("p/f", "python", source)
+        took.append(time.process_time() - began)
+        assert sum(r["record"] == "symbol" for r in rows) == n
+    assert took[1] < 30 * max(took[0], 0.01)
