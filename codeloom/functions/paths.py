@@ -109,6 +109,7 @@ class IgnoreRule:
     regex: str
     negate: bool
     dir_only: bool
+    pattern: str = ""
 
 
 def parse_ignore_line(line: str, directory: str = "", ordinal: int = 0) -> IgnoreRule | None:
@@ -131,7 +132,7 @@ def parse_ignore_line(line: str, directory: str = "", ordinal: int = 0) -> Ignor
         re.compile(regex)
     except re.error:
         return None
-    return IgnoreRule(directory, ordinal, regex, negate, dir_only)
+    return IgnoreRule(directory, ordinal, regex, negate, dir_only, line)
 
 
 def ignore_rules(lines: Iterable[str], directory: str = "") -> list[IgnoreRule]:

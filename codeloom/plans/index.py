@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import os
 import time
 import uuid
 from collections.abc import Callable
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from codeloom import schemas
 from codeloom.functions import identity, paths, security, text
-from codeloom.operators import enrich, files, graph, search
+from codeloom.operators import enrich, files, graph, ignore, search
 from codeloom.parsers.parse import parse_files
 from codeloom.plans import store as stores
 from codeloom.plans.config import Config
@@ -48,8 +49,10 @@ def walk(spark: SparkSession, root: str, config: Config) -> tuple[str, DataFrame
     stat = filesystem.listing(spark, root, config.extra_ignore_filenames)
     if use_git:
         listed = git.walk(spark, root)
-        rules = filesystem.load_rules(root, "", filesystem.IGNORE_FILES[1:])
-        listed = listed.filter(~paths.is_excluded(F.col("path"), config.extra_ignore_filenames) & ~paths.is_ignored(F.col("path"), rules))
+        lines = [line for name in filesystem.IGNORE_FILES[1:] for line in filesystem.read_lines(os.path.join(root, name))]
+        rules = ignore.rules_table(spark, (("", k, line) for k, line in enumerate(lines)))
+        listed = listed.filter(~paths.is_excluded(F.col("path"), config.extra_ignore_filenames))
+        listed = ignore.with_ignored(listed, rules).filter("not ignored").drop("ignored")
         found = listed.join(stat, "path", "left")
     else:
         found = stat.withColumns({"blob_sha": F.lit(None).cast("string"), "untracked": F.lit(False)})

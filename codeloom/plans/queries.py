@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import env, identity, paths, security, text, units
-from codeloom.operators import diff, envs, files, graph, retrieve, search, similar, stats, tree
+from codeloom.operators import diff, envs, files, graph, ignore, retrieve, search, similar, stats, tree
 from codeloom.plans.segments import Change, Log, Manifest, Table
 from codeloom.session import shared_folder
 from codeloom.sources import git
@@ -538,6 +538,24 @@ def ignore_rules(spark, sf_dir):
     return doc_paths(spark, sf_dir).select("doc_id", paths.is_ignored(F.col("path"), rules).alias("ignored"))
 
 
+@query(
+    f"""
+SELECT doc_id, coalesce(ends_with(path, '.log') OR (doc_id % 6 = 2 AND NOT ends_with(path, '3.py')) OR (doc_id % 6 = 3 AND doc_id IN (SELECT s_suppkey FROM supplier)), false) AS ignored FROM {PATHS}
+"""
+)
+def ignore_relation(spark, sf_dir):
+    """Rules as a table: some of the root's file, one for each supplier among them, and of a file in each source's folder."""
+    one = lambda directory, ordinal, line: [directory.alias("directory"), ordinal.cast("int").alias("ordinal"), line.alias("line")]
+    root = t(spark, sf_dir, "supplier").select(*one(F.lit(""), F.col("s_suppkey"), F.concat(F.lit("/f"), "s_suppkey", F.lit(".lock"))))
+    folders = t(spark, sf_dir, "documents").filter("source is not null").select("source").distinct()
+    own = [folders.select(*one(F.col("source"), F.lit(k), F.lit(line))) for k, line in enumerate(["*.log", "# none", "sub/", "!f*3.py"])]
+    lines = root
+    for rows in own:
+        lines = lines.unionByName(rows)
+    found = doc_paths(spark, sf_dir)
+    return ignore.with_ignored(found, ignore.parse_rules(lines)).select("doc_id", "ignored")
+
+
 @query(f"SELECT doc_id, CASE WHEN ends_with(path, '.js') THEN 'javascript' WHEN ends_with(path, '.py') THEN 'python' WHEN ends_with(path, '.go') THEN 'go' END AS language FROM {PATHS}")
 def language_by_ext(spark, sf_dir):
     return doc_paths(spark, sf_dir).select("doc_id", paths.language(F.col("path")).alias("language"))
