@@ -44,8 +44,8 @@ BLOCK_CHARS = 20 << 20
 #: Up to so many blocks are dealt one to a partition; among more, chance evens them out.
 EVEN_BLOCKS = 4096
 LANES = 384
-#: Rows of one text, from which on a task sends a text but once.
-COPIES = 1 << 14
+#: If a block would get more characters, as copies of a text do that all go to one, each text is sent once.
+BLOCK_MOST = 3 * BLOCK_CHARS
 #: Tokens of a shard, and tokens trained on at once.
 SHARD = 1 << 20
 
@@ -285,8 +285,9 @@ def score_texts(df: DataFrame, learned: tuple[Coder, np.ndarray, DataFrame, dict
 
     keys = text_keys(F.col(text))
     rows = df.select(F.pmod(keys[0], F.lit(n_blocks)).cast("int").alias("block"), keys[0].alias("k1"), keys[1].alias("k2"), F.col(text).alias("text"))
-    if not rows.groupBy("k1", "k2").count().filter(F.col("count") > COPIES).isEmpty():
-        rows = rows.mapInArrow(once, "block int, k1 long, k2 long, text string")
+    most = rows.groupBy("block").agg(F.sum(F.length("text")).alias("chars")).agg(F.max("chars")).first()[0] or 0
+    if most > BLOCK_MOST:  # first once from every task, then once at all
+        rows = rows.mapInArrow(once, "block int, k1 long, k2 long, text string").dropDuplicates(["k1", "k2"])
     docs = dealt(spark, rows, n_blocks, "block")
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -439,7 +439,7 @@ def test_lm_scoring(spark, monkeypatch):
 @pytest.mark.parametrize("shard", [1 << 20, 2000])
 def test_scores_do_not_depend_on_the_splits(spark, monkeypatch, shard):
     monkeypatch.setattr(lmscore, "SHARD", shard)
-    monkeypatch.setattr(lmscore, "COPIES", 1 << 14 if shard > 2000 else 2)
+    monkeypatch.setattr(lmscore, "BLOCK_MOST", 1 << 26 if shard > 2000 else 2)
     monkeypatch.setattr(wordcut, "GROUP", 4 << 20 if shard > 2000 else 100)
     texts = babble(25, 200, "abcdefgh", 60)
     data = [(i if i % 7 else None, t, "own", "own") for i, t in enumerate(texts)] + [(None, texts[0], "own", "own")] * 40 + [(3, None, "own", "own")]
@@ -455,6 +455,21 @@ def test_scores_do_not_depend_on_the_splits(spark, monkeypatch, shard):
         assert all(x[3:] == pytest.approx(y[3:], rel=1e-6) for x, y in zip(other, found[0], strict=True))
 
 
+def test_copies_of_a_text_are_dealt_once(spark, monkeypatch):
+    """Copies don't add up in a block: by characters, whatever the number of rows."""
+    texts = babble(28, 20, "abcdef", 40)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *[texts[0] * 50] * 300])], "doc_id long, text string").repartition(6)
+    learned = lmscore.learn(df.filter("doc_id < 20"), "doc_id")
+    sent, dealt = [], lmscore.dealt
+    monkeypatch.setattr(lmscore, "dealt", lambda spark, rows, n, by: sent.append(rows.count()) or dealt(spark, rows, n, by))
+    scores = []
+    for most in (1 << 30, 10_000):
+        monkeypatch.setattr(lmscore, "BLOCK_MOST", most)
+        scores.append({r.doc_id: r.score for r in lmscore.score_texts(df, learned).collect()})
+    assert sent == [320, 21]
+    assert scores[0].keys() == scores[1].keys() and all(scores[1][k] == pytest.approx(v, rel=1e-6) for k, v in scores[0].items())
+
+
 def test_training_has_no_single_task_over_all_rows(spark, tmp_path):
     frame(spark, babble(26, 50)).write.parquet(f"{tmp_path}/t")
     docs = spark.read.parquet(f"{tmp_path}/t")
