@@ -1,13 +1,16 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
 
-1. Items are partitioned by the number of their shingles, each partition reaching twice as far as the one before. An item's
-   sketch holds the least hashes of its word shingles: of an item with n shingles a document may lack
-   ``n - ceil(threshold * n)``, so a sketch of s values is hit at least ``s`` less that many times, and the sketch sizes
-   follow from the size partition. No document that contains an item is missed, however long it is (signatures of whole
-   documents would miss most items in long ones). The sketches are a table.
-2. One pass over the documents, whatever the number of items: a filter of fixed size says which of a document's shingles may
-   be in a sketch. Documents with such shingles are written with them; all others are done with.
-3. These hashes meet the sketches in an equi-join. Pairs with enough hits are verified by comparing the shingles themselves,
+1. Items are partitioned by the number of their shingles, each partition reaching twice as far as the one before. The partition
+   gives the size of its items' sketches, which hold the least hashes of their word shingles: of an item with n shingles a
+   document may lack ``n - ceil(threshold * n)``, so a sketch of s values is hit at least ``s`` less that many times, and s is
+   one more than twice what the largest items of the partition may lack. No document that contains an item is missed,
+   however long it is (signatures of whole documents would miss most items in long ones). The sketches are a table.
+2. One pass over the documents, whatever the number of items: each partition has a filter, which says which of a document's
+   shingles may be in one of its sketches; a document with too few shingles for the smallest items of a partition isn't
+   asked for it. Documents with such shingles are written with them; all others are done with. The filters share 8 MB by the
+   number of their values: with a million values in all sketches one other shingle in thirty passes at most, with seven million
+   about one in seven. More values let more shingles pass, but lose none.
+3. These hashes meet the sketches of their partition in an equi-join. Pairs with enough hits are verified by comparing the shingles themselves,
    ``ITEMS`` items of a document at a time.
 
 Defined cases: items with fewer words than a shingle match as a whole sequence of words if asked for (the query and the
@@ -31,7 +34,7 @@ from codeloom.llm.rolling import Sums, mixed
 
 SHINGLE = 5
 THRESHOLD = 0.8
-#: Bits of the filter that is asked before the sketches: 8 MB at every size of the benchmark.
+#: Bits of all filters together, as a power of two: 8 MB at every size of the benchmark.
 FILTER_BITS = 26
 #: Items verified at once against a document.
 ITEMS = 256
@@ -56,11 +59,25 @@ def shingles(text: str | None, size: int) -> tuple[bytes, np.ndarray, np.ndarray
     return line, starts[: len(starts) - size + 1], ends[size - 1 :]
 
 
+def spare(n: int, threshold: float) -> int:
+    """Of n shingles, how many a document may lack."""
+    return n - math.ceil(threshold * n - 1e-9)
+
+
+def partition(n: int) -> int:
+    """Of items with n shingles: partition p has those with 2**(p - 1) up to 2**p - 1."""
+    return n.bit_length()
+
+
 def sketch_size(n: int, threshold: float) -> tuple[int, int]:
-    """For items with n shingles: values in the sketch, and how many of them must be hit."""
-    spare = n - math.ceil(threshold * n - 1e-9)
-    size = min(n, 2 * spare + 1)
-    return size, size - spare
+    """For items with n shingles: values in a sketch of their partition, and how many of them must be hit."""
+    size = min(n, 2 * spare(2 ** partition(n) - 1, threshold) + 1)
+    return size, size - spare(n, threshold)
+
+
+def least_shingles(part: int, threshold: float) -> int:
+    """Shingles that a document must have to contain an item of this partition."""
+    return math.ceil(threshold * 2 ** (part - 1) - 1e-9)
 
 
 def shingle_hashes(line: bytes, size: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -86,7 +103,7 @@ def sketch_items(items: DataFrame, size: int, threshold: float, short: bool) ->
                 hashes = np.unique(shingle_hashes(line, words, *shingles(text, words)[1:]))
                 values, needs = sketch_size(len(hashes), threshold)
                 for h in hashes[:values].view(np.int64).tolist():
-                    for to, x in zip(rows, (len(hashes).bit_length(), words, h, key, needs), strict=True):
+                    for to, x in zip(rows, (partition(len(hashes)), words, h, key, needs), strict=True):
                         to.append(x)
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], names=["part", "words", "hash", "key", "needs"])
@@ -94,24 +111,29 @@ def sketch_items(items: DataFrame, size: int, threshold: float, short: bool) ->
     return items.select("key", "text").mapInArrow(run, "part int, words int, hash long, key binary, needs int")
 
 
-def hash_filter(sketches: DataFrame) -> np.ndarray:
-    """A bit for each hash by its first ``FILTER_BITS`` bits. What reaches the driver are bytes with a bit set, 2**23 at most."""
-    place = sketches.select(F.shiftrightunsigned("hash", 64 - FILTER_BITS).alias("p"))
-    bits = place.select(F.shiftright("p", 3).cast("int").alias("byte"), F.expr("shiftleft(1, cast(p & 7 as int))").alias("bit"))
-    found = bits.groupBy("byte").agg(F.bit_or("bit").alias("bits"))
-    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    rows = found.toArrow()
-    out[rows.column("byte").to_numpy()] = rows.column("bits").to_numpy()
+def hash_filters(sketches: DataFrame) -> dict[tuple[int, int], np.ndarray]:
+    """By (words, part) a bit for each hash by its first bits, a power of two in number. Partitions are some dozens at most."""
+    counts = {(r.words, r.part): r["count"] for r in sketches.groupBy("words", "part").count().collect()}
+    total = sum(counts.values())
+    bits = {k: max(3, math.floor(math.log2(2**FILTER_BITS * n / total))) for k, n in counts.items()}
+    own = F.coalesce(*(F.when((F.col("words") == w) & (F.col("part") == p), F.lit(b)) for (w, p), b in bits.items()), F.lit(3))
+    places = sketches.withColumn("bits", own).select("words", "part", F.expr("shiftrightunsigned(hash, 64 - bits)").alias("p"))
+    places = places.select("words", "part", F.shiftright("p", 3).cast("int").alias("byte"), F.expr("shiftleft(1, cast(p & 7 as int))").alias("bit"))
+    out = {k: np.zeros(1 << (b - 3), np.uint8) for k, b in bits.items()}
+    found = places.groupBy("words", "part", "byte").agg(F.bit_or("bit").alias("bits")).toArrow()  # 2**(FILTER_BITS - 3) rows at most, plus one a partition
+    words, part, byte, value = (found.column(c).to_numpy() for c in ("words", "part", "byte", "bits"))
+    for (w, p), filled in out.items():
+        own_rows = (words == w) & (part == p)
+        filled[byte[own_rows]] = value[own_rows]
     return out
 
 
-def possible_hits(docs: DataFrame, sketches: DataFrame, size: int) -> DataFrame:
-    """(row, text, hits: array of struct<words, hash>) of the documents that may hit a sketch; ``docs`` are (row, text)."""
-    lengths = sorted(r.words for r in sketches.select("words").distinct().collect())  # 1 to size
-    sent = docs.sparkSession.sparkContext.broadcast(hash_filter(sketches))
+def possible_hits(docs: DataFrame, sketches: DataFrame, size: int, threshold: float) -> DataFrame:
+    """(row, text, hits: array of struct<words, part, hash>) of the documents that may hit a sketch; ``docs`` are (row, text)."""
+    sent = docs.sparkSession.sparkContext.broadcast(sorted(hash_filters(sketches).items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, right = sent.value, np.uint64(64 - FILTER_BITS)
+        filters = sent.value
         for batch in batches:
             at, hits = [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
@@ -119,21 +141,25 @@ def possible_hits(docs: DataFrame, sketches: DataFrame, size: int) -> DataFrame:
                 if not line:
                     continue
                 starts, ends = ends_of_words(line)
-                sums, found = Sums(line), []
-                for words in lengths:
+                sums, found, hashes, of = Sums(line), [], np.zeros(0, np.uint64), 0
+                for (words, part), bits in filters:  # those of one length stand together
                     if len(starts) < words:
                         break
-                    hashes = mixed(sums.ranges(starts[: len(starts) - words + 1], ends[words - 1 :]) + np.uint64(words))
-                    place = (hashes >> right).astype(np.int64)
+                    if of != words:
+                        hashes = np.unique(mixed(sums.ranges(starts[: len(starts) - words + 1], ends[words - 1 :]) + np.uint64(words)))
+                        of = words
+                    if len(hashes) < least_shingles(part, threshold):
+                        continue
+                    place = (hashes >> np.uint64(64 - (len(bits) * 8).bit_length() + 1)).astype(np.int64)
                     some = np.flatnonzero(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1)
-                    found += [(words, h) for h in np.unique(hashes[some]).view(np.int64).tolist()]
+                    found += [(words, part, h) for h in hashes[some].view(np.int64).tolist()]
                 if found:
                     at.append(k)
-                    hits.append([{"words": w, "hash": h} for w, h in found])
-            kind = pa.list_(pa.struct([("words", pa.int32()), ("hash", pa.int64())]))
+                    hits.append([{"words": w, "part": p, "hash": h} for w, p, h in found])
+            kind = pa.list_(pa.struct([("words", pa.int32()), ("part", pa.int32()), ("hash", pa.int64())]))
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at, pa.int64())) for c in (0, 1)), pa.array(hits, kind)], names=["row", "text", "hits"])
 
-    return docs.select("row", "text").mapInArrow(run, "row binary, text string, hits array<struct<words:int,hash:bigint>>")
+    return docs.select("row", "text").mapInArrow(run, "row binary, text string, hits array<struct<words:int,part:int,hash:bigint>>")
 
 
 def verify(pairs: DataFrame, size: int, threshold: float) -> DataFrame:
@@ -167,8 +193,8 @@ def shingle_set(text: str | None, size: int) -> set[bytes]:
 def contained_items(docs: DataFrame, items: DataFrame, size: int, threshold: float, short: bool) -> DataFrame:
     """(row, key, n_shingles, n_found, containment) for each item (key, text) that a document (row, text) contains."""
     sketches = written(sketch_items(items, size, threshold, short), "sketches")
-    texts = written(possible_hits(docs, sketches, size), "possible-hits")
-    hits = texts.select("row", F.inline("hits")).distinct().join(sketches, ["words", "hash"])  # rows may be repeated in full
+    texts = written(possible_hits(docs, sketches, size, threshold), "possible-hits")
+    hits = texts.select("row", F.inline("hits")).distinct().join(sketches, ["words", "part", "hash"])  # rows may be repeated in full
     pairs = hits.groupBy("row", "part", "key").agg(F.count("*").alias("n"), F.max("needs").alias("needs")).filter("n >= needs").select("row", "key")
     pairs = written(pairs.join(items.select("key", F.col("text").alias("item")), "key"), "candidates")
     lots = pairs.groupBy("row").agg(F.ceil(F.count("*") / ITEMS).alias("lots"))

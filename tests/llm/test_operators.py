@@ -854,3 +854,19 @@ def test_marks_stay_with_their_letters(monkeypatch):
     assert words("\u0301a \u0301\u0302b\u0301\u0302 1\u0301")[0] == "ab\u0301\u0302"
     assert words("\u0301 \u0302")[0] == ""
     assert words("a\u0301b")[1] == Counter({(32, 97, 0x301): 1, (97, 0x301, 98): 1, (0x301, 98, 32): 1})
+
+
+def test_partitions_decide_sketches_filters_and_documents(spark):
+    """Sizes follow from the partition, filters share a bounded space, and a short document isn't asked for large items."""
+    assert decontam.partition(8) == decontam.partition(15) == 4
+    assert {decontam.sketch_size(n, 0.8)[0] for n in range(8, 16)} == {7} and decontam.least_shingles(4, 0.8) == 7
+    words = lambda a, n: " ".join(f"w{k}" for k in range(a, a + n))
+    items = decontam.keyed_items(spark.createDataFrame([(1, words(0, 100)), (2, words(0, 8)), (3, "one two")], "item_id long, text string"), "item_id", "text")
+    sketches = decontam.sketch_items(items, 5, 0.8, True)
+    filters = decontam.hash_filters(sketches)
+    assert {k: v for k, v in sketches.groupBy("words", "part").count().rdd.map(lambda r: ((r.words, r.part), r["count"])).collect()}.keys() == filters.keys() == {(5, 7), (5, 3), (2, 1)}
+    assert sum(len(v) for v in filters.values()) <= 1 << (decontam.FILTER_BITS - 3)
+    docs = spark.createDataFrame([(b"short", words(0, 30)), (b"long", words(0, 90)), (b"none", words(500, 90))], "row binary, text string")
+    hits = {bytes(r.row): {h.part for h in r.hits} for r in decontam.possible_hits(docs, sketches, 5, 0.8).collect()}
+    assert hits == {b"short": {3}, b"long": {3, 7}}
+    assert decontam.hash_filters(sketches.limit(0)) == {}
