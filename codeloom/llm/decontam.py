@@ -8,8 +8,9 @@
 2. One pass over the documents, whatever the number of items: each partition has a filter, which says which of a document's
    shingles may be in one of its sketches; a document with too few shingles for the smallest items of a partition isn't
    asked for it. Documents with such shingles are written with them; all others are done with. The filters share 8 MB by the
-   number of their values: with a million values in all sketches one other shingle in thirty passes at most, with seven million
-   about one in seven. More values let more shingles pass, but lose none.
+   number of their values, after one of 8 MB for all partitions, which few shingles pass: with a million values in all sketches
+   one other shingle in two thousand at most gets through both, with seven million about one in fifty. More values let more
+   shingles pass, but lose none.
 3. These hashes meet the sketches of their partition in an equi-join. Pairs with enough hits are verified by comparing the shingles themselves,
    ``ITEMS`` items of a document at a time.
 
@@ -34,7 +35,8 @@ from codeloom.llm.rolling import Sums, mixed
 
 SHINGLE = 5
 THRESHOLD = 0.8
-#: Bits of all filters together, as a power of two: 8 MB at every size of the benchmark.
+#: Bits of the filter for all partitions, and of those of the partitions together, as a power of two: 8 MB each at every size
+#: of the benchmark.
 FILTER_BITS = 26
 #: Items verified at once against a document.
 ITEMS = 256
@@ -112,15 +114,20 @@ def sketch_items(items: DataFrame, size: int, threshold: float, short: bool) ->
 
 
 def hash_filters(sketches: DataFrame) -> dict[tuple[int, int], np.ndarray]:
-    """By (words, part) a bit for each hash by its first bits, a power of two in number. Partitions are some dozens at most."""
+    """By (words, part) a bit for each hash by its last bits, a power of two in number. Partitions are some dozens at most.
+
+    Under (0, 0) the filter for all, by the first bits.
+    """
     counts = {(r.words, r.part): r["count"] for r in sketches.groupBy("words", "part").count().collect()}
     total = sum(counts.values())
     bits = {k: max(3, math.floor(math.log2(2**FILTER_BITS * n / total))) for k, n in counts.items()}
     own = F.coalesce(*(F.when((F.col("words") == w) & (F.col("part") == p), F.lit(b)) for (w, p), b in bits.items()), F.lit(3))
-    places = sketches.withColumn("bits", own).select("words", "part", F.expr("shiftrightunsigned(hash, 64 - bits)").alias("p"))
+    bits[0, 0] = FILTER_BITS
+    places = sketches.withColumn("bits", own).select("words", "part", F.expr("hash & (shiftleft(1L, bits) - 1)").alias("p"))
+    places = places.unionByName(sketches.select(F.lit(0).alias("words"), F.lit(0).alias("part"), F.shiftrightunsigned("hash", 64 - FILTER_BITS).alias("p")))
     places = places.select("words", "part", F.shiftright("p", 3).cast("int").alias("byte"), F.expr("shiftleft(1, cast(p & 7 as int))").alias("bit"))
     out = {k: np.zeros(1 << (b - 3), np.uint8) for k, b in bits.items()}
-    found = places.groupBy("words", "part", "byte").agg(F.bit_or("bit").alias("bits")).toArrow()  # 2**(FILTER_BITS - 3) rows at most, plus one a partition
+    found = places.groupBy("words", "part", "byte").agg(F.bit_or("bit").alias("bits")).toArrow()  # twice 2**(FILTER_BITS - 3) rows at most
     words, part, byte, value = (found.column(c).to_numpy() for c in ("words", "part", "byte", "bits"))
     for (w, p), filled in out.items():
         own_rows = (words == w) & (part == p)
@@ -128,12 +135,19 @@ def hash_filters(sketches: DataFrame) -> dict[tuple[int, int], np.ndarray]:
     return out
 
 
+def set_in(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Whether the bits at these places are set."""
+    at = place.astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def possible_hits(docs: DataFrame, sketches: DataFrame, size: int, threshold: float) -> DataFrame:
     """(row, text, hits: array of struct<words, part, hash>) of the documents that may hit a sketch; ``docs`` are (row, text)."""
-    sent = docs.sparkSession.sparkContext.broadcast(sorted(hash_filters(sketches).items()))
+    filters = hash_filters(sketches)
+    sent = docs.sparkSession.sparkContext.broadcast((filters.pop((0, 0)), sorted(filters.items())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = sent.value
+        (whole, filters), right = sent.value, np.uint64(64 - FILTER_BITS)
         for batch in batches:
             at, hits = [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
@@ -141,18 +155,18 @@ def possible_hits(docs: DataFrame, sketches: DataFrame, size: int, threshold: fl
                 if not line:
                     continue
                 starts, ends = ends_of_words(line)
-                sums, found, hashes, of = Sums(line), [], np.zeros(0, np.uint64), 0
+                sums, found, n, some, of = Sums(line), [], 0, np.zeros(0, np.uint64), 0
                 for (words, part), bits in filters:  # those of one length stand together
                     if len(starts) < words:
                         break
                     if of != words:
                         hashes = np.unique(mixed(sums.ranges(starts[: len(starts) - words + 1], ends[words - 1 :]) + np.uint64(words)))
-                        of = words
-                    if len(hashes) < least_shingles(part, threshold):
+                        of, n = words, len(hashes)
+                        some = hashes[set_in(whole, hashes >> right)]
+                    if n < least_shingles(part, threshold):
                         continue
-                    place = (hashes >> np.uint64(64 - (len(bits) * 8).bit_length() + 1)).astype(np.int64)
-                    some = np.flatnonzero(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1)
-                    found += [(words, part, h) for h in hashes[some].view(np.int64).tolist()]
+                    own = some[set_in(bits, some & np.uint64(len(bits) * 8 - 1))]
+                    found += [(words, part, h) for h in own.view(np.int64).tolist()]
                 if found:
                     at.append(k)
                     hits.append([{"words": w, "part": p, "hash": h} for w, p, h in found])

@@ -864,9 +864,9 @@ def test_partitions_decide_sketches_filters_and_documents(spark):
     items = decontam.keyed_items(spark.createDataFrame([(1, words(0, 100)), (2, words(0, 8)), (3, "one two")], "item_id long, text string"), "item_id", "text")
     sketches = decontam.sketch_items(items, 5, 0.8, True)
     filters = decontam.hash_filters(sketches)
-    assert {k: v for k, v in sketches.groupBy("words", "part").count().rdd.map(lambda r: ((r.words, r.part), r["count"])).collect()}.keys() == filters.keys() == {(5, 7), (5, 3), (2, 1)}
-    assert sum(len(v) for v in filters.values()) <= 1 << (decontam.FILTER_BITS - 3)
+    assert {k: v for k, v in sketches.groupBy("words", "part").count().rdd.map(lambda r: ((r.words, r.part), r["count"])).collect()}.keys() == filters.keys() - {(0, 0)} == {(5, 7), (5, 3), (2, 1)}
+    assert len(filters.pop((0, 0))) == 1 << (decontam.FILTER_BITS - 3) >= sum(len(v) for v in filters.values())
     docs = spark.createDataFrame([(b"short", words(0, 30)), (b"long", words(0, 90)), (b"none", words(500, 90))], "row binary, text string")
     hits = {bytes(r.row): {h.part for h in r.hits} for r in decontam.possible_hits(docs, sketches, 5, 0.8).collect()}
     assert hits == {b"short": {3}, b"long": {3, 7}}
-    assert decontam.hash_filters(sketches.limit(0)) == {}
+    assert decontam.hash_filters(sketches.limit(0)).keys() == {(0, 0)}
