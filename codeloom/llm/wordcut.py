@@ -40,7 +40,7 @@ class Words:
         n = self.ends - self.starts
         first = eight[self.starts] & _MASK[np.minimum(n, 8)]
         last = np.where(n > 8, eight[self.ends - 8], np.uint64(0))
-        out = mixed(first + mixed(last + n.astype(np.uint64)))
+        out = mixed(first + mixed(last + mixed(n.astype(np.uint64))))  # a length added as it is would make up for other bytes
         long = np.flatnonzero(n > 16)
         for k, a, b in zip(long.tolist(), self.starts[long].tolist(), self.ends[long].tolist(), strict=True):
             out[k] = xxh64_intdigest(self.data[a:b])

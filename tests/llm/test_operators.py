@@ -870,3 +870,8 @@ def test_partitions_decide_sketches_filters_and_documents(spark):
     hits = {bytes(r.row): {h.part for h in r.hits} for r in decontam.possible_hits(docs, sketches, 5, 0.8).collect()}
     assert hits == {b"short": {3}, b"long": {3, 7}}
     assert decontam.hash_filters(sketches.limit(0)).keys() == {(0, 0)}
+
+
+def test_keys_of_words_differ():
+    own = [f"{a}1{'0' * k}" for a in "123" for k in range(5, 15)] + [f"x{chr(c + 1)}{chr(c) * k}z" for c in (45, 61, 97) for k in range(4, 15)] + ["xcb" + "ab" * k for k in range(2, 8)]
+    assert len(set(wordcut.Words([w.encode() for w in own]).keys().tolist())) == len(own)
