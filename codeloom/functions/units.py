@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,10 +12,10 @@ UNITS = ["KiB", "MiB", "GiB", "TiB", "PiB", "EiB"]
 SECONDS = {"d": 86400.0, "h": 3600.0, "m": 60.0, "s": 1.0, "ms": 0.001}
 
 
-def format_bytes(n: Column) -> Column:
-    """``512 B``, ``1.5 KiB``: steps of 1024, one decimal."""
+def format_bytes(n: Column, units: Sequence[str] = UNITS) -> Column:
+    """``512 B``, ``1.5 KiB``: steps of 1024, one decimal; the last of ``units`` goes on for all that is larger."""
     out = F.format_string("%d B", n)
-    for k, unit in enumerate(UNITS, 1):
+    for k, unit in enumerate(units, 1):
         out = F.when(n >= 1024**k, F.format_string(f"%.1f {unit}", F.bround(n / float(1024**k), 1))).otherwise(out)
     return out
 

@@ -342,3 +342,18 @@ def test_durations_of_a_column(spark):
 
     got = spark.createDataFrame([(d,) for d in given], "d string").select(units.duration_seconds(F.col("d")).alias("s")).collect()
     assert [r.s for r in got] == [plain(d) for d in given]
+
+
+def test_largest_unit(spark):
+    sizes = [(1023,), (1024**2 - 1,), (8_100_090_000,), (3 << 40,)]
+    assert values(spark, units.format_bytes(F.col("n"), units.UNITS[:2]), sizes, "n long") == ["1023 B", "1024.0 KiB", "7724.8 MiB", "3145728.0 MiB"]
+
+
+def test_format_bytes_of_many_customers(spark, tmp_path):
+    import duckdb
+
+    from codeloom.plans.queries import ORACLE_SQL, QUERIES
+
+    spark.range(1, 90_001, 7).toDF("c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    want = duckdb.sql(ORACLE_SQL["format_bytes"].replace("FROM customer", f"FROM read_parquet('{tmp_path}/customer.parquet/*.parquet')")).fetchall()
+    assert sorted(map(tuple, QUERIES["format_bytes"](spark, str(tmp_path)).collect())) == sorted(want)
