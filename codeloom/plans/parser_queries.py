@@ -6,6 +6,7 @@ pieces; the SQL adds up the bytes and lines of the pieces before.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -168,12 +169,21 @@ TEMPLATES = {
 }
 
 
+#: Keys of a partition, each of which becomes a file that takes about half a millisecond to parse.
+KEYS = 4096
+
+
+def spread(keys: DataFrame) -> DataFrame:
+    """The same keys, a bounded number to a partition: a table of short rows may be a single row group, which is one task."""
+    return keys.repartition(max(1, math.ceil(keys.count() / KEYS)))
+
+
 def sources(spark: SparkSession, sf_dir: str, language: str) -> DataFrame:
     """(path, language, content): a file for each supplier."""
     made, key = TEMPLATES[language], F.col("s_suppkey").cast("string")
     whole = F.replace(F.lit("".join(made.pieces)), F.lit("{k}"), key)
     path = F.concat(F.lit("dir/"), key, F.lit(f"/f{made.extension}"))
-    return t(spark, sf_dir, "supplier").select(path.alias("path"), F.lit(language).alias("language"), F.encode(whole, "UTF-8").alias("content"))
+    return spread(t(spark, sf_dir, "supplier").select("s_suppkey")).select(path.alias("path"), F.lit(language).alias("language"), F.encode(whole, "UTF-8").alias("content"))
 
 
 def parsed(spark: SparkSession, sf_dir: str, language: str) -> DataFrame:
@@ -323,7 +333,7 @@ def shape_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey").cast("string")
     made = F.array(*(F.struct(F.lit(language).alias("language"), F.lit(s.extension).alias("extension"), F.lit("".join(s.pieces)).alias("text")) for language, s in SHAPES))
     own = F.element_at(made, F.pmod("c_custkey", F.lit(len(SHAPES))).cast("int") + 1)
-    rows = t(spark, sf_dir, "customer").select(key.alias("k"), own.alias("own"))
+    rows = spread(t(spark, sf_dir, "customer").select("c_custkey")).select(key.alias("k"), own.alias("own"))
     path = F.concat(F.lit("dir/"), "k", F.lit("/f"), "own.extension")
     return rows.select(path.alias("path"), F.col("own.language").alias("language"), F.encode(F.replace("own.text", F.lit("{k}"), "k"), "UTF-8").alias("content"))
 

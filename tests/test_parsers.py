@@ -133,3 +133,17 @@ def test_time_to_mend_grows_with_the_file():
         took.append(time.process_time() - began)
         assert sum(r["record"] == "symbol" for r in rows) == n
     assert took[1] < 30 * max(took[0], 0.01)
+
+
+def test_keys_are_spread(spark, tmp_path, monkeypatch):
+    """A table that is one row group is parsed by several tasks."""
+    from pyspark.sql import functions as F
+
+    from codeloom.plans import parser_queries
+
+    monkeypatch.setattr(parser_queries, "KEYS", 100)
+    for name, key in (("customer", "c_custkey"), ("supplier", "s_suppkey")):
+        spark.range(1, 1001).toDF(key).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    for made in (parser_queries.shape_sources(spark, str(tmp_path)), parser_queries.sources(spark, str(tmp_path), "go")):
+        sizes = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 1000 and len(sizes) >= 10 and max(sizes) <= 120
