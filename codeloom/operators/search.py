@@ -2,7 +2,7 @@
 
 ``postings`` has a row for each term, row and column with the term's positions; sorted by term, a Parquet scan skips all
 other terms. A query is parsed on the driver into phrases and a boolean expression. Its plan is one scan of the postings
-with the terms pushed down, one aggregation to phrase occurrences, one to a row for each hit, and the score. A query that
+with the terms pushed down, one aggregation to a row for each hit with its phrase occurrences, and the score. A query that
 can't be parsed falls back to a pattern match on names, as does the empty query.
 """
 
@@ -10,15 +10,22 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
 DEFAULT_LIMIT = 10
-TOKEN = r"[\p{L}\p{N}\p{Co}]+"
+#: Bytes of text cut at once when an index is built.
+GROUP = 4 << 20
+#: The bits of a place within a column.
+PLACES = (1 << 32) - 1
+TOKEN, GAP = r"[\p{L}\p{N}\p{Co}]+", r"[^\p{L}\p{N}\p{Co}]+"
 
 
 def _folds() -> tuple[str, str]:
@@ -51,6 +58,8 @@ def tokenize(text: str) -> list[str]:
 
 POSTINGS = "term string, id string, col string, pos array<int>"
 LENGTHS = "id string, n long"
+#: Postings are dealt by the term and a part of the rows, so that those of a frequent term are no one task's.
+BY_TERM = ("term", "pmod(xxhash64(id), 64)")
 
 
 @dataclass
@@ -62,20 +71,45 @@ class TextIndex:
     columns: list[str]
 
     def write(self, path: str) -> None:
-        self.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        self.postings.repartition(*map(F.expr, BY_TERM)).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
         self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
 
 
 def build_index(df: DataFrame, id_col: str, columns: Sequence[str]) -> TextIndex:
-    rows = df.select(F.col(id_col).alias("id"), *(tokens(F.col(c)).alias(f"t{k}") for k, c in enumerate(columns)))
-    size = sum((F.size(f"t{k}") for k in range(len(columns))), F.lit(0)).cast("bigint")
-    lengths = rows.select("id", size.alias("n"))
-    each = F.array(*(F.struct(F.lit(c).alias("col"), F.col(f"t{k}").alias("t")) for k, c in enumerate(columns)))
-    # the tokens are a column of their own before they are exploded, else every term would carry all of them along
-    by_column = rows.select("id", F.explode(each).alias("c")).select("id", F.col("c.col").alias("col"), F.col("c.t").alias("t"))
-    by_column = by_column.select("id", "col", F.posexplode("t").alias("pos", "term"))
-    postings = by_column.groupBy("term", "id", "col").agg(F.sort_array(F.collect_list("pos")).alias("pos"))
-    return TextIndex(postings, lengths, list(columns))
+    """The index of ``df``, whose ids are a key. The places of a term in a row are gathered where the row is read, so no single token is shuffled."""
+    folded = [fold(F.coalesce(F.col(c), F.lit(""))) for c in columns]
+    rows = df.select(F.col(id_col).alias("id"), *(F.regexp_replace(c, GAP, "\n").alias(f"t{k}") for k, c in enumerate(folded)))  # one string travels better than a list
+    size = sum((F.regexp_count(c, F.lit(TOKEN)) for c in folded), F.lit(0)).cast("bigint")
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, c in enumerate(columns):
+                yield from places(batch.column(0), batch.column(k + 1), c)
+
+    postings = rows.mapInArrow(run, f"term string, id {kind}, col string, pos array<int>")
+    return TextIndex(postings, df.select(F.col(id_col).alias("id"), size.alias("n")), list(columns))
+
+
+def places(ids: pa.Array, texts: pa.Array, col: str) -> Iterator[pa.RecordBatch]:
+    """(term, id, col, pos) of the tokens of each row, which line ends part, for about ``GROUP`` bytes at a time."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy())
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + GROUP, "right")))
+        cut = pc.split_pattern(texts.slice(a, b - a), "\n")
+        every, row = cut.flatten(), np.repeat(np.arange(b - a), cut.value_lengths().to_numpy())
+        whole = np.flatnonzero(pc.binary_length(every).to_numpy())  # nothing stands before a gap that begins a text
+        row, coded = row[whole], every.take(pa.array(whole)).dictionary_encode()
+        codes, sizes = coded.indices.to_numpy(), np.bincount(row, minlength=b - a)
+        at = np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row]
+        order = np.argsort(row * len(coded.dictionary) + codes, kind="stable")
+        row, codes = row[order], codes[order]
+        first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (codes[1:] != codes[:-1]))[: len(row)])
+        pos = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)), pa.int32()), pa.array(at[order], pa.int32()))
+        found = [coded.dictionary.take(pa.array(codes[first])), ids.take(pa.array(row[first] + a)), pa.repeat(pa.scalar(col), len(first)), pos]
+        yield pa.RecordBatch.from_arrays(found, names=["term", "id", "col", "pos"])
+        a = b
 
 
 def read_index(spark, path: str, columns: Sequence[str]) -> TextIndex:

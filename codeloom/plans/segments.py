@@ -42,11 +42,13 @@ class ConflictError(RuntimeError):
 
 @dataclass(frozen=True)
 class Table:
-    """How a table is kept: its schema, the key that changes name (an expression), and what its files are sorted by."""
+    """How a table is kept: its schema, the key that changes name (an expression), and what its files are sorted by. Rows are dealt to
+    files by ranges of that, which computes them twice, or by the hash of the expressions ``dealt_by``."""
 
     schema: str
     key: str
     sorted_by: str
+    dealt_by: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -159,8 +161,9 @@ class Log:
     def _rows(self, df: DataFrame, table: str, number: int) -> Segment | None:
         own = self.tables[table]
         names = self.spark.createDataFrame([], own.schema).columns
-        dealt = df.select(names).repartitionByRange(F.col(own.sorted_by)).sortWithinPartitions(own.sorted_by)
-        return self._written(dealt, table, "segments", number, F.expr(own.key))
+        rows = df.select(names)
+        dealt = rows.repartition(*map(F.expr, own.dealt_by)) if own.dealt_by else rows.repartitionByRange(F.col(own.sorted_by))
+        return self._written(dealt.sortWithinPartitions(own.sorted_by), table, "segments", number, F.expr(own.key))
 
     def stage(self, base: Manifest, changes: dict[str, Change]) -> Manifest:
         """``base`` with these changes; their folders are written, the manifest isn't."""

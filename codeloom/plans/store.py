@@ -30,8 +30,8 @@ TABLES = {
     "edges": Table(schemas.EDGES, "caller_id", "caller_id"),
     "calls": Table(schemas.CALLS, "file", "file"),
     "unread": Table(schemas.FILES, "path", "path"),
-    "postings": Table(search.POSTINGS, _OWNER, "term"),
-    "lengths": Table(search.LENGTHS, _OWNER, "id"),
+    "postings": Table(search.POSTINGS, _OWNER, "term", search.BY_TERM),
+    "lengths": Table(search.LENGTHS, _OWNER, "id", ("id",)),
 }
 
 

@@ -69,3 +69,41 @@ def test_written_index(both, spark, tmp_path):
 @pytest.mark.parametrize(("q", "want"), [("", ""), ("foo", "foo*"), ("foo bar", "foo bar*"), ("a-b", "a-b"), ('"x', '"x'), ("a or b", "a or b"), ("x AND y", "x AND y"), ("android", "android*")])
 def test_normalize(q, want):
     assert search.normalize_query(q) == want
+
+
+def test_index_of_odd_texts(spark, monkeypatch):
+    """Places of each term by a plain loop, over texts of which several are cut at once and one fills a group."""
+    from collections import defaultdict
+
+    monkeypatch.setattr(search, "GROUP", 64)
+    texts = [None, "", " \n ", "a", "\na b\n\na", "Été été ETE x²", "the the of the", "-- the 😀 of\tthe\x00the", "b " * 500, " Ωmega ١٢ a_b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    want = defaultdict(list)
+    for i, text in enumerate(texts):
+        for k, w in enumerate(search.tokenize(text or "")):
+            want[w, i, "text"].append(k)
+    index = search.build_index(df, "id", ["text"])
+    assert {(r.term, r.id, r.col): r.pos for r in index.postings.collect()} == want
+    assert dict(map(tuple, index.lengths.collect())) == {i: len(search.tokenize(x or "")) for i, x in enumerate(texts)}
+    found = {r.id for r in search.match(index, search.parse_query('"the of the"', ["text"])).collect()}
+    assert found == {6} | ({7} if search.tokenize(texts[7])[:3] == ["the", "of", "the"] else set())
+
+
+def test_postings_travel_once_and_hot_terms_are_spread(spark, tmp_path):
+    df = spark.range(20_000).selectExpr("id", "'the word the' AS text")
+    index = search.build_index(df, "id", ["text"])
+    assert "Exchange" not in index.postings._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index.write(str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in spark.read.parquet(f"{tmp_path}/postings").filter("term = 'the'").groupBy("_metadata.file_name").count().collect()]
+    assert sum(sizes) == 20_000 and len(sizes) > 1
+
+
+def test_repeated_ids_count_once(spark):
+    from codeloom.plans.queries import occurrences
+
+    df = spark.createDataFrame([(1, "a b"), (1, "a"), (2, "a a"), (None, "b")], "id long, text string")
+    assert sorted(map(tuple, occurrences(search.build_index(df, "id", ["text"])).collect())) == [("a", 2, 4), ("b", 1, 2)]
