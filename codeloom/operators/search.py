@@ -270,24 +270,27 @@ def _holds(tree: tuple) -> Column:
 
 def match(index: TextIndex, query: Query) -> DataFrame:
     """(id, rank) of the rows that the query fits; the lower the rank the better."""
-    uses, wanted = [], F.lit(False)
+    counts, wanted = [], F.lit(False)
+    column = F.array_position(F.lit(index.columns), F.col("col"))
     for p, phrase in enumerate(query.phrases):
+        n, hits = len(phrase.terms), []
         for k, word in enumerate(phrase.terms):
-            hit = _matches(F.col("term"), word, phrase.prefix and k == len(phrase.terms) - 1)
-            wanted = wanted | hit
-            if phrase.columns is not None:
-                hit = hit & F.col("col").isin(phrase.columns)
-            uses.append(F.when(hit, F.struct(F.lit(p).alias("p"), F.lit(k).alias("k"))))
-    found = index.postings.filter(wanted)
-    if uses:
-        placed = found.select("id", "col", F.explode("pos").alias("at"), F.array_compact(F.array(*uses)).alias("uses")).select("id", "col", "at", F.inline("uses"))
-    else:
-        placed = found.select("id", "col", F.lit(0).alias("at"), F.lit(0).alias("p"), F.lit(0).alias("k"))
-    sizes = F.create_map(*(F.lit(x) for p, phrase in enumerate(query.phrases) for x in (p, len(phrase.terms))))
-    firsts = [p for p, phrase in enumerate(query.phrases) if phrase.first]
-    begun = placed.groupBy("id", "col", "p", (F.col("at") - F.col("k")).alias("start")).agg(F.count("*").alias("n"))
-    whole = begun.filter((F.col("n") == F.element_at(sizes, F.col("p"))) & (~F.col("p").isin(firsts) | (F.col("start") == 0)) if firsts else F.col("n") == F.element_at(sizes, F.col("p")))
-    by_row = whole.groupBy("id").agg(*(F.count(F.when(F.col("p") == p, 1)).alias(f"f{p}") for p in range(len(query.phrases))))
+            hit = _matches(F.col("term"), word, phrase.prefix and k == n - 1)
+            hits.append(hit if phrase.columns is None else hit & F.col("col").isin(phrase.columns))
+            wanted = wanted | hits[-1]
+        if n == 1:  # each place of the term is one of the phrase
+            of_term = F.array_contains("pos", 0).cast("bigint") if phrase.first else F.size("pos").cast("bigint")
+            count = F.coalesce(F.sum(F.when(hits[0], of_term)), F.lit(0))
+        elif n:  # places where it may begin, as numbers of column and place, met by all its terms
+            starts = [F.flatten(F.collect_list(F.when(hit, _starts(column, n - k)))) for k, hit in enumerate(hits)]
+            whole = starts[0]
+            for s in starts[1:]:
+                whole = F.array_intersect(whole, s)
+            count = F.size(F.filter(whole, lambda x, n=n: x.bitwiseAND(PLACES) == n) if phrase.first else whole).cast("bigint")
+        else:
+            count = F.lit(0).cast("bigint")
+        counts.append(count.alias(f"f{p}"))
+    by_row = index.postings.filter(wanted).groupBy("id").agg(*counts)
     n_hits = by_row.agg(*(F.count(F.when(F.col(f"f{p}") > 0, 1)).alias(f"n{p}") for p in range(len(query.phrases))))
     totals = index.lengths.agg(F.count("*").alias("rows_"), F.avg("n").alias("mean_")).crossJoin(n_hits)  # one row each
     scored = by_row.filter(_holds(query.tree)).join(index.lengths, "id").crossJoin(F.broadcast(totals))
@@ -300,6 +303,11 @@ def match(index: TextIndex, query: Query) -> DataFrame:
     return scored.select("id", (-rank).alias("rank"))
 
 
+def _starts(column: Column, shift: int) -> Column:
+    """The places of a posting, moved on, as numbers that tell columns apart."""
+    return F.transform("pos", lambda at: F.shiftleft(column, 32) + at.cast("bigint") + shift)
+
+
 def search(
     df: DataFrame, index: TextIndex, q: str, id_col: str = "id", name_cols: Sequence[str] = ("name", "qualified_name"), limit: int = DEFAULT_LIMIT, offset: int = 0, filters: dict[str, object] | None = None
 ) -> DataFrame:

@@ -100,6 +100,8 @@ def test_postings_travel_once_and_hot_terms_are_spread(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     sizes = [r["count"] for r in spark.read.parquet(f"{tmp_path}/postings").filter("term = 'the'").groupBy("_metadata.file_name").count().collect()]
     assert sum(sizes) == 20_000 and len(sizes) > 1
+    plan = search.match(index, search.parse_query("the", ["text"]))._jdf.queryExecution().toString()
+    assert "Generate" not in plan  # a place of a single word is not a row
 
 
 def test_repeated_ids_count_once(spark):
