@@ -147,3 +147,13 @@ def test_keys_are_spread(spark, tmp_path, monkeypatch):
     for made in (parser_queries.shape_sources(spark, str(tmp_path)), parser_queries.sources(spark, str(tmp_path), "go")):
         sizes = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
         assert sum(sizes) == 1000 and len(sizes) >= 10 and max(sizes) <= 120
+
+
+def test_parse_errors_takes_several_tasks(spark, tmp_path, monkeypatch):
+    from codeloom.plans import parser_queries
+
+    monkeypatch.setattr(parser_queries, "KEYS", 20)
+    spark.range(1, 101).toDF("c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    found = parser_queries.parse_errors(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() == 5
+    assert sorted(map(tuple, found.collect())) == sorted((f"dir/{k}/f.py", True) for k in range(1, 101) if k % len(parser_queries.SHAPES) in (12, 13, 14, 16))
