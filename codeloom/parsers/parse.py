@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.parsers.languages import PARSERS
-from codeloom.parsers.scan import first_sentence, template
+from codeloom.parsers.scan import Found, first_sentence, template
 from codeloom.schemas import PARSED, names
 
 COLUMNS = names(PARSED)
@@ -41,18 +41,22 @@ def smallest_around(rows: list[dict], places: list[int]) -> list[int | None]:
     return out
 
 
+def found_in(language: str, data: bytes) -> Found:
+    """What the parser of the language finds; of a source that it gives up on there is but the error."""
+    try:
+        return PARSERS[language](data)
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+        return Found(error=f"{type(e).__name__}: {e}"[:500])
+
+
 def parse_file(path: str, language: str, data: bytes, secrets: Sequence[re.Pattern] = ()) -> list[dict]:
     """Rows of :data:`PARSED`: symbols in order, then edges, and an error row for a source of which a part can't be parsed.
 
     A constant or variable in whose source one of ``secrets`` is found is marked.
     """
-    parser = PARSERS.get(language)
-    if parser is None:
+    if language not in PARSERS:
         return []
-    try:
-        found = parser(data)
-    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
-        return [{"record": "error", "file": path, "error": f"{type(e).__name__}: {e}"[:500]}]
+    found = found_in(language, data)
     folder = posixpath.dirname(path)
     lines = [0]
     for line in data.splitlines(keepends=True):
@@ -106,5 +110,20 @@ def parse_files(files: DataFrame, secret_patterns: Sequence[str] = ()) -> DataFr
                 rows += parse_file(path, language, data or b"", secrets)
             yield pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], KINDS.get(c, pa.string())) for c in COLUMNS], names=COLUMNS)
 
-    usable = files.filter(F.col("language").isin(sorted(PARSERS))).select("path", "language", F.col("content").cast("binary").alias("content"))
-    return usable.mapInArrow(run, PARSED)
+    return _usable(files).mapInArrow(run, PARSED)
+
+
+def parse_errors(files: DataFrame) -> DataFrame:
+    """(file, error): the error rows of :func:`parse_files`. Every file is parsed, but of symbols and edges no rows are made."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(k).to_pylist() for k in range(3))
+            rows = [(path, error) for path, language, data in zip(*columns, strict=True) if (error := found_in(language, data or b"").error)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(2)], names=["file", "error"])
+
+    return _usable(files).mapInArrow(run, "file string, error string")
+
+
+def _usable(files: DataFrame) -> DataFrame:
+    return files.filter(F.col("language").isin(sorted(PARSERS))).select("path", "language", F.col("content").cast("binary").alias("content"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import text
 from codeloom.operators import graph
+from codeloom.parsers import parse
 from codeloom.parsers.parse import parse_files
 from codeloom.plans.queries import query, t
 
@@ -357,4 +358,4 @@ def parse_shapes(spark, sf_dir):
 )
 def parse_errors(spark, sf_dir):
     """Files of which a part couldn't be parsed."""
-    return parse_files(shape_sources(spark, sf_dir)).filter("record = 'error'").select("file", F.col("error").startswith("SyntaxError").alias("damaged"))
+    return parse.parse_errors(shape_sources(spark, sf_dir)).select("file", F.col("error").startswith("SyntaxError").alias("damaged"))

@@ -157,3 +157,18 @@ def test_parse_errors_takes_several_tasks(spark, tmp_path, monkeypatch):
     found = parser_queries.parse_errors(spark, str(tmp_path))
     assert found.rdd.getNumPartitions() == 5
     assert sorted(map(tuple, found.collect())) == sorted((f"dir/{k}/f.py", True) for k in range(1, 101) if k % len(parser_queries.SHAPES) in (12, 13, 14, 16))
+
+
+def test_parse_errors_makes_no_rows_of_symbols(spark, tmp_path):
+    """Its tasks give the error rows of parse_files and nothing else."""
+    from codeloom.parsers.parse import parse_errors, parse_files
+    from codeloom.plans import parser_queries
+
+    spark.range(0, 69).toDF("c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    plan = parser_queries.parse_errors(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "error" in plan and "content_hash" not in plan
+    odd = [("a.py", "python", None), ("b.py", "python", b"x = (\n"), ("c.py", "python", b"a\x00b"), ("d.py", "python", b"(" * 500), ("e.c", "c", b"("), ("f.go", "go", b"func ("), ("g.py", None, b"("), ("h.py", "python", b"\xff")]
+    files = parser_queries.shape_sources(spark, str(tmp_path)).unionByName(spark.createDataFrame(odd, "path string, language string, content binary"))
+    found = sorted(map(repr, parse_errors(files).collect()))
+    assert found == sorted(map(repr, parse_files(files).filter("record = 'error'").select("file", "error").collect())) and len(found) == 12 + 4
+    assert parse_errors(files.limit(0)).collect() == []
