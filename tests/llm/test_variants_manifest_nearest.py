@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -211,3 +213,47 @@ def test_fit_takes_finer_buckets_where_neighbours_are_near(spark):
     keyed = crosspolytope.keyed(df, "vec_id", "embedding")
     rotations, probes = crosspolytope.fit(crosspolytope.entries(keyed, 2), keyed.filter("id % 100 = 0"), 2)
     assert rotations > 1 and probes < 20
+
+
+def test_many_found_are_merged_in_time(spark):
+    F = crosspolytope.F
+    n = 40_000  # all found in each table; comparing all pairs takes minutes
+    pair = F.struct((F.col("id") / 7).alias("d"), "id", F.xxhash64("id").alias("mark"))
+    near = spark.range(n * crosspolytope.TABLES, numPartitions=8).select((F.col("id") % n).alias("id")).select(F.lit(b"q").alias("key"), F.array(pair).alias("near"))
+    began = time.monotonic()
+    got = crosspolytope.merged(near, 11).collect()
+    assert time.monotonic() - began < 40
+    assert [(x.id, x.d) for x in got[0].near] == [(i, i / 7) for i in range(11)] and len(got) == 1
+
+
+def test_nearest_of_many_questions_at_once(spark, monkeypatch):
+    """Ties beyond k, matrices of several pieces, very large and very small numbers."""
+    monkeypatch.setattr(crosspolytope, "CELLS", 3000)
+    rng = np.random.default_rng(5)
+    for scale in (1.0, 1e-100, 1e140, 1e200):
+        for vectors in (rng.normal(size=(900, 5)), rng.integers(-1, 2, (900, 5)).astype(float)):
+            vectors = vectors * scale
+            with np.errstate(over="ignore"):
+                squares = (vectors * vectors).sum(axis=1)
+            who, at, exact = map(np.concatenate, zip(*crosspolytope.nearest(vectors[:30], vectors, squares, 4), strict=True))
+            for q in range(30):
+                every = [math.dist(vectors[q], v) for v in vectors]
+                edge = sorted(every)[3] * (1 + 1e-12)
+                assert sorted(at[who == q].tolist()) == [j for j, d in enumerate(every) if d <= edge]
+                assert exact[who == q].tolist() == sorted(exact[who == q].tolist()) == pytest.approx([every[j] for j in at[who == q]], rel=1e-12)
+
+
+def test_equally_near_vectors_of_one_id(spark):
+    rows = [(0, [0.0, 1.0]), (5, [1.0, 0.0]), (5, [-1.0, 0.0]), (6, [0.0, -1.0])]
+    got = crosspolytope.search(df := spark.createDataFrame(rows, "vec_id long, embedding array<double>"), df.filter("vec_id = 0")).orderBy("rank").collect()
+    assert [(r.rank, r.vec_id, r.score) for r in got] == [(1, 5, math.sqrt(2)), (2, 5, math.sqrt(2)), (3, 6, 2.0)]
+
+
+def test_ids_that_are_no_numbers(spark):
+    rng = np.random.default_rng(6)
+    rows = [(f"{'é' if k % 2 else 'z'}{k}", rng.integers(-1, 2, 3).astype(float).tolist()) for k in range(60)]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<double>")
+    got = {(r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in crosspolytope.search(df, df.filter("vec_id < 'z2'"), k=5).collect()}
+    used = [(i, v) for i, v in rows if any(v)]
+    want = {(i, rank, j, round(d, 9)) for i, v in used if i < "z2" for rank, (d, j) in enumerate(sorted((math.dist(v, w), j) for j, w in used if j != i)[:5], 1)}
+    assert len(want & got) >= 0.9 * len(want) and len(got) == len(want) == 25
